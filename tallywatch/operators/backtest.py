@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tallywatch.functions.timing import MICROS_PER_MINUTE, as_ntz, within
 from tallywatch.operators.rules import (
-    COOLDOWN_MINUTES, cell_matches, collect_answers, conditions_of, judge, probes_of, select_rules,
-    window_set, with_keyword_hits,
+    COOLDOWN_MINUTES, asks_of, cell_matches, collect_answers, judge, parse_rules, probes_of, rule_profile,
+    select_rules, total_over_sources, with_keyword_hits,
 )
 
 
@@ -56,58 +56,52 @@ def backtest_rules(rules: DataFrame, logs: DataFrame, start: dt.datetime, end: d
     a first step and takes one away after a last step; sums of these changes along
     the steps give every count, whatever the overlap of the windows.
     """
-    chosen = select_rules(rules)
-    conditions = conditions_of(chosen)
+    chosen = parse_rules(select_rules(rules))
     pauses = chosen.select(F.col("id").alias("rule_id"), F.greatest(F.lit(1), F.ceil(
         F.coalesce("cooldown_minutes", F.lit(COOLDOWN_MINUTES)) / step_minutes)).cast("long").alias("pause"))
     step_us = step_minutes * MICROS_PER_MINUTE
     steps = (end - start) // dt.timedelta(microseconds=step_us)
     grid = F.sequence(F.lit(0), F.lit(steps)).cast("array<long>")
-    sizes = conditions.groupBy("rule_id").agg(F.count("*").alias("size"))
-    bare = pauses.join(sizes, "rule_id", "left_anti").select("rule_id", F.explode(grid).alias("step"))
-
-    windows = window_set(conditions)
-    if windows is None:
-        candidates = bare
-    else:
-        if windows.values is None:
-            raise ValueError("too many distinct windows for a backtest; split the rules")
-        recent = within(logs, start - dt.timedelta(microseconds=windows.longest_us), end)
-        words = conditions.filter(F.col("type") == "keyword_match").select(F.explode("keywords").alias("keyword"))
-        offset = F.timestamp_diff("MICROSECOND", as_ntz(start), F.col("ts"))
-        last_steps = F.array(*[F.floor((F.col("_us") + w) / step_us).cast("long") for w in windows.values])
-        changes = with_keyword_hits(recent, words).withColumn("_us", offset).select(
-            "source_id", "level", "hits",
-            F.greatest(F.lit(0), F.ceil(F.col("_us") / step_us)).cast("long").alias("enter"),
-            last_steps.alias("leave"))
-        keys = ["level", "hits", "enter", "leave"]
-        by_source = changes.groupBy("source_id", *keys).agg(F.count("*").alias("n"))
-        overall = by_source.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn(
-            "_scope", F.lit(None).cast("string"))
-        cells = by_source.filter(F.col("source_id").isNotNull()).withColumnRenamed(
-            "source_id", "_scope").unionByName(overall)
-
-        probes = probes_of(conditions)
-        position = F.array_position(F.array(*[F.lit(w).cast("long") for w in windows.values]), F.col("window_us"))
-        distinct = probes.dropDuplicates(["probe"]).select(
-            "probe", "scope", "levels", "keyword", position.cast("int").alias("_w"))
-        touched = distinct.join(cells, F.col("scope").eqNullSafe(F.col("_scope"))).filter(
-            cell_matches(F.col("levels"), F.col("keyword"))).withColumn(
-            "_last", F.element_at("leave", F.col("_w")))
-        deltas = touched.filter(F.col("enter") <= F.col("_last")).select("probe", F.explode(F.array(
-            F.struct(F.col("enter").alias("step"), F.col("n").alias("d")),
-            F.struct((F.col("_last") + 1).alias("step"), (-F.col("n")).alias("d")),
-        )).alias("c")).groupBy("probe", F.col("c.step").alias("step")).agg(F.sum("c.d").alias("d"))
-
-        along = Window.partitionBy("probe").orderBy("step")
-        counts = distinct.select("probe", F.explode(grid).alias("step")).join(
-            deltas, ["probe", "step"], "left").withColumn(
-            "n", F.sum(F.coalesce("d", F.lit(0))).over(along)).select("probe", "step", "n")
-        answers = collect_answers(probes.join(counts, "probe"), "rule_id", "pos", "step")
-        judged = judge(conditions.join(answers, ["rule_id", "pos"]).withColumn("anomaly_met", F.lit(False)))
-        full = judged.filter("met").groupBy("rule_id", "step").agg(F.count("*").alias("met")).join(
-            sizes, "rule_id").filter(F.col("met") == F.col("size"))
-        candidates = full.select("rule_id", "step").unionByName(bare)
+
+    profile = rule_profile(chosen)
+    if profile.windows is None:
+        raise ValueError("too many distinct windows for a backtest; split the rules")
+    recent = within(logs, start - dt.timedelta(microseconds=profile.longest_us), end)
+    offset = F.timestamp_diff("MICROSECOND", as_ntz(start), F.col("ts"))
+    last_steps = F.array(*[F.floor((F.col("_us") + w) / step_us).cast("long") for w in profile.windows])
+    changes = with_keyword_hits(recent, chosen, profile).withColumn("_us", offset).select(
+        "source_id", "level", "hits",
+        F.greatest(F.lit(0), F.ceil(F.col("_us") / step_us)).cast("long").alias("enter"),
+        last_steps.alias("leave"))
+    keys = ["level", "hits", "enter", "leave"]
+    cells = total_over_sources(
+        changes.groupBy("source_id", *keys).agg(F.count("*").alias("n")), keys
+    ).withColumnRenamed("scope", "_scope")
+
+    probes = probes_of(chosen)
+    position = F.array_position(F.array(*[F.lit(w).cast("long") for w in profile.windows]), F.col("window_us"))
+    distinct = probes.dropDuplicates(["probe"]).select(
+        "probe", "scope", "levels", "keyword", position.cast("int").alias("_w"))
+    touched = distinct.join(cells, F.col("scope").eqNullSafe(F.col("_scope"))).filter(
+        cell_matches(F.col("levels"), F.col("keyword"))).withColumn(
+        "_last", F.element_at("leave", F.col("_w")))
+    deltas = touched.filter(F.col("enter") <= F.col("_last")).select("probe", F.explode(F.array(
+        F.struct(F.col("enter").alias("step"), F.col("n").alias("d")),
+        F.struct((F.col("_last") + 1).alias("step"), (-F.col("n")).alias("d")),
+    )).alias("c")).groupBy("probe", F.col("c.step").alias("step")).agg(F.sum("c.d").alias("d"))
+
+    along = Window.partitionBy("probe").orderBy("step")
+    counts = distinct.select("probe", F.explode(grid).alias("step")).join(
+        deltas, ["probe", "step"], "left").withColumn(
+        "n", F.sum(F.coalesce("d", F.lit(0))).over(along)).select("probe", "step", "n")
+    answers = collect_answers(probes.join(counts, "probe"), "rule_id", "step")
+    # A rule that asks nothing of the logs has the same verdict at every step.
+    still = chosen.filter(F.size(asks_of(F.col("conds"))) == 0).select(
+        F.col("id").alias("rule_id"), F.explode(grid).alias("step"),
+        F.array().cast("array<struct<pos:int,role:string,keyword:string,n:bigint>>").alias("answers"))
+    rows = answers.unionByName(still).join(chosen.select(F.col("id").alias("rule_id"), "conds"), "rule_id")
+    judged = judge(F.col("conds"), F.col("answers"), F.array().cast("array<int>"))
+    candidates = rows.filter(F.forall(judged, lambda j: j["met"])).select("rule_id", "step")
 
     kept = keep_outside_cooldown(runs_of_steps(candidates.join(pauses, "rule_id")))
     at = as_ntz(start) + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("step") * step_minutes).cast("int"))

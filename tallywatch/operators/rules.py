@@ -22,6 +22,7 @@ from tallywatch import schemas
 from tallywatch.functions.levels import ERROR_LEVELS
 from tallywatch.functions.text import or_default
 from tallywatch.functions.timing import MICROS_PER_MINUTE, age_micros, as_ntz, within
+from tallywatch.session import materialize
 
 # Default windows, default cool-down, and the texts of a rule result.
 WINDOW_MINUTES = 5.0
@@ -61,61 +62,91 @@ def cooldown_gate(rules: DataFrame, as_of: dt.datetime) -> DataFrame:
     return rules.withColumn("suppressed", in_cooldown(as_of))
 
 
-def conditions_of(rules: DataFrame) -> DataFrame:
-    """One row per condition of rules with JSON text conditions, defaults filled in."""
-    parsed = rules.withColumn("_c", F.from_json("conditions", schemas.CONDITIONS)).select(
-        F.col("id").alias("rule_id"), F.col("source_id").alias("scope"),
-        F.posexplode("_c").alias("pos", "_c"))
-    params = F.col("_c.params")
-    minutes = F.coalesce(
-        params["timeWindowMinutes"].cast("double"),
-        F.when(F.col("_c.type") == "no_logs", SILENCE_MINUTES).otherwise(WINDOW_MINUTES))
-    text = params["levels"]
-    levels = F.when(
-        F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, "array<string>")
-    ).otherwise(F.split(text, ","))
-    return parsed.select(
-        "rule_id", "scope", "pos", F.col("_c.type").alias("type"),
-        params["threshold"].alias("threshold"),
-        F.round(minutes * MICROS_PER_MINUTE).cast("long").alias("window_us"),
-        F.transform(levels, lambda v: F.lower(F.trim(v))).alias("levels"),
-        F.coalesce(params["keywords"], F.array().cast("array<string>")).alias("keywords"),
-        F.coalesce(params["matchAll"], F.lit(False)).alias("match_all"),
-        params["minConfidence"].alias("min_confidence"),
-        params["anomalyTypes"].alias("anomaly_types"),
-    )
+def parse_rules(rules: DataFrame) -> DataFrame:
+    """Rules with their JSON text conditions as an array ``conds``, defaults filled in."""
+    def condition(c: Column, pos: Column) -> Column:
+        params = c["params"]
+        minutes = F.coalesce(
+            params["timeWindowMinutes"].cast("double"),
+            F.when(c["type"] == "no_logs", SILENCE_MINUTES).otherwise(WINDOW_MINUTES))
+        text = params["levels"]
+        levels = F.when(
+            F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, "array<string>")
+        ).otherwise(F.split(text, ","))
+        empty = F.array().cast("array<string>")
+        return F.struct(
+            pos.alias("pos"), c["type"].alias("type"), params["threshold"].alias("threshold"),
+            F.round(minutes * MICROS_PER_MINUTE).cast("long").alias("window_us"),
+            F.array_sort(F.array_distinct(F.transform(levels, lambda v: F.lower(F.trim(v))))).alias("levels"),
+            F.coalesce(params["keywords"], empty).alias("keywords"),
+            F.coalesce(params["matchAll"], F.lit(False)).alias("match_all"),
+            params["minConfidence"].alias("min_confidence"),
+            params["anomalyTypes"].alias("anomaly_types"),
+        )
+
+    parsed = rules.withColumn("_c", F.from_json("conditions", schemas.CONDITIONS))
+    return parsed.withColumn("conds", F.transform("_c", condition)).drop("_c")
+
+
+def validate_rules(rules: DataFrame) -> DataFrame:
+    """Add ``_error``: why a rule row is not usable, null when it is fine."""
+    conds = F.from_json("conditions", schemas.CONDITIONS)
+    bad_type = F.exists(conds, lambda c: ~F.coalesce(c["type"].isin(schemas.CONDITION_TYPES), F.lit(False)))
+    return rules.withColumn("_error", (
+        F.when(F.col("name").isNull(), "name missing")
+        .when(~F.coalesce(F.col("severity").isin(schemas.ALERT_SEVERITIES), F.lit(False)), "unknown severity")
+        .when(~F.coalesce(F.col("status"), F.lit("enabled")).isin(schemas.RULE_STATUSES), "unknown status")
+        .when(conds.isNull(), "conditions unreadable")
+        .when(bad_type, "unknown condition type")
+        .when(F.col("cooldown_minutes") < 1, "cool-down below one minute")
+    ))
 
 
 @dataclass
-class WindowSet:
-    """Distinct windows in use, or only their grain when there are very many."""
+class RuleProfile:
+    """Distinct windows and lower-case keywords of a rule set, as far as they are few."""
 
     longest_us: int
-    values: list[int] | None
+    windows: list[int] | None
     grain_us: int
+    keywords: list[str] | None
 
     def class_of(self, age: Column) -> Column:
         """Shortest window that covers a row of this age."""
-        if self.values is None:
+        if self.windows is None:
             return (F.ceil(age / F.lit(float(self.grain_us))) * self.grain_us).cast("long")
         chain = None
-        for value in self.values:
+        for value in self.windows:
             chain = F.when(age <= value, F.lit(value)) if chain is None else chain.when(age <= value, F.lit(value))
         return chain.cast("long")
 
 
-def window_set(conditions: DataFrame) -> WindowSet | None:
-    """Read the distinct windows of the rules (a bounded list; one row when there are too many)."""
-    windows = conditions.select("window_us").distinct()
-    head = sorted(row[0] for row in windows.limit(MAX_INLINE + 1).collect())
-    if not head:
-        return None
-    if len(head) <= MAX_INLINE:
-        return WindowSet(head[-1], head, 1)
+def keywords_of(parsed: DataFrame) -> DataFrame:
+    """Distinct lower-case keywords of parsed rules."""
+    asked = F.filter("conds", lambda c: c["type"] == "keyword_match")
+    return parsed.select(F.explode(F.flatten(F.transform(asked, lambda c: c["keywords"]))).alias("k")).select(
+        F.lower("k").alias("keyword")).distinct()
+
+
+def rule_profile(parsed: DataFrame, max_inline: int = MAX_INLINE) -> RuleProfile:
+    """Read the distinct windows and keywords of the rules, each list only up to a limit.
+
+    Beyond the limit windows fall back to their grain and keywords to a join, so
+    what reaches the driver and the expressions is bounded.
+    """
+    windows = parsed.select(F.explode(F.transform("conds", lambda c: c["window_us"])).alias("w")).distinct()
+    tagged = windows.limit(max_inline + 1).select(F.col("w").cast("string").alias("v"), F.lit("w").alias("kind")).unionByName(
+        keywords_of(parsed).limit(max_inline + 1).select(F.col("keyword").alias("v"), F.lit("k").alias("kind")))
+    head = tagged.collect()
+    values = sorted(int(row["v"]) for row in head if row["kind"] == "w") or [0]
+    words: list[str] | None = sorted(row["v"] for row in head if row["kind"] == "k")
+    if len(words) > max_inline:
+        words = None
+    if len(values) <= max_inline:
+        return RuleProfile(values[-1], values, 1, words)
     top, minutes, seconds = windows.agg(
-        F.max("window_us"), F.bool_and(F.col("window_us") % MICROS_PER_MINUTE == 0),
-        F.bool_and(F.col("window_us") % 1_000_000 == 0)).first()
-    return WindowSet(top, None, MICROS_PER_MINUTE if minutes else 1_000_000 if seconds else 1)
+        F.max("w"), F.bool_and(F.col("w") % MICROS_PER_MINUTE == 0), F.bool_and(F.col("w") % 1_000_000 == 0)).first()
+    return RuleProfile(top, None, MICROS_PER_MINUTE if minutes else 1_000_000 if seconds else 1, words)
 
 
 # --- keywords ----------------------------------------------------------------
@@ -124,26 +155,25 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def with_keyword_hits(logs: DataFrame, keywords: DataFrame, max_inline: int = MAX_INLINE) -> DataFrame:
-    """Add ``hits``: the sorted lower-case keywords (column ``keyword``) each message contains.
+def _inline_hits(words: list[str]) -> Column:
+    if not words:
+        return F.array().cast("array<string>")
+    table = F.array(*[F.lit(word) for word in sorted(words)])
+    return _bind(F.lower("message"), lambda text: F.filter(table, lambda w: F.contains(text, w)))
+
+
+def with_keyword_hits(logs: DataFrame, parsed: DataFrame, profile: RuleProfile) -> DataFrame:
+    """Add ``hits``: the sorted lower-case rule keywords each message contains.
 
     A short list is tested inside one expression, with no join. A longer one is
     matched through three-letter pieces: the first piece of a keyword must occur in
     the message, so pieces give an equality join and ``contains`` confirms it.
     """
-    distinct = keywords.select(F.lower("keyword").alias("keyword")).distinct()
-    head = [row[0] for row in distinct.limit(max_inline + 1).collect()]
-
-    def inline(words: list[str]) -> Column:
-        if not words:
-            return F.array().cast("array<string>")
-        table = F.array(*[F.lit(word) for word in sorted(words)])
-        return _bind(F.lower("message"), lambda text: F.filter(table, lambda w: F.contains(text, w)))
-
-    if len(head) <= max_inline:
-        return logs.withColumn("hits", inline(head))
-    short = [row[0] for row in distinct.filter(F.length("keyword") < GRAM).limit(max_inline + 1).collect()]
-    if len(short) > max_inline:
+    if profile.keywords is not None:
+        return logs.withColumn("hits", _inline_hits(profile.keywords))
+    distinct = keywords_of(parsed)
+    short = [row[0] for row in distinct.filter(F.length("keyword") < GRAM).limit(MAX_INLINE + 1).collect()]
+    if len(short) > MAX_INLINE:
         raise ValueError("too many keywords of one or two letters")
     long_words = distinct.filter(F.length("keyword") >= GRAM).select(
         "keyword", F.substring("keyword", 1, GRAM).alias("gram"))
@@ -158,33 +188,23 @@ def with_keyword_hits(logs: DataFrame, keywords: DataFrame, max_inline: int = MA
     empty = F.array().cast("array<string>")
     return (
         logs.join(found, "log_id", "left")
-        .withColumn("hits", F.array_sort(F.concat(inline(short), F.coalesce("_found", empty))))
+        .withColumn("hits", F.array_sort(F.concat(_inline_hits(short), F.coalesce("_found", empty))))
         .drop("_found")
     )
 
 
 # --- cells -------------------------------------------------------------------
 
-def tag_logs(logs: DataFrame, conditions: DataFrame, as_of: dt.datetime) -> DataFrame | None:
-    """Logs inside the longest window with their window class and keyword hits.
-
-    None when the rules have no condition at all.
-    """
-    windows = window_set(conditions)
-    if windows is None:
-        return None
-    start = as_of - dt.timedelta(microseconds=windows.longest_us)
-    recent = within(logs, start, as_of)
-    keywords = conditions.filter(F.col("type") == "keyword_match").select(F.explode("keywords").alias("keyword"))
-    return with_keyword_hits(recent, keywords).select(
+def tag_logs(logs: DataFrame, parsed: DataFrame, profile: RuleProfile, as_of: dt.datetime) -> DataFrame:
+    """Logs inside the longest window with their window class and keyword hits."""
+    recent = within(logs, as_of - dt.timedelta(microseconds=profile.longest_us), as_of)
+    return with_keyword_hits(recent, parsed, profile).select(
         "log_id", "source_id", "ts", "level", "hits",
-        windows.class_of(age_micros(F.col("ts"), as_of)).alias("class_us"))
+        profile.class_of(age_micros(F.col("ts"), as_of)).alias("class_us"))
 
 
-def cells_of(tagged: DataFrame) -> DataFrame:
-    """Counts per (scope, level, class, hits); scope null is the total over all sources."""
-    keys = ["level", "class_us", "hits"]
-    by_source = tagged.groupBy("source_id", *keys).agg(F.count("*").alias("n"))
+def total_over_sources(by_source: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts per source with the total over all sources added under a null scope."""
     overall = by_source.groupBy(*keys).agg(F.sum("n").alias("n"))
     return (
         by_source.filter(F.col("source_id").isNotNull()).withColumnRenamed("source_id", "scope")
@@ -192,38 +212,48 @@ def cells_of(tagged: DataFrame) -> DataFrame:
     )
 
 
+def cells_of(tagged: DataFrame) -> DataFrame:
+    """Counts per (scope, level, class, hits)."""
+    keys = ["level", "class_us", "hits"]
+    return total_over_sources(tagged.groupBy("source_id", *keys).agg(F.count("*").alias("n")), keys)
+
+
 # --- probes ------------------------------------------------------------------
 
-def _probe(levels: Column, keyword: Column, role: str) -> Column:
-    return F.struct(
-        levels.cast("array<string>").alias("levels"), keyword.cast("string").alias("keyword"),
-        F.lit(role).alias("role"))
+def asks_of(conds: Column) -> Column:
+    """Array of what the conditions ask: role ``hit`` for their matches, ``total`` for all rows."""
+    errors = F.array(*[F.lit(level) for level in ERROR_LEVELS])
+    no_levels, no_word = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+
+    def per_condition(c: Column) -> Column:
+        def ask(levels: Column, word: Column, role: str) -> Column:
+            return F.struct(
+                c["pos"].alias("pos"), F.lit(role).alias("role"), c["window_us"].alias("window_us"),
+                levels.alias("levels"), word.alias("keyword"))
+
+        total = ask(no_levels, no_word, "total")
+        words = F.array_distinct(F.transform(c["keywords"], lambda k: F.lower(k)))
+        return (
+            F.when(c["type"] == "error_count", F.array(ask(errors, no_word, "hit")))
+            .when(c["type"] == "error_rate", F.array(ask(errors, no_word, "hit"), total))
+            .when(c["type"] == "log_level", F.array(ask(c["levels"], no_word, "hit")))
+            .when(c["type"] == "keyword_match", F.transform(words, lambda k: ask(no_levels, k, "hit")))
+            .when(c["type"] == "no_logs", F.array(total))
+        )
 
+    return F.flatten(F.filter(F.transform(conds, per_condition), lambda a: a.isNotNull()))
 
-def probes_of(conditions: DataFrame) -> DataFrame:
-    """What each condition asks: role ``hit`` for its matches, ``total`` for all rows.
 
-    ``probe`` is a text key; equal keys are answered once.
-    """
-    none = F.lit(None)
-    errors = F.array(*[F.lit(level) for level in ERROR_LEVELS])
-    total = _probe(none, none, "total")
-    asked = (
-        F.when(F.col("type") == "error_count", F.array(_probe(errors, none, "hit")))
-        .when(F.col("type") == "error_rate", F.array(_probe(errors, none, "hit"), total))
-        .when(F.col("type") == "log_level", F.array(_probe(F.array_sort(F.array_distinct("levels")), none, "hit")))
-        .when(F.col("type") == "keyword_match", F.transform(
-            F.array_distinct("keywords"), lambda k: _probe(none, F.lower(k), "hit")))
-        .when(F.col("type") == "no_logs", F.array(total))
-    )
-    rows = conditions.select("rule_id", "pos", "scope", "window_us", F.explode(asked).alias("p")).select(
-        "rule_id", "pos", "scope", "window_us", "p.levels", "p.keyword", "p.role")
-    return rows.withColumn(
-        "probe", F.to_json(F.struct("scope", "window_us", "levels", "keyword")))
+def probes_of(parsed: DataFrame) -> DataFrame:
+    """Asks of all rules as rows; equal ``probe`` texts are answered once."""
+    rows = parsed.select(
+        F.col("id").alias("rule_id"), F.col("source_id").alias("scope"), F.explode(asks_of(F.col("conds"))).alias("a"))
+    rows = rows.select("rule_id", "scope", "a.pos", "a.role", "a.window_us", "a.levels", "a.keyword")
+    return rows.withColumn("probe", F.to_json(F.struct("scope", "window_us", "levels", "keyword")))
 
 
 def cell_matches(levels: Column, keyword: Column) -> Column:
-    """Does a cell (or tagged row) answer a probe with these levels or this keyword?"""
+    """Does a cell (or tagged row) answer an ask for these levels or this keyword?"""
     by_level = levels.isNull() | F.coalesce(F.array_contains(levels, F.col("level")), F.lit(False))
     by_word = keyword.isNull() | F.array_contains(F.col("hits"), keyword)
     return by_level & by_word
@@ -240,11 +270,52 @@ def answer_probes(probes: DataFrame, cells: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("n").isNotNull() & hit, F.col("n"))), F.lit(0)).alias("n"))
 
 
-def anomaly_hits(conditions: DataFrame, anomalies: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Conditions of type ai_anomaly that a stored anomaly meets.
+def collect_answers(answered: DataFrame, *keys: str) -> DataFrame:
+    """Answers of a rule as one array (as long as the rule has asks)."""
+    return answered.groupBy(*keys).agg(
+        F.collect_list(F.struct("pos", "role", "keyword", "n")).alias("answers"))
+
+
+def judge(conds: Column, answers: Column, anomaly_positions: Column) -> Column:
+    """Conditions with their counts and the flag ``met``.
+
+    Unknown types, ``custom``, and ``ai_anomaly`` without stored anomalies are not
+    met, and neither is a comparison with a missing threshold.
+    """
+    def total_of(items: Column) -> Column:
+        return F.aggregate(items, F.lit(0).cast("long"), lambda acc, a: acc + a["n"])
+
+    def one(c: Column) -> Column:
+        mine = F.filter(answers, lambda a: a["pos"] == c["pos"])
+        found = F.filter(mine, lambda a: a["role"] == "hit")
+        hits = F.coalesce(total_of(found), F.lit(0).cast("long"))
+        total = F.coalesce(total_of(F.filter(mine, lambda a: a["role"] == "total")), F.lit(0).cast("long"))
+        words = F.transform(F.filter(found, lambda a: a["n"] > 0), lambda a: a["keyword"])
+        # Each distinct spelling counts once; the list it is compared with keeps repeats.
+        matched = F.coalesce(F.size(F.filter(
+            F.array_distinct(c["keywords"]), lambda k: F.array_contains(words, F.lower(k)))), F.lit(0))
+        met = (
+            F.when(c["type"] == "error_count", hits >= c["threshold"])
+            .when(c["type"] == "error_rate", (total > 0) & (F.try_divide(hits, total) >= c["threshold"]))
+            .when(c["type"] == "log_level", hits > 0)
+            .when((c["type"] == "keyword_match") & c["match_all"], matched == F.size(c["keywords"]))
+            .when(c["type"] == "keyword_match", matched > 0)
+            .when(c["type"] == "no_logs", total == 0)
+            .when(c["type"] == "ai_anomaly", F.array_contains(anomaly_positions, c["pos"]))
+        )
+        return F.struct(
+            c["pos"].alias("pos"), c["type"].alias("type"), hits.alias("hits"), total.alias("total"),
+            matched.alias("keywords_matched"), F.coalesce(met, F.lit(False)).alias("met"))
+
+    return F.transform(conds, one)
+
+
+def anomaly_positions(parsed: DataFrame, anomalies: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Positions of ai_anomaly conditions that a stored anomaly meets, per rule.
 
     ``anomalies``: (source_id, type, confidence, created_at). The highest confidence
-    per source and type decides, so only that is kept before the join.
+    per source and type decides, so only that is kept before the join. Like silence,
+    the condition adds no log ids.
     """
     best = anomalies.filter(F.col("created_at") <= as_ntz(as_of)).groupBy(
         F.col("source_id").alias("_scope"), F.col("type").alias("_type")).agg(
@@ -252,82 +323,81 @@ def anomaly_hits(conditions: DataFrame, anomalies: DataFrame, as_of: dt.datetime
     overall = best.groupBy("_type").agg(F.max("best").alias("best")).withColumn(
         "_scope", F.lit(None).cast("string"))
     scoped = best.filter(F.col("_scope").isNotNull()).unionByName(overall)
-    asked = conditions.filter(F.col("type") == "ai_anomaly")
+    asked = parsed.select("id", "source_id", F.explode(
+        F.filter("conds", lambda c: c["type"] == "ai_anomaly")).alias("c"))
     return (
-        asked.join(scoped, F.col("scope").eqNullSafe(F.col("_scope")))
-        .filter(F.array_contains("anomaly_types", F.col("_type")) & (F.col("best") >= F.col("min_confidence")))
-        .select("rule_id", "pos").distinct().withColumn("anomaly_met", F.lit(True))
+        asked.join(scoped, F.col("source_id").eqNullSafe(F.col("_scope")))
+        .filter(F.array_contains("c.anomaly_types", F.col("_type")) & (F.col("best") >= F.col("c.min_confidence")))
+        .groupBy("id").agg(F.collect_set("c.pos").alias("anomaly_pos"))
     )
 
 
-def condition_results(conditions: DataFrame, cells: DataFrame,
-                      anomalies: DataFrame | None = None,
-                      as_of: dt.datetime | None = None) -> DataFrame:
-    """Every condition with its counts and the flag ``met``.
-
-    Unknown types, ``custom``, and ``ai_anomaly`` without stored anomalies are not met.
-    """
-    probes = probes_of(conditions)
-    answers = collect_answers(probes.join(answer_probes(probes, cells), "probe"), "rule_id", "pos")
-    rows = conditions.join(answers, ["rule_id", "pos"], "left")
+def judge_rules(parsed: DataFrame, cells: DataFrame, anomalies: DataFrame | None,
+                as_of: dt.datetime) -> DataFrame:
+    """Parsed rules with ``judged`` (their conditions with counts and verdicts)."""
+    probes = probes_of(parsed)
+    answers = collect_answers(probes.join(answer_probes(probes, cells), "probe"), "rule_id")
+    rows = parsed.join(answers.withColumnRenamed("rule_id", "id"), "id", "left")
     if anomalies is None:
-        rows = rows.withColumn("anomaly_met", F.lit(False))
+        rows = rows.withColumn("anomaly_pos", F.array().cast("array<int>"))
     else:
-        rows = rows.join(anomaly_hits(conditions, anomalies, as_of), ["rule_id", "pos"], "left")
-    return judge(rows)
+        rows = rows.join(anomaly_positions(parsed, anomalies, as_of), "id", "left")
+    empty = F.array().cast("array<struct<pos:int,role:string,keyword:string,n:bigint>>")
+    known = rows.withColumn("answers", F.coalesce("answers", empty))
+    return known.withColumn(
+        "judged", judge(F.col("conds"), F.col("answers"), F.coalesce("anomaly_pos", F.array().cast("array<int>"))))
 
 
-def collect_answers(answered: DataFrame, *keys: str) -> DataFrame:
-    """Answers of a condition's probes side by side: hits, total, and the keywords found."""
-    hit = F.col("role") == "hit"
-    return answered.groupBy(*keys).agg(
-        F.sum(F.when(hit, F.col("n"))).alias("hits"),
-        F.sum(F.when(F.col("role") == "total", F.col("n"))).alias("total"),
-        F.collect_set(F.when(hit & (F.col("n") > 0), F.col("keyword"))).alias("words"),
-    )
+def condition_results(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
+                      anomalies: DataFrame | None = None) -> DataFrame:
+    """One row per condition of the given rules, whatever their status or cool-down."""
+    parsed = parse_rules(rules)
+    tagged = tag_logs(logs, parsed, rule_profile(parsed), as_of)
+    judged = judge_rules(parsed, cells_of(tagged), anomalies, as_of)
+    return judged.select(F.col("id").alias("rule_id"), F.inline("judged"))
 
 
-def judge(rows: DataFrame) -> DataFrame:
-    """Decide ``met`` from a condition and its answers (columns hits, total, words, anomaly_met)."""
-    hits = F.coalesce("hits", F.lit(0))
-    total = F.coalesce("total", F.lit(0))
-    words = F.coalesce("words", F.array().cast("array<string>"))
-    # Each distinct spelling counts once; the list it is compared with keeps repeats.
-    matched = F.size(F.filter(F.array_distinct("keywords"), lambda k: F.array_contains(words, F.lower(k))))
-    met = (
-        F.when(F.col("type") == "error_count", hits >= F.col("threshold"))
-        .when(F.col("type") == "error_rate", (total > 0) & (F.try_divide(hits, total) >= F.col("threshold")))
-        .when(F.col("type") == "log_level", hits > 0)
-        .when((F.col("type") == "keyword_match") & F.col("match_all"), matched == F.size("keywords"))
-        .when(F.col("type") == "keyword_match", matched > 0)
-        .when(F.col("type") == "no_logs", total == 0)
-        .when(F.col("type") == "ai_anomaly", F.col("anomaly_met"))
-        .otherwise(F.lit(False))
-    )
-    return rows.withColumn("met", F.coalesce(met, F.lit(False))).withColumn(
-        "keywords_matched", matched).withColumn("hits", hits).withColumn("total", total)
+# --- matches -----------------------------------------------------------------
 
+def with_matches(judged: DataFrame) -> DataFrame:
+    """Add the first miss and two selector texts: all counted asks, and those of the first match.
 
-# --- rule verdicts -----------------------------------------------------------
+    Counted are the met conditions before the first miss; rules with the same scope
+    and asks share a selector.
+    """
+    misses = F.filter("judged", lambda j: ~j["met"])
+    first_miss = F.array_min(F.transform(misses, lambda j: j["pos"]))
+    hit = F.filter(asks_of(F.col("conds")), lambda a: (a["role"] == "hit") & (
+        F.col("first_miss").isNull() | (a["pos"] < F.col("first_miss"))))
+    seen = F.transform(
+        F.filter("answers", lambda a: (a["role"] == "hit") & (a["n"] > 0)
+                 & (F.col("first_miss").isNull() | (a["pos"] < F.col("first_miss")))), lambda a: a["pos"])
+
+    def selector(asks: Column) -> Column:
+        plain = F.array_sort(F.array_distinct(F.transform(
+            asks, lambda a: F.struct(a["window_us"], a["levels"], a["keyword"]))))
+        return F.when(F.size(plain) > 0, F.to_json(F.struct(F.col("source_id").alias("scope"), plain.alias("asks"))))
 
-def verdicts(results: DataFrame) -> DataFrame:
-    """Position of the first condition that is not met, per rule; null when all are met."""
-    return results.groupBy("rule_id").agg(
-        F.min(F.when(~F.col("met"), F.col("pos"))).alias("first_miss"))
+    return (
+        judged.withColumn("first_miss", first_miss)
+        .withColumn("_hit", hit).withColumn("_first", F.array_min(seen))
+        .withColumn("selector", F.when(F.col("_first").isNotNull(), selector(F.col("_hit"))))
+        .withColumn("first_selector", F.when(
+            F.col("_first").isNotNull(), selector(F.filter("_hit", lambda a: a["pos"] == F.col("_first")))))
+        .drop("_hit", "_first")
+    )
 
 
-def _counted_probes(conditions: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Probes whose rows belong to a rule's matches: met conditions before the first miss."""
-    probes = probes_of(conditions).filter(F.col("role") == "hit")
-    return probes.join(verdict, "rule_id").filter(
-        F.col("first_miss").isNull() | (F.col("pos") < F.col("first_miss")))
+SELECTOR = (
+    "scope string, asks array<struct<window_us: bigint, levels: array<string>, keyword: string>>")
 
 
-def _selector_groups(counted: DataFrame) -> DataFrame:
-    """Rules with the same set of counted probes share one selector text."""
-    one = F.struct("window_us", "levels", "keyword")
-    per_rule = counted.groupBy("rule_id", "scope").agg(F.array_sort(F.collect_set(one)).alias("asks"))
-    return per_rule.withColumn("selector", F.to_json(F.struct("scope", "asks")))
+def _selectors(state: DataFrame, column: str) -> DataFrame:
+    """Distinct selectors of the rules as (selector, scope, asks)."""
+    return (
+        state.select(F.col(column).alias("selector")).filter(F.col("selector").isNotNull()).distinct()
+        .withColumn("_s", F.from_json("selector", SELECTOR)).select("selector", "_s.scope", "_s.asks")
+    )
 
 
 def _any_ask(asks: Column) -> Column:
@@ -337,81 +407,55 @@ def _any_ask(asks: Column) -> Column:
         & (a["keyword"].isNull() | F.array_contains(F.col("hits"), a["keyword"]))))
 
 
-def _salted(asks: DataFrame) -> DataFrame:
-    """The small side repeated per salt, so one busy scope is spread over many tasks."""
-    return asks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def _scoped_rows(rows: DataFrame) -> DataFrame:
-    """Each row under its source and under the total scope, with a salt from its id."""
-    scopes = F.array_distinct(F.array(F.col("source_id"), F.lit(None).cast("string")))
-    return rows.withColumn("_scope", F.explode(scopes)).withColumn(
-        "salt", F.pmod(F.xxhash64("log_id"), F.lit(SALTS)).cast("int"))
-
-
 def _rows_of_selectors(selectors: DataFrame, rows: DataFrame) -> DataFrame:
-    """(selector, log_id, ts) for every row a selector takes; each pair once."""
-    asks = _salted(selectors.select("selector", "scope", "asks").dropDuplicates(["selector"]))
-    scoped = _scoped_rows(rows)
-    return (
-        asks.join(scoped, F.col("scope").eqNullSafe(F.col("_scope")) & (asks["salt"] == scoped["salt"]))
-        .filter(_any_ask(F.col("asks"))).select("selector", "log_id", "ts")
-    )
-
-
-def matched_logs(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
-                 anomalies: DataFrame | None = None) -> DataFrame:
-    """Whole match table (rule_id, log_id): no cap, one row per pair.
+    """(selector, log_id, ts) for every row a selector takes; each pair once.
 
-    Holds the matches of met conditions before the first miss, so a rule that did
-    not trigger can have rows too. Rules in cool-down have none.
+    Rows count under their source and under the total scope. A salt from the row id
+    spreads a busy scope over many tasks; the small side is repeated per salt.
     """
-    conditions = conditions_of(rules.filter(~in_cooldown(as_of)))
-    tagged = tag_logs(logs, conditions, as_of)
-    if tagged is None:
-        return conditions.select("rule_id", F.lit(None).cast("string").alias("log_id"))
-    results = condition_results(conditions, cells_of(tagged), anomalies, as_of)
-    selectors = _selector_groups(_counted_probes(conditions, verdicts(results)))
-    pairs = _rows_of_selectors(selectors, tagged)
-    return selectors.select("rule_id", "selector").join(pairs, "selector").select("rule_id", "log_id")
+    scopes = F.array_distinct(F.array(F.col("source_id"), F.lit(None).cast("string")))
+    scoped = rows.withColumn("_scope", F.explode(scopes)).withColumn(
+        "_row_salt", F.pmod(F.xxhash64("log_id"), F.lit(SALTS)).cast("int"))
+    salted = selectors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = scoped.join(
+        salted, F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("_salt") == F.col("_row_salt")))
+    return joined.filter(_any_ask(F.col("asks"))).select("selector", "log_id", "ts")
 
 
 def _matched_counts(selectors: DataFrame, cells: DataFrame) -> DataFrame:
     """Exact number of distinct rows per selector, from the cells alone."""
-    asks = selectors.select("selector", "scope", "asks").dropDuplicates(["selector"])
-    joined = asks.join(
+    joined = selectors.join(
         cells.withColumnRenamed("scope", "_scope"), F.col("scope").eqNullSafe(F.col("_scope")))
     return joined.filter(_any_ask(F.col("asks"))).groupBy("selector").agg(F.sum("n").alias("matched_count"))
 
 
-def _lowest_ids(selectors: DataFrame, tagged: DataFrame, max_ids: int) -> DataFrame:
-    """Up to ``max_ids`` lowest ids per selector.
+def _top_rows(selectors: DataFrame, tagged: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """First ``limit`` rows per selector in the given order.
+
+    Each cell is cut to its own first rows before, which cannot lose one of a
+    selector's; both cuts are group limits that also run ahead of the shuffle.
+    """
+    cell = Window.partitionBy("source_id", "level", "class_us", "hits").orderBy(*order)
+    low = tagged.withColumn("_r", F.row_number().over(cell)).filter(F.col("_r") <= limit).drop("_r")
+    per_selector = Window.partitionBy("selector").orderBy(*order)
+    return _rows_of_selectors(selectors, low).withColumn(
+        "_r", F.row_number().over(per_selector)).filter(F.col("_r") <= limit)
+
+
+def matched_logs(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
+                 anomalies: DataFrame | None = None) -> DataFrame:
+    """Whole match table (rule_id, log_id): no cap, one row per pair.
 
-    Each cell is first cut to its lowest ids, which cannot lose one of a selector's
-    lowest; both cuts are group limits applied before the shuffle as well.
+    Holds the matches of met conditions before the first miss, so a rule that did
+    not trigger can have rows too. Rules in cool-down have none.
     """
-    cell = Window.partitionBy("source_id", "level", "class_us", "hits").orderBy("log_id")
-    low = tagged.withColumn("_r", F.row_number().over(cell)).filter(F.col("_r") <= max_ids).drop("_r")
-    per_selector = Window.partitionBy("selector").orderBy("log_id")
-    picked = _rows_of_selectors(selectors, low).withColumn(
-        "_r", F.row_number().over(per_selector)).filter(F.col("_r") <= max_ids)
-    return picked.groupBy("selector").agg(F.array_sort(F.collect_list("log_id")).alias("matched_logs"))
-
-
-def _first_matches(counted: DataFrame, answers: DataFrame, tagged: DataFrame) -> DataFrame:
-    """First matched row per rule: lowest condition position, then newest, then lowest id."""
-    hit = counted.join(answers.filter(F.col("n") > 0), "probe")
-    first_pos = hit.groupBy("rule_id").agg(F.min("pos").alias("pos"))
-    first = hit.join(first_pos, ["rule_id", "pos"])
-    selectors = _selector_groups(first)
-    newest_first = [F.desc("ts"), F.asc("log_id")]
-    cell = Window.partitionBy("source_id", "level", "class_us", "hits").orderBy(*newest_first)
-    top = tagged.withColumn("_r", F.row_number().over(cell)).filter(F.col("_r") == 1).drop("_r")
-    best = Window.partitionBy("selector").orderBy(*newest_first)
-    picked = _rows_of_selectors(selectors, top).withColumn("_r", F.row_number().over(best)).filter(
-        F.col("_r") == 1)
-    return selectors.select("rule_id", "selector").join(picked, "selector").select(
-        "rule_id", F.col("log_id").alias("first_log_id"))
+    parsed = parse_rules(rules.filter(~in_cooldown(as_of)))
+    tagged = tag_logs(logs, parsed, rule_profile(parsed), as_of)
+    state = with_matches(judge_rules(parsed, cells_of(tagged), anomalies, as_of)).select(
+        F.col("id").alias("rule_id"), "selector")
+    state = materialize(state, "rule-selectors")
+    pairs = _rows_of_selectors(_selectors(state, "selector"), tagged)
+    return state.join(pairs, "selector").select("rule_id", "log_id")
 
 
 def evaluate_rules(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
@@ -420,39 +464,38 @@ def evaluate_rules(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
     """One row per rule: verdict, exact match count, lowest matched ids, first match, reason.
 
     A rule without conditions triggers. Windows are closed at both ends by ``as_of``.
+    The first match (of the lowest condition position, then newest, then lowest id)
+    is the log a ticket points at. Cells and rule states are small; they are written
+    once, because several later steps read them.
     """
     chosen = rules if any_status else select_rules(rules, source_id)
     gated = cooldown_gate(chosen, as_of)
-    conditions = conditions_of(gated.filter(~F.col("suppressed")))
-    tagged = tag_logs(logs, conditions, as_of)
+    parsed = parse_rules(gated.filter(~F.col("suppressed")))
+    tagged = tag_logs(logs, parsed, rule_profile(parsed), as_of)
+    cells = materialize(cells_of(tagged), "rule-cells")
+    state = materialize(with_matches(judge_rules(parsed, cells, anomalies, as_of)).select(
+        F.col("id").alias("rule_id"), "first_miss", "selector", "first_selector"), "rule-state")
+
+    selectors = _selectors(state, "selector")
+    ids = _top_rows(selectors, tagged, [F.asc("log_id")], max_ids).groupBy("selector").agg(
+        F.array_sort(F.collect_list("log_id")).alias("matched_logs"))
+    firsts = _top_rows(
+        _selectors(state, "first_selector"), tagged, [F.desc("ts"), F.asc("log_id")], 1
+    ).select(F.col("selector").alias("first_selector"), F.col("log_id").alias("first_log_id"))
     base = gated.select(
         F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "source_id", "severity",
         "description", "suppressed")
-    no_ids = F.array().cast("array<string>")
-    if tagged is None:
-        out = base.withColumn("first_miss", F.lit(None).cast("int")).withColumn(
-            "matched_count", F.lit(0).cast("long")).withColumn("matched_logs", no_ids).withColumn(
-            "first_log_id", F.lit(None).cast("string"))
-    else:
-        cells = cells_of(tagged)
-        verdict = verdicts(condition_results(conditions, cells, anomalies, as_of))
-        counted = _counted_probes(conditions, verdict)
-        selectors = _selector_groups(counted)
-        matches = (
-            selectors.select("rule_id", "selector")
-            .join(_matched_counts(selectors, cells), "selector")
-            .join(_lowest_ids(selectors, tagged, max_ids), "selector")
-            .drop("selector")
-        )
-        firsts = _first_matches(counted, answer_probes(probes_of(conditions), cells), tagged)
-        out = base.join(verdict, "rule_id", "left").join(matches, "rule_id", "left").join(
-            firsts, "rule_id", "left")
+    out = (
+        base.join(state, "rule_id", "left")
+        .join(_matched_counts(selectors, cells), "selector", "left")
+        .join(ids, "selector", "left").join(firsts, "first_selector", "left")
+    )
     triggered = ~F.col("suppressed") & F.col("first_miss").isNull()
     return out.select(
         "rule_id", "rule_name", "source_id", "severity", "description",
         triggered.alias("triggered"),
         F.coalesce("matched_count", F.lit(0)).cast("long").alias("matched_count"),
-        F.coalesce("matched_logs", no_ids).alias("matched_logs"),
+        F.coalesce("matched_logs", F.array().cast("array<string>")).alias("matched_logs"),
         "first_log_id",
         F.when(F.col("suppressed"), IN_COOLDOWN).when(triggered, ALL_MET).otherwise(NOT_ALL_MET).alias("reason"),
     )

@@ -94,4 +94,4 @@ def apply_retention(logs: DataFrame, organizations: DataFrame, as_of: dt.datetim
 def severity_heatmap(alerts: DataFrame) -> DataFrame:
     """Alerts per hour of day and severity."""
     return alerts.groupBy(F.hour("created_at").alias("hour")).pivot(
-        "severity", schemas.ALERT_SEVERITIES).agg(F.count("*")).na.fill(0)
+        "severity", schemas.ALERT_SEVERITIES).agg(F.count(F.lit(1))).na.fill(0)

@@ -215,14 +215,9 @@ def volume_timeseries(spark, d):
 
 def _conditions(spark, d, as_of: dt.datetime, kind: str) -> DataFrame:
     """Results of all conditions of one type, of rules in any status."""
-    logs = frames.logs(spark, d)
-    conditions = engine.conditions_of(frames.alert_rules(spark, d)).filter(F.col("type") == kind)
-    tagged = engine.tag_logs(logs, conditions, as_of)
-    found = None
-    if kind == "ai_anomaly":
-        found = analysis.anomalies_flat(_analyses(spark, d))
-    results = engine.condition_results(conditions, engine.cells_of(tagged), found, as_of)
-    return results.select("rule_id", "pos", "hits", "total", "keywords_matched", "met")
+    found = analysis.anomalies_flat(_analyses(spark, d)) if kind == "ai_anomaly" else None
+    results = engine.condition_results(frames.alert_rules(spark, d), frames.logs(spark, d), as_of, found)
+    return results.filter(F.col("type") == kind).select("rule_id", "pos", "hits", "total", "keywords_matched", "met")
 
 
 def _as_of(spark, d) -> dt.datetime:
@@ -299,7 +294,8 @@ BACKTEST_STEP = 180
 def backtest_rules(spark, d):
     logs = frames.logs(spark, d)
     start, end = logs.agg(F.min("ts"), F.max("ts")).first()
-    return backtest.backtest_rules(frames.alert_rules(spark, d), logs, start, end, BACKTEST_STEP)
+    rules = frames.alert_rules(spark, d).withColumn("cooldown_minutes", F.col("cooldown_minutes") * 30)
+    return backtest.backtest_rules(rules, logs, start, end, BACKTEST_STEP)
 
 
 def rule_listing(spark, d):
