@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallywatch import schemas
 from tallywatch.functions.levels import is_error
+from tallywatch.functions.once import with_fields
 from tallywatch.functions.text import brace_block, or_default, template_of
 from tallywatch.functions.timing import as_ntz, minutes_before, within
 
@@ -78,11 +79,10 @@ def parse_responses(replies: DataFrame) -> DataFrame:
     The text between the first ``{`` and the last ``}`` is read as JSON; missing
     keys get defaults; a text without braces or with broken JSON gives an error result.
     """
-    block = brace_block(F.col("reply"))
-    parsed = replies.withColumn("_block", block).withColumn(
-        "_ok", F.try_parse_json("_block").isNotNull()).withColumn(
-        "_r", F.when(F.col("_ok"), F.from_json("_block", schemas.BATCH_REPLY)))
-    r = F.col("_r")
+    found = with_fields(replies, F.struct(brace_block(F.col("reply")).alias("_block")))
+    parsed = with_fields(found, F.struct(
+        F.try_parse_json("_block").isNotNull().alias("_ok"), F.from_json("_block", schemas.BATCH_REPLY).alias("_r")))
+    r = F.when(F.col("_ok"), F.col("_r"))
     error = F.when(F.col("_block").isNull(), NO_JSON).when(~F.col("_ok"), BAD_JSON)
 
     def items(name: str, kind) -> Column:
@@ -140,7 +140,7 @@ def rca_results(replies: DataFrame) -> DataFrame:
     """Root-cause replies to result rows; an unreadable reply has confidence 0 and no causes."""
     block = brace_block(F.col("reply"))
     r = F.from_json(block, schemas.ROOT_CAUSE_REPLY)
-    parsed = replies.withColumn("_r", r)
+    parsed = with_fields(replies, F.struct(r.alias("_r")))
     c = F.col("_r")
     confidence = F.coalesce(c["confidence"], F.lit(0.0))
     empty = F.array().cast("array<string>")

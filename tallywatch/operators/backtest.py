@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tallywatch.functions.timing import MICROS_PER_MINUTE, as_ntz, within
 from tallywatch.operators.rules import (
-    COOLDOWN_MINUTES, asks_of, cell_matches, collect_answers, judge, parse_rules, probes_of, rule_profile,
-    select_rules, total_over_sources, with_keyword_hits,
+    ASKS, COOLDOWN_MINUTES, JUDGED, NO_ANSWERS, cell_matches, collect_answers, parse_rules, probes_of,
+    rule_profile, select_rules, total_over_sources, with_keyword_hits,
 )
 
 
@@ -96,12 +96,13 @@ def backtest_rules(rules: DataFrame, logs: DataFrame, start: dt.datetime, end: d
         "n", F.sum(F.coalesce("d", F.lit(0))).over(along)).select("probe", "step", "n")
     answers = collect_answers(probes.join(counts, "probe"), "rule_id", "step")
     # A rule that asks nothing of the logs has the same verdict at every step.
-    still = chosen.filter(F.size(asks_of(F.col("conds"))) == 0).select(
+    still = chosen.filter(F.size(F.expr(ASKS)) == 0).select(
         F.col("id").alias("rule_id"), F.explode(grid).alias("step"),
-        F.array().cast("array<struct<pos:int,role:string,keyword:string,n:bigint>>").alias("answers"))
+        F.expr(NO_ANSWERS).alias("answers"))
     rows = answers.unionByName(still).join(chosen.select(F.col("id").alias("rule_id"), "conds"), "rule_id")
-    judged = judge(F.col("conds"), F.col("answers"), F.array().cast("array<int>"))
-    candidates = rows.filter(F.forall(judged, lambda j: j["met"])).select("rule_id", "step")
+    judged = rows.withColumn("anomaly_pos", F.expr("cast(array() AS array<int>)")).select(
+        "rule_id", "step", F.expr(f"forall({JUDGED}, j -> j.met)").alias("met"))
+    candidates = judged.filter("met").select("rule_id", "step")
 
     kept = keep_outside_cooldown(runs_of_steps(candidates.join(pauses, "rule_id")))
     at = as_ntz(start) + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("step") * step_minutes).cast("int"))

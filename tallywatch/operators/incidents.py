@@ -45,9 +45,9 @@ def alert_stats(alerts: DataFrame, as_of: dt.datetime) -> DataFrame:
     )).otherwise(F.array(F.struct(
         kind.alias("kind"), F.coalesce("status", "severity").alias("name"), F.col("n").alias("n"))))
     present = sets.select(F.explode(pairs).alias("p")).select("p.kind", "p.name", "p.n")
-    spark = alerts.sparkSession
-    statuses = spark.createDataFrame([(s,) for s in schemas.ALERT_STATUSES], "name string").select(
-        F.lit("status").alias("kind"), "name", F.lit(0).cast("long").alias("n"))
+    statuses = alerts.sparkSession.range(1).select(
+        F.lit("status").alias("kind"), F.explode(F.array(*[F.lit(s) for s in schemas.ALERT_STATUSES])).alias("name"),
+        F.lit(0).cast("long").alias("n"))
     return present.unionByName(statuses).groupBy("kind", "name").agg(F.sum("n").alias("n"))
 
 

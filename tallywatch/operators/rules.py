@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallywatch import schemas
 from tallywatch.functions.levels import ERROR_LEVELS
+from tallywatch.functions.once import bind
 from tallywatch.functions.text import or_default
 from tallywatch.functions.timing import MICROS_PER_MINUTE, age_micros, as_ntz, within
 from tallywatch.session import materialize
@@ -64,28 +65,20 @@ def cooldown_gate(rules: DataFrame, as_of: dt.datetime) -> DataFrame:
 
 def parse_rules(rules: DataFrame) -> DataFrame:
     """Rules with their JSON text conditions as an array ``conds``, defaults filled in."""
-    def condition(c: Column, pos: Column) -> Column:
-        params = c["params"]
-        minutes = F.coalesce(
-            params["timeWindowMinutes"].cast("double"),
-            F.when(c["type"] == "no_logs", SILENCE_MINUTES).otherwise(WINDOW_MINUTES))
-        text = params["levels"]
-        levels = F.when(
-            F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, "array<string>")
-        ).otherwise(F.split(text, ","))
-        empty = F.array().cast("array<string>")
-        return F.struct(
-            pos.alias("pos"), c["type"].alias("type"), params["threshold"].alias("threshold"),
-            F.round(minutes * MICROS_PER_MINUTE).cast("long").alias("window_us"),
-            F.array_sort(F.array_distinct(F.transform(levels, lambda v: F.lower(F.trim(v))))).alias("levels"),
-            F.coalesce(params["keywords"], empty).alias("keywords"),
-            F.coalesce(params["matchAll"], F.lit(False)).alias("match_all"),
-            params["minConfidence"].alias("min_confidence"),
-            params["anomalyTypes"].alias("anomaly_types"),
-        )
-
-    parsed = rules.withColumn("_c", F.from_json("conditions", schemas.CONDITIONS))
-    return parsed.withColumn("conds", F.transform("_c", condition)).drop("_c")
+    return rules.withColumn("_c", F.from_json("conditions", schemas.CONDITIONS)).withColumn("conds", F.expr(f"""
+        transform(_c, (c, i) -> named_struct(
+            'pos', i,
+            'type', c.type,
+            'threshold', c.params.threshold,
+            'window_us', cast(round({MICROS_PER_MINUTE} * coalesce(
+                c.params.timeWindowMinutes, CASE c.type WHEN 'no_logs' THEN {SILENCE_MINUTES}D ELSE {WINDOW_MINUTES}D END)) AS bigint),
+            'levels', array_sort(array_distinct(transform(
+                CASE WHEN startswith(ltrim(c.params.levels), '[') THEN from_json(c.params.levels, 'array<string>')
+                     ELSE split(c.params.levels, ',') END, v -> lower(trim(v))))),
+            'keywords', coalesce(c.params.keywords, cast(array() AS array<string>)),
+            'match_all', coalesce(c.params.matchAll, false),
+            'min_confidence', c.params.minConfidence,
+            'anomaly_types', c.params.anomalyTypes))""")).drop("_c")
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:
@@ -111,14 +104,12 @@ class RuleProfile:
     grain_us: int
     keywords: list[str] | None
 
-    def class_of(self, age: Column) -> Column:
-        """Shortest window that covers a row of this age."""
+    def class_of(self, age: str) -> Column:
+        """Shortest window that covers a row of this age (a column of microseconds)."""
         if self.windows is None:
-            return (F.ceil(age / F.lit(float(self.grain_us))) * self.grain_us).cast("long")
-        chain = None
-        for value in self.windows:
-            chain = F.when(age <= value, F.lit(value)) if chain is None else chain.when(age <= value, F.lit(value))
-        return chain.cast("long")
+            return (F.ceil(F.col(age) / F.lit(float(self.grain_us))) * self.grain_us).cast("long")
+        cases = " ".join(f"WHEN {age} <= {value} THEN {value}L" for value in self.windows)
+        return F.expr(f"CASE {cases} END")
 
 
 def keywords_of(parsed: DataFrame) -> DataFrame:
@@ -151,15 +142,11 @@ def rule_profile(parsed: DataFrame, max_inline: int = MAX_INLINE) -> RuleProfile
 
 # --- keywords ----------------------------------------------------------------
 
-def _bind(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _inline_hits(words: list[str]) -> Column:
     if not words:
         return F.array().cast("array<string>")
     table = F.array(*[F.lit(word) for word in sorted(words)])
-    return _bind(F.lower("message"), lambda text: F.filter(table, lambda w: F.contains(text, w)))
+    return bind(F.lower("message"), lambda text: F.filter(table, lambda w: F.contains(text, w)))
 
 
 def with_keyword_hits(logs: DataFrame, parsed: DataFrame, profile: RuleProfile) -> DataFrame:
@@ -198,9 +185,8 @@ def with_keyword_hits(logs: DataFrame, parsed: DataFrame, profile: RuleProfile)
 def tag_logs(logs: DataFrame, parsed: DataFrame, profile: RuleProfile, as_of: dt.datetime) -> DataFrame:
     """Logs inside the longest window with their window class and keyword hits."""
     recent = within(logs, as_of - dt.timedelta(microseconds=profile.longest_us), as_of)
-    return with_keyword_hits(recent, parsed, profile).select(
-        "log_id", "source_id", "ts", "level", "hits",
-        profile.class_of(age_micros(F.col("ts"), as_of)).alias("class_us"))
+    aged = with_keyword_hits(recent, parsed, profile).withColumn("age_us", age_micros(F.col("ts"), as_of))
+    return aged.select("log_id", "source_id", "ts", "level", "hits", profile.class_of("age_us").alias("class_us"))
 
 
 def total_over_sources(by_source: DataFrame, keys: list[str]) -> DataFrame:
@@ -220,34 +206,27 @@ def cells_of(tagged: DataFrame) -> DataFrame:
 
 # --- probes ------------------------------------------------------------------
 
-def asks_of(conds: Column) -> Column:
-    """Array of what the conditions ask: role ``hit`` for their matches, ``total`` for all rows."""
-    errors = F.array(*[F.lit(level) for level in ERROR_LEVELS])
-    no_levels, no_word = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
-
-    def per_condition(c: Column) -> Column:
-        def ask(levels: Column, word: Column, role: str) -> Column:
-            return F.struct(
-                c["pos"].alias("pos"), F.lit(role).alias("role"), c["window_us"].alias("window_us"),
-                levels.alias("levels"), word.alias("keyword"))
+def _ask(role: str, levels: str = "cast(NULL AS array<string>)", keyword: str = "cast(NULL AS string)") -> str:
+    return (f"named_struct('pos', c.pos, 'role', '{role}', 'window_us', c.window_us, "
+            f"'levels', {levels}, 'keyword', {keyword})")
 
-        total = ask(no_levels, no_word, "total")
-        words = F.array_distinct(F.transform(c["keywords"], lambda k: F.lower(k)))
-        return (
-            F.when(c["type"] == "error_count", F.array(ask(errors, no_word, "hit")))
-            .when(c["type"] == "error_rate", F.array(ask(errors, no_word, "hit"), total))
-            .when(c["type"] == "log_level", F.array(ask(c["levels"], no_word, "hit")))
-            .when(c["type"] == "keyword_match", F.transform(words, lambda k: ask(no_levels, k, "hit")))
-            .when(c["type"] == "no_logs", F.array(total))
-        )
 
-    return F.flatten(F.filter(F.transform(conds, per_condition), lambda a: a.isNotNull()))
+# What the conditions ask: role ``hit`` for their matches, ``total`` for all rows.
+_ERRORS = "array(" + ", ".join(f"'{level}'" for level in ERROR_LEVELS) + ")"
+ASKS = f"""
+flatten(filter(transform(conds, c -> CASE c.type
+    WHEN 'error_count' THEN array({_ask("hit", _ERRORS)})
+    WHEN 'error_rate' THEN array({_ask("hit", _ERRORS)}, {_ask("total")})
+    WHEN 'log_level' THEN array({_ask("hit", "c.levels")})
+    WHEN 'keyword_match' THEN transform(array_distinct(transform(c.keywords, k -> lower(k))), k -> {_ask("hit", keyword="k")})
+    WHEN 'no_logs' THEN array({_ask("total")})
+  END), a -> a IS NOT NULL))"""
 
 
 def probes_of(parsed: DataFrame) -> DataFrame:
     """Asks of all rules as rows; equal ``probe`` texts are answered once."""
     rows = parsed.select(
-        F.col("id").alias("rule_id"), F.col("source_id").alias("scope"), F.explode(asks_of(F.col("conds"))).alias("a"))
+        F.col("id").alias("rule_id"), F.col("source_id").alias("scope"), F.explode(F.expr(ASKS)).alias("a"))
     rows = rows.select("rule_id", "scope", "a.pos", "a.role", "a.window_us", "a.levels", "a.keyword")
     return rows.withColumn("probe", F.to_json(F.struct("scope", "window_us", "levels", "keyword")))
 
@@ -276,38 +255,29 @@ def collect_answers(answered: DataFrame, *keys: str) -> DataFrame:
         F.collect_list(F.struct("pos", "role", "keyword", "n")).alias("answers"))
 
 
-def judge(conds: Column, answers: Column, anomaly_positions: Column) -> Column:
-    """Conditions with their counts and the flag ``met``.
-
-    Unknown types, ``custom``, and ``ai_anomaly`` without stored anomalies are not
-    met, and neither is a comparison with a missing threshold.
-    """
-    def total_of(items: Column) -> Column:
-        return F.aggregate(items, F.lit(0).cast("long"), lambda acc, a: acc + a["n"])
-
-    def one(c: Column) -> Column:
-        mine = F.filter(answers, lambda a: a["pos"] == c["pos"])
-        found = F.filter(mine, lambda a: a["role"] == "hit")
-        hits = F.coalesce(total_of(found), F.lit(0).cast("long"))
-        total = F.coalesce(total_of(F.filter(mine, lambda a: a["role"] == "total")), F.lit(0).cast("long"))
-        words = F.transform(F.filter(found, lambda a: a["n"] > 0), lambda a: a["keyword"])
-        # Each distinct spelling counts once; the list it is compared with keeps repeats.
-        matched = F.coalesce(F.size(F.filter(
-            F.array_distinct(c["keywords"]), lambda k: F.array_contains(words, F.lower(k)))), F.lit(0))
-        met = (
-            F.when(c["type"] == "error_count", hits >= c["threshold"])
-            .when(c["type"] == "error_rate", (total > 0) & (F.try_divide(hits, total) >= c["threshold"]))
-            .when(c["type"] == "log_level", hits > 0)
-            .when((c["type"] == "keyword_match") & c["match_all"], matched == F.size(c["keywords"]))
-            .when(c["type"] == "keyword_match", matched > 0)
-            .when(c["type"] == "no_logs", total == 0)
-            .when(c["type"] == "ai_anomaly", F.array_contains(anomaly_positions, c["pos"]))
-        )
-        return F.struct(
-            c["pos"].alias("pos"), c["type"].alias("type"), hits.alias("hits"), total.alias("total"),
-            matched.alias("keywords_matched"), F.coalesce(met, F.lit(False)).alias("met"))
-
-    return F.transform(conds, one)
+# Conditions with their counts and the flag ``met``. Unknown types, ``custom``, and
+# ``ai_anomaly`` without stored anomalies are not met, and neither is a comparison
+# with a missing threshold. Each distinct spelling of a keyword counts once; the
+# list it is compared with keeps repeats.
+NO_ANSWERS = "cast(array() AS array<struct<pos: int, role: string, keyword: string, n: bigint>>)"
+JUDGED = """
+transform(
+  transform(conds, c -> named_struct(
+    'c', c,
+    'hits', aggregate(filter(answers, a -> a.pos = c.pos AND a.role = 'hit'), 0L, (s, a) -> s + a.n),
+    'total', aggregate(filter(answers, a -> a.pos = c.pos AND a.role = 'total'), 0L, (s, a) -> s + a.n),
+    'matched', size(filter(array_distinct(c.keywords), k -> exists(
+        answers, a -> a.pos = c.pos AND a.n > 0 AND a.keyword = lower(k)))))),
+  x -> named_struct(
+    'pos', x.c.pos, 'type', x.c.type, 'hits', x.hits, 'total', x.total, 'keywords_matched', x.matched,
+    'met', coalesce(CASE x.c.type
+        WHEN 'error_count' THEN x.hits >= x.c.threshold
+        WHEN 'error_rate' THEN x.total > 0 AND try_divide(x.hits, x.total) >= x.c.threshold
+        WHEN 'log_level' THEN x.hits > 0
+        WHEN 'keyword_match' THEN CASE WHEN x.c.match_all THEN x.matched = size(x.c.keywords) ELSE x.matched > 0 END
+        WHEN 'no_logs' THEN x.total = 0
+        WHEN 'ai_anomaly' THEN array_contains(anomaly_pos, x.c.pos)
+      END, false)))"""
 
 
 def anomaly_positions(parsed: DataFrame, anomalies: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -339,13 +309,11 @@ def judge_rules(parsed: DataFrame, cells: DataFrame, anomalies: DataFrame | None
     answers = collect_answers(probes.join(answer_probes(probes, cells), "probe"), "rule_id")
     rows = parsed.join(answers.withColumnRenamed("rule_id", "id"), "id", "left")
     if anomalies is None:
-        rows = rows.withColumn("anomaly_pos", F.array().cast("array<int>"))
+        rows = rows.withColumn("anomaly_pos", F.expr("cast(array() AS array<int>)"))
     else:
         rows = rows.join(anomaly_positions(parsed, anomalies, as_of), "id", "left")
-    empty = F.array().cast("array<struct<pos:int,role:string,keyword:string,n:bigint>>")
-    known = rows.withColumn("answers", F.coalesce("answers", empty))
-    return known.withColumn(
-        "judged", judge(F.col("conds"), F.col("answers"), F.coalesce("anomaly_pos", F.array().cast("array<int>"))))
+    known = rows.withColumn("answers", F.coalesce("answers", F.expr(NO_ANSWERS)))
+    return known.withColumn("judged", F.expr(JUDGED))
 
 
 def condition_results(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
@@ -365,26 +333,18 @@ def with_matches(judged: DataFrame) -> DataFrame:
     Counted are the met conditions before the first miss; rules with the same scope
     and asks share a selector.
     """
-    misses = F.filter("judged", lambda j: ~j["met"])
-    first_miss = F.array_min(F.transform(misses, lambda j: j["pos"]))
-    hit = F.filter(asks_of(F.col("conds")), lambda a: (a["role"] == "hit") & (
-        F.col("first_miss").isNull() | (a["pos"] < F.col("first_miss"))))
-    seen = F.transform(
-        F.filter("answers", lambda a: (a["role"] == "hit") & (a["n"] > 0)
-                 & (F.col("first_miss").isNull() | (a["pos"] < F.col("first_miss")))), lambda a: a["pos"])
-
-    def selector(asks: Column) -> Column:
-        plain = F.array_sort(F.array_distinct(F.transform(
-            asks, lambda a: F.struct(a["window_us"], a["levels"], a["keyword"]))))
-        return F.when(F.size(plain) > 0, F.to_json(F.struct(F.col("source_id").alias("scope"), plain.alias("asks"))))
+    def selector(asks: str) -> str:
+        plain = f"array_sort(array_distinct(transform({asks}, a -> named_struct('window_us', a.window_us, 'levels', a.levels, 'keyword', a.keyword))))"
+        return f"CASE WHEN first_hit IS NOT NULL THEN to_json(named_struct('scope', source_id, 'asks', {plain})) END"
 
+    counted = "a.role = 'hit' AND (first_miss IS NULL OR a.pos < first_miss)"
     return (
-        judged.withColumn("first_miss", first_miss)
-        .withColumn("_hit", hit).withColumn("_first", F.array_min(seen))
-        .withColumn("selector", F.when(F.col("_first").isNotNull(), selector(F.col("_hit"))))
-        .withColumn("first_selector", F.when(
-            F.col("_first").isNotNull(), selector(F.filter("_hit", lambda a: a["pos"] == F.col("_first")))))
-        .drop("_hit", "_first")
+        judged.withColumn("first_miss", F.expr("array_min(transform(filter(judged, j -> NOT j.met), j -> j.pos))"))
+        .withColumn("first_hit", F.expr(f"array_min(transform(filter(answers, a -> a.n > 0 AND {counted}), a -> a.pos))"))
+        .withColumn("_asks", F.expr(f"filter({ASKS}, a -> {counted})"))
+        .withColumn("selector", F.expr(selector("_asks")))
+        .withColumn("first_selector", F.expr(selector("filter(_asks, a -> a.pos = first_hit)")))
+        .drop("_asks")
     )
 
 
@@ -400,11 +360,11 @@ def _selectors(state: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _any_ask(asks: Column) -> Column:
-    return F.exists(asks, lambda a: (
-        (F.col("class_us") <= a["window_us"])
-        & (a["levels"].isNull() | F.coalesce(F.array_contains(a["levels"], F.col("level")), F.lit(False)))
-        & (a["keyword"].isNull() | F.array_contains(F.col("hits"), a["keyword"]))))
+# Does a cell or tagged row answer one of a selector's asks?
+ANY_ASK = """
+exists(asks, a -> class_us <= a.window_us
+    AND (a.levels IS NULL OR coalesce(array_contains(a.levels, level), false))
+    AND (a.keyword IS NULL OR array_contains(hits, a.keyword)))"""
 
 
 def _rows_of_selectors(selectors: DataFrame, rows: DataFrame) -> DataFrame:
@@ -419,14 +379,14 @@ def _rows_of_selectors(selectors: DataFrame, rows: DataFrame) -> DataFrame:
     salted = selectors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = scoped.join(
         salted, F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("_salt") == F.col("_row_salt")))
-    return joined.filter(_any_ask(F.col("asks"))).select("selector", "log_id", "ts")
+    return joined.filter(F.expr(ANY_ASK)).select("selector", "log_id", "ts")
 
 
 def _matched_counts(selectors: DataFrame, cells: DataFrame) -> DataFrame:
     """Exact number of distinct rows per selector, from the cells alone."""
     joined = selectors.join(
         cells.withColumnRenamed("scope", "_scope"), F.col("scope").eqNullSafe(F.col("_scope")))
-    return joined.filter(_any_ask(F.col("asks"))).groupBy("selector").agg(F.sum("n").alias("matched_count"))
+    return joined.filter(F.expr(ANY_ASK)).groupBy("selector").agg(F.sum("n").alias("matched_count"))
 
 
 def _top_rows(selectors: DataFrame, tagged: DataFrame, order: list[Column], limit: int) -> DataFrame:

@@ -178,7 +178,7 @@ FROM orders""",
     "acts": """
 SELECT 'al' || l_orderkey AS alert_id, CASE l_returnflag WHEN 'A' THEN 'acknowledge' WHEN 'R' THEN 'resolve' ELSE 'silence' END AS action,
   'user' || l_suppkey AS actor, CASE WHEN l_linestatus = 'F' THEN 'note ' || l_partkey END AS notes,
-  l_shipdate + to_minutes(l_linenumber) + to_seconds(CAST(l_quantity AS INTEGER)) AS at,
+  l_shipdate + to_minutes(l_linenumber) + to_seconds(CAST(l_quantity AS INTEGER)) AS moment,
   lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || '-' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') || '-' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0')
     || '-' || CAST(trunc(l_extendedprice) AS BIGINT) AS action_id,
   CASE l_returnflag WHEN 'A' THEN 'IN_PROGRESS' WHEN 'R' THEN 'RESOLVED' ELSE 'CLOSED' END AS ticket_status
@@ -436,19 +436,19 @@ UNION ALL SELECT 'status', s, count(a.id) FROM (SELECT unnest(['active', 'acknow
     "alert_lifecycle": """
 SELECT a.id, a.severity, a.source_id, a.created_at, CASE f.last WHEN 'acknowledge' THEN 'acknowledged' WHEN 'resolve' THEN 'resolved'
     WHEN 'silence' THEN 'silenced' ELSE 'active' END AS status,
-  coalesce(f.ack, f.res).actor AS acknowledged_by, coalesce(f.ack, f.res).at AS acknowledged_at, f.resolved_at, f.notes AS resolution_notes,
+  coalesce(f.ack, f.res).actor AS acknowledged_by, coalesce(f.ack, f.res).moment AS acknowledged_at, f.resolved_at, f.notes AS resolution_notes,
   coalesce(f.n, 0) AS n_actions
 FROM alerts a LEFT JOIN (
-  SELECT alert_id, arg_max(action, (at, action_id)) AS last, arg_max({'actor': actor, 'at': at}, (at, action_id)) FILTER (action = 'acknowledge') AS ack,
-    arg_min({'actor': actor, 'at': at}, (at, action_id)) FILTER (action = 'resolve') AS res, max(at) FILTER (action = 'resolve') AS resolved_at,
-    arg_max(notes, (at, action_id)) FILTER (action <> 'silence' AND notes IS NOT NULL) AS notes, count(*) AS n FROM acts GROUP BY alert_id) f ON f.alert_id = a.id""",
+  SELECT alert_id, arg_max(action, (moment, action_id)) AS last, arg_max({'actor': actor, 'moment': moment}, (moment, action_id)) FILTER (action = 'acknowledge') AS ack,
+    arg_min({'actor': actor, 'moment': moment}, (moment, action_id)) FILTER (action = 'resolve') AS res, max(moment) FILTER (action = 'resolve') AS resolved_at,
+    arg_max(notes, (moment, action_id)) FILTER (action <> 'silence' AND notes IS NOT NULL) AS notes, count(*) AS n FROM acts GROUP BY alert_id) f ON f.alert_id = a.id""",
     "tickets_from_alerts": """
 SELECT id, title, description, priority, status, log_id, source_id, server_id, rule_id FROM tickets
 UNION ALL SELECT 'tkt-now-' || e.rule_id, 'Alert: ' || rule_name, coalesce(nullif(e.description, ''), reason), upper(e.severity), 'OPEN', first_log_id,
   e.source_id, s.server_id, e.rule_id FROM evaluated e LEFT JOIN sources s ON s.id = e.source_id WHERE e.status = 'enabled' AND triggered""",
     "ticket_board": """
 SELECT coalesce(u.status, t.status) AS status, t.priority, count(*) AS n, min(t.created_at) AS oldest, max(t.created_at) AS newest
-FROM tickets t LEFT JOIN (SELECT alert_id, arg_max(ticket_status, (at, action_id)) AS status FROM acts GROUP BY alert_id) u ON u.alert_id = t.alert_id GROUP BY 1, 2""",
+FROM tickets t LEFT JOIN (SELECT alert_id, arg_max(ticket_status, (moment, action_id)) AS status FROM acts GROUP BY alert_id) u ON u.alert_id = t.alert_id GROUP BY 1, 2""",
     "route_notifications": "SELECT ticket_id, rule_id, pos, channel, severity, status, config FROM routed",
     "notification_outcomes": "SELECT * FROM outcomes",
     "incident_chain": """
@@ -556,11 +556,11 @@ SELECT source_id, start_ts, end_ts, n FROM (
       SELECT source_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY source_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM logs))
   GROUP BY source_id, run), clock WHERE end_ts <= now - INTERVAL 10 MINUTE""",
     "stream_cooldown": """
-WITH RECURSIVE windows AS (SELECT source_id, time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE AS at FROM logs WHERE level IN ('error', 'fatal') GROUP BY 1, 2),
-cand AS (SELECT r.id AS rule_id, w.at, r.cooldown_minutes FROM windows w JOIN rules r ON r.source_id = w.source_id, clock WHERE w.at <= now - INTERVAL 10 MINUTE),
-kept AS (SELECT rule_id, min(at) AS at, any_value(cooldown_minutes) AS cd FROM cand GROUP BY rule_id
-  UNION ALL SELECT c.rule_id, min(c.at), any_value(c.cooldown_minutes) FROM kept k JOIN cand c ON c.rule_id = k.rule_id AND c.at > k.at AND c.at >= k.at + to_minutes(k.cd) GROUP BY c.rule_id)
-SELECT rule_id, at AS triggered_at FROM kept""",
+WITH RECURSIVE windows AS (SELECT source_id, time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE AS moment FROM logs WHERE level IN ('error', 'fatal') GROUP BY 1, 2),
+cand AS (SELECT r.id AS rule_id, w.moment, r.cooldown_minutes FROM windows w JOIN rules r ON r.source_id = w.source_id, clock WHERE w.moment <= now - INTERVAL 10 MINUTE),
+kept AS (SELECT rule_id, min(moment) AS moment, any_value(cooldown_minutes) AS cd FROM cand GROUP BY rule_id
+  UNION ALL SELECT c.rule_id, min(c.moment), any_value(c.cooldown_minutes) FROM kept k JOIN cand c ON c.rule_id = k.rule_id AND c.moment > k.moment AND c.moment >= k.moment + to_minutes(k.cd) GROUP BY c.rule_id)
+SELECT rule_id, moment AS triggered_at FROM kept""",
     "stream_silence": """
 SELECT s.id AS source_id, l.last_ts FROM sources s LEFT JOIN (SELECT source_id, max(ts) AS last_ts FROM logs GROUP BY source_id) l ON l.source_id = s.id, clock
 WHERE l.last_ts IS NULL OR l.last_ts < now - INTERVAL 30 MINUTE""",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywatch.functions.levels import detect_level, normalize_level
+from tallywatch.functions.once import with_fields
 from tallywatch.functions.text import split_lines
 from tallywatch.functions.timing import as_ntz, latest_ts, minutes_before
 from tallywatch.operators import analysis, backtest, incidents, logs as store, rules as engine, tenancy
@@ -95,18 +96,17 @@ def ingestion_status(spark, d):
 # --- parsing -----------------------------------------------------------------
 
 def _parsed(df: DataFrame, p: Column) -> DataFrame:
-    return df.withColumn("p", p).select(
-        F.col("message_id").alias("log_id"), F.col("p.level").alias("level"), F.col("p.message").alias("message"),
-        F.col("p.ts").alias("ts"), map_text("p.metadata").alias("metadata"), F.col("p.error").alias("error"))
+    return with_fields(df, p).select(
+        F.col("message_id").alias("log_id"), "level", "message", "ts", map_text("metadata").alias("metadata"), "error")
 
 
 def parse_json_lines(spark, d):
     df = frames.logs(spark, d).select(
-        F.col("log_id").alias("message_id"), "ts",
+        F.col("log_id").alias("message_id"), F.col("ts").alias("received_at"),
         F.to_json(F.struct(F.upper("level").alias("level"), "message", F.col("event_type").alias("kind"),
                            F.when(F.col("value") > 50, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"),
                            F.col("user_id").alias("user"))).alias("line"))
-    return _parsed(df, parse.parse_json_line(F.col("line"), F.col("ts")))
+    return _parsed(df, parse.parse_json_line(F.col("line"), F.col("received_at")))
 
 
 def parse_syslog3164(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch import schemas
+from tallywatch.functions.once import with_fields
 from tallywatch.functions.running import running_total
 from tallywatch.functions.text import split_lines, strip
 from tallywatch.functions.timing import iso_to_ntz
@@ -40,7 +41,7 @@ def _entry_rows(entries: DataFrame) -> DataFrame:
 def ingest_batches(envelopes: DataFrame) -> DataFrame:
     """Bulk envelopes ``(envelope_id, payload, received_at)`` to one row per log entry."""
     entries = (
-        envelopes.withColumn("b", F.from_json("payload", schemas.BULK_ENVELOPE))
+        with_fields(envelopes, F.struct(F.from_json("payload", schemas.BULK_ENVELOPE).alias("b")))
         .select("envelope_id", "received_at", "b.sourceId", "b.serverId", "b.format",
                 F.posexplode("b.logs").alias("pos", "e"))
     )
@@ -49,7 +50,7 @@ def ingest_batches(envelopes: DataFrame) -> DataFrame:
 
 def ingest_single(envelopes: DataFrame) -> DataFrame:
     """One-entry envelopes, with the same defaults as the bulk form."""
-    body = envelopes.withColumn("b", F.from_json("payload", schemas.SINGLE_ENVELOPE))
+    body = with_fields(envelopes, F.struct(F.from_json("payload", schemas.SINGLE_ENVELOPE).alias("b")))
     entries = body.select(
         "envelope_id", "received_at", "b.sourceId", "b.serverId", "b.format", F.lit(0).alias("pos"),
         F.struct("b.level", "b.message", "b.metadata", "b.timestamp").alias("e"))
@@ -71,15 +72,15 @@ def parse_raw_lines(lines: DataFrame) -> DataFrame:
     Lines are trimmed, blank ones skipped, and the parser is chosen by format.
     Column ``error`` is null on good rows (see ``split_quarantine``).
     """
-    return (
+    kept = (
         lines.withColumn("raw_content", strip(F.col("line")))
         .filter(F.length("raw_content") > 0)
-        .withColumn("format", resolve_format(F.col("format")))
-        .withColumn("p", parse_line(F.col("raw_content"), F.col("format"), F.col("received_at")))
-        .select(
-            F.col("line_id").alias("log_id"), "source_id", "server_id", "p.level", "p.message",
-            "raw_content", "format", "p.metadata", "p.ts", "p.error")
+        .select(F.col("line_id").alias("log_id"), "source_id", "server_id", "raw_content",
+                resolve_format(F.col("format")).alias("format"), "received_at")
     )
+    parsed = with_fields(kept, parse_line(F.col("raw_content"), F.col("format"), F.col("received_at")))
+    return parsed.select(
+        "log_id", "source_id", "server_id", "level", "message", "raw_content", "format", "metadata", "ts", "error")
 
 
 def read_raw_lines(spark, path: str, source_id: str, log_format: str, received_at: Column) -> DataFrame:
@@ -179,17 +180,15 @@ def map_sender_to_source(messages: DataFrame, senders: DataFrame) -> DataFrame:
 
 def ingest_syslog(messages: DataFrame, senders: DataFrame) -> DataFrame:
     """Messages ``(message_id, raw, sender_ip, transport, received_at)`` to log rows."""
-    return (
-        map_sender_to_source(messages, senders)
-        .withColumn("p", parse_syslog(F.col("raw"), F.col("received_at")))
-        .select(
-            F.col("message_id").alias("log_id"), "source_id", "server_id", "p.level", "p.message",
-            F.col("raw").alias("raw_content"), F.lit("syslog").alias("format"),
-            stamp_provenance(F.col("p.metadata"), {
-                "senderIp": F.col("sender_ip"), "receivedVia": F.lit(VIA_SYSLOG),
-            }).alias("metadata"),
-            "p.ts")
-    )
+    parsed = with_fields(
+        map_sender_to_source(messages, senders), parse_syslog(F.col("raw"), F.col("received_at")))
+    return parsed.select(
+        F.col("message_id").alias("log_id"), "source_id", "server_id", "level", "message",
+        F.col("raw").alias("raw_content"), F.lit("syslog").alias("format"),
+        stamp_provenance(F.col("metadata"), {
+            "senderIp": F.col("sender_ip"), "receivedVia": F.lit(VIA_SYSLOG),
+        }).alias("metadata"),
+        "ts")
 
 
 def frame_lines(chunks: DataFrame, block_size: int = 1024) -> DataFrame:

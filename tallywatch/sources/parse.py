@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallywatch import schemas
 from tallywatch.functions.levels import detect_level, normalize_level, severity_to_level
+from tallywatch.functions.once import bind, with_fields
 from tallywatch.functions.text import or_default
 from tallywatch.functions.timing import iso_to_ntz
 
@@ -18,9 +19,9 @@ from tallywatch.functions.timing import iso_to_ntz
 RFC3164 = r"(?s)^<(\d{1,3})>([A-Z][a-z]{2})\s+(\d{1,2}) (\d{2}):(\d{2}):(\d{2}) (\S+) ([^:\[\s]+)(?:\[(\d+)\])?: ?(.*)$"
 RFC5424 = (
     r"(?s)^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) "
-    r"(-|(?:\[(?:[^\]\"]|\"(?:[^\"\\]|\\.)*\")*\])+) ?(.*)$"
+    r"(-|(?:\[(?:[^\]\"]++|\"(?:[^\"\\]++|\\.)*+\")*+\])++) ?(.*)$"
 )
-SD_PARAM = r'([^\s=\[\]"]+)="((?:[^"\\]|\\.)*)"'
+SD_PARAM = r'([^\s=\[\]"]++)="((?:[^"\\]++|\\.)*+)"'
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 # Keys of a JSON line that become columns; every other key is kept as metadata.
@@ -56,18 +57,20 @@ def parse_json_line(line: Column, arrival: Column) -> Column:
     A missing level is guessed from the message, a missing timestamp is the arrival
     time. A line that is no JSON object, has no message, or has a bad timestamp carries an error.
     """
-    doc = F.when(F.substring(F.ltrim(line), 1, 1) == "{", F.from_json(line, schemas.STR_MAP))
-    message = doc["message"]
-    stamp = doc["timestamp"]
-    parsed_ts = iso_to_ntz(stamp)
-    error = (
-        F.when(doc.isNull(), F.lit("invalid json"))
-        .when(message.isNull(), F.lit("no message"))
-        .when(stamp.isNotNull() & parsed_ts.isNull(), F.lit("bad timestamp"))
-    )
-    level = F.coalesce(normalize_level(doc["level"]), detect_level(message))
-    rest = F.map_filter(doc, lambda k, _: ~k.isin(JSON_FIELDS))
-    return _parsed(level, message, F.coalesce(parsed_ts, arrival), rest, error)
+    def build(doc: Column) -> Column:
+        message, stamp = doc["message"], doc["timestamp"]
+        parsed_ts = iso_to_ntz(stamp)
+        error = (
+            F.when(doc.isNull(), F.lit("invalid json"))
+            .when(message.isNull(), F.lit("no message"))
+            .when(stamp.isNotNull() & parsed_ts.isNull(), F.lit("bad timestamp"))
+        )
+        level = F.coalesce(normalize_level(doc["level"]), detect_level(message))
+        rest = F.map_filter(doc, lambda k, _: ~k.isin(JSON_FIELDS))
+        return _parsed(level, message, F.coalesce(parsed_ts, arrival), rest, error)
+
+    is_object = F.substring(F.ltrim(line), 1, 1) == "{"
+    return bind(F.when(is_object, F.from_json(line, schemas.STR_MAP)), build)
 
 
 def syslog_year(month: Column, day: Column, clock: list[Column], arrival: Column) -> Column:
@@ -88,11 +91,6 @@ def syslog_year(month: Column, day: Column, clock: list[Column], arrival: Column
     return F.when(too_late, at(F.year(arrival) - 1)).otherwise(this_year)
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` (one regex match per line, not one per field)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _fields(line: Column, pattern: str, count: int) -> Column:
     """First ``count`` groups of a full-line match; only the last one may contain a newline."""
     marks = "\n".join(f"${i}" for i in range(1, count + 1))
@@ -114,24 +112,21 @@ def parse_rfc3164(line: Column, arrival: Column) -> Column:
         level = severity_to_level(F.pmod(pri, F.lit(8)))
         return _parsed(level, part[9], F.coalesce(ts, arrival), metadata)
 
-    return _bind(_fields(line, RFC3164, 10), build)
+    return bind(_fields(line, RFC3164, 10), build)
 
 
 def parse_rfc5424(line: Column, arrival: Column) -> Column:
     """Newer syslog form: priority, version 1, ISO time, host, app, process, id, data, message."""
-    data = F.regexp_extract(line, RFC5424, 7)
     message = F.regexp_extract(line, RFC5424, 8)
-    # A repeated parameter keeps its first value.
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(data, F.lit(SD_PARAM), 1).alias("k"),
-        F.regexp_extract_all(data, F.lit(SD_PARAM), 2).alias("v"),
-    )
 
-    def structured(found: Column) -> Column:
-        keys = F.transform(found, lambda p: p["k"])
-        first_seen = F.filter(found, lambda p, i: F.array_position(keys, p["k"]) == i + 1)
-        return F.map_from_entries(F.transform(
+    def structured(data: Column) -> Column:
+        # A repeated parameter keeps its first value.
+        keys = F.regexp_extract_all(data, F.lit(SD_PARAM), 1)
+        pairs = F.arrays_zip(keys.alias("k"), F.regexp_extract_all(data, F.lit(SD_PARAM), 2).alias("v"))
+        first_seen = bind(keys, lambda ks: F.filter(pairs, lambda p, i: F.array_position(ks, p["k"]) == i + 1))
+        named = F.map_from_entries(F.transform(
             first_seen, lambda p: F.struct(F.concat(F.lit("sd."), p["k"]).alias("k"), p["v"].alias("v"))))
+        return F.when(data == "-", _empty_map()).otherwise(named)
 
     def build(part: Column) -> Column:
         def dashed(i: int) -> Column:
@@ -150,10 +145,10 @@ def parse_rfc5424(line: Column, arrival: Column) -> Column:
             severity_to_level(F.pmod(pri, F.lit(8))),
             message,
             F.coalesce(iso_to_ntz(dashed(1)), arrival),
-            F.map_concat(header, _bind(pairs, structured)),
+            F.map_concat(header, bind(F.regexp_extract(line, RFC5424, 7), structured)),
         )
 
-    return _bind(_fields(line, RFC5424, 6), build)
+    return bind(_fields(line, RFC5424, 6), build)
 
 
 def parse_plain(line: Column, arrival: Column) -> Column:
@@ -164,7 +159,7 @@ def parse_plain(line: Column, arrival: Column) -> Column:
 def parse_syslog(line: Column, arrival: Column) -> Column:
     """Either syslog form; a line in neither form is kept as plain text."""
     return (
-        F.when(F.rlike(line, F.lit(RFC5424)), parse_rfc5424(line, arrival))
+        F.when(F.rlike(line, F.lit(r"^<\d{1,3}>1 ")) & F.rlike(line, F.lit(RFC5424)), parse_rfc5424(line, arrival))
         .when(F.rlike(line, F.lit(RFC3164)), parse_rfc3164(line, arrival))
         .otherwise(parse_plain(line, arrival))
     )
@@ -198,7 +193,7 @@ def normalize_zabbix(payloads: DataFrame) -> DataFrame:
         .when(severity == "Warning", "warn")
         .otherwise("info")
     )
-    return payloads.withColumn("b", body).select(
+    return with_fields(payloads, F.struct(body.alias("b"))).select(
         "payload_id",
         F.lit(0).alias("pos"),
         level.alias("level"),
@@ -213,7 +208,7 @@ def normalize_zabbix(payloads: DataFrame) -> DataFrame:
 
 def normalize_alertmanager(payloads: DataFrame) -> DataFrame:
     """One row per alert of the payload; firing means error, otherwise info."""
-    alerts = payloads.withColumn("b", F.from_json("payload", schemas.ALERTMANAGER)).select(
+    alerts = with_fields(payloads, F.struct(F.from_json("payload", schemas.ALERTMANAGER).alias("b"))).select(
         "payload_id", "received_at", F.posexplode("b.alerts").alias("pos", "a"))
     labels, notes = F.col("a.labels"), F.col("a.annotations")
     text = F.coalesce(F.nullif(notes["summary"], F.lit("")), notes["description"])
@@ -233,7 +228,7 @@ def normalize_alertmanager(payloads: DataFrame) -> DataFrame:
 
 def normalize_datadog(payloads: DataFrame) -> DataFrame:
     """Monitor notification: alert type to level, tags, link and host kept as metadata."""
-    body = payloads.withColumn("b", F.from_json("payload", schemas.DATADOG))
+    body = with_fields(payloads, F.struct(F.from_json("payload", schemas.DATADOG).alias("b")))
     return body.select(
         "payload_id",
         F.lit(0).alias("pos"),
