@@ -239,10 +239,10 @@ def context_per_error(logs: DataFrame, errors: DataFrame, minutes: int = CONTEXT
 
     points = logs.groupBy(micros("ts").alias("us")).agg(
         F.count("*").alias("n"), F.count_if(is_error(F.col("level"))).alias("e")
-    ).withColumn("bucket", F.floor(F.col("us") / width))
+    ).withColumn("bucket", F.expr(f"us div {width}L"))
     asked = errors.select("log_id", micros("ts").alias("at")).withColumn(
         "bucket", F.explode(F.transform(
-            F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("at") / width) + d)))
+            F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.expr(f"at div {width}L") + d)))
     near = F.abs(F.col("us") - F.col("at")) <= width
     return asked.join(points, "bucket").filter(near).groupBy("log_id").agg(
         F.sum("n").alias("context_rows"), F.sum("e").alias("context_errors"))

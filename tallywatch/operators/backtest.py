@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch.functions.timing import MICROS_PER_MINUTE, as_ntz, within
@@ -68,26 +68,36 @@ def backtest_rules(rules: DataFrame, logs: DataFrame, start: dt.datetime, end: d
         raise ValueError("too many distinct windows for a backtest; split the rules")
     recent = within(logs, start - dt.timedelta(microseconds=profile.longest_us), end)
     offset = F.timestamp_diff("MICROSECOND", as_ntz(start), F.col("ts"))
-    last_steps = F.array(*[F.floor((F.col("_us") + w) / step_us).cast("long") for w in profile.windows])
-    changes = with_keyword_hits(recent, chosen, profile).withColumn("_us", offset).select(
+    # Only the step a log falls into and its place between the points of a step at
+    # which some window ends matter, so logs are first counted by these two.
+    marks = sorted({1} | {step_us - w % step_us for w in profile.windows if w % step_us})
+    place = " + ".join(f"cast(_phase >= {mark} AS int)" for mark in marks)
+    keys = ["level", "hits", "base", "place"]
+    placed = with_keyword_hits(recent, chosen, profile).withColumn("_us", offset).withColumn(
+        "_phase", F.expr(f"pmod(_us, {step_us}L)")).select(
         "source_id", "level", "hits",
-        F.greatest(F.lit(0), F.ceil(F.col("_us") / step_us)).cast("long").alias("enter"),
-        last_steps.alias("leave"))
-    keys = ["level", "hits", "enter", "leave"]
+        F.expr(f"(_us - _phase) div {step_us}L").alias("base"), F.expr(place).alias("place"))
     cells = total_over_sources(
-        changes.groupBy("source_id", *keys).agg(F.count("*").alias("n")), keys
+        placed.groupBy("source_id", *keys).agg(F.count("*").alias("n")), keys
     ).withColumnRenamed("scope", "_scope")
 
+    def by_window(value) -> Column:
+        cases = " ".join(f"WHEN {w} THEN {value(w)}" for w in profile.windows)
+        return F.expr(f"CASE window_us {cases} END")
+
     probes = probes_of(chosen)
-    position = F.array_position(F.array(*[F.lit(w).cast("long") for w in profile.windows]), F.col("window_us"))
     distinct = probes.dropDuplicates(["probe"]).select(
-        "probe", "scope", "levels", "keyword", position.cast("int").alias("_w"))
+        "probe", "scope", "levels", "keyword",
+        by_window(lambda w: w // step_us).cast("long").alias("_whole"),
+        by_window(lambda w: marks.index(step_us - w % step_us) + 1 if w % step_us else len(marks) + 1).alias("_mark"))
     touched = distinct.join(cells, F.col("scope").eqNullSafe(F.col("_scope"))).filter(
-        cell_matches(F.col("levels"), F.col("keyword"))).withColumn(
-        "_last", F.element_at("leave", F.col("_w")))
-    deltas = touched.filter(F.col("enter") <= F.col("_last")).select("probe", F.explode(F.array(
+        cell_matches(F.col("levels"), F.col("keyword"))).select(
+        "probe", "n",
+        F.greatest(F.lit(0).cast("long"), F.col("base") + (F.col("place") >= 1).cast("long")).alias("enter"),
+        (F.col("base") + F.col("_whole") + (F.col("place") >= F.col("_mark")).cast("long")).alias("leave"))
+    deltas = touched.filter(F.col("enter") <= F.col("leave")).select("probe", F.explode(F.array(
         F.struct(F.col("enter").alias("step"), F.col("n").alias("d")),
-        F.struct((F.col("_last") + 1).alias("step"), (-F.col("n")).alias("d")),
+        F.struct((F.col("leave") + 1).alias("step"), (-F.col("n")).alias("d")),
     )).alias("c")).groupBy("probe", F.col("c.step").alias("step")).agg(F.sum("c.d").alias("d"))
 
     along = Window.partitionBy("probe").orderBy("step")

@@ -107,7 +107,7 @@ class RuleProfile:
     def class_of(self, age: str) -> Column:
         """Shortest window that covers a row of this age (a column of microseconds)."""
         if self.windows is None:
-            return (F.ceil(F.col(age) / F.lit(float(self.grain_us))) * self.grain_us).cast("long")
+            return F.expr(f"({age} + {self.grain_us - 1}L) div {self.grain_us}L * {self.grain_us}L")
         cases = " ".join(f"WHEN {age} <= {value} THEN {value}L" for value in self.windows)
         return F.expr(f"CASE {cases} END")
 
@@ -119,21 +119,21 @@ def keywords_of(parsed: DataFrame) -> DataFrame:
         F.lower("k").alias("keyword")).distinct()
 
 
-def rule_profile(parsed: DataFrame, max_inline: int = MAX_INLINE) -> RuleProfile:
+def rule_profile(parsed: DataFrame) -> RuleProfile:
     """Read the distinct windows and keywords of the rules, each list only up to a limit.
 
     Beyond the limit windows fall back to their grain and keywords to a join, so
     what reaches the driver and the expressions is bounded.
     """
     windows = parsed.select(F.explode(F.transform("conds", lambda c: c["window_us"])).alias("w")).distinct()
-    tagged = windows.limit(max_inline + 1).select(F.col("w").cast("string").alias("v"), F.lit("w").alias("kind")).unionByName(
-        keywords_of(parsed).limit(max_inline + 1).select(F.col("keyword").alias("v"), F.lit("k").alias("kind")))
+    tagged = windows.limit(MAX_INLINE + 1).select(F.col("w").cast("string").alias("v"), F.lit("w").alias("kind")).unionByName(
+        keywords_of(parsed).limit(MAX_INLINE + 1).select(F.col("keyword").alias("v"), F.lit("k").alias("kind")))
     head = tagged.collect()
     values = sorted(int(row["v"]) for row in head if row["kind"] == "w") or [0]
     words: list[str] | None = sorted(row["v"] for row in head if row["kind"] == "k")
-    if len(words) > max_inline:
+    if len(words) > MAX_INLINE:
         words = None
-    if len(values) <= max_inline:
+    if len(values) <= MAX_INLINE:
         return RuleProfile(values[-1], values, 1, words)
     top, minutes, seconds = windows.agg(
         F.max("w"), F.bool_and(F.col("w") % MICROS_PER_MINUTE == 0), F.bool_and(F.col("w") % 1_000_000 == 0)).first()
