@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallywatch import schemas
 from tallywatch.functions.levels import is_error
 from tallywatch.functions.once import with_fields
+from tallywatch.functions.running import running_totals
 from tallywatch.functions.text import brace_block, or_default, template_of
 from tallywatch.functions.timing import as_ntz, minutes_before, within
 
@@ -159,14 +160,14 @@ def rca_results(replies: DataFrame) -> DataFrame:
 Scorer = Callable[[str], str]
 
 
-def score_batches(contexts: DataFrame, scorer: Scorer) -> DataFrame:
-    """Run a user-given scorer (context text to reply text) over batches.
+def score_batches(contexts: DataFrame, scorer: Scorer, parallelism: int | None = None) -> DataFrame:
+    """Run a user-given scorer (context text to reply text) over contexts.
 
-    Partitions are scored in parallel; a failing scorer gives a reply without
-    braces, which ``parse_responses`` turns into an error result.
+    Contexts are spread evenly first, as scoring is the slow step. A failing scorer
+    gives a reply without braces, which the reply parsers turn into an error result.
     """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
             replies = []
             for text in frame["context"]:
                 try:
@@ -175,11 +176,36 @@ def score_batches(contexts: DataFrame, scorer: Scorer) -> DataFrame:
                     replies.append(f"scorer failed: {type(problem).__name__}")
             yield frame[["analysis_id", "source_id"]].assign(reply=replies)
 
-    # The context column is the model's input; spread the batches before the slow step.
-    return contexts.select("analysis_id", "source_id", "context").mapInPandas(
+    tasks = parallelism or contexts.sparkSession.sparkContext.defaultParallelism
+    return contexts.select("analysis_id", "source_id", "context").repartition(tasks, "analysis_id").mapInPandas(
         run, "analysis_id string, source_id string, reply string")
 
 
+def single_contexts(logs: DataFrame) -> DataFrame:
+    """One context per log: level, message and metadata."""
+    meta = F.to_json("metadata") if "metadata" in logs.columns else F.lit("{}")
+    return logs.select(
+        F.concat(F.lit("single-"), "log_id").alias("analysis_id"), "source_id",
+        F.concat(F.lit("Level: "), "level", F.lit("\nMessage: "), "message", F.lit("\nMetadata: "),
+                 F.coalesce(meta, F.lit("{}"))).alias("context"))
+
+
+def parse_single_responses(replies: DataFrame) -> DataFrame:
+    """Replies about one log, with defaults for missing keys and unreadable replies."""
+    body = F.from_json(brace_block(F.col("reply")), schemas.SINGLE_REPLY)
+    parsed = with_fields(replies, F.struct(body.alias("_r")))
+    r, empty = F.col("_r"), F.array().cast("array<string>")
+    # A reply that cannot be read leaves every field null.
+    unread = r.isNull() | (r["isAnomaly"].isNull() & r["confidence"].isNull() & r["explanation"].isNull())
+    return parsed.select(
+        *[c for c in replies.columns if c != "reply"],
+        F.coalesce(r["isAnomaly"], F.lit(False)).alias("is_anomaly"), r["anomalyType"].alias("anomaly_type"),
+        F.coalesce(r["confidence"], F.lit(0.0)).alias("confidence"),
+        F.when(unread, "Analysis failed").otherwise(F.coalesce(r["explanation"], F.lit(""))).alias("explanation"),
+        F.coalesce(r["suggestedActions"], empty).alias("suggested_actions"),
+        F.coalesce(r["relatedConcepts"], empty).alias("related_concepts"))
+
+
 # --- summaries, root-cause context -------------------------------------------
 
 def summarize_window(logs: DataFrame, as_of: dt.datetime, hours: float = SUMMARY_HOURS) -> DataFrame:
@@ -227,9 +253,9 @@ def rca_context(logs: DataFrame, error_ids: DataFrame, limit: int = CONTEXT_LIMI
 def context_per_error(logs: DataFrame, errors: DataFrame, minutes: int = CONTEXT_MINUTES) -> DataFrame:
     """Counts around each error log: rows and errors of any source within the margin.
 
-    A range join made an equality join: both sides are cut into time buckets as wide
-    as the margin, reduced to counts per (bucket, time), and each error looks into
-    its own bucket and the two beside it.
+    A range join would pair every error with every row near it. Instead, each error
+    asks for the running totals at both ends of its margin and takes the difference;
+    the totals are kept second by second, so no task holds more than one second.
     """
     width = minutes * 60 * 1_000_000
     epoch = as_ntz(dt.datetime(1970, 1, 1))
@@ -237,15 +263,22 @@ def context_per_error(logs: DataFrame, errors: DataFrame, minutes: int = CONTEXT
     def micros(column: str) -> Column:
         return F.timestamp_diff("MICROSECOND", epoch, F.col(column))
 
+    zero, no_id = F.lit(0).cast("long"), F.lit(None).cast("string")
     points = logs.groupBy(micros("ts").alias("us")).agg(
         F.count("*").alias("n"), F.count_if(is_error(F.col("level"))).alias("e")
-    ).withColumn("bucket", F.expr(f"us div {width}L"))
-    asked = errors.select("log_id", micros("ts").alias("at")).withColumn(
-        "bucket", F.explode(F.transform(
-            F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.expr(f"at div {width}L") + d)))
-    near = F.abs(F.col("us") - F.col("at")) <= width
-    return asked.join(points, "bucket").filter(near).groupBy("log_id").agg(
-        F.sum("n").alias("context_rows"), F.sum("e").alias("context_errors"))
+    ).select("us", F.lit(0).alias("kind"), "n", "e", no_id.alias("log_id"))
+    # A margin's start comes before the rows of its own time, its end after them.
+    ends = errors.select("log_id", F.explode(F.array(
+        F.struct((micros("ts") - width).alias("us"), F.lit(-1).alias("kind")),
+        F.struct((micros("ts") + width).alias("us"), F.lit(1).alias("kind")),
+    )).alias("q")).select("q.us", "q.kind", zero.alias("n"), zero.alias("e"), "log_id")
+    line = points.unionByName(ends).select(
+        F.lit(0).alias("all"), F.struct("us", "kind").alias("at"), "us", "kind", "n", "e", "log_id")
+    totals = running_totals(
+        line, "all", "at", F.floor(F.col("us") / 1_000_000), {"rows": F.col("n"), "bad": F.col("e")})
+    return totals.filter(F.col("log_id").isNotNull()).groupBy("log_id").agg(
+        F.sum(F.col("kind") * F.col("rows")).alias("context_rows"),
+        F.sum(F.col("kind") * F.col("bad")).alias("context_errors"))
 
 
 def rca_timeline(window: DataFrame) -> DataFrame:
@@ -355,42 +388,31 @@ def mine_patterns(logs: DataFrame, samples: int = 3) -> DataFrame:
     """Message templates with count, share, significance and the lowest sample ids."""
     typed = logs.select("log_id", template_of(F.col("message")).alias("template"))
     counts = typed.groupBy("template").agg(F.count("*").alias("occurrences"))
-    total = typed.sparkSession.range(1).select(logs.agg(F.count("*").alias("t")).scalar().alias("t"))
+    total = logs.agg(F.count("*").alias("t")).scalar()
     lowest = Window.partitionBy("template").orderBy("log_id")
     sampled = typed.withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") <= samples)
     ids = sampled.groupBy("template").agg(F.array_sort(F.collect_list("log_id")).alias("log_ids"))
-    share = F.col("occurrences") / total.select("t").scalar()
+    share = F.col("occurrences") / total
     significance = F.when(share >= 0.1, "high").when(share >= 0.01, "medium").otherwise("low")
     return counts.join(ids, "template").select(
         "template", "occurrences", share.alias("share"), significance.alias("significance"), "log_ids")
 
 
-def detect_bursts(logs: DataFrame, gap: str = "10 minutes", min_count: int = 5,
-                  chunk: str = "1 day") -> DataFrame:
+def detect_bursts(logs: DataFrame, gap: str = "10 minutes", min_count: int = 5) -> DataFrame:
     """Runs of logs of one source with no pause of ``gap`` or longer, of at least ``min_count`` rows.
 
-    Two steps keep a busy source out of one task. Inside each time chunk rows are cut
-    into runs; only a chunk's first and last run can continue in a neighbour, so just
-    those are merged along the source.
+    Rows inside one time slot as wide as the gap are always in the same run, so
+    counting per slot comes first (combined before the shuffle, safe for a busy
+    source); the runs are then joined from at most one row per source and slot.
     """
-    pause = F.expr(f"INTERVAL {gap}")
-    points = logs.groupBy("source_id", "ts").agg(F.count("*").alias("n")).withColumn(
-        "chunk", F.window("ts", chunk)["start"])
-
-    def runs(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-        order = Window.partitionBy(*keys).orderBy(start)
-        new = F.coalesce((F.col(start) >= F.lag(end).over(order) + pause).cast("int"), F.lit(0))
-        numbered = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
-        return numbered.groupBy(*keys, "_run").agg(
-            F.min(start).alias("start_ts"), F.max(end).alias("end_ts"), F.sum("n").alias("n"))
-
-    local = runs(points, ["source_id", "chunk"], "ts", "ts")
-    last_run = local.groupBy("source_id", "chunk").agg(F.max("_run").alias("_last"))
-    edges = local.join(last_run, ["source_id", "chunk"]).withColumn(
-        "_edge", (F.col("_run") == 0) | (F.col("_run") == F.col("_last")))
-    done = edges.filter(~F.col("_edge")).select("source_id", "start_ts", "end_ts", "n")
-    merged = runs(edges.filter("_edge").drop("_run"), ["source_id"], "start_ts", "end_ts")
-    return done.unionByName(merged.drop("_run")).filter(F.col("n") >= min_count)
+    slots = logs.groupBy("source_id", F.window("ts", gap).alias("w")).agg(
+        F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
+    order = Window.partitionBy("source_id").orderBy("a")
+    starts = F.coalesce((F.col("a") >= F.lag("b").over(order) + F.expr(f"INTERVAL {gap}")).cast("int"), F.lit(0))
+    numbered = slots.withColumn("_new", starts).withColumn("_run", F.sum("_new").over(order))
+    return numbered.groupBy("source_id", "_run").agg(
+        F.min("a").alias("start_ts"), F.max("b").alias("end_ts"), F.sum("n").alias("n")
+    ).drop("_run").filter(F.col("n") >= min_count)
 
 
 def health_scores(logs: DataFrame, bucket: str = "1 day") -> DataFrame:

@@ -451,6 +451,21 @@ SELECT coalesce(u.status, t.status) AS status, t.priority, count(*) AS n, min(t.
 FROM tickets t LEFT JOIN (SELECT alert_id, arg_max(ticket_status, (moment, action_id)) AS status FROM acts GROUP BY alert_id) u ON u.alert_id = t.alert_id GROUP BY 1, 2""",
     "route_notifications": "SELECT ticket_id, rule_id, pos, channel, severity, status, config FROM routed",
     "notification_outcomes": "SELECT * FROM outcomes",
+    "render_notifications": """
+SELECT t.id AS ticket_id, r.pos, r.channel,
+  CASE r.channel
+    WHEN 'webhook' THEN '{"alert":{"id":"' || t.id || '","title":"' || t.title || '","description":"' || t.description || '","severity":"' || t.priority
+      || '","status":"OPEN"' || coalesce(',"sourceId":"' || t.source_id || '"', '') || ',"createdAt":"' || strftime(t.created_at, '%Y-%m-%dT%H:%M:%S.%gZ')
+      || '"},"timestamp":"2024-02-01T00:00:00.000Z"}'
+    WHEN 'slack' THEN '{' || CASE WHEN r.config LIKE 'channel=%' THEN '"channel":"#ops",' ELSE '' END || '"attachments":[{"color":"' || c.color
+      || '","title":"' || chr(128680) || ' ' || t.title || '","text":"' || t.description || '","fields":[{"title":"Severity","value":"' || t.priority
+      || '","short":true},{"title":"Status","value":"OPEN","short":true},{"title":"Source","value":"' || coalesce(t.source_id, 'N/A')
+      || '","short":true},{"title":"Alert ID","value":"' || t.id || '","short":true}],"footer":"tallywatch","ts":"' || CAST(epoch(t.created_at) AS BIGINT) || '"}]}'
+    WHEN 'email' THEN t.description END AS body,
+  CASE WHEN r.channel = 'email' THEN '[' || t.priority || '] ' || t.title END AS subject,
+  CASE WHEN r.channel = 'slack' THEN c.color END AS color
+FROM routed r JOIN tickets t ON t.id = r.ticket_id
+JOIN (SELECT unnest(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL']) AS p, unnest(['#36a64f', '#daa038', '#ff6b35', '#cc0000']) AS color) c ON c.p = t.priority""",
     "incident_chain": """
 SELECT a.id AS alert_id, t.id AS ticket_id, a.rule_id, a.status AS alert_status, t.status AS ticket_status,
   coalesce(o.n, 0) AS notifications, coalesce(o.failed, 0) AS failed,
@@ -498,6 +513,12 @@ FROM (SELECT source_id, level, count(*) AS n, min(ts) AS a, max(ts) AS b FROM lo
 SELECT 'shown' AS part, log_id, CAST(NULL AS BIGINT) AS rows, CAST(NULL AS BIGINT) AS errors FROM (SELECT log_id FROM around ORDER BY ts DESC, log_id LIMIT 200)
 UNION ALL SELECT 'around', f.log_id, count(*), count(*) FILTER (l.level IN ('error', 'fatal'))
 FROM logs f JOIN logs l ON l.ts BETWEEN f.ts - INTERVAL 5 MINUTE AND f.ts + INTERVAL 5 MINUTE WHERE f.level = 'fatal' GROUP BY f.log_id""",
+    "score_batches": """
+SELECT 'batch-' || source_id AS analysis_id, source_id, CAST(sum(bad) AS BIGINT) || ' of ' || count(*) || ' lines are errors' AS summary,
+  CAST(round_even(100 * (1 - sum(bad) / count(*)), 0) AS DOUBLE) AS score
+FROM (SELECT source_id, CAST(level IN ('error', 'fatal') AS INTEGER) AS bad FROM logs
+      QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, log_id) <= 100) GROUP BY source_id
+UNION ALL SELECT 'single-' || log_id, source_id, 'Level: ' || level, CASE WHEN level IN ('error', 'fatal') THEN 0.9 ELSE 0.1 END FROM logs""",
     "rca_results": """
 SELECT 'rca' || c_custkey AS analysis_id, CASE WHEN c >= 0.7 THEN 'critical' ELSE 'warning' END AS severity, CAST(c AS DOUBLE) AS confidence,
   CASE WHEN k < 2 THEN 'Root cause analysis completed' ELSE c_mktsegment END AS summary,

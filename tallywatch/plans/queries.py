@@ -439,17 +439,24 @@ def rca_context(spark, d):
 def offline_scorer(context: str) -> str:
     """Deterministic stand-in for a model: counts the error lines of a context."""
     lines = context.split("\n")
-    bad = sum(line.startswith(("[ERROR]", "[FATAL]")) for line in lines)
+    bad = sum(line.startswith(("[ERROR]", "[FATAL]", "Level: error", "Level: fatal")) for line in lines)
+    if lines[0].startswith("Level: "):
+        anomaly = "true" if bad else "false"
+        return f'{{"isAnomaly": {anomaly}, "confidence": {0.9 if bad else 0.1}, "explanation": "{lines[0]}"}}'
     score = round(100 * (1 - bad / max(len(lines), 1)))
     return f'Result: {{"summary": "{bad} of {len(lines)} lines are errors", "healthScore": {score}}}'
 
 
 def score_batches(spark, d):
-    contexts = analysis.render_context(analysis.analysis_batches(frames.logs(spark, d))).withColumn(
-        "analysis_id", F.concat(F.lit("an-"), "source_id"))
-    scored = analysis.parse_responses(analysis.score_batches(contexts, offline_scorer))
-    return scored.select("analysis_id", "source_id", "summary", "health_score",
-                         analysis.summary_severity(F.col("health_score")).alias("severity"))
+    """Batches of every source, and every log alone."""
+    logs = frames.logs(spark, d)
+    contexts = analysis.render_context(analysis.analysis_batches(logs)).withColumn(
+        "analysis_id", F.concat(F.lit("batch-"), "source_id"))
+    batches = analysis.parse_responses(analysis.score_batches(contexts, offline_scorer))
+    singles = analysis.parse_single_responses(
+        analysis.score_batches(analysis.single_contexts(logs), offline_scorer))
+    return batches.select("analysis_id", "source_id", "summary", F.col("health_score").cast("double").alias("score")).unionByName(
+        singles.select("analysis_id", "source_id", F.col("explanation").alias("summary"), F.col("confidence").alias("score")))
 
 
 def rca_results(spark, d):

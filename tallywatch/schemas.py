@@ -122,6 +122,15 @@ BATCH_REPLY = T.StructType([
     T.StructField("healthScore", T.IntegerType()),
 ])
 
+SINGLE_REPLY = T.StructType([
+    T.StructField("isAnomaly", T.BooleanType()),
+    T.StructField("anomalyType", T.StringType()),
+    T.StructField("confidence", T.DoubleType()),
+    T.StructField("explanation", T.StringType()),
+    T.StructField("suggestedActions", T.ArrayType(T.StringType())),
+    T.StructField("relatedConcepts", T.ArrayType(T.StringType())),
+])
+
 ROOT_CAUSE_REPLY = T.StructType([
     T.StructField("probableCauses", T.ArrayType(T.StructType([
         T.StructField("cause", T.StringType()),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywatch import schemas
 from tallywatch.functions.once import with_fields
-from tallywatch.functions.running import running_total
+from tallywatch.functions.running import running_totals
 from tallywatch.functions.text import split_lines, strip
 from tallywatch.functions.timing import iso_to_ntz
 from tallywatch.sources.parse import parse_line, parse_syslog, resolve_format
@@ -200,9 +200,9 @@ def frame_lines(chunks: DataFrame, block_size: int = 1024) -> DataFrame:
     """
     with_counts = chunks.withColumn("_pieces", split_lines(F.col("chunk"))).withColumn(
         "_breaks", F.size("_pieces") - 1)
-    numbered = running_total(
-        with_counts, "stream_id", "seq", F.col("_breaks").cast("long"),
-        F.floor(F.col("seq") / block_size), "_before")
+    numbered = running_totals(
+        with_counts, "stream_id", "seq", F.floor(F.col("seq") / block_size),
+        {"_before": F.col("_breaks").cast("long")})
     ends = numbered.groupBy("stream_id").agg(F.max(F.col("_before") + F.col("_breaks")).alias("_end"))
     pieces = numbered.select(
         "stream_id", "seq", "_breaks", "_before", F.posexplode("_pieces").alias("_i", "_piece")
