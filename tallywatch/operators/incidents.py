@@ -38,17 +38,19 @@ def alert_stats(alerts: DataFrame, as_of: dt.datetime) -> DataFrame:
     sets = cells.groupingSets([["status"], ["severity"], []], "status", "severity").agg(
         F.grouping_id().alias("g"), F.sum("n").alias("n"), F.sum("recent").alias("recent"))
     kind = F.when(F.col("g") == 1, "status").when(F.col("g") == 2, "severity").otherwise("total")
+    def entry(kind: Column, name: Column, n: Column) -> Column:
+        return F.struct(kind.alias("kind"), name.cast("string").alias("name"), n.cast("long").alias("n"))
+
+    none = F.lit(None)
     # The grand-total row also carries the recent count.
-    pairs = F.when(F.col("g") == 0b11, F.array(
-        F.struct(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("name"), F.coalesce("n", F.lit(0)).alias("n")),
-        F.struct(F.lit("recent").alias("kind"), F.lit(None).cast("string").alias("name"), F.coalesce("recent", F.lit(0)).alias("n")),
-    )).otherwise(F.array(F.struct(
-        kind.alias("kind"), F.coalesce("status", "severity").alias("name"), F.col("n").alias("n"))))
-    present = sets.select(F.explode(pairs).alias("p")).select("p.kind", "p.name", "p.n")
-    statuses = alerts.sparkSession.range(1).select(
-        F.lit("status").alias("kind"), F.explode(F.array(*[F.lit(s) for s in schemas.ALERT_STATUSES])).alias("name"),
-        F.lit(0).cast("long").alias("n"))
-    return present.unionByName(statuses).groupBy("kind", "name").agg(F.sum("n").alias("n"))
+    found = F.when(F.col("g") == 0b11, F.array(
+        entry(F.lit("total"), none, F.col("n")), entry(F.lit("recent"), none, F.col("recent")),
+    )).otherwise(F.array(entry(kind, F.coalesce("status", "severity"), F.col("n"))))
+    # Zero rows: every status, and the totals of an empty table.
+    zeros = [entry(F.lit("status"), F.lit(s), F.lit(0)) for s in schemas.ALERT_STATUSES]
+    zeros += [entry(F.lit("total"), none, F.lit(0)), entry(F.lit("recent"), none, F.lit(0))]
+    filler = alerts.sparkSession.range(1).select(F.inline(F.array(*zeros)))
+    return sets.select(F.inline(found)).unionByName(filler).groupBy("kind", "name").agg(F.sum("n").alias("n"))
 
 
 def apply_alert_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:

@@ -155,7 +155,10 @@ class _Cooldown(StatefulProcessor):
                 last = at
         if last is not None:
             self._last.update((last.to_pydatetime(),))
-        yield pd.DataFrame({"rule_id": [key[0]] * len(kept), "triggered_at": kept})
+        yield pd.DataFrame({
+            "rule_id": pd.Series([key[0]] * len(kept), dtype="object"),
+            "triggered_at": pd.Series(kept, dtype="datetime64[ns]"),
+        })
 
     def close(self) -> None:
         pass
