@@ -333,12 +333,13 @@ def analysis_report(analyses: DataFrame, logs: DataFrame, latest: int = 5) -> Da
             F.col("n").cast("long").alias("n"), share.cast("double").alias("share"),
             rank.cast("int").alias("rank"))
 
-    # Ranked groups are few (texts of findings), after the counting.
-    by_count = Window.partitionBy("_s").orderBy(F.desc("n"))
-
     def ranked(df: DataFrame, title: str) -> DataFrame:
-        counted = df.groupBy("name").agg(F.count("*").alias("n")).withColumn("_s", F.lit(title))
-        return section(counted.withColumn("r", F.rank().over(by_count)), title, rank=F.col("r"))
+        """Counts with their rank; equal counts share one, so only distinct counts are put in order."""
+        counted = df.groupBy("name").agg(F.count("*").alias("n"))
+        ties = counted.groupBy("n").agg(F.count("*").alias("m"))
+        above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+        places = ties.select("n", (1 + F.coalesce(F.sum("m").over(above), F.lit(0))).alias("r"))
+        return section(counted.join(places, "n"), title, rank=F.col("r"))
 
     severities = ranked(analyses.select(F.col("severity").alias("name")), "severity")
     anomalies = ranked(analyses.select(F.explode("anomalies.description").alias("name")), "anomaly")
@@ -349,13 +350,12 @@ def analysis_report(analyses: DataFrame, logs: DataFrame, latest: int = 5) -> Da
     )
     covered = logs.select("log_id").join(
         analyses.select(F.explode("log_ids").alias("log_id")), "log_id", "left_semi").agg(F.count("*").alias("n"))
-    total = logs.agg(F.count("*").alias("t"))
-    coverage = covered.select(F.lit("analysed").alias("name"), "n", F.lit(1).alias("_k")).join(
-        total.withColumn("_k", F.lit(1)), "_k")
+    total = logs.agg(F.count("*").alias("t")).scalar()
+    coverage = covered.select(F.lit("analysed").alias("name"), "n", F.try_divide(F.col("n"), total).alias("s"))
     return (
         severities.unionByName(anomalies).unionByName(advice)
         .unionByName(section(newest, "latest"))
-        .unionByName(section(coverage, "coverage", share=F.try_divide(F.col("n"), F.col("t"))))
+        .unionByName(section(coverage, "coverage", share=F.col("s")))
     )
 
 

@@ -41,22 +41,23 @@ def with_organization(df: DataFrame, sources: DataFrame) -> DataFrame:
     return df.join(owner, "source_id")
 
 
-def usage_metering(logs: DataFrame, analyses: DataFrame) -> DataFrame:
+def usage_metering(logs: DataFrame, analyses: DataFrame, sources: DataFrame) -> DataFrame:
     """Bytes and logs ingested and analyses run, per organisation and month.
 
-    Bytes are the stored raw text, or the message where no raw text was kept.
+    Bytes are the stored raw text, or the message where no raw text was kept. Rows
+    are summed per source before the owner is looked up, so only sums are joined.
     """
     raw = F.col("raw_content") if "raw_content" in logs.columns else F.lit(None).cast("string")
     size = F.octet_length(F.coalesce(raw, F.col("message")))
-    month = "yyyy-MM"
-    stored = logs.groupBy("organization_id", F.date_format("ts", month).alias("period")).agg(
-        F.sum(size).cast("long").alias("bytes_ingested"), F.count("*").alias("logs_ingested"))
-    runs = analyses.groupBy("organization_id", F.date_format("created_at", month).alias("period")).agg(
-        F.count("*").alias("analyses_run"))
-    zero = F.lit(0).cast("long")
-    return stored.join(runs, ["organization_id", "period"], "full").select(
-        "organization_id", "period", *[
-            F.coalesce(c, zero).alias(c) for c in ("bytes_ingested", "logs_ingested", "analyses_run")])
+    month, zero = "yyyy-MM", F.lit(0).cast("long")
+    stored = logs.groupBy("source_id", F.date_format("ts", month).alias("period")).agg(
+        F.sum(size).cast("long").alias("bytes_ingested"), F.count("*").alias("logs_ingested"),
+        zero.alias("analyses_run"))
+    runs = analyses.groupBy("source_id", F.date_format("created_at", month).alias("period")).agg(
+        zero.alias("bytes_ingested"), zero.alias("logs_ingested"), F.count("*").alias("analyses_run"))
+    owned = with_organization(stored.unionByName(runs), sources)
+    return owned.groupBy("organization_id", "period").agg(*[
+        F.sum(c).alias(c) for c in ("bytes_ingested", "logs_ingested", "analyses_run")])
 
 
 def quota_check(usage: DataFrame, organizations: DataFrame) -> DataFrame:

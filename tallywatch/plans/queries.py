@@ -553,8 +553,8 @@ def _tenant_logs(spark, d) -> DataFrame:
 
 
 def _usage(spark, d) -> DataFrame:
-    analyses = tenancy.with_organization(frames.model_replies(spark, d), frames.log_sources(spark, d))
-    return tenancy.usage_metering(_tenant_logs(spark, d), analyses)
+    return tenancy.usage_metering(
+        frames.logs(spark, d), frames.model_replies(spark, d), frames.log_sources(spark, d))
 
 
 def _organizations(spark, d) -> DataFrame:

@@ -143,18 +143,19 @@ class _Cooldown(StatefulProcessor):
     """Remembers a rule's last kept trigger."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "at timestamp")
+        # Kept as microseconds, so no time zone of a worker can shift it.
+        self._last = handle.getValueState("last", "at_us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(rows).sort_values("at")
-        last = pd.Timestamp(self._last.get()[0]) if self._last.exists() else None
+        last = pd.Timestamp(self._last.get()[0], unit="us") if self._last.exists() else None
         kept = []
         for at, minutes in zip(frame["at"], frame["cooldown_minutes"]):
             if last is None or at >= last + pd.Timedelta(minutes=int(minutes)):
                 kept.append(at)
                 last = at
         if last is not None:
-            self._last.update((last.to_pydatetime(),))
+            self._last.update((last.value // 1000,))
         yield pd.DataFrame({
             "rule_id": pd.Series([key[0]] * len(kept), dtype="object"),
             "triggered_at": pd.Series(kept, dtype="datetime64[ns]"),

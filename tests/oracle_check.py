@@ -45,6 +45,9 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
 def compare(spark, con, name: str, sf_dir: str, queries, oracles) -> str | None:
     """None when equal, else what differs."""
     df = queries[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "NestedLoop" in plan or "Cartesian" in plan:
+        return "the plan joins without a key"
     mine = rows_of(df.columns, df.collect())
     answer = con.execute(oracles[name])
     columns = [c[0] for c in answer.description]

@@ -167,3 +167,16 @@ def test_quota_and_retention(spark):
                                   ("o2", "in2", T0 - dt.timedelta(days=90)), ("o2", "out2", T0 - dt.timedelta(days=91))],
                                  "organization_id string, log_id string, ts timestamp_ntz")
     assert {r["log_id"] for r in tenancy.apply_retention(logs, orgs, T0).collect()} == {"in", "in2"}
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    from tallywatch.sources.sinks import write_logs
+
+    write_logs(make_logs(spark, 50)[1], str(tmp_path / "logs"))
+    found = store.find_logs(spark.read.parquet(str(tmp_path / "logs")), source_id="hot", levels="error,fatal",
+                            start=T0, end=T0 + dt.timedelta(hours=6)).select("log_id", "ts")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.split("\n") if "FileScan" in line)
+    assert "EqualTo(source_id,hot)" in scan and "In(level, [error,fatal])" in scan and "GreaterThanOrEqual(ts" in scan
+    assert "PartitionFilters: [isnotnull(dt" in scan and "message" not in scan.split("ReadSchema")[1]
