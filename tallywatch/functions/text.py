@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallywatch.functions.once import bind
+
 # Characters removed by a trim of a raw line.
 BLANKS = " \t\n\r\x0b\x0c\u00a0\ufeff"
 
 # Masks that turn a message into its template, applied in this order.
 TEMPLATE_MASKS = [
-    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<id>"),
-    (r"[0-9]+(\.[0-9]+){3}", "<ip>"),
-    (r"[0-9]+", "<n>"),
+    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<id>", "-"),
+    (r"[0-9]+(\.[0-9]+){3}", "<ip>", "."),
+    (r"[0-9]+", "<n>", None),
 ]
 
 
@@ -32,11 +34,19 @@ def brace_block(text: Column) -> Column:
 
 
 def template_of(message: Column) -> Column:
-    """Message with ids, addresses and numbers masked."""
-    masked = message
-    for pattern, mark in TEMPLATE_MASKS:
-        masked = F.regexp_replace(masked, pattern, mark)
-    return masked
+    """Message with ids, addresses and numbers masked.
+
+    A mask is skipped when the text lacks the character every match must have.
+    """
+    def masked(text: Column, pattern: str, mark: str, needs: str | None) -> Column:
+        if needs is None:
+            return F.regexp_replace(text, pattern, mark)
+        return bind(text, lambda t: F.when(
+            F.contains(t, F.lit(needs)), F.regexp_replace(t, pattern, mark)).otherwise(t))
+
+    for pattern, mark, needs in TEMPLATE_MASKS:
+        message = masked(message, pattern, mark, needs)
+    return message
 
 
 def or_default(value: Column, default: str) -> Column:

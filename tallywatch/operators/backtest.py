@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tallywatch.functions.timing import MICROS_PER_MINUTE, as_ntz, within
 from tallywatch.operators.rules import (
-    ASKS, COOLDOWN_MINUTES, JUDGED, NO_ANSWERS, cell_matches, collect_answers, parse_rules, probes_of,
-    rule_profile, select_rules, total_over_sources, with_keyword_hits,
+    ASKS, COOLDOWN_MINUTES, JUDGED, NO_ANSWERS, collect_answers, parse_rules, probes_of, rule_profile,
+    select_rules, total_over_sources, with_keyword_hits,
 )
 
 
@@ -72,14 +72,18 @@ def backtest_rules(rules: DataFrame, logs: DataFrame, start: dt.datetime, end: d
     # which some window ends matter, so logs are first counted by these two.
     marks = sorted({1} | {step_us - w % step_us for w in profile.windows if w % step_us})
     place = " + ".join(f"cast(_phase >= {mark} AS int)" for mark in marks)
-    keys = ["level", "hits", "base", "place"]
     placed = with_keyword_hits(recent, chosen, profile).withColumn("_us", offset).withColumn(
         "_phase", F.expr(f"pmod(_us, {step_us}L)")).select(
         "source_id", "level", "hits",
         F.expr(f"(_us - _phase) div {step_us}L").alias("base"), F.expr(place).alias("place"))
-    cells = total_over_sources(
-        placed.groupBy("source_id", *keys).agg(F.count("*").alias("n")), keys
-    ).withColumnRenamed("scope", "_scope")
+
+    def cells(rows: DataFrame, facet: str) -> DataFrame:
+        keys = [facet, "base", "place"]
+        counted = rows.groupBy("source_id", *keys).agg(F.count("*").alias("n"))
+        return total_over_sources(counted, keys).withColumnRenamed("scope", "_scope")
+
+    by_level = cells(placed, "level")
+    by_word = cells(placed.select("*", F.explode("hits").alias("word")), "word")
 
     def by_window(value) -> Column:
         cases = " ".join(f"WHEN {w} THEN {value(w)}" for w in profile.windows)
@@ -90,8 +94,12 @@ def backtest_rules(rules: DataFrame, logs: DataFrame, start: dt.datetime, end: d
         "probe", "scope", "levels", "keyword",
         by_window(lambda w: w // step_us).cast("long").alias("_whole"),
         by_window(lambda w: marks.index(step_us - w % step_us) + 1 if w % step_us else len(marks) + 1).alias("_mark"))
-    touched = distinct.join(cells, F.col("scope").eqNullSafe(F.col("_scope"))).filter(
-        cell_matches(F.col("levels"), F.col("keyword"))).select(
+    same_scope = F.col("scope").eqNullSafe(F.col("_scope"))
+    asked_levels = F.col("levels").isNull() | F.array_contains("levels", F.col("level"))
+    taken = distinct.filter(F.col("keyword").isNull()).join(by_level, same_scope).filter(asked_levels).drop(
+        "level").unionByName(
+        distinct.join(by_word, same_scope & (F.col("keyword") == F.col("word"))).drop("word"))
+    touched = taken.select(
         "probe", "n",
         F.greatest(F.lit(0).cast("long"), F.col("base") + (F.col("place") >= 1).cast("long")).alias("enter"),
         (F.col("base") + F.col("_whole") + (F.col("place") >= F.col("_mark")).cast("long")).alias("leave"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallywatch import schemas
 from tallywatch.functions.levels import ERROR_LEVELS
-from tallywatch.functions.once import bind
+from tallywatch.functions.once import with_fields
 from tallywatch.functions.text import or_default
 from tallywatch.functions.timing import MICROS_PER_MINUTE, age_micros, as_ntz, within
 from tallywatch.session import materialize
@@ -143,10 +143,15 @@ def rule_profile(parsed: DataFrame) -> RuleProfile:
 # --- keywords ----------------------------------------------------------------
 
 def _inline_hits(words: list[str]) -> Column:
+    """Words of a short list that the message contains, as compiled comparisons."""
     if not words:
         return F.array().cast("array<string>")
-    table = F.array(*[F.lit(word) for word in sorted(words)])
-    return bind(F.lower("message"), lambda text: F.filter(table, lambda w: F.contains(text, w)))
+    no_word = "\0"
+    while no_word in words:
+        no_word += "\0"
+    text = F.col("_text")
+    found = [F.when(F.contains(text, F.lit(w)), F.lit(w)).otherwise(F.lit(no_word)) for w in sorted(words)]
+    return F.array_remove(F.array(*found), no_word)
 
 
 def with_keyword_hits(logs: DataFrame, parsed: DataFrame, profile: RuleProfile) -> DataFrame:
@@ -156,8 +161,11 @@ def with_keyword_hits(logs: DataFrame, parsed: DataFrame, profile: RuleProfile)
     matched through three-letter pieces: the first piece of a keyword must occur in
     the message, so pieces give an equality join and ``contains`` confirms it.
     """
+    # Both steps go through a generator, so neither text nor hits is computed again
+    # for every comparison or by a later filter or explode.
+    lowered = with_fields(logs, F.struct(F.lower("message").alias("_text")))
     if profile.keywords is not None:
-        return logs.withColumn("hits", _inline_hits(profile.keywords))
+        return with_fields(lowered, F.struct(_inline_hits(profile.keywords).alias("hits"))).drop("_text")
     distinct = keywords_of(parsed)
     short = [row[0] for row in distinct.filter(F.length("keyword") < GRAM).limit(MAX_INLINE + 1).collect()]
     if len(short) > MAX_INLINE:
@@ -174,9 +182,9 @@ def with_keyword_hits(logs: DataFrame, parsed: DataFrame, profile: RuleProfile)
     )
     empty = F.array().cast("array<string>")
     return (
-        logs.join(found, "log_id", "left")
+        lowered.join(found, "log_id", "left")
         .withColumn("hits", F.array_sort(F.concat(_inline_hits(short), F.coalesce("_found", empty))))
-        .drop("_found")
+        .drop("_found", "_text")
     )
 
 

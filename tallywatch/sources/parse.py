@@ -86,19 +86,33 @@ def syslog_year(month: Column, day: Column, clock: list[Column], arrival: Column
     def at(year: Column) -> Column:
         return F.try_make_timestamp_ntz(year, month_no, day.cast("int"), hour, minute, seconds)
 
-    this_year = at(F.year(arrival))
-    too_late = this_year > arrival + F.expr("INTERVAL 1 DAY")
-    return F.when(too_late, at(F.year(arrival) - 1)).otherwise(this_year)
+    latest = arrival + F.expr("INTERVAL 1 DAY")
+    return bind(at(F.year(arrival)), lambda now: F.when(now > latest, at(F.year(arrival) - 1)).otherwise(now))
 
 
 def _fields(line: Column, pattern: str, count: int) -> Column:
-    """First ``count`` groups of a full-line match; only the last one may contain a newline."""
+    """First ``count`` groups of a full-line match; only the last one may contain a newline.
+
+    One replacement gives all groups at once. A line that does not match stays as it
+    was, see ``_matched``.
+    """
     marks = "\n".join(f"${i}" for i in range(1, count + 1))
     return F.split(F.regexp_replace(line, pattern, marks), "\n", count)
 
 
+def _matched(parts: Column) -> Column:
+    """Did a line that starts with ``<`` match? Its first group is a number, so the mark is gone."""
+    return ~F.startswith(parts[0], F.lit("<"))
+
+
+def _if_matched(line: Column, parts: Column, build, arrival: Column) -> Column:
+    plain = parse_plain(line, arrival)
+    return F.when(F.startswith(line, F.lit("<")), bind(
+        parts, lambda p: F.when(_matched(p), build(p)).otherwise(plain))).otherwise(plain)
+
+
 def parse_rfc3164(line: Column, arrival: Column) -> Column:
-    """Older syslog form: priority, month-day-time, host, tag and message."""
+    """Older syslog form: priority, month-day-time, host, tag and message; else plain text."""
     def build(part: Column) -> Column:
         pri = part[0].cast("int")
         ts = syslog_year(part[1], part[2], [part[3], part[4], part[5]], arrival)
@@ -112,7 +126,7 @@ def parse_rfc3164(line: Column, arrival: Column) -> Column:
         level = severity_to_level(F.pmod(pri, F.lit(8)))
         return _parsed(level, part[9], F.coalesce(ts, arrival), metadata)
 
-    return bind(_fields(line, RFC3164, 10), build)
+    return _if_matched(line, _fields(line, RFC3164, 10), build, arrival)
 
 
 def parse_rfc5424(line: Column, arrival: Column) -> Column:
@@ -148,7 +162,7 @@ def parse_rfc5424(line: Column, arrival: Column) -> Column:
             F.map_concat(header, bind(F.regexp_extract(line, RFC5424, 7), structured)),
         )
 
-    return bind(_fields(line, RFC5424, 6), build)
+    return _if_matched(line, _fields(line, RFC5424, 6), build, arrival)
 
 
 def parse_plain(line: Column, arrival: Column) -> Column:
@@ -158,11 +172,8 @@ def parse_plain(line: Column, arrival: Column) -> Column:
 
 def parse_syslog(line: Column, arrival: Column) -> Column:
     """Either syslog form; a line in neither form is kept as plain text."""
-    return (
-        F.when(F.rlike(line, F.lit(r"^<\d{1,3}>1 ")) & F.rlike(line, F.lit(RFC5424)), parse_rfc5424(line, arrival))
-        .when(F.rlike(line, F.lit(RFC3164)), parse_rfc3164(line, arrival))
-        .otherwise(parse_plain(line, arrival))
-    )
+    newer = F.rlike(line, F.lit(r"^<\d{1,3}>1 "))
+    return F.when(newer, parse_rfc5424(line, arrival)).otherwise(parse_rfc3164(line, arrival))
 
 
 def resolve_format(name: Column) -> Column:
