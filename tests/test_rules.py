@@ -3,7 +3,6 @@ import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallywatch.operators import backtest, rules as engine
 
