@@ -72,9 +72,8 @@ def backtest_rules(rules: DataFrame, logs: DataFrame, start: dt.datetime, end: d
     # which some window ends matter, so logs are first counted by these two.
     marks = sorted({1} | {step_us - w % step_us for w in profile.windows if w % step_us})
     place = " + ".join(f"cast(_phase >= {mark} AS int)" for mark in marks)
-    placed = with_keyword_hits(recent, chosen, profile).withColumn("_us", offset).withColumn(
-        "_phase", F.expr(f"pmod(_us, {step_us}L)")).select(
-        "source_id", "level", "hits",
+    placed = recent.withColumn("_us", offset).withColumn("_phase", F.expr(f"pmod(_us, {step_us}L)")).select(
+        "log_id", "source_id", "level", "message",
         F.expr(f"(_us - _phase) div {step_us}L").alias("base"), F.expr(place).alias("place"))
 
     def cells(rows: DataFrame, facet: str) -> DataFrame:
@@ -83,7 +82,7 @@ def backtest_rules(rules: DataFrame, logs: DataFrame, start: dt.datetime, end: d
         return total_over_sources(counted, keys).withColumnRenamed("scope", "_scope")
 
     by_level = cells(placed, "level")
-    by_word = cells(placed.select("*", F.explode("hits").alias("word")), "word")
+    by_word = cells(with_keyword_hits(placed, chosen, profile).withColumn("word", F.explode("hits")), "word")
 
     def by_window(value) -> Column:
         cases = " ".join(f"WHEN {w} THEN {value(w)}" for w in profile.windows)

@@ -198,12 +198,14 @@ def tag_logs(logs: DataFrame, parsed: DataFrame, profile: RuleProfile, as_of: dt
 
 
 def total_over_sources(by_source: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts per source with the total over all sources added under a null scope."""
-    overall = by_source.groupBy(*keys).agg(F.sum("n").alias("n"))
-    return (
-        by_source.filter(F.col("source_id").isNotNull()).withColumnRenamed("source_id", "scope")
-        .unionByName(overall.withColumn("scope", F.lit(None).cast("string")))
-    )
+    """Counts per source with the total over all sources added under a null scope.
+
+    The counts are repeated under both scopes and summed again, so the logs behind
+    them are read once.
+    """
+    scopes = F.array_distinct(F.array(F.col("source_id"), F.lit(None).cast("string")))
+    return by_source.select(F.explode(scopes).alias("scope"), *keys, "n").groupBy("scope", *keys).agg(
+        F.sum("n").alias("n"))
 
 
 def cells_of(tagged: DataFrame) -> DataFrame:
