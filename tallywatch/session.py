@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,22 +18,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for written tables and stream checkpoints.
 
-    It lies in the folder named by ``spark.checkpoint.dir``. Only a local-mode
-    session may fall back to a temporary folder.
+    It lies in the folder named by ``spark.checkpoint.dir``, or else in the warehouse: both are
+    shared by all executors.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = _local_root()
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-@functools.cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="tallywatch-")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a (small) table to the shared folder and read it back.
 
