@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywatch.llm import exact_dedup, url_filter
+from tallywatch.llm import decontam, exact_dedup, lattice_lm, packing, quality, simhash, token_store, url_filter
 from tallywatch.llm.common import table
 
+# Folder of the public vocabularies.
+VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
 URL_RULES = [url_filter.Rule(*r) for r in (
     ("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))]
 # The tables hold no block list, so the listed keys are those of hosts with one of these labels.
@@ -53,11 +58,61 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
 """
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_digest(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/word_bpe_49k.json", end_id=2)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json", end_id=1)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/piece_bpe_32k.model")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = r"""
+WITH split AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark
+), item AS (
+  SELECT id, w, least(5, len(w)) AS size FROM split WHERE kind = 'b' AND len(w) > 0
+), item_shingle AS (
+  SELECT DISTINCT id AS item_id, size, array_to_string(w[i:i + size - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM item)
+), doc_shingle AS (
+  SELECT DISTINCT id AS doc_id, size, array_to_string(w[i:i + size - 1], ' ') AS s
+  FROM (SELECT split.*, size, unnest(range(1, len(w) - size + 2)) AS i FROM split, (SELECT DISTINCT size FROM item) WHERE kind = 'd' AND len(w) >= size)
+), sizes AS (SELECT item_id, count(*) AS item_shingles FROM item_shingle GROUP BY item_id),
+hits AS (SELECT doc_id, item_id, count(*) AS shared FROM doc_shingle JOIN item_shingle USING (size, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment
+FROM hits JOIN sizes USING (item_id) WHERE shared >= 0.8 * item_shingles
+"""
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_token_store": op4_token_store,
+    "op5_quality": op5_quality,
+    "op6_packing": op6_packing,
+    "op8_simhash": op8_simhash,
+    "op9_lattice_lm": op9_lattice_lm,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
     "op1_url_filter": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
+    "op10_decontamination": OP10_SQL,
 }
