@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywatch.llm import exact_dedup
+from tallywatch.llm import decontam, exact_dedup, packing, quality, simhash
 from tallywatch.llm.common import materialize, table
+from tallywatch.llm.queries import VOCABULARIES
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,10 +19,30 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.keep_one(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies (five-word shingles, similarity 0.8 or more) stays."""
+    return simhash.keep_dissimilar(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into training sequences."""
+    return packing.pack_documents(docs, f"{VOCABULARIES}/byte_bpe_50k.json", end_id=1)
+
+
 STAGES = [
+    ("quality", keep_good),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
 ]
 
+# Tokens and learned weights are outside SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywatch.session import materialize
 
-__all__ = ["documents", "ident", "materialize", "on_workers", "table", "words_of", "UPPER", "LOWER"]
+__all__ = ["bounded", "documents", "ident", "materialize", "on_workers", "table", "words_of", "UPPER", "LOWER"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,5 +44,7 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def spaces(pattern: str) -> re.Pattern:
-    return re.compile(pattern, re.ASCII)
+def bounded(ids: DataFrame, label: str, most: int = 1_000_000) -> DataFrame:
+    """A small table of ids, written and counted; it may be broadcast only up to ``most`` rows."""
+    written = materialize(ids, label)
+    return F.broadcast(written) if written.count() <= most else written

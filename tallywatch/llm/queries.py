@@ -7,12 +7,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywatch.llm import decontam, exact_dedup, lattice_lm, packing, quality, simhash, token_store, url_filter
+from tallywatch.llm import (
+    decontam, exact_dedup, lattice_lm, packing, quality, secret_scan, simhash, surrogates, token_store, url_filter)
 from tallywatch.llm.common import table
 
 # Folder of the public vocabularies.
 VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
+# Whoever holds the key can link surrogates; a deployment passes its own.
+SURROGATE_KEY = os.environ.get("SURROGATE_KEY", "a key for tests").encode()
+
 URL_RULES = [url_filter.Rule(*r) for r in (
     ("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))]
 # The tables hold no block list, so the listed keys are those of hosts with one of these labels.
@@ -58,6 +62,10 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
 """
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/word_bpe_49k.json", end_id=2)
 
@@ -70,6 +78,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json", end_id=1)
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -104,9 +116,11 @@ FROM hits JOIN sizes USING (item_id) WHERE shared >= 0.8 * item_shingles
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_token_store": op4_token_store,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op7_surrogates": op7_surrogates,
     "op8_simhash": op8_simhash,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_decontamination": op10_decontamination,
