@@ -23,7 +23,7 @@ def running_totals(df: DataFrame, group: str, order: str, block: Column,
     carried = per_block.select("_g", "_b", *[
         F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_c_{name}") for name in values])
     inside = Window.partitionBy(group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = staged.join(carried, (F.col(group) == F.col("_g")) & (F.col("_block") == F.col("_b")))
+    joined = staged.join(carried, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b")))
     totals = [
         (F.col(f"_c_{name}") + F.coalesce(F.sum(f"_v_{name}").over(inside), F.lit(0))).alias(name)
         for name in values

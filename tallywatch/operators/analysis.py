@@ -15,27 +15,36 @@ from tallywatch.functions.once import with_fields
 from tallywatch.functions.running import running_totals
 from tallywatch.functions.text import brace_block, or_default, template_of
 from tallywatch.functions.timing import as_ntz, minutes_before, within
+from tallywatch.session import materialize
 
-# Batch and sample sizes, text cut, context margin, and default texts.
-BATCH_LIMIT = 100
+# Batch sizes, context margin, and default texts.
+BATCH_SIZE = 100
 SUMMARY_HOURS = 24
-SUMMARY_LIMIT = 500
-CONTEXT_LIMIT = 200
+SUMMARY_SIZE = 500
+CONTEXT_SIZE = 200
 CONTEXT_MINUTES = 5
-MESSAGE_CUT = 200
 NO_DATA = "No data to analyze"
 DONE = "Analysis completed"
 ROOT_CAUSE_DONE = "Root cause analysis completed"
 NO_JSON = "Analysis failed: No valid JSON found in response"
 BAD_JSON = "Analysis failed: invalid JSON in response"
+FAILED = "Analysis failed"
 
 
 # --- choosing and rendering logs ---------------------------------------------
 
-def analysis_batches(logs: DataFrame, limit: int = BATCH_LIMIT) -> DataFrame:
-    """Latest ``limit`` logs of every source, numbered from the newest (a group limit, not a sort of all)."""
-    newest = Window.partitionBy("source_id").orderBy(F.desc("ts"), F.asc("log_id"))
-    return logs.withColumn("pos", F.row_number().over(newest)).filter(F.col("pos") <= limit)
+def analysis_batches(logs: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+    """Every log with its ``batch_no`` (from 0) and ``pos`` (from 1) inside it, newest first per source.
+
+    Rows are numbered hour by hour with a carry over the hours, so a busy source is no
+    single group.
+    """
+    us = F.timestamp_diff("MICROSECOND", as_ntz(dt.datetime(1970, 1, 1)), F.col("ts"))
+    ordered = logs.withColumn("_order", F.struct((-us).alias("us"), F.col("log_id").alias("id")))
+    hour = F.floor(F.col("_order.us") / 3_600_000_000)
+    numbered = running_totals(ordered, "source_id", "_order", hour, {"_before": F.lit(1)})
+    return numbered.withColumn("batch_no", F.floor(F.col("_before") / size)).withColumn(
+        "pos", F.pmod("_before", F.lit(size)) + 1).drop("_order", "_before")
 
 
 def empty_analyses(requests: DataFrame, batches: DataFrame) -> DataFrame:
@@ -50,24 +59,21 @@ def empty_analyses(requests: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def context_line(with_time: bool = False) -> Column:
-    """One log as text: level, id and message; the short form cuts long messages."""
+    """One log as text: level, id and whole message, optionally with its time."""
     head = F.concat(F.lit("["), F.upper("level"), F.lit("] "), "log_id", F.lit(": "))
     if with_time:
         stamp = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] "))
         return F.concat(stamp, head, F.coalesce("message", F.lit("")))
-    cut = F.when(
-        F.length("message") > MESSAGE_CUT, F.concat(F.left("message", F.lit(MESSAGE_CUT)), F.lit("..."))
-    ).otherwise(F.coalesce("message", F.lit("")))
-    return F.concat(head, cut)
+    return F.concat(head, F.coalesce("message", F.lit("")))
 
 
-def render_context(batches: DataFrame, with_time: bool = False, max_lines: int = BATCH_LIMIT) -> DataFrame:
-    """Context text per source from numbered batch rows (at most ``max_lines`` lines each)."""
-    lines = batches.filter(F.col("pos") <= max_lines).select(
-        "source_id", F.struct("pos", context_line(with_time).alias("line"), "log_id").alias("l"))
+def render_context(batches: DataFrame, with_time: bool = False) -> DataFrame:
+    """Context text of every batch, one line per log."""
+    lines = batches.select(
+        "source_id", "batch_no", F.struct("pos", context_line(with_time).alias("line"), "log_id").alias("l"))
     ordered = F.array_sort(F.collect_list("l"))
-    return lines.groupBy("source_id").agg(ordered.alias("ls")).select(
-        "source_id", F.size("ls").alias("lines"),
+    return lines.groupBy("source_id", "batch_no").agg(ordered.alias("ls")).select(
+        "source_id", "batch_no", F.size("ls").alias("lines"),
         F.transform("ls", lambda l: l["log_id"]).alias("log_ids"),
         F.array_join(F.transform("ls", lambda l: l["line"]), "\n").alias("context"))
 
@@ -157,28 +163,38 @@ def rca_results(replies: DataFrame) -> DataFrame:
 
 # --- scoring -----------------------------------------------------------------
 
-Scorer = Callable[[str], str]
+Scorer = Callable[[list[str]], list[str]]
 
 
-def score_batches(contexts: DataFrame, scorer: Scorer, parallelism: int | None = None) -> DataFrame:
-    """Run a user-given scorer (context text to reply text) over contexts.
+def score_batches(contexts: DataFrame, scorer: Scorer, parallelism: int | None = None, at_once: int = 256) -> DataFrame:
+    """Run a user-given scorer (context texts to as many reply texts) over contexts.
 
-    Contexts are spread evenly first, as scoring is the slow step. A failing scorer
-    gives a reply without braces, which the reply parsers turn into an error result.
+    The scorer gets up to ``at_once`` contexts a call. Contexts are spread by their
+    size first, or over ``parallelism`` tasks. When a call fails, its contexts are
+    tried one by one; those that still fail have no reply, which the parsers turn into
+    an error result, and ``scorer_error`` tells why.
     """
+    def attempt(texts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            replies = scorer(texts)
+            if len(replies) != len(texts):
+                raise ValueError(f"{len(replies)} replies to {len(texts)} contexts")
+        except Exception as problem:  # noqa: BLE001 - kept in the error column
+            if len(texts) > 1:
+                return [found for text in texts for found in attempt([text])]
+            return [(None, f"{type(problem).__name__}: {problem}")]
+        return [(reply, None) for reply in replies]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            replies = []
-            for text in frame["context"]:
-                try:
-                    replies.append(scorer(text))
-                except Exception as problem:  # noqa: BLE001 - any scorer error becomes an error result
-                    replies.append(f"scorer failed: {type(problem).__name__}")
-            yield frame[["analysis_id", "source_id"]].assign(reply=replies)
+            for start in range(0, len(frame), at_once):
+                part = frame.iloc[start:start + at_once]
+                replies, errors = zip(*attempt(part["context"].tolist()), strict=True)
+                yield part[["analysis_id", "source_id"]].assign(reply=list(replies), scorer_error=list(errors))
 
-    tasks = parallelism or contexts.sparkSession.sparkContext.defaultParallelism
-    return contexts.select("analysis_id", "source_id", "context").repartition(tasks, "analysis_id").mapInPandas(
-        run, "analysis_id string, source_id string, reply string")
+    asked = contexts.select("analysis_id", "source_id", "context")
+    spread = asked.repartition(parallelism, "analysis_id") if parallelism else asked.hint("rebalance")
+    return spread.mapInPandas(run, "analysis_id string, source_id string, reply string, scorer_error string")
 
 
 def single_contexts(logs: DataFrame) -> DataFrame:
@@ -201,7 +217,7 @@ def parse_single_responses(replies: DataFrame) -> DataFrame:
         *[c for c in replies.columns if c != "reply"],
         F.coalesce(r["isAnomaly"], F.lit(False)).alias("is_anomaly"), r["anomalyType"].alias("anomaly_type"),
         F.coalesce(r["confidence"], F.lit(0.0)).alias("confidence"),
-        F.when(unread, "Analysis failed").otherwise(F.coalesce(r["explanation"], F.lit(""))).alias("explanation"),
+        F.when(unread, FAILED).otherwise(F.coalesce(r["explanation"], F.lit(""))).alias("explanation"),
         F.coalesce(r["suggestedActions"], empty).alias("suggested_actions"),
         F.coalesce(r["relatedConcepts"], empty).alias("related_concepts"))
 
@@ -221,10 +237,10 @@ def summarize_window(logs: DataFrame, as_of: dt.datetime, hours: float = SUMMARY
     )
 
 
-def summary_sample(logs: DataFrame, as_of: dt.datetime, hours: float = SUMMARY_HOURS,
-                   limit: int = SUMMARY_LIMIT) -> DataFrame:
-    """The newest logs of the window that a scorer gets to read, per source."""
-    return analysis_batches(within(logs, minutes_before(as_of, hours * 60), as_of), limit)
+def summary_pieces(logs: DataFrame, as_of: dt.datetime, hours: float = SUMMARY_HOURS,
+                   size: int = SUMMARY_SIZE) -> DataFrame:
+    """All logs of the window in numbered pieces for a scorer, newest first per source."""
+    return analysis_batches(within(logs, minutes_before(as_of, hours * 60), as_of), size)
 
 
 def _envelope(logs: DataFrame, error_ids: DataFrame) -> DataFrame:
@@ -245,17 +261,19 @@ def rca_window(logs: DataFrame, error_ids: DataFrame) -> DataFrame:
     return within(logs, lo, hi)
 
 
-def rca_context(logs: DataFrame, error_ids: DataFrame, limit: int = CONTEXT_LIMIT) -> DataFrame:
-    """The newest ``limit`` logs of the envelope, as shown to a scorer."""
-    return rca_window(logs, error_ids).orderBy(F.desc("ts"), "log_id").limit(limit)
+def rca_context(logs: DataFrame, error_ids: DataFrame, size: int = CONTEXT_SIZE) -> DataFrame:
+    """All logs of the envelope in numbered pieces for a scorer, newest first per source."""
+    return analysis_batches(rca_window(logs, error_ids), size)
 
 
 def context_per_error(logs: DataFrame, errors: DataFrame, minutes: int = CONTEXT_MINUTES) -> DataFrame:
     """Counts around each error log: rows and errors of any source within the margin.
 
-    A range join would pair every error with every row near it. Instead, each error
-    asks for the running totals at both ends of its margin and takes the difference;
-    the totals are kept second by second, so no task holds more than one second.
+    A range join would pair every error with every row near it. Instead, time is cut
+    into buckets as wide as the margin. Around an error lie its own bucket, the end of
+    the one before and the start of the one after: whole buckets are looked up, parts
+    are running totals inside a bucket, kept second by second. No key holds more than
+    one bucket.
     """
     width = minutes * 60 * 1_000_000
     epoch = as_ntz(dt.datetime(1970, 1, 1))
@@ -272,13 +290,18 @@ def context_per_error(logs: DataFrame, errors: DataFrame, minutes: int = CONTEXT
         F.struct((micros("ts") - width).alias("us"), F.lit(-1).alias("kind")),
         F.struct((micros("ts") + width).alias("us"), F.lit(1).alias("kind")),
     )).alias("q")).select("q.us", "q.kind", zero.alias("n"), zero.alias("e"), "log_id")
+    bucket = F.floor(F.col("us") / width)
     line = points.unionByName(ends).select(
-        F.lit(0).alias("all"), F.struct("us", "kind").alias("at"), "us", "kind", "n", "e", "log_id")
+        bucket.alias("bucket"), F.struct("us", "kind").alias("at"), "us", "kind", "n", "e", "log_id")
     totals = running_totals(
-        line, "all", "at", F.floor(F.col("us") / 1_000_000), {"rows": F.col("n"), "bad": F.col("e")})
-    return totals.filter(F.col("log_id").isNotNull()).groupBy("log_id").agg(
-        F.sum(F.col("kind") * F.col("rows")).alias("context_rows"),
-        F.sum(F.col("kind") * F.col("bad")).alias("context_errors"))
+        line, "bucket", "at", F.floor(F.col("us") / 1_000_000), {"rows": F.col("n"), "bad": F.col("e")})
+    parts = totals.filter(F.col("log_id").isNotNull()).select(
+        "log_id", (F.col("kind") * F.col("rows")).alias("rows"), (F.col("kind") * F.col("bad")).alias("bad"))
+    own = F.floor(micros("ts") / width)
+    asked = errors.select("log_id", F.explode(F.array(own - 1, own)).alias("bucket"))
+    whole = points.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("rows"), F.sum("e").alias("bad"))
+    return parts.unionByName(asked.join(whole, "bucket").select("log_id", "rows", "bad")).groupBy("log_id").agg(
+        F.sum("rows").alias("context_rows"), F.sum("bad").alias("context_errors"))
 
 
 def rca_timeline(window: DataFrame) -> DataFrame:
@@ -384,18 +407,20 @@ def detect_error_spikes(logs: DataFrame, bucket: str = "1 hour", history: int =
     ).select("source_id", F.col("w.start").alias("bucket_start"), "n", "errors", "mean", "deviation")
 
 
-def mine_patterns(logs: DataFrame, samples: int = 3) -> DataFrame:
-    """Message templates with count, share, significance and the lowest sample ids."""
-    typed = logs.select("log_id", template_of(F.col("message")).alias("template"))
-    counts = typed.groupBy("template").agg(F.count("*").alias("occurrences"))
-    total = logs.agg(F.count("*").alias("t")).scalar()
-    lowest = Window.partitionBy("template").orderBy("log_id")
-    sampled = typed.withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") <= samples)
-    ids = sampled.groupBy("template").agg(F.array_sort(F.collect_list("log_id")).alias("log_ids"))
-    share = F.col("occurrences") / total
+def pattern_logs(logs: DataFrame) -> DataFrame:
+    """``(template, log_id)`` of every log: which rows a template stands for."""
+    return logs.select(template_of(F.col("message")).alias("template"), "log_id")
+
+
+def mine_patterns(logs: DataFrame) -> DataFrame:
+    """Message templates with count, share and significance, from one read of the logs.
+
+    The counts are written once; their sum is the number of logs.
+    """
+    counts = materialize(pattern_logs(logs).groupBy("template").agg(F.count("*").alias("occurrences")), "templates")
+    share = F.col("occurrences") / counts.agg(F.sum("occurrences").alias("t")).scalar()
     significance = F.when(share >= 0.1, "high").when(share >= 0.01, "medium").otherwise("low")
-    return counts.join(ids, "template").select(
-        "template", "occurrences", share.alias("share"), significance.alias("significance"), "log_ids")
+    return counts.select("template", "occurrences", share.alias("share"), significance.alias("significance"))
 
 
 def detect_bursts(logs: DataFrame, gap: str = "10 minutes", min_count: int = 5) -> DataFrame:

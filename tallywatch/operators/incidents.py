@@ -56,7 +56,8 @@ def alert_stats(alerts: DataFrame, as_of: dt.datetime) -> DataFrame:
 def apply_alert_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     """Alert state after an action log ``(alert_id, action, actor, notes, at, action_id)``.
 
-    Any state may follow any other, so the last action sets the status. The
+    The stored state is continued: what no action sets stays as it is. Any state may
+    follow any other, so the last action sets the status. The
     acknowledger is the actor of the last acknowledge, or else of the first resolve.
     The notes are the last ones given with an acknowledge or a resolve.
     """
@@ -77,13 +78,20 @@ def apply_alert_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:
         .when(F.col("last_action") == "resolve", "resolved")
         .when(F.col("last_action") == "silence", "silenced")
     )
-    by = F.coalesce("ack", "first_res")
-    fresh = alerts.select("id", "severity", "source_id", "created_at")
-    return fresh.join(folded, fresh["id"] == folded["alert_id"], "left").select(
+    kinds = {"status": "string", "acknowledged_by": "string", "acknowledged_at": "timestamp_ntz",
+             "resolved_at": "timestamp_ntz", "resolution_notes": "string"}
+    stored = alerts.select("id", "severity", "source_id", "created_at", *[
+        (F.col(c) if c in alerts.columns else F.lit(None).cast(kind)).alias(f"_{c}") for c, kind in kinds.items()])
+    # A resolve names an acknowledger only when nobody has acknowledged before.
+    unseen = F.col("_acknowledged_by").isNull() & F.col("_acknowledged_at").isNull()
+    by = F.coalesce("ack", F.when(unseen, F.col("first_res")))
+    return stored.join(folded, stored["id"] == folded["alert_id"], "left").select(
         "id", "severity", "source_id", "created_at",
-        F.coalesce(status, F.lit("active")).alias("status"),
-        by["actor"].alias("acknowledged_by"), by["at"].alias("acknowledged_at"), "resolved_at",
-        "resolution_notes",
+        F.coalesce(status, F.col("_status"), F.lit("active")).alias("status"),
+        F.when(by.isNull(), F.col("_acknowledged_by")).otherwise(by["actor"]).alias("acknowledged_by"),
+        F.when(by.isNull(), F.col("_acknowledged_at")).otherwise(by["at"]).alias("acknowledged_at"),
+        F.coalesce("resolved_at", "_resolved_at").alias("resolved_at"),
+        F.coalesce("resolution_notes", "_resolution_notes").alias("resolution_notes"),
         F.coalesce("n_actions", F.lit(0)).alias("n_actions"),
     )
 

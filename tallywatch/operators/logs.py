@@ -44,6 +44,11 @@ def count_logs(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("total"))
 
 
+def page_with_total(found: DataFrame, page: int = 1, limit: int = 50, sort_order: str = "DESC") -> DataFrame:
+    """One page with ``total``, the number of rows before any page limit."""
+    return page_logs(found, page, limit, sort_order).withColumn("total", count_logs(found).scalar())
+
+
 def page_logs(found: DataFrame, page: int = 1, limit: int = 50, sort_order: str = "DESC") -> DataFrame:
     """One page by time, ties by id (a top-k plan, no full sort)."""
     key = F.desc("ts") if sort_order.upper() == "DESC" else F.asc("ts")

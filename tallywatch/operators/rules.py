@@ -15,7 +15,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch import schemas
@@ -38,7 +38,8 @@ DEFAULT_DESCRIPTION = "Alert rule conditions were met"
 # Most distinct windows or keywords that are tested inside one expression.
 MAX_INLINE = 512
 GRAM = 3
-SALTS = 16
+# Rows of the busiest scope that one salted task takes in a join with rules.
+ROWS_PER_SALT = 1_000_000
 
 
 # --- rules and conditions ----------------------------------------------------
@@ -75,7 +76,7 @@ def parse_rules(rules: DataFrame) -> DataFrame:
             'levels', array_sort(array_distinct(transform(
                 CASE WHEN startswith(ltrim(c.params.levels), '[') THEN from_json(c.params.levels, 'array<string>')
                      ELSE split(c.params.levels, ',') END, v -> lower(trim(v))))),
-            'keywords', coalesce(c.params.keywords, cast(array() AS array<string>)),
+            'keywords', filter(coalesce(c.params.keywords, cast(array() AS array<string>)), k -> k IS NOT NULL),
             'match_all', coalesce(c.params.matchAll, false),
             'min_confidence', c.params.minConfidence,
             'anomaly_types', c.params.anomalyTypes))""")).drop("_c")
@@ -194,24 +195,26 @@ def tag_logs(logs: DataFrame, parsed: DataFrame, profile: RuleProfile, as_of: dt
     """Logs inside the longest window with their window class and keyword hits."""
     recent = within(logs, as_of - dt.timedelta(microseconds=profile.longest_us), as_of)
     aged = with_keyword_hits(recent, parsed, profile).withColumn("age_us", age_micros(F.col("ts"), as_of))
-    return aged.select("log_id", "source_id", "ts", "level", "hits", profile.class_of("age_us").alias("class_us"))
+    return aged.select("log_id", "source_id", "ts", "age_us", "level", "hits", profile.class_of("age_us").alias("class_us"))
 
 
-def total_over_sources(by_source: DataFrame, keys: list[str]) -> DataFrame:
+def total_over_sources(by_source: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """Counts per source with the total over all sources added under a null scope.
 
     The counts are repeated under both scopes and summed again, so the logs behind
-    them are read once.
+    them are read once. ``more``: further aggregates over the repeated rows.
     """
     scopes = F.array_distinct(F.array(F.col("source_id"), F.lit(None).cast("string")))
-    return by_source.select(F.explode(scopes).alias("scope"), *keys, "n").groupBy("scope", *keys).agg(
-        F.sum("n").alias("n"))
+    return by_source.withColumn("scope", F.explode(scopes)).groupBy("scope", *keys).agg(
+        F.sum("n").alias("n"), *more)
 
 
 def cells_of(tagged: DataFrame) -> DataFrame:
-    """Counts per (scope, level, class, hits)."""
+    """Counts per (scope, level, class, hits), each with its first row: the newest, then the lowest id."""
     keys = ["level", "class_us", "hits"]
-    return total_over_sources(tagged.groupBy("source_id", *keys).agg(F.count("*").alias("n")), keys)
+    first = F.struct("age_us", "log_id")
+    by_source = tagged.groupBy("source_id", *keys).agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    return total_over_sources(by_source, keys, F.min("first").alias("first"))
 
 
 # --- probes ------------------------------------------------------------------
@@ -377,7 +380,13 @@ exists(asks, a -> class_us <= a.window_us
     AND (a.keyword IS NULL OR array_contains(hits, a.keyword)))"""
 
 
-def _rows_of_selectors(selectors: DataFrame, rows: DataFrame) -> DataFrame:
+def salts_for(cells: DataFrame) -> int:
+    """How many ways to split the busiest scope, which is all sources together (one row is read)."""
+    rows = cells.filter(F.col("scope").isNull()).agg(F.sum("n")).first()[0]
+    return 1 + (rows or 0) // ROWS_PER_SALT
+
+
+def _rows_of_selectors(selectors: DataFrame, rows: DataFrame, salts: int) -> DataFrame:
     """(selector, log_id, ts) for every row a selector takes; each pair once.
 
     Rows count under their source and under the total scope. A salt from the row id
@@ -385,31 +394,19 @@ def _rows_of_selectors(selectors: DataFrame, rows: DataFrame) -> DataFrame:
     """
     scopes = F.array_distinct(F.array(F.col("source_id"), F.lit(None).cast("string")))
     scoped = rows.withColumn("_scope", F.explode(scopes)).withColumn(
-        "_row_salt", F.pmod(F.xxhash64("log_id"), F.lit(SALTS)).cast("int"))
-    salted = selectors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        "_row_salt", F.pmod(F.xxhash64("log_id"), F.lit(salts)).cast("int"))
+    salted = selectors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = scoped.join(
         salted, F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("_salt") == F.col("_row_salt")))
     return joined.filter(F.expr(ANY_ASK)).select("selector", "log_id", "ts")
 
 
 def _matched_counts(selectors: DataFrame, cells: DataFrame) -> DataFrame:
-    """Exact number of distinct rows per selector, from the cells alone."""
+    """Exact number of distinct rows per selector and the first of them, from the cells alone."""
     joined = selectors.join(
         cells.withColumnRenamed("scope", "_scope"), F.col("scope").eqNullSafe(F.col("_scope")))
-    return joined.filter(F.expr(ANY_ASK)).groupBy("selector").agg(F.sum("n").alias("matched_count"))
-
-
-def _top_rows(selectors: DataFrame, tagged: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    """First ``limit`` rows per selector in the given order.
-
-    Each cell is cut to its own first rows before, which cannot lose one of a
-    selector's; both cuts are group limits that also run ahead of the shuffle.
-    """
-    cell = Window.partitionBy("source_id", "level", "class_us", "hits").orderBy(*order)
-    low = tagged.withColumn("_r", F.row_number().over(cell)).filter(F.col("_r") <= limit).drop("_r")
-    per_selector = Window.partitionBy("selector").orderBy(*order)
-    return _rows_of_selectors(selectors, low).withColumn(
-        "_r", F.row_number().over(per_selector)).filter(F.col("_r") <= limit)
+    return joined.filter(F.expr(ANY_ASK)).groupBy("selector").agg(
+        F.sum("n").alias("matched_count"), F.min("first").alias("first"))
 
 
 def matched_logs(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
@@ -421,22 +418,24 @@ def matched_logs(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
     """
     parsed = parse_rules(rules.filter(~in_cooldown(as_of)))
     tagged = tag_logs(logs, parsed, rule_profile(parsed), as_of)
-    state = with_matches(judge_rules(parsed, cells_of(tagged), anomalies, as_of)).select(
+    cells = materialize(cells_of(tagged), "rule-cells")
+    state = with_matches(judge_rules(parsed, cells, anomalies, as_of)).select(
         F.col("id").alias("rule_id"), "selector")
     state = materialize(state, "rule-selectors")
-    pairs = _rows_of_selectors(_selectors(state, "selector"), tagged)
+    pairs = _rows_of_selectors(_selectors(state, "selector"), tagged, salts_for(cells))
     return state.join(pairs, "selector").select("rule_id", "log_id")
 
 
 def evaluate_rules(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
                    source_id: str | None = None, anomalies: DataFrame | None = None,
-                   max_ids: int = 1000, any_status: bool = False) -> DataFrame:
-    """One row per rule: verdict, exact match count, lowest matched ids, first match, reason.
+                   any_status: bool = False) -> DataFrame:
+    """One row per rule: verdict, exact match count, first match, reason.
 
     A rule without conditions triggers. Windows are closed at both ends by ``as_of``.
     The first match (of the lowest condition position, then newest, then lowest id)
-    is the log a ticket points at. Cells and rule states are small; they are written
-    once, because several later steps read them.
+    is the log a ticket points at; all matches are rows of ``matched_logs``. The logs
+    are read once, into the cells; cells and rule states are written, because several
+    later steps read them.
     """
     chosen = rules if any_status else select_rules(rules, source_id)
     gated = cooldown_gate(chosen, as_of)
@@ -446,26 +445,21 @@ def evaluate_rules(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
     state = materialize(with_matches(judge_rules(parsed, cells, anomalies, as_of)).select(
         F.col("id").alias("rule_id"), "first_miss", "selector", "first_selector"), "rule-state")
 
-    selectors = _selectors(state, "selector")
-    ids = _top_rows(selectors, tagged, [F.asc("log_id")], max_ids).groupBy("selector").agg(
-        F.array_sort(F.collect_list("log_id")).alias("matched_logs"))
-    firsts = _top_rows(
-        _selectors(state, "first_selector"), tagged, [F.desc("ts"), F.asc("log_id")], 1
-    ).select(F.col("selector").alias("first_selector"), F.col("log_id").alias("first_log_id"))
+    counts = _matched_counts(_selectors(state, "selector"), cells).drop("first")
+    firsts = _matched_counts(_selectors(state, "first_selector"), cells).select(
+        F.col("selector").alias("first_selector"), F.col("first.log_id").alias("first_log_id"))
     base = gated.select(
         F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "source_id", "severity",
         "description", "suppressed")
     out = (
         base.join(state, "rule_id", "left")
-        .join(_matched_counts(selectors, cells), "selector", "left")
-        .join(ids, "selector", "left").join(firsts, "first_selector", "left")
+        .join(counts, "selector", "left").join(firsts, "first_selector", "left")
     )
     triggered = ~F.col("suppressed") & F.col("first_miss").isNull()
     return out.select(
         "rule_id", "rule_name", "source_id", "severity", "description",
         triggered.alias("triggered"),
         F.coalesce("matched_count", F.lit(0)).cast("long").alias("matched_count"),
-        F.coalesce("matched_logs", F.array().cast("array<string>")).alias("matched_logs"),
         "first_log_id",
         F.when(F.col("suppressed"), IN_COOLDOWN).when(triggered, ALL_MET).otherwise(NOT_ALL_MET).alias("reason"),
     )
@@ -483,11 +477,11 @@ test_rule.__test__ = False
 
 
 def trigger_alerts(results: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """One active alert per triggered rule."""
+    """One active alert per triggered rule; its logs are the rows of ``alert_logs``."""
     stamp = as_of.strftime("%Y%m%d%H%M%S%f")
     return results.filter("triggered").select(
         F.concat(F.lit("alert-"), "rule_id", F.lit("-" + stamp)).alias("id"),
-        "rule_id", "source_id", F.col("matched_logs").alias("log_ids"),
+        "rule_id", "source_id",
         F.concat(F.lit(TITLE_PREFIX), "rule_name").alias("title"),
         F.coalesce(F.nullif("description", F.lit("")), or_default(F.col("reason"), DEFAULT_DESCRIPTION)).alias("description"),
         "severity", F.lit("active").alias("status"),
@@ -498,6 +492,11 @@ def trigger_alerts(results: DataFrame, as_of: dt.datetime) -> DataFrame:
     )
 
 
+def alert_logs(alerts: DataFrame, matches: DataFrame) -> DataFrame:
+    """``(alert_id, log_id)``: every log behind each alert, from the match table of the same evaluation."""
+    return matches.join(alerts.select(F.col("id").alias("alert_id"), "rule_id"), "rule_id").select("alert_id", "log_id")
+
+
 def create_alerts(manual: DataFrame) -> DataFrame:
     """Manual alerts: always active, optional references kept."""
     optional = {"rule_id": "string", "source_id": "string", "analysis_id": "string", "log_ids": "array<string>"}

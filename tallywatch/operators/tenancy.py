@@ -18,6 +18,7 @@ PLANS = [
     ("enterprise", None, None, None, None, 90),
 ]
 OVERAGE_PER_GB = 0.50
+UNOWNED = "unowned"
 BYTES_PER_GB = 1_000_000_000
 
 
@@ -36,9 +37,10 @@ def tenant_scope(df: DataFrame, org_id: str) -> DataFrame:
 
 
 def with_organization(df: DataFrame, sources: DataFrame) -> DataFrame:
-    """Add the organisation that owns each row's source."""
+    """Add the organisation that owns each row's source; rows of unregistered sources are ``unowned``."""
     owner = sources.select(F.col("id").alias("source_id"), F.col("owner_id").alias("organization_id"))
-    return df.join(owner, "source_id")
+    return df.join(owner, "source_id", "left").withColumn(
+        "organization_id", F.coalesce("organization_id", F.lit(UNOWNED)))
 
 
 def usage_metering(logs: DataFrame, analyses: DataFrame, sources: DataFrame) -> DataFrame:
@@ -82,14 +84,12 @@ def quota_check(usage: DataFrame, organizations: DataFrame) -> DataFrame:
 def apply_retention(logs: DataFrame, organizations: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Logs young enough for their organisation's plan.
 
-    The longest plan bounds the scan; shorter ones are checked per row.
+    What cannot be judged is kept: logs of unknown organisations, and of unknown or missing plans.
     """
-    longest = max(row[5] for row in PLANS)
-    recent = logs.filter(F.col("ts") >= as_ntz(as_of - dt.timedelta(days=longest)))
     days = plan_value(F.col("plan"), 5, "int")
     plans = organizations.select("organization_id", "plan")
-    return recent.join(plans, "organization_id").filter(
-        F.col("ts") >= as_ntz(as_of) - F.make_dt_interval(days)).drop("plan")
+    young = F.col("ts") >= as_ntz(as_of) - F.make_dt_interval(days)
+    return logs.join(plans, "organization_id", "left").filter(days.isNull() | young).drop("plan")
 
 
 def severity_heatmap(alerts: DataFrame) -> DataFrame:

@@ -139,6 +139,20 @@ def single_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def broken_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads per customer that are whole, cut off, without entries, or with an incomplete entry."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "concat('bad', c_custkey) AS envelope_id",
+        """CASE c_custkey % 5
+             WHEN 0 THEN concat('{"sourceId":"src1","level":"info","message":"', c_name, '","logs":[{"level":"info","message":"x"}],"alerts":[{"status":"firing"}]}')
+             WHEN 1 THEN concat('{"sourceId":"src1","logs":[{"level":"info","message":"', c_name)
+             WHEN 2 THEN concat('{"sourceId":"src', c_nationkey, '","logs":[]}')
+             WHEN 3 THEN concat('{"sourceId":"src', c_nationkey, '","level":"info","logs":[{"message":"no level"}],"alerts":[]}')
+             END AS payload""",
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS received_at",
+    )
+
+
 def http_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetched bodies: the whole web pages, and JSON bodies of several shapes per customer."""
     pages = table(spark, sf_dir, "pages").selectExpr(

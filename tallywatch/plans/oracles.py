@@ -157,7 +157,6 @@ SELECT s.rule_id, s.log_id, min(s.pos) AS pos, any_value(s.ts) AS ts
 FROM seen s JOIN verdicts v ON v.rule_id = s.rule_id
 WHERE s.hit > 0 AND NOT v.suppressed AND (v.first_miss IS NULL OR s.pos < v.first_miss) GROUP BY s.rule_id, s.log_id""",
     "firsts": "SELECT rule_id, log_id AS first_log_id FROM matches QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY pos, ts DESC, log_id) = 1",
-    "numbered": "SELECT rule_id, log_id, row_number() OVER (PARTITION BY rule_id ORDER BY log_id) AS r FROM matches",
     "counted": "SELECT rule_id, count(*) AS n FROM matches GROUP BY ALL",
     "evaluated": """
 SELECT r.id AS rule_id, r.name AS rule_name, r.source_id, r.severity, r.description, r.status,
@@ -203,10 +202,10 @@ SELECT ticket_id, rule_id, pos, channel, NOT (channel = 'pager' OR (channel IN (
     WHEN channel = 'slack' AND config NOT LIKE 'webhookUrl=%' THEN 'Slack webhook URL not configured'
     WHEN channel = 'pager' THEN 'Unknown notification type' END AS error
 FROM routed""",
-    "fatals": "SELECT log_id, ts FROM logs, clock WHERE level = 'fatal' AND ts >= now - INTERVAL 2 DAY",
+    "fatals": "SELECT log_id, ts FROM logs WHERE level = 'fatal'",
     "envelope": "SELECT min(ts) - INTERVAL 5 MINUTE AS lo, max(ts) + INTERVAL 5 MINUTE AS hi FROM fatals",
     "around": "SELECT l.* FROM logs l, envelope WHERE ts >= lo AND ts <= hi",
-    "tenant_logs": "SELECT l.*, s.owner_id AS organization_id FROM logs l JOIN sources s ON s.id = l.source_id",
+    "tenant_logs": "SELECT l.*, coalesce(s.owner_id, 'unowned') AS organization_id FROM logs l LEFT JOIN sources s ON s.id = l.source_id",
     "orgs": """
 SELECT owner_id AS organization_id, count(*) AS rules, count(*) FILTER (status = 'online') AS users,
   CASE WHEN count(*) > 5 THEN 'pro' WHEN count(*) > 3 THEN 'starter' ELSE 'free' END AS plan FROM sources GROUP BY ALL""",
@@ -259,10 +258,6 @@ def _type_sql(kind: str) -> str:
     return f"SELECT x.rule_id, x.pos, x.hits, x.total, x.keywords_matched, {met} FROM results x {join} WHERE x.type = '{kind}'"
 
 
-def _ids(limit: int) -> str:
-    return (f"(SELECT rule_id, string_agg(log_id, ',' ORDER BY log_id) AS ids FROM numbered WHERE r <= {limit} GROUP BY rule_id)")
-
-
 _PARSED = """
 SELECT log_id, source_id, level, message, {raw}format, metadata, ts FROM parsed_lines WHERE NOT bad"""
 
@@ -284,7 +279,15 @@ SELECT 'one' || c_custkey || '-0', 'src' || c_nationkey, NULL, 'debug', c_name,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c_custkey), false FROM customer""",
     "parse_dispatch": _PARSED.format(raw="raw_content, "),
     "stream_ingest": _PARSED.format(raw=""),
-    "quarantine": "SELECT log_id, source_id, format, raw_content, 'invalid json' AS error FROM parsed_lines WHERE bad",
+    "quarantine": """
+SELECT log_id, source_id, format, raw_content, 'invalid json' AS error, 'line' AS route FROM parsed_lines WHERE bad
+UNION ALL SELECT 'bad' || c_custkey, CASE WHEN k IN (2, 3) AND route <> 'alertmanager' THEN 'src' || c_nationkey END,
+  'json', CASE k WHEN 1 THEN '{"sourceId":"src1","logs":[{"level":"info","message":"' || c_name
+    WHEN 2 THEN '{"sourceId":"src' || c_nationkey || '","logs":[]}'
+    WHEN 3 THEN '{"sourceId":"src' || c_nationkey || '","level":"info","logs":[{"message":"no level"}],"alerts":[]}' END,
+  CASE WHEN k IN (1, 4) THEN 'invalid json' WHEN route = 'single' OR (route = 'bulk' AND k = 3) THEN 'source, level or message missing' ELSE 'no entries' END, route
+FROM (SELECT *, c_custkey % 5 AS k, unnest(['bulk', 'single', 'alertmanager']) AS route FROM customer) WHERE k > 0""",
+    "read_raw_lines": "SELECT 'files' AS source_id, level, message, date_trunc('second', ts) AS ts FROM logs",
     "incremental_pull": """
 SELECT coalesce(c.source_id, l.source_id) AS source_id, greatest(c.last_ts, l.new_ts) AS last_ts, coalesce(l.pulled, 0) AS pulled
 FROM (SELECT id AS source_id, TIMESTAMP '2024-01-05 00:00:00' + to_days(CAST(n AS INTEGER)) AS last_ts FROM sources) c
@@ -357,7 +360,7 @@ SELECT log_id, route AS "meta_receivedVia", 'svc' || (user_id % 7) AS meta_servi
     "find_logs": """
 SELECT log_id, source_id, level, message, ts FROM logs WHERE source_id = 'src3' AND level IN ('error', 'fatal')
   AND contains(lower(message), 'k=1') AND ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00'""",
-    "page_logs": "SELECT log_id, source_id, level, message, ts FROM logs ORDER BY ts DESC, log_id LIMIT 50 OFFSET 100",
+    "page_logs": "SELECT log_id, source_id, level, message, ts, (SELECT count(*) FROM logs) AS total FROM logs ORDER BY ts DESC, log_id LIMIT 50 OFFSET 100",
     "search_logs": "SELECT log_id, source_id, CAST(length(message) AS INTEGER) AS n_chars FROM messages WHERE contains(lower(message), 'the')",
     "log_stats": """
 SELECT CASE WHEN grouping(source_id) = 1 AND grouping(level) = 1 THEN 'total' WHEN grouping(source_id) = 1 THEN 'level' ELSE 'source' END AS kind,
@@ -390,12 +393,10 @@ SELECT time_bucket(INTERVAL 6 HOUR, ts) AS bucket_start, source_id, count(*) AS
     "rule_no_logs": _type_sql("no_logs"),
     "rule_ai_anomaly": _type_sql("ai_anomaly"),
     "rule_unknown_type": _type_sql("custom"),
-    "evaluate_rules": f"""
-SELECT e.rule_id, rule_name, triggered, matched_count, coalesce(i.ids, '') AS matched_logs, first_log_id, reason
-FROM evaluated e LEFT JOIN {_ids(100)} i ON i.rule_id = e.rule_id WHERE status = 'enabled'""",
-    "rule_test": f"""
-SELECT e.rule_id, rule_name, triggered, matched_count, coalesce(i.ids, '') AS matched_logs, first_log_id, reason
-FROM evaluated e LEFT JOIN {_ids(10)} i ON i.rule_id = e.rule_id""",
+    "evaluate_rules": "SELECT rule_id, rule_name, triggered, matched_count, first_log_id, reason FROM evaluated WHERE status = 'enabled'",
+    "rule_test": "SELECT rule_id, rule_name, triggered, matched_count, first_log_id, reason FROM evaluated",
+    "alert_logs": """
+SELECT m.rule_id, m.log_id FROM matches m JOIN evaluated e ON e.rule_id = m.rule_id WHERE e.status = 'enabled' AND e.triggered""",
     "rule_matched_logs": "SELECT m.rule_id, m.log_id FROM matches m JOIN rules r ON r.id = m.rule_id WHERE r.status = 'enabled'",
     "trigger_alerts": """
 SELECT 'rule' AS origin, rule_id, source_id, 'Rule Triggered: ' || rule_name AS title, coalesce(nullif(description, ''), reason) AS description,
@@ -435,8 +436,11 @@ UNION ALL SELECT 'severity', severity, count(*) FROM alerts GROUP BY severity
 UNION ALL SELECT 'status', s, count(a.id) FROM (SELECT unnest(['active', 'acknowledged', 'resolved', 'silenced']) AS s) LEFT JOIN alerts a ON a.status = s GROUP BY s""",
     "alert_lifecycle": """
 SELECT a.id, a.severity, a.source_id, a.created_at, CASE f.last WHEN 'acknowledge' THEN 'acknowledged' WHEN 'resolve' THEN 'resolved'
-    WHEN 'silence' THEN 'silenced' ELSE 'active' END AS status,
-  coalesce(f.ack, f.res).actor AS acknowledged_by, coalesce(f.ack, f.res).moment AS acknowledged_at, f.resolved_at, f.notes AS resolution_notes,
+    WHEN 'silence' THEN 'silenced' ELSE a.status END AS status,
+  CASE WHEN f.ack IS NOT NULL THEN f.ack.actor WHEN a.ack_minutes IS NULL THEN f.res.actor END AS acknowledged_by,
+  CASE WHEN f.ack IS NOT NULL THEN f.ack.moment WHEN a.ack_minutes IS NULL THEN f.res.moment
+    ELSE a.created_at + to_minutes(a.ack_minutes) END AS acknowledged_at,
+  coalesce(f.resolved_at, a.created_at + to_minutes(a.resolve_minutes)) AS resolved_at, f.notes AS resolution_notes,
   coalesce(f.n, 0) AS n_actions
 FROM alerts a LEFT JOIN (
   SELECT alert_id, arg_max(action, (moment, action_id)) AS last, arg_max({'actor': actor, 'moment': moment}, (moment, action_id)) FILTER (action = 'acknowledge') AS ack,
@@ -477,19 +481,19 @@ SELECT severity, count(*) AS n, count(ack_minutes) AS acknowledged, avg(ack_minu
   count(resolve_minutes) AS resolved, avg(resolve_minutes) AS avg_resolve_minutes, quantile_disc(resolve_minutes, 0.5) AS p50_resolve_minutes
 FROM alerts GROUP BY severity""",
     "analysis_batches": """
-SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, log_id) AS INTEGER) AS pos, log_id, CAST(NULL AS VARCHAR) AS summary
-FROM logs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, log_id) <= 100
-UNION ALL SELECT id, 0, NULL, 'No data to analyze' FROM sources WHERE id NOT IN (SELECT source_id FROM logs)""",
+SELECT source_id, r // 100 AS batch_no, r % 100 + 1 AS pos, log_id, CAST(NULL AS VARCHAR) AS summary
+FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, log_id) - 1 AS r FROM logs)
+UNION ALL SELECT id, 0, 0, NULL, 'No data to analyze' FROM sources WHERE id NOT IN (SELECT source_id FROM logs)""",
     "render_context": """
-SELECT form, source_id, CAST(count(*) AS INTEGER) AS lines, string_agg(line, chr(10) ORDER BY r) AS context FROM (
+SELECT form, source_id, (r - 1) // size AS batch_no, CAST(count(*) AS INTEGER) AS lines, string_agg(line, chr(10) ORDER BY r) AS context FROM (
   SELECT 'short' AS form, source_id, '[' || upper(level) || '] ' || log_id || ': ' || message AS line,
-    row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, log_id) AS r, 100 AS cap FROM logs
+    row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, log_id) AS r, 100 AS size FROM logs
   UNION ALL SELECT 'timed', source_id, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [' || upper(level) || '] ' || log_id || ': ' || message,
     row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, log_id), 50 FROM logs
   UNION ALL SELECT 'texts', source_id, '[' || upper(level) || '] ' || log_id || ': '
-      || CASE WHEN length(message) > 200 THEN left(message, 200) || '...' ELSE message END,
+      || message,
     row_number() OVER (PARTITION BY source_id ORDER BY log_id), 20 FROM leveled)
-WHERE r <= cap GROUP BY form, source_id""",
+GROUP BY ALL""",
     "parse_responses": """
 SELECT analysis_id, severity, summary, health_score, CASE WHEN form IN (0, 1) THEN 2 ELSE 0 END AS n_anomalies,
   CASE WHEN form IN (0, 1) THEN 1 ELSE 0 END AS n_patterns,
@@ -507,17 +511,18 @@ SELECT CASE WHEN health_score >= 80 THEN 'healthy' WHEN health_score >= 50 THEN
   count(*) AS n, min(health_score) AS lowest, max(health_score) AS highest FROM analyses GROUP BY 1""",
     "summarize_window": """
 SELECT source_id, CAST(sum(n) AS BIGINT) AS total, CAST(sum(CASE WHEN level IN ('error', 'fatal') THEN n ELSE 0 END) AS BIGINT) AS errors,
-  string_agg(level || '=' || n, ';' ORDER BY level) AS levels, min(a) AS start_ts, max(b) AS end_ts, CAST(least(sum(n), 500) AS BIGINT) AS sampled
+  string_agg(level || '=' || n, ';' ORDER BY level) AS levels, min(a) AS start_ts, max(b) AS end_ts, CAST((sum(n) + 499) // 500 AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS shown
 FROM (SELECT source_id, level, count(*) AS n, min(ts) AS a, max(ts) AS b FROM logs, clock WHERE ts >= now - INTERVAL 72 HOUR GROUP BY ALL) GROUP BY source_id""",
     "rca_context": """
-SELECT 'shown' AS part, log_id, CAST(NULL AS BIGINT) AS rows, CAST(NULL AS BIGINT) AS errors FROM (SELECT log_id FROM around ORDER BY ts DESC, log_id LIMIT 200)
-UNION ALL SELECT 'around', f.log_id, count(*), count(*) FILTER (l.level IN ('error', 'fatal'))
+SELECT 'shown' AS part, log_id, (row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, log_id) - 1) // 200 AS piece,
+  CAST(NULL AS BIGINT) AS rows, CAST(NULL AS BIGINT) AS errors FROM around
+UNION ALL SELECT 'around', f.log_id, NULL, count(*), count(*) FILTER (l.level IN ('error', 'fatal'))
 FROM logs f JOIN logs l ON l.ts BETWEEN f.ts - INTERVAL 5 MINUTE AND f.ts + INTERVAL 5 MINUTE WHERE f.level = 'fatal' GROUP BY f.log_id""",
     "score_batches": """
-SELECT 'batch-' || source_id AS analysis_id, source_id, CAST(sum(bad) AS BIGINT) || ' of ' || count(*) || ' lines are errors' AS summary,
+SELECT 'batch-' || source_id || '-' || (r // 100) AS analysis_id, source_id, CAST(sum(bad) AS BIGINT) || ' of ' || count(*) || ' lines are errors' AS summary,
   CAST(round_even(100 * (1 - sum(bad) / count(*)), 0) AS DOUBLE) AS score
-FROM (SELECT source_id, CAST(level IN ('error', 'fatal') AS INTEGER) AS bad FROM logs
-      QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, log_id) <= 100) GROUP BY source_id
+FROM (SELECT source_id, CAST(level IN ('error', 'fatal') AS INTEGER) AS bad,
+        row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, log_id) - 1 AS r FROM logs) GROUP BY source_id, r // 100
 UNION ALL SELECT 'single-' || log_id, source_id, 'Level: ' || level, CASE WHEN level IN ('error', 'fatal') THEN 0.9 ELSE 0.1 END FROM logs""",
     "rca_results": """
 SELECT 'rca' || c_custkey AS analysis_id, CASE WHEN c >= 0.7 THEN 'critical' ELSE 'warning' END AS severity, CAST(c AS DOUBLE) AS confidence,
@@ -544,9 +549,10 @@ SELECT source_id, bucket_start, n, errors, s / c AS mean, sqrt((c * q - s * s) /
   WINDOW w AS (PARTITION BY source_id ORDER BY bucket_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
 WHERE c >= 2 AND errors >= 3 AND errors > s / c + 2.0 * sqrt((c * q - s * s) / (c * (c - 1)))""",
     "mine_patterns": """
-SELECT template, n AS occurrences, n / t AS share, CASE WHEN n / t >= 0.1 THEN 'high' WHEN n / t >= 0.01 THEN 'medium' ELSE 'low' END AS significance, ids AS log_ids
-FROM (SELECT template, count(*) AS n, array_to_string(list_sort(min(log_id, 3)), ',') AS ids FROM templates GROUP BY template),
+SELECT template, n AS occurrences, n / t AS share, CASE WHEN n / t >= 0.1 THEN 'high' WHEN n / t >= 0.01 THEN 'medium' ELSE 'low' END AS significance
+FROM (SELECT template, count(*) AS n FROM templates GROUP BY template),
   (SELECT count(*) AS t FROM templates)""",
+    "pattern_logs": "SELECT template, log_id FROM templates",
     "detect_bursts": """
 SELECT source_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM (
   SELECT *, sum(new) OVER (PARTITION BY source_id ORDER BY ts) AS run FROM (
@@ -578,13 +584,19 @@ SELECT source_id, start_ts, end_ts, n FROM (
   GROUP BY source_id, run), clock WHERE end_ts <= now - INTERVAL 10 MINUTE""",
     "stream_cooldown": """
 WITH RECURSIVE windows AS (SELECT source_id, time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE AS moment FROM logs WHERE level IN ('error', 'fatal') GROUP BY 1, 2),
-cand AS (SELECT r.id AS rule_id, w.moment, r.cooldown_minutes FROM windows w JOIN rules r ON r.source_id = w.source_id, clock WHERE w.moment <= now - INTERVAL 10 MINUTE),
+cand AS (SELECT r.id AS rule_id, w.moment, r.cooldown_minutes FROM windows w JOIN rules r ON r.source_id = w.source_id AND r.status = 'enabled', clock WHERE w.moment <= now - INTERVAL 10 MINUTE),
 kept AS (SELECT rule_id, min(moment) AS moment, any_value(cooldown_minutes) AS cd FROM cand GROUP BY rule_id
   UNION ALL SELECT c.rule_id, min(c.moment), any_value(c.cooldown_minutes) FROM kept k JOIN cand c ON c.rule_id = k.rule_id AND c.moment > k.moment AND c.moment >= k.moment + to_minutes(k.cd) GROUP BY c.rule_id)
 SELECT rule_id, moment AS triggered_at FROM kept""",
     "stream_silence": """
 SELECT s.id AS source_id, l.last_ts FROM sources s LEFT JOIN (SELECT source_id, max(ts) AS last_ts FROM logs GROUP BY source_id) l ON l.source_id = s.id, clock
 WHERE l.last_ts IS NULL OR l.last_ts < now - INTERVAL 30 MINUTE""",
+    "stream_source_refresh": """
+SELECT l.log_id AS message_id, coalesce(s.source_id, 'unregistered:10.1.0.' || l.user_id) AS source_id, s.server_id
+FROM logs l LEFT JOIN senders s ON s.ip = '10.1.0.' || l.user_id""",
+    "sink_round_trip": """
+SELECT log_id, source_id, level, message, ts, strftime(ts, '%Y-%m-%d') AS day FROM logs
+WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'""",
     "stream_dedupe": "SELECT log_id, source_id, level, ts FROM logs",
     "usage_metering": "SELECT * FROM usage",
     "quota_check": """
@@ -595,8 +607,8 @@ SELECT u.organization_id, u.period, o.plan, u.bytes_ingested / 1000000000.0 > CA
   CAST(greatest(u.bytes_ingested / 1000000000.0 - CASE o.plan WHEN 'free' THEN 0.5 WHEN 'starter' THEN 5.0 ELSE 50.0 END, 0) * 0.5 AS DOUBLE) AS overage_price
 FROM usage u JOIN orgs o ON o.organization_id = u.organization_id""",
     "retention": """
-SELECT l.organization_id, count(*) AS kept, min(l.ts) AS oldest FROM tenant_logs l JOIN orgs o ON o.organization_id = l.organization_id, clock
-WHERE l.ts >= now - to_days(CASE o.plan WHEN 'free' THEN 1 WHEN 'starter' THEN 7 ELSE 30 END) GROUP BY l.organization_id""",
+SELECT l.organization_id, count(*) AS kept, min(l.ts) AS oldest FROM tenant_logs l LEFT JOIN orgs o ON o.organization_id = l.organization_id, clock
+WHERE o.plan IS NULL OR l.ts >= now - to_days(CASE o.plan WHEN 'free' THEN 1 WHEN 'starter' THEN 7 ELSE 30 END) GROUP BY l.organization_id""",
     "tenant_scope": "SELECT log_id, source_id, organization_id, level FROM tenant_logs WHERE organization_id = 'org15'",
     "severity_heatmap": """
 SELECT CAST(hour(created_at) AS INTEGER) AS hour, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium,

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from tallywatch.functions.levels import detect_level, normalize_level
 from tallywatch.functions.once import with_fields
 from tallywatch.functions.text import split_lines
-from tallywatch.functions.timing import as_ntz, latest_ts, minutes_before
+from tallywatch.functions.timing import as_ntz, latest_ts
 from tallywatch.operators import analysis, backtest, incidents, logs as store, rules as engine, tenancy
 from tallywatch.plans import frames
+from tallywatch.session import shared_dir
 from tallywatch.sources import ingest, parse
+from tallywatch.sources.sinks import write_logs
 from tallywatch.streaming import jobs
 
 
@@ -50,8 +52,23 @@ def parse_dispatch(spark, d):
 
 
 def quarantine(spark, d):
+    """Raw lines, envelopes and webhook payloads that could not be taken in."""
     _, bad = ingest.split_quarantine(ingest.parse_raw_lines(frames.raw_lines(spark, d)))
-    return bad
+    broken = frames.broken_payloads(spark, d)
+    found = bad.withColumn("route", F.lit("line"))
+    for route, rows in (("bulk", ingest.broken_batches(broken)), ("single", ingest.broken_singles(broken)),
+                        ("alertmanager", ingest.broken_alertmanager(broken.withColumnRenamed("envelope_id", "payload_id")))):
+        found = found.unionByName(rows.withColumn("route", F.lit(route)))
+    return found
+
+
+def read_raw_lines(spark, d):
+    """Syslog lines written to text files and read back as one source."""
+    path = shared_dir(spark, "raw-lines")
+    frames.raw_syslog(spark, d).select("raw").write.text(path)
+    arrival = F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz")
+    rows = ingest.read_raw_lines(spark, path, "files", "syslog", arrival)
+    return rows.select("source_id", "level", "message", "ts")
 
 
 def incremental_pull(spark, d):
@@ -157,7 +174,7 @@ def find_logs(spark, d):
 
 
 def page_logs(spark, d):
-    return store.page_logs(frames.logs(spark, d), page=3, limit=50).select(*COLUMNS)
+    return store.page_with_total(frames.logs(spark, d), page=3, limit=50).select(*COLUMNS, "total")
 
 
 def search_logs(spark, d):
@@ -248,12 +265,11 @@ def _evaluated(spark, d, **options) -> DataFrame:
 
 
 def _verdict_columns(results: DataFrame) -> DataFrame:
-    return results.select("rule_id", "rule_name", "triggered", "matched_count",
-                          list_text("matched_logs").alias("matched_logs"), "first_log_id", "reason")
+    return results.select("rule_id", "rule_name", "triggered", "matched_count", "first_log_id", "reason")
 
 
 def evaluate_rules(spark, d):
-    return _verdict_columns(_evaluated(spark, d, max_ids=100))
+    return _verdict_columns(_evaluated(spark, d))
 
 
 def rule_matched_logs(spark, d):
@@ -261,8 +277,15 @@ def rule_matched_logs(spark, d):
         engine.select_rules(frames.alert_rules(spark, d)), frames.logs(spark, d), _as_of(spark, d))
 
 
-def _new_alerts(spark, d, max_ids: int = 100) -> DataFrame:
-    return engine.trigger_alerts(_evaluated(spark, d, max_ids=max_ids), _as_of(spark, d))
+def _new_alerts(spark, d) -> DataFrame:
+    return engine.trigger_alerts(_evaluated(spark, d), _as_of(spark, d))
+
+
+def alert_logs(spark, d):
+    """Every log behind each alert the rules raise now."""
+    pairs = engine.alert_logs(_new_alerts(spark, d), rule_matched_logs(spark, d))
+    # The id of an alert holds the evaluation time; the rule id is enough here.
+    return pairs.select(F.regexp_extract("alert_id", "^alert-(.*)-[0-9]+$", 1).alias("rule_id"), "log_id")
 
 
 def trigger_alerts(spark, d):
@@ -285,7 +308,7 @@ def rule_stats(spark, d):
 
 def rule_test(spark, d):
     return _verdict_columns(engine.test_rule(
-        frames.alert_rules(spark, d), frames.logs(spark, d), _as_of(spark, d), max_ids=10))
+        frames.alert_rules(spark, d), frames.logs(spark, d), _as_of(spark, d)))
 
 
 BACKTEST_STEP = 180
@@ -371,22 +394,22 @@ def analysis_batches(spark, d):
     batches = analysis.analysis_batches(frames.logs(spark, d))
     asked = frames.log_sources(spark, d).select(
         F.concat(F.lit("an-"), "id").alias("analysis_id"), F.col("id").alias("source_id"), F.lit("batch").alias("analysis_type"))
-    filled = batches.select("source_id", "pos", "log_id", F.lit(None).cast("string").alias("summary"))
+    filled = batches.select("source_id", "batch_no", "pos", "log_id", F.lit(None).cast("string").alias("summary"))
     empty = analysis.empty_analyses(asked, batches).select(
-        "source_id", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("log_id"), "summary")
+        "source_id", F.lit(0).cast("long").alias("batch_no"), F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("log_id"), "summary")
     return filled.unionByName(empty)
 
 
 def render_context(spark, d):
-    """Contexts of log batches, and of batches of whole texts, where long messages are cut."""
+    """Contexts of all log batches, plain and with times, and of batches of whole texts."""
     short = analysis.render_context(analysis.analysis_batches(frames.logs(spark, d)))
     texts = frames.messages(spark, d).withColumn("level", detect_level(F.col("message"))).withColumn(
         "ts", as_ntz(dt.datetime(2024, 1, 1)))
-    cut = analysis.render_context(analysis.analysis_batches(texts, 20))
-    timed = analysis.render_context(analysis.analysis_batches(frames.logs(spark, d)), with_time=True, max_lines=50)
+    long = analysis.render_context(analysis.analysis_batches(texts, 20))
+    timed = analysis.render_context(analysis.analysis_batches(frames.logs(spark, d), 50), with_time=True)
     out = None
-    for kind, df in (("short", short), ("texts", cut), ("timed", timed)):
-        rows = df.select(F.lit(kind).alias("form"), "source_id", "lines", "context")
+    for kind, df in (("short", short), ("texts", long), ("timed", timed)):
+        rows = df.select(F.lit(kind).alias("form"), "source_id", "batch_no", "lines", "context")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -416,28 +439,32 @@ def summarize_window(spark, d):
     logs = frames.logs(spark, d)
     as_of = latest_ts(logs)
     exact = analysis.summarize_window(logs, as_of, 72)
-    sample = analysis.summary_sample(logs, as_of, 72).groupBy("source_id").agg(F.count("*").alias("sampled"))
-    return exact.join(sample, "source_id").select(
-        "source_id", "total", "errors", map_text("levels").alias("levels"), "start_ts", "end_ts", "sampled")
+    pieces = analysis.summary_pieces(logs, as_of, 72).groupBy("source_id").agg(
+        (F.max("batch_no") + 1).alias("pieces"), F.count("*").alias("shown"))
+    return exact.join(pieces, "source_id").select(
+        "source_id", "total", "errors", map_text("levels").alias("levels"), "start_ts", "end_ts", "pieces", "shown")
 
 
-def _last_errors(spark, d) -> DataFrame:
-    """Fatal logs of the last two days: the errors a root-cause run is asked about."""
-    logs = frames.logs(spark, d)
-    return store.find_logs(logs, level="fatal", start=minutes_before(latest_ts(logs), 2 * 1440)).select("log_id")
+def _errors(spark, d) -> DataFrame:
+    """All fatal logs: the errors a root-cause run is asked about."""
+    return store.find_logs(frames.logs(spark, d), level="fatal").select("log_id")
 
 
 def rca_context(spark, d):
     logs = frames.logs(spark, d)
-    shown = analysis.rca_context(logs, _last_errors(spark, d)).select(
-        F.lit("shown").alias("part"), "log_id", F.lit(None).cast("long").alias("rows"), F.lit(None).cast("long").alias("errors"))
+    shown = analysis.rca_context(logs, _errors(spark, d)).select(
+        F.lit("shown").alias("part"), "log_id", F.col("batch_no").alias("piece"), F.lit(None).cast("long").alias("rows"), F.lit(None).cast("long").alias("errors"))
     around = analysis.context_per_error(logs, logs.filter(F.col("level") == "fatal")).select(
-        F.lit("around").alias("part"), "log_id", F.col("context_rows").alias("rows"), F.col("context_errors").alias("errors"))
+        F.lit("around").alias("part"), "log_id", F.lit(None).cast("long").alias("piece"), F.col("context_rows").alias("rows"), F.col("context_errors").alias("errors"))
     return shown.unionByName(around)
 
 
-def offline_scorer(context: str) -> str:
-    """Deterministic stand-in for a model: counts the error lines of a context."""
+def offline_scorer(contexts: list[str]) -> list[str]:
+    """Deterministic stand-in for a model: counts the error lines of each context."""
+    return [_offline_reply(context) for context in contexts]
+
+
+def _offline_reply(context: str) -> str:
     lines = context.split("\n")
     bad = sum(line.startswith(("[ERROR]", "[FATAL]", "Level: error", "Level: fatal")) for line in lines)
     if lines[0].startswith("Level: "):
@@ -451,7 +478,7 @@ def score_batches(spark, d):
     """Batches of every source, and every log alone."""
     logs = frames.logs(spark, d)
     contexts = analysis.render_context(analysis.analysis_batches(logs)).withColumn(
-        "analysis_id", F.concat(F.lit("batch-"), "source_id"))
+        "analysis_id", F.concat_ws("-", F.lit("batch"), "source_id", "batch_no"))
     batches = analysis.parse_responses(analysis.score_batches(contexts, offline_scorer))
     singles = analysis.parse_single_responses(
         analysis.score_batches(analysis.single_contexts(logs), offline_scorer))
@@ -480,12 +507,20 @@ def error_spikes(spark, d):
 
 def mine_patterns(spark, d):
     """Templates of the log messages and of every line of the whole texts."""
+    return analysis.mine_patterns(_messages_and_lines(spark, d)).select(
+        "template", "occurrences", "share", "significance")
+
+
+def _messages_and_lines(spark, d) -> DataFrame:
     lines = frames.messages(spark, d).select(
         F.col("log_id").alias("doc"), F.posexplode(split_lines(F.col("message"))).alias("i", "message")).select(
         F.concat_ws("#", "doc", F.col("i").cast("string")).alias("log_id"), "message")
-    rows = frames.logs(spark, d).select("log_id", "message").unionByName(lines)
-    return analysis.mine_patterns(rows).select(
-        "template", "occurrences", "share", "significance", list_text("log_ids").alias("log_ids"))
+    return frames.logs(spark, d).select("log_id", "message").unionByName(lines)
+
+
+def pattern_logs(spark, d):
+    """The template of every log message and of every line of the whole texts."""
+    return analysis.pattern_logs(_messages_and_lines(spark, d))
 
 
 def detect_bursts(spark, d):
@@ -493,12 +528,12 @@ def detect_bursts(spark, d):
 
 
 def rca_timeline(spark, d):
-    window = analysis.rca_window(frames.logs(spark, d), _last_errors(spark, d))
+    window = analysis.rca_window(frames.logs(spark, d), _errors(spark, d))
     return analysis.rca_timeline(window).select("log_id", "ts", "level", "significance")
 
 
 def affected_components(spark, d):
-    return analysis.affected_components(analysis.rca_window(frames.logs(spark, d), _last_errors(spark, d)))
+    return analysis.affected_components(analysis.rca_window(frames.logs(spark, d), _errors(spark, d)))
 
 
 def health_scores(spark, d):
@@ -535,7 +570,24 @@ def stream_cooldown(spark, d):
 
 
 def stream_silence(spark, d):
-    return jobs.run_silence(frames.log_stream(spark, d), frames.log_sources(spark, d), 30)
+    silent = jobs.run_silence(frames.log_stream(spark, d), frames.log_sources(spark, d), 30)
+    return silent.filter(F.col("as_of") == silent.agg(F.max("as_of")).scalar()).drop("as_of")
+
+
+def stream_source_refresh(spark, d):
+    """Sources of streamed messages, the sender map being read again for every micro-batch."""
+    messages = frames.log_stream(spark, d).select(
+        F.col("log_id").alias("message_id"), F.concat(F.lit("10.1.0."), "user_id").alias("sender_ip"), F.lit("udp").alias("transport"))
+    return jobs.run_source_refresh(messages, lambda: frames.log_sources(spark, d)).select("message_id", "source_id", "server_id")
+
+
+def sink_round_trip(spark, d):
+    """Logs written by day and read back for ten days, of which only those are read."""
+    path = shared_dir(spark, "logs")
+    write_logs(frames.logs(spark, d).select(*COLUMNS), path)
+    stored = spark.read.parquet(path)
+    start = dt.datetime(2024, 1, 5)
+    return store.find_logs(stored, start=start, end=start + dt.timedelta(days=10)).select(*COLUMNS, F.col("dt").cast("string").alias("day"))
 
 
 def stream_dedupe(spark, d):
@@ -597,6 +649,7 @@ QUERIES = {
     "pull_plan": pull_plan,
     "ingestion_status": ingestion_status,
     "quarantine": quarantine,
+    "read_raw_lines": read_raw_lines,
     "parse_json_lines": parse_json_lines,
     "parse_syslog3164": parse_syslog3164,
     "parse_syslog5424": parse_syslog5424,
@@ -625,6 +678,7 @@ QUERIES = {
     "rule_unknown_type": _type_query("custom"),
     "evaluate_rules": evaluate_rules,
     "rule_matched_logs": rule_matched_logs,
+    "alert_logs": alert_logs,
     "trigger_alerts": trigger_alerts,
     "rule_stats": rule_stats,
     "rule_test": rule_test,
@@ -654,6 +708,7 @@ QUERIES = {
     "analysis_report": analysis_report,
     "error_spikes": error_spikes,
     "mine_patterns": mine_patterns,
+    "pattern_logs": pattern_logs,
     "detect_bursts": detect_bursts,
     "rca_timeline": rca_timeline,
     "affected_components": affected_components,
@@ -664,6 +719,8 @@ QUERIES = {
     "stream_sessions": stream_sessions,
     "stream_cooldown": stream_cooldown,
     "stream_silence": stream_silence,
+    "stream_source_refresh": stream_source_refresh,
+    "sink_round_trip": sink_round_trip,
     "stream_dedupe": stream_dedupe,
     "usage_metering": usage_metering,
     "quota_check": quota_check,

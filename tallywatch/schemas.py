@@ -81,7 +81,7 @@ CONDITIONS = T.ArrayType(T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("params", T.StructType([
         T.StructField("threshold", T.DoubleType()),
-        T.StructField("timeWindowMinutes", T.IntegerType()),
+        T.StructField("timeWindowMinutes", T.DoubleType()),
         T.StructField("levels", T.StringType()),
         T.StructField("keywords", T.ArrayType(T.StringType())),
         T.StructField("matchAll", T.BooleanType()),

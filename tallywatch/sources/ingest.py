@@ -20,6 +20,9 @@ VIA_PULL = "scheduled-pull"
 VIA_SYSLOG = "syslog-listener"
 UNREGISTERED = "unregistered:"
 TCP_PREFIX = "::ffff:"
+BROKEN_JSON = "invalid json"
+NO_ENTRIES = "no entries"
+ENTRY_INCOMPLETE = "source, level or message missing"
 
 
 def _entry_rows(entries: DataFrame) -> DataFrame:
@@ -38,23 +41,57 @@ def _entry_rows(entries: DataFrame) -> DataFrame:
     )
 
 
+def _complete(entries: DataFrame) -> DataFrame:
+    return entries.filter(F.col("sourceId").isNotNull() & F.col("e.level").isNotNull() & F.col("e.message").isNotNull())
+
+
 def ingest_batches(envelopes: DataFrame) -> DataFrame:
-    """Bulk envelopes ``(envelope_id, payload, received_at)`` to one row per log entry."""
+    """Bulk envelopes ``(envelope_id, payload, received_at)`` to one row per log entry; see ``broken_batches``."""
     entries = (
         with_fields(envelopes, F.struct(F.from_json("payload", schemas.BULK_ENVELOPE).alias("b")))
         .select("envelope_id", "received_at", "b.sourceId", "b.serverId", "b.format",
                 F.posexplode("b.logs").alias("pos", "e"))
     )
-    return _entry_rows(entries)
+    return _entry_rows(_complete(entries))
+
+
+def _broken(rows: DataFrame, id_column: str, fields: Column, error: Column, source: str | None = None) -> DataFrame:
+    """Dead-letter rows of payloads that are no JSON or have an ``error`` over their fields ``b``."""
+    read = with_fields(rows, F.struct(F.try_parse_json("payload").isNotNull().alias("_json"), fields.alias("b")))
+    why = F.when(~F.coalesce(F.col("_json"), F.lit(False)), BROKEN_JSON).otherwise(error)
+    source_id = F.lit(None).cast("string") if source is None else F.col(source)
+    return read.withColumn("error", why).filter(F.col("error").isNotNull()).select(
+        F.col(id_column).alias("log_id"), source_id.alias("source_id"), F.lit("json").alias("format"),
+        F.col("payload").alias("raw_content"), "error")
+
+
+def broken_batches(envelopes: DataFrame) -> DataFrame:
+    """Bulk envelopes that give no rows, or rows without source, level or message, with the reason."""
+    incomplete = F.col("b.sourceId").isNull() | F.exists("b.logs", lambda e: e["level"].isNull() | e["message"].isNull())
+    error = F.when(F.coalesce(F.size("b.logs"), F.lit(0)) <= 0, NO_ENTRIES).when(incomplete, ENTRY_INCOMPLETE)
+    return _broken(envelopes, "envelope_id", F.from_json("payload", schemas.BULK_ENVELOPE), error, "b.sourceId")
+
+
+def broken_singles(envelopes: DataFrame) -> DataFrame:
+    """One-entry envelopes without source, level or message, or that are no JSON."""
+    b = F.col("b")
+    error = F.when(b["sourceId"].isNull() | b["level"].isNull() | b["message"].isNull(), ENTRY_INCOMPLETE)
+    return _broken(envelopes, "envelope_id", F.from_json("payload", schemas.SINGLE_ENVELOPE), error, "b.sourceId")
+
+
+def broken_alertmanager(payloads: DataFrame) -> DataFrame:
+    """Alert payloads that give no rows, with the reason."""
+    error = F.when(F.coalesce(F.size("b.alerts"), F.lit(0)) <= 0, NO_ENTRIES)
+    return _broken(payloads, "payload_id", F.from_json("payload", schemas.ALERTMANAGER), error)
 
 
 def ingest_single(envelopes: DataFrame) -> DataFrame:
-    """One-entry envelopes, with the same defaults as the bulk form."""
+    """One-entry envelopes, with the same defaults as the bulk form; for the others see ``broken_singles``."""
     body = with_fields(envelopes, F.struct(F.from_json("payload", schemas.SINGLE_ENVELOPE).alias("b")))
     entries = body.select(
         "envelope_id", "received_at", "b.sourceId", "b.serverId", "b.format", F.lit(0).alias("pos"),
         F.struct("b.level", "b.message", "b.metadata", "b.timestamp").alias("e"))
-    return _entry_rows(entries)
+    return _entry_rows(_complete(entries))
 
 
 def stamp_provenance(metadata: Column, stamp: dict[str, Column]) -> Column:
@@ -84,9 +121,13 @@ def parse_raw_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_raw_lines(spark, path: str, source_id: str, log_format: str, received_at: Column) -> DataFrame:
-    """Read a text file or folder as raw lines of one source and parse them."""
+    """Read a text file or folder as raw lines of one source and parse them.
+
+    An id holds the file and the line's place in the read, so equal lines stay apart.
+    """
+    place = F.concat_ws("-", F.lit(source_id), F.left(F.md5("_metadata.file_path"), F.lit(12)), F.monotonically_increasing_id())
     lines = spark.read.text(path).select(
-        F.concat(F.lit(source_id + "-"), F.md5("value")).alias("line_id"),
+        place.alias("line_id"),
         F.lit(source_id).alias("source_id"),
         F.lit(None).cast("string").alias("server_id"),
         F.col("value").alias("line"),

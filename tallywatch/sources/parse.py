@@ -208,7 +208,7 @@ def normalize_zabbix(payloads: DataFrame) -> DataFrame:
         "payload_id",
         F.lit(0).alias("pos"),
         level.alias("level"),
-        F.concat(F.lit("[Zabbix] "), F.col("b.subject"), F.lit(": "), F.col("b.message")).alias("message"),
+        F.concat(F.lit("[Zabbix] "), F.coalesce("b.subject", F.lit("")), F.lit(": "), F.coalesce("b.message", F.lit(""))).alias("message"),
         F.col("received_at").alias("ts"),
         _text_map({
             "source": F.lit("zabbix"), "host": F.col("b.host"), "trigger": F.col("b.trigger"),

@@ -16,17 +16,21 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallywatch.functions.levels import is_error
 from tallywatch.functions.timing import as_ntz, latest_ts
-from tallywatch.operators.rules import COOLDOWN_MINUTES, evaluate_rules
+from tallywatch.operators.rules import COOLDOWN_MINUTES, evaluate_rules, select_rules
 from tallywatch.session import shared_dir
 from tallywatch.sources.ingest import map_sender_to_source, parse_raw_lines, sender_map
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Run an append stream over the input there is and read the written table."""
+def run_to_table(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Run an append stream over the input there is and read the written table.
+
+    A ``folder`` given by the caller keeps table and checkpoint, so the next run goes on
+    where this one ended; without one every run starts anew.
+    """
     spark = stream.sparkSession
-    base = shared_dir(spark, label)
+    base = folder or shared_dir(spark, label)
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", f"{base}/table").option("checkpointLocation", f"{base}/checkpoint")
@@ -36,13 +40,15 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
 
-def run_batches(stream: DataFrame, label: str, step: Callable[[DataFrame, int, str], None]) -> str:
+def run_batches(stream: DataFrame, label: str, step: Callable[[DataFrame, int, str], None],
+                folder: str | None = None) -> str:
     """Run ``step(batch, batch_id, folder)`` per micro-batch; returns the folder.
 
     Steps write under a folder named by the batch id and overwrite it, so a repeated
-    batch gives the same files.
+    batch gives the same files. With a ``folder`` given by the caller a later run
+    resumes after the last finished batch.
     """
-    base = shared_dir(stream.sparkSession, label)
+    base = folder or shared_dir(stream.sparkSession, label)
     query = (
         stream.writeStream.foreachBatch(lambda batch, batch_id: step(batch, batch_id, base))
         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
@@ -51,16 +57,41 @@ def run_batches(stream: DataFrame, label: str, step: Callable[[DataFrame, int, s
     return base
 
 
+def _keep(rows: DataFrame, base: str, name: str, batch_id: int) -> None:
+    """Write one batch's result or the state after it."""
+    rows.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id:09d}")
+
+
+def _state_before(like: DataFrame, base: str, name: str, batch_id: int) -> DataFrame:
+    """State written after the batch before this one; empty before the first."""
+    if batch_id == 0:
+        return like.limit(0)
+    return like.sparkSession.read.schema(like.schema).parquet(f"{base}/{name}/batch={batch_id - 1:09d}")
+
+
 def stream_ingest(lines: DataFrame) -> DataFrame:
     """Raw lines to parsed rows; rows that do not parse keep their error text."""
     return parse_raw_lines(lines)
 
 
 def stream_syslog_sources(messages: DataFrame, sources: DataFrame) -> DataFrame:
-    """Stream-static join with the sender map; a file table is read anew each micro-batch."""
+    """Stream-static join with the sender map as it is when the query starts."""
     return map_sender_to_source(messages, sender_map(sources))
 
 
+def run_source_refresh(messages: DataFrame, load_sources: Callable[[], DataFrame], label: str = "source-refresh",
+                       folder: str | None = None) -> DataFrame:
+    """Messages with their source, the sender map being loaded anew for every micro-batch.
+
+    ``load_sources`` must look at the files or tables again, as ``spark.read`` does.
+    """
+    def step(batch: DataFrame, batch_id: int, base: str) -> None:
+        _keep(map_sender_to_source(batch, sender_map(load_sources())), base, "mapped", batch_id)
+
+    base = run_batches(messages, label, step, folder)
+    return messages.sparkSession.read.parquet(f"{base}/mapped").drop("batch")
+
+
 def stream_tumbling_counts(logs: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Volume and errors per source and closed window."""
     return (
@@ -92,51 +123,65 @@ def stream_dedupe(lines: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def run_rules(logs: DataFrame, rules: DataFrame, label: str = "stream-rules") -> DataFrame:
+def run_rules(logs: DataFrame, rules: DataFrame, label: str = "stream-rules", folder: str | None = None) -> DataFrame:
     """All rules at each micro-batch, evaluated at the newest event time seen so far.
 
-    Every batch is first added to a written log table; evaluation reads back only
-    the rows inside the longest window.
+    Returns the results of every batch (told apart by ``as_of``). The state after a
+    batch is the newest event time and each rule's last trigger, so a trigger in one
+    batch holds its rule's cool-down in the next ones. Logs are stored by day; evaluation
+    reads only the rows inside the longest window.
     """
     spark = logs.sparkSession
 
     def step(batch: DataFrame, batch_id: int, base: str) -> None:
         rows = batch.select("log_id", "source_id", "level", "message", F.col("ts").cast("timestamp_ntz").alias("ts"))
-        rows.write.mode("overwrite").parquet(f"{base}/logs/batch={batch_id:09d}")
-        # The clock table has one row per batch; the log table is only read inside the window.
-        rows.agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{base}/clock/batch={batch_id:09d}")
-        upto = F.col("batch") <= batch_id
-        as_of = latest_ts(spark.read.parquet(f"{base}/clock").filter(upto))
+        rows.withColumn("dt", F.to_date("ts")).withColumn("batch", F.lit(batch_id)).hint("rebalance", "dt").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").parquet(f"{base}/logs")
+        newest = rows.agg(F.max("ts").alias("ts"))
+        _keep(newest.unionByName(_state_before(newest, base, "clock", batch_id)).agg(F.max("ts").alias("ts")), base, "clock", batch_id)
+        as_of = latest_ts(spark.read.parquet(f"{base}/clock/batch={batch_id:09d}"))
+        fired = rules.select(F.col("id").alias("rule_id"), F.col("last_triggered_at").alias("at"))
+        before = _state_before(fired, base, "fired", batch_id)
+        known = rules.join(before.withColumnRenamed("rule_id", "id"), "id", "left").withColumn(
+            "last_triggered_at", F.greatest("last_triggered_at", "at")).drop("at")
         if as_of is None:
+            _keep(before, base, "fired", batch_id)
             return
-        stored = spark.read.parquet(f"{base}/logs").filter(upto)
-        evaluate_rules(rules, stored, as_of).withColumn("as_of", as_ntz(as_of)).write.mode("overwrite").parquet(
-            f"{base}/results/batch={batch_id:09d}")
+        stored = spark.read.schema(rows.schema.add("dt", "date").add("batch", "integer")).parquet(f"{base}/logs")
+        _keep(evaluate_rules(known, stored.filter(F.col("batch") <= batch_id).drop("batch"), as_of).withColumn("as_of", as_ntz(as_of)),
+              base, "results", batch_id)
+        now = spark.read.parquet(f"{base}/results/batch={batch_id:09d}").filter("triggered").select("rule_id", F.col("as_of").alias("at"))
+        _keep(before.unionByName(now).groupBy("rule_id").agg(F.max("at").alias("at")), base, "fired", batch_id)
 
-    base = run_batches(logs, label, step)
-    results = spark.read.parquet(f"{base}/results")
-    return results.filter(F.col("batch") == results.agg(F.max("batch")).scalar()).drop("batch")
+    base = run_batches(logs, label, step, folder)
+    return spark.read.parquet(f"{base}/results").drop("batch")
 
 
-def run_silence(logs: DataFrame, sources: DataFrame, minutes: float, label: str = "stream-silence") -> DataFrame:
-    """Sources without a log in the trailing window, kept up to date per micro-batch.
+def run_silence(logs: DataFrame, sources: DataFrame, minutes: float, label: str = "stream-silence",
+                folder: str | None = None) -> DataFrame:
+    """Sources without a log in the trailing window: ``source_id, last_ts, as_of`` per micro-batch.
 
-    State is one row per source: the newest time seen. A batch is reduced to that
-    before it meets the state, so a busy source costs no more than a quiet one.
+    State is one row per source, the newest time seen, carried from batch to batch. A
+    batch is reduced to that before it meets the state, so a busy source costs no more
+    than a quiet one. Before any log has come, every source is silent and ``as_of`` is null.
     """
     spark = logs.sparkSession
 
     def step(batch: DataFrame, batch_id: int, base: str) -> None:
         newest = batch.groupBy("source_id").agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("last_ts"))
-        newest.write.mode("overwrite").parquet(f"{base}/seen/batch={batch_id:09d}")
+        merged = newest.unionByName(_state_before(newest, base, "seen", batch_id))
+        _keep(merged.groupBy("source_id").agg(F.max("last_ts").alias("last_ts")), base, "seen", batch_id)
+        seen = spark.read.schema(newest.schema).parquet(f"{base}/seen/batch={batch_id:09d}")
+        now = latest_ts(seen, "last_ts")
+        silent = F.col("last_ts").isNull()
+        if now is not None:
+            silent = silent | (F.col("last_ts") < as_ntz(now - dt.timedelta(minutes=minutes)))
+        known = sources.select(F.col("id").alias("source_id")).join(seen, "source_id", "left")
+        as_of = F.lit(None).cast("timestamp_ntz") if now is None else as_ntz(now)
+        _keep(known.filter(silent).withColumn("as_of", as_of), base, "results", batch_id)
 
-    base = run_batches(logs, label, step)
-    seen = spark.read.parquet(f"{base}/seen").groupBy("source_id").agg(F.max("last_ts").alias("last_ts"))
-    now = latest_ts(seen, "last_ts")
-    since = now - dt.timedelta(minutes=minutes)
-    known = sources.select(F.col("id").alias("source_id"))
-    return known.join(seen, "source_id", "left").filter(
-        F.col("last_ts").isNull() | (F.col("last_ts") < as_ntz(since)))
+    base = run_batches(logs, label, step, folder)
+    return spark.read.parquet(f"{base}/results").drop("batch")
 
 
 class _Cooldown(StatefulProcessor):
@@ -177,7 +222,7 @@ def stream_cooldown(candidates: DataFrame) -> DataFrame:
 
 def run_cooldown(logs: DataFrame, rules: DataFrame, window: str, threshold: int,
                  delay: str = "10 minutes") -> DataFrame:
-    """Closed windows with at least ``threshold`` errors of a rule's source, thinned by its cool-down.
+    """Closed windows with at least ``threshold`` errors of an enabled rule's source, thinned by its cool-down.
 
     The counting stream is written first; its table feeds the stateful stream.
     """
@@ -190,7 +235,7 @@ def run_cooldown(logs: DataFrame, rules: DataFrame, window: str, threshold: int,
     )
     counting.awaitTermination()
     closed = spark.readStream.schema(counts.schema).parquet(f"{base}/table")
-    rule = rules.select(
+    rule = select_rules(rules).select(
         F.col("id").alias("rule_id"), "source_id",
         F.coalesce("cooldown_minutes", F.lit(COOLDOWN_MINUTES)).alias("cooldown_minutes"))
     hits = closed.filter(F.col("errors") >= threshold).join(rule, "source_id").select(

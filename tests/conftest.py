@@ -12,10 +12,11 @@ from tallywatch.session import configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "6g").getOrCreate()
+        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "6g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
     yield configure(session)

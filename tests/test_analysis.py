@@ -39,12 +39,13 @@ def test_bands(spark):
     assert [tuple(r) for r in rows] == [("healthy", "critical"), ("warning", "warning"), ("warning", "warning"), ("critical", "critical")]
 
 
-def test_context_cut_at_200(spark):
-    rows = [("l1", "s", "x", "error", "m" * 200, T0), ("l2", "s", "x", "info", "n" * 201, T0 - dt.timedelta(1))]
-    batch = analysis.analysis_batches(spark.createDataFrame(rows, LOG_SCHEMA))
+def test_context_holds_whole_messages(spark):
+    rows = [("l1", "s", "x", "error", "m" * 200, T0), ("l2", "s", "x", "info", "n" * 5000, T0 - dt.timedelta(1))]
+    logs = spark.createDataFrame(rows, LOG_SCHEMA)
+    batch = analysis.analysis_batches(logs)
     text = analysis.render_context(batch).first()["context"].split("\n")
-    assert text == ["[ERROR] l1: " + "m" * 200, "[INFO] l2: " + "n" * 200 + "..."]
-    timed = analysis.render_context(batch, with_time=True, max_lines=1).first()
+    assert text == ["[ERROR] l1: " + "m" * 200, "[INFO] l2: " + "n" * 5000]
+    timed = analysis.render_context(analysis.analysis_batches(logs, 1), with_time=True).orderBy("batch_no").first()
     assert timed["context"].startswith("[2026-02-01 00:00:00] [ERROR] l1: ") and timed["lines"] == 1
 
 
@@ -52,10 +53,10 @@ def test_batches_and_empty_results(spark):
     rows, logs = make_logs(spark)
     batches = analysis.analysis_batches(logs, 20)
     for source in ("hot", "a"):
-        want = [r[0] for r in sorted((r for r in rows if r[1] == source), key=lambda r: (-r[5].timestamp(), r[0]))][:20]
-        assert [r["log_id"] for r in batches.filter(F.col("source_id") == source).orderBy("pos").collect()] == want
-    plan = batches._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+        want = [r[0] for r in sorted((r for r in rows if r[1] == source), key=lambda r: (-r[5].timestamp(), r[0]))]
+        got = batches.filter(F.col("source_id") == source).orderBy("batch_no", "pos").collect()
+        assert [r["log_id"] for r in got] == want
+        assert [(r["batch_no"], r["pos"]) for r in got] == [(i // 20, i % 20 + 1) for i in range(len(want))]
     asked = spark.createDataFrame([("1", "hot", "batch"), ("2", "silent", "batch")], "analysis_id string, source_id string, analysis_type string")
     empty = analysis.empty_analyses(asked, batches).collect()
     assert [(r["source_id"], r["provider"], r["severity"], r["log_ids"]) for r in empty] == [("silent", "none", "unknown", [])]
@@ -63,11 +64,12 @@ def test_batches_and_empty_results(spark):
 
 def test_scorer_errors_become_error_results(spark):
     contexts = spark.createDataFrame([("1", "s", "good"), ("2", "s", "bad")], "analysis_id string, source_id string, context string")
-    def scorer(text):
-        if text == "bad":
+    def scorer(texts):
+        if "bad" in texts:
             raise RuntimeError("down")
-        return '{"summary":"fine"}'
-    replies = analysis.score_batches(contexts, scorer, parallelism=2)
+        return ['{"summary":"fine"}'] * len(texts)
+    replies = analysis.score_batches(contexts, scorer, parallelism=1)
+    assert {r["analysis_id"]: r["scorer_error"] for r in replies.collect()} == {"1": None, "2": "RuntimeError: down"}
     got = {r["analysis_id"]: (r["summary"], r["error"]) for r in analysis.parse_responses(replies).collect()}
     assert got == {"1": ("fine", None), "2": (analysis.NO_JSON, analysis.NO_JSON)}
     single = {r["analysis_id"]: (r["is_anomaly"], r["explanation"]) for r in analysis.parse_single_responses(replies).collect()}
@@ -116,7 +118,8 @@ def test_root_cause_window_and_timeline(spark):
     parts = {(r["source_id"], r["server_id"]): (r["n"], r["errors"]) for r in analysis.affected_components(window).collect()}
     assert parts == {("a", "x"): (3, 2), ("b", "y"): (1, 1)}
     assert analysis.rca_window(logs, ids.filter("log_id = 'absent'")).count() == 0
-    assert [r["log_id"] for r in analysis.rca_context(logs, ids, limit=2).collect()] == ["l4", "l3"]
+    pieces = analysis.rca_context(logs, ids, size=2).orderBy("source_id", "batch_no", "pos").collect()
+    assert [(r["log_id"], r["batch_no"]) for r in pieces] == [("l3", 0), ("l1", 0), ("l0", 1), ("l2", 0), ("l4", 0)]
 
 
 def test_error_spike(spark):
@@ -141,6 +144,7 @@ def test_pages_cover_everything_once(spark):
     assert seen == [r[0] for r in sorted(rows, key=lambda r: (-r[5].timestamp(), r[0]))]
     first = store.page_logs(logs, 1, 1, "ASC").first()["log_id"]
     assert first == min(rows, key=lambda r: (r[5], r[0]))[0]
+    assert {r["total"] for r in store.page_with_total(logs, 3, 40).collect()} == {95}
     assert "TakeOrderedAndProject" in store.page_logs(logs, 2, 40)._jdf.queryExecution().executedPlan().toString()
 
 
@@ -164,9 +168,18 @@ def test_quota_and_retention(spark):
     assert got["o1"]["overage_price"] == 0.5
     assert not any(got["o2"][c] for c in ("over_ingestion", "over_analyses", "over_rules", "over_users")) and got["o2"]["overage_price"] == 0
     logs = spark.createDataFrame([("o1", "in", T0 - dt.timedelta(days=1)), ("o1", "out", T0 - dt.timedelta(days=1, seconds=1)),
-                                  ("o2", "in2", T0 - dt.timedelta(days=90)), ("o2", "out2", T0 - dt.timedelta(days=91))],
+                                  ("o2", "in2", T0 - dt.timedelta(days=90)), ("o2", "out2", T0 - dt.timedelta(days=91)),
+                                  ("unowned", "stray", T0 - dt.timedelta(days=400))],
                                  "organization_id string, log_id string, ts timestamp_ntz")
-    assert {r["log_id"] for r in tenancy.apply_retention(logs, orgs, T0).collect()} == {"in", "in2"}
+    assert {r["log_id"] for r in tenancy.apply_retention(logs, orgs, T0).collect()} == {"in", "in2", "stray"}
+
+
+def test_unregistered_sources_are_metered(spark):
+    _, logs = make_logs(spark, 20)
+    sources = spark.createDataFrame([("hot", "o1")], "id string, owner_id string")
+    none = spark.createDataFrame([], "source_id string, created_at timestamp_ntz")
+    got = tenancy.usage_metering(logs, none, sources).collect()
+    assert {r["organization_id"] for r in got} == {"o1", tenancy.UNOWNED} and sum(r["logs_ingested"] for r in got) == 20
 
 
 def test_filters_reach_the_scan(spark, tmp_path):

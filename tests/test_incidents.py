@@ -42,6 +42,20 @@ def test_lifecycle(spark):
     assert view("e") == ("active", None, None, None, 0)
 
 
+def test_stored_alert_state_is_continued(spark):
+    at = T0 + dt.timedelta(minutes=3)
+    alerts = spark.createDataFrame(
+        [("kept", "low", "s", T0, "resolved", "ann", at, at, "old note"), ("again", "low", "s", T0, "acknowledged", "ann", at, None, None)],
+        "id string, severity string, source_id string, created_at timestamp_ntz, status string, acknowledged_by string, "
+        "acknowledged_at timestamp_ntz, resolved_at timestamp_ntz, resolution_notes string")
+    actions = spark.createDataFrame([("again", "resolve", "bob", "done", T0 + dt.timedelta(minutes=9), "1")],
+                                    "alert_id string, action string, actor string, notes string, at timestamp_ntz, action_id string")
+    got = {r["id"]: r for r in incidents.apply_alert_actions(alerts, actions).collect()}
+    kept, again = got["kept"], got["again"]
+    assert (kept["status"], kept["acknowledged_by"], kept["resolved_at"], kept["resolution_notes"]) == ("resolved", "ann", at, "old note")
+    assert (again["status"], again["acknowledged_by"], again["acknowledged_at"], again["resolution_notes"]) == ("resolved", "ann", at, "done")
+
+
 def rules_of(spark):
     actions = [{"type": "email", "config": {"email": "x@example.com"}}, {"type": "webhook", "config": {"url": "http://h"}},
                {"type": "webhook", "config": {}}, {"type": "slack", "config": {"channel": "#c"}},

@@ -60,24 +60,65 @@ def test_cooldown_state_is_kept_between_batches(spark, tmp_path):
 def test_rules_per_batch_equal_the_batch_job(spark, feed):
     files = [[("1", "a", "error", 0)], [("2", "a", "error", 3), ("3", "b", "info", 4)], [("4", "a", "error", 7)]]
     ask = json.dumps([{"type": "error_count", "params": {"threshold": 2, "timeWindowMinutes": 5}}])
-    rules = spark.createDataFrame([("r", "n", None, "a", "enabled", "high", ask, "[]", 5, None, 0)],
+    rules = spark.createDataFrame([("r", "n", None, "a", "enabled", "high", ask, "[]", 1, None, 0)],
                                   "id string, name string, description string, source_id string, status string, severity string, "
                                   "conditions string, actions string, cooldown_minutes int, last_triggered_at timestamp_ntz, trigger_count long")
     stream = feed(*files)
-    got = jobs.run_rules(stream, rules).first()
+    results = {r["as_of"]: r for r in jobs.run_rules(stream, rules).collect()}
+    assert [r["triggered"] for _, r in sorted(results.items())] == [False, True, True]
+    got = results[T0 + dt.timedelta(minutes=7)]
     everything = spark.createDataFrame(
         [(a, s, lv, "m", T0 + dt.timedelta(minutes=m)) for f in files for a, s, lv, m in f], SCHEMA).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     want = evaluate_rules(rules, everything, T0 + dt.timedelta(minutes=7)).first()
     assert got["as_of"] == T0 + dt.timedelta(minutes=7)
-    assert (got["triggered"], got["matched_logs"], got["first_log_id"]) == (want["triggered"], want["matched_logs"], want["first_log_id"]) == (
-        True, ["2", "4"], "4")
+    assert (got["triggered"], got["matched_count"], got["first_log_id"]) == (want["triggered"], want["matched_count"], want["first_log_id"]) == (
+        True, 2, "4")
 
 
 def test_silence(spark, feed):
     stream = feed([("1", "a", "info", 0), ("2", "b", "info", 1)], [("3", "b", "info", 40)])
     sources = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
-    got = {r["source_id"]: r["last_ts"] for r in jobs.run_silence(stream, sources, 30).collect()}
-    assert got == {"a": T0, "c": None}
+    got = {(r["source_id"], r["as_of"]): r["last_ts"] for r in jobs.run_silence(stream, sources, 30).collect()}
+    early, late = T0 + dt.timedelta(minutes=1), T0 + dt.timedelta(minutes=40)
+    assert got == {("c", early): None, ("a", late): T0, ("c", late): None}
+
+
+def test_a_trigger_holds_its_cooldown_in_later_batches(spark, feed, tmp_path):
+    ask = json.dumps([{"type": "error_count", "params": {"threshold": 1, "timeWindowMinutes": 5}}])
+    rules = spark.createDataFrame([("r", "n", None, None, "enabled", "high", ask, "[]", 60, None, 0)],
+                                  "id string, name string, description string, source_id string, status string, severity string, "
+                                  "conditions string, actions string, cooldown_minutes int, last_triggered_at timestamp_ntz, trigger_count long")
+    stream = feed([("1", "a", "error", 0)], [("2", "a", "error", 3)], [("3", "a", "error", 120)])
+    folder = str(tmp_path / "rules")
+    results = sorted((r["as_of"], r["triggered"], r["reason"]) for r in jobs.run_rules(stream, rules, folder=folder).collect())
+    at = [T0 + dt.timedelta(minutes=m) for m in (0, 3, 120)]
+    assert results == [(at[0], True, "All conditions met"), (at[1], False, "In cooldown period"), (at[2], True, "All conditions met")]
+    # A second run over more input goes on: the last trigger still counts.
+    more = feed([("4", "a", "error", 121)])
+    again = sorted((r["as_of"], r["triggered"]) for r in jobs.run_rules(more, rules, folder=folder).collect())
+    assert again == [(at[0], True), (at[1], False), (at[2], True), (T0 + dt.timedelta(minutes=121), False)]
+
+
+def test_sources_are_read_again_for_each_batch(spark, tmp_path):
+    def add(name, ip):
+        row = [(name, "syslog", json.dumps({"syslogIp": ip}), T0)]
+        spark.createDataFrame(row, "id string, type string, config string, created_at timestamp_ntz").write.mode("append").parquet(str(tmp_path / "sources"))
+
+    def send(i, ip):
+        spark.createDataFrame([(str(i), ip, "udp")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "messages"))
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "messages"))
+        rows = jobs.run_source_refresh(stream, lambda: spark.read.parquet(str(tmp_path / "sources")), folder=str(tmp_path / "run"))
+        return {r["message_id"]: r["source_id"] for r in rows.collect()}
+
+    schema = "message_id string, sender_ip string, transport string"
+    add("one", "10.0.0.1")
+    send(1, "10.0.0.2")
+    assert run() == {"1": "unregistered:10.0.0.2"}
+    add("two", "10.0.0.2")
+    send(2, "10.0.0.2")
+    assert run() == {"1": "unregistered:10.0.0.2", "2": "two"}
 
 
 def test_sender_map_joins_a_stream(spark, tmp_path):
@@ -100,6 +141,5 @@ def test_shared_folder_comes_from_the_session(tmp_path):
 
     named = Fake(**{"spark.checkpoint.dir": "/shared/x/", "spark.master": "yarn"})
     assert session.shared_dir(named, "t").startswith("/shared/x/t-")
-    assert "/tallywatch-" in session.shared_dir(Fake(**{"spark.master": "local[2]"}), "t")
-    with pytest.raises(ValueError):
-        session.shared_dir(Fake(**{"spark.master": "yarn"}), "t")
+    bare = Fake(**{"spark.master": "yarn", "spark.sql.warehouse.dir": "/shared/warehouse"})
+    assert session.shared_dir(bare, "t").startswith("/shared/warehouse/_work/t-")
