@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.session import materialize
 
-__all__ = ["bounded", "documents", "ident", "materialize", "on_workers", "table", "words_of", "UPPER", "LOWER"]
+__all__ = ["bounded", "documents", "ident", "materialize", "on_workers", "table", "without", "words_of", "UPPER", "LOWER"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,6 +28,18 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(ident(id_col).cast("long").alias("doc_id"), F.coalesce(ident(text_col), F.lit("")).alias("text"))
 
 
+def without(docs: DataFrame, dropped: DataFrame, label: str, **on: Column) -> DataFrame:
+    """The rows of ``docs`` that match no row of ``dropped``; ``on``: a column over ``docs`` for each of its columns.
+
+    Nulls match nulls. The columns of ``dropped`` get names that ``docs`` does not have.
+    """
+    taken = {name.lower() for name in docs.columns}
+    marks = {name: next(c for i in range(len(taken) + 1) if (c := f"_{name}_{i}").lower() not in taken) for name in on}
+    table = bounded(dropped.select(*(F.col(name).alias(mark) for name, mark in marks.items())).distinct(), label)
+    same = [value.eqNullSafe(F.col(marks[name])) for name, value in on.items()]
+    return docs.join(table, same, "left_anti")
+
+
 def on_workers(spark: SparkSession) -> None:
     """Let Python workers import this package when the session was started outside the repository."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import bounded, documents, ident, materialize, on_workers, words_of
+from tallywatch.llm.common import documents, ident, materialize, on_workers, without, words_of
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -175,6 +175,5 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no test item, with all their columns. Null ids share their fate."""
-    found = find_contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_found_id")).distinct()
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(bounded(found, "contaminated"), ident(id_col).cast("long").eqNullSafe(F.col("_found_id")), "left_anti")
+    found = find_contaminated(docs, benchmark, **options).select("doc_id")
+    return without(docs, found, "contaminated", doc_id=ident(options.get("id_col", "doc_id")).cast("long"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import bounded, ident, materialize
+from tallywatch.llm.common import ident, materialize, without
 
 _SPAN = 1 << 64
 _TOP = (1 << 63) - 1
@@ -65,8 +65,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    dropped = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_id"), F.unhex(F.substring("text_sha256", 1, 32)).alias("_hash")).distinct()
-    same = ident(id_col).cast("long").eqNullSafe(F.col("_id")) & (
-        F.unhex(F.substring(F.sha2(content(ident(text_col)), 256), 1, 32)) == F.col("_hash"))
-    return docs.join(bounded(dropped, "dedup-dropped"), same, "left_anti")
+    digest = lambda sha: F.unhex(F.substring(sha, 1, 32))
+    dropped = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id", digest("text_sha256").alias("hash"))
+    return without(docs, dropped, "dedup-dropped", doc_id=ident(id_col).cast("long"), hash=digest(F.sha2(content(ident(text_col)), 256)))

@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import bounded, ident, materialize, on_workers
+from tallywatch.llm.common import ident, materialize, on_workers, without
 
 FEATURES = ("upper", "symbols", "digits", "bars", "marked_words", "repeats", "few_words", "long_words", "commas", "size")
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -132,6 +132,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not rejected, with all their columns. A null id is judged like the other null ids together."""
-    id_col = options.get("id_col", "doc_id")
-    bad = score_quality(docs, labels, **options).filter(~F.col("keep")).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bounded(bad, "quality-rejected"), ident(id_col).cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+    bad = score_quality(docs, labels, **options).filter(~F.col("keep")).select("doc_id")
+    return without(docs, bad, "quality-rejected", doc_id=ident(options.get("id_col", "doc_id")).cast("long"))

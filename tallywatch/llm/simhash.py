@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import bounded, documents, ident, materialize, on_workers, words_of
+from tallywatch.llm.common import bounded, documents, ident, materialize, on_workers, without, words_of
 from tallywatch.llm.graph import components
 
 SEED = 42
@@ -238,5 +238,5 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id share their fate; an empty table stays empty.
     """
     groups = components(similar_links(docs, id_col, text_col, **options))
-    dropped = groups.filter("node <> root").select(F.col("node").alias("_id"))
-    return docs.join(bounded(dropped, "simhash-dropped"), ident(id_col).cast("long") == F.col("_id"), "left_anti")
+    dropped = groups.filter("node <> root").select(F.col("node").alias("doc_id"))
+    return without(docs, dropped, "simhash-dropped", doc_id=ident(id_col).cast("long"))
