@@ -26,7 +26,7 @@ from tallywatch.session import shared_dir
 
 LIMIT = 16
 CHECKPOINT = 256
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS = 1 << 18
 
 _RAW = "part long, block long, start long, doc_ids array<bigint>, lengths array<bigint>, ids binary"
 _BLOCK = "part long, block long, start long, doc_ids array<bigint>, lengths array<bigint>, tokens long, bits binary, checkpoints array<bigint>"

@@ -11,17 +11,16 @@ from __future__ import annotations
 import functools
 import json
 import re
-
-import numpy as np
+import sys
+from array import array
 
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 # The two pre-token patterns of the public vocabularies, for printable Latin-1.
 _BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+"
-_UNUSUAL = re.compile("[^\n -~\xa1-\xac\xae-\xff]")
 _RUN_OF_SPACES = ("  ", " \n", "\n ", "\n\n")
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,6 +30,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _usual(text: str) -> bool:
+    """Printable Latin-1 and line ends only."""
+    if not text.replace("\n", "").isprintable():
+        return False
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return True
+
+
+def _packed(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class _Ids(dict):
     """Ids (little-endian unsigned 32-bit) by word; at most ``CACHED_WORDS`` words are kept."""
 
@@ -79,22 +97,22 @@ class Encoder:
         return "other"
 
     def encode_whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _model_ids(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self._letters)
-        return np.array([t.id for t in self._model.tokenize(mapped)], dtype="<u4").tobytes()
+        return _packed([t.id for t in self._model.tokenize(mapped)])
 
     def _word_ids(self, word: str) -> bytes:
         return b"".join(map(self._pieces.__getitem__, self._pattern.findall(word)))
 
     def _encode_words(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
+        if not _usual(text):
             return self.encode_whole(text)
         return b"".join(map(self._plain.__getitem__, text.lower().split()))
 
     def _encode_bytes(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
+        if not _usual(text):
             return self.encode_whole(text)
         if any(run in text for run in _RUN_OF_SPACES):
             return self._word_ids(text)
