@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.session import materialize
 
-__all__ = ["bounded", "documents", "ident", "materialize", "on_workers", "table", "without", "words_of", "UPPER", "LOWER"]
+__all__ = ["bounded", "documents", "ident", "materialize", "most_frequent", "on_workers", "table", "without", "words_of", "UPPER", "LOWER"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,6 +28,23 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(ident(id_col).cast("long").alias("doc_id"), F.coalesce(ident(text_col), F.lit("")).alias("text"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows of the words with the largest ``n``, at most ``most`` of them, read to the driver.
+
+    The least count comes from a histogram of counts (a few hundred rows at most), so no task sends more than
+    its share of the result.
+    """
+    seen = counts.filter("n > 0")
+    bucket = F.floor(F.log2("n") * 16).cast("long")
+    total, least = 0, None
+    for row in seen.groupBy(bucket.alias("bucket")).count().orderBy(F.desc("bucket")).collect():
+        total += row["count"]
+        if total > most:
+            break
+        least = row["bucket"]
+    return [] if least is None else seen.filter(bucket >= least).collect()
+
+
 def without(docs: DataFrame, dropped: DataFrame, label: str, **on: Column) -> DataFrame:
     """The rows of ``docs`` that match no row of ``dropped``; ``on``: a column over ``docs`` for each of its columns.
 

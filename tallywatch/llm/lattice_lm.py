@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tallywatch.llm.common import ident, materialize, on_workers, words_of
+from tallywatch.llm.common import ident, materialize, most_frequent, on_workers, words_of
 
 FREQUENT_WORDS = 100_000
 FREQUENT_BYTES = 64
 FLUSH = 400_000
 SMOOTHING = 0.1
+#: Words of fewer bytes are counted in plain probabilities: 25 pieces of 1e-8 are far above the smallest number.
+SHORT = 24
 END = b"\0end"  # no word holds this key: it stands for the end of a document among the pieces
 _DOC = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, lattice double, "
         "rare array<struct<word:binary,n:bigint>>")
@@ -62,6 +64,7 @@ class Lattice:
 
     def __init__(self, weights: dict[bytes, float]) -> None:
         self._weights = weights
+        self._plain = {piece: math.exp(w) for piece, w in weights.items() if piece != END}
         self._longest = max((len(p) for p in weights if p != END), default=1)
 
     def _arcs(self, text: bytes, end: int) -> list[tuple[int, float]]:
@@ -75,15 +78,48 @@ class Lattice:
 
     def log_prob(self, word: bytes) -> float:
         """Natural log of the word's marginal probability."""
-        text = b" " + word
+        text, get, longest = b" " + word, self._weights.get, self._longest
+        exp, log = math.exp, math.log
         ahead = [0.0]
         for end in range(1, len(text) + 1):
-            ahead.append(_log_sum([ahead[start] + w for start, w in self._arcs(text, end)]))
+            terms = []
+            for start in range(end - longest if end > longest else 0, end):
+                weight = get(text[start:end])
+                if weight is not None:
+                    terms.append(ahead[start] + weight)
+            most, total = max(terms), 0.0
+            for term in terms:
+                total += exp(term - most)
+            ahead.append(most + log(total))
         return ahead[-1]
 
     def add_expected(self, word: bytes, times: float, into: dict[bytes, float]) -> None:
         """Add how often each piece is expected in ``times`` occurrences of the word."""
-        text = b" " + word
+        if len(word) < SHORT:
+            self._add_short(b" " + word, times, into)
+        else:
+            self._add_long(b" " + word, times, into)
+
+    def _add_short(self, text: bytes, times: float, into: dict[bytes, float]) -> None:
+        """In plain probabilities, which a short word cannot bring below the smallest number."""
+        get, longest, size = self._plain.get, self._longest, len(text)
+        ahead, arcs = [1.0], []
+        for end in range(1, size + 1):
+            total = 0.0
+            for start in range(max(0, end - longest), end):
+                weight = get(text[start:end])
+                if weight is not None:
+                    total += ahead[start] * weight
+                    arcs.append((start, end, weight))
+            ahead.append(total)
+        behind = [0.0] * size + [times / ahead[-1]]
+        for start, end, weight in reversed(arcs):
+            flow = behind[end] * weight
+            behind[start] += flow
+            piece = text[start:end]
+            into[piece] = into.get(piece, 0.0) + ahead[start] * flow
+
+    def _add_long(self, text: bytes, times: float, into: dict[bytes, float]) -> None:
         arcs = [self._arcs(text, end) for end in range(len(text) + 1)]
         ahead = [0.0]
         for end in range(1, len(text) + 1):
@@ -198,7 +234,7 @@ def score_documents(docs: DataFrame, model_file: str, *, id_col: str = "doc_id",
         total = math.log(math.fsum(found.values()) + SMOOTHING * len(weights))
         weights = {piece: math.log(found.get(piece, 0.0) + SMOOTHING) - total for piece in weights}
     scored = materialize(words.mapInArrow(_score_words(share(weights)), "word binary, n long, lattice double"), "lm-scored")
-    top = scored.filter(F.length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(frequent_words).collect()
+    top = most_frequent(scored.filter(F.length("word") <= FREQUENT_BYTES), frequent_words)
     frequent = share({bytes(r["word"]): (r["n"], r["lattice"]) for r in top})
 
     judged = materialize(rows.mapInArrow(_score_documents(frequent, ends, weights[END]), _DOC), "lm-documents")

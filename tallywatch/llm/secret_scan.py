@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import documents, on_workers
+from tallywatch.llm.common import documents, materialize, most_frequent, on_workers
 
 # The patterns of the contract and their least lengths.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -171,15 +171,15 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dictionary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = DICTIONARY) -> dict[str, int]:
-    """Ranks of the common passwords and the ``size`` most frequent corpus words of 3 to 24 letters.
+    """Ranks of the common passwords and of up to ``size`` most frequent corpus words of 3 to 24 letters.
 
     Counted over all texts; ties go to the smaller word. At most ``size`` short words reach the driver.
     """
     on_workers(docs.sparkSession)
     counted = documents(docs, id_col, text_col).select("text").mapInArrow(_words, "word binary, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
+    top = most_frequent(materialize(counted.groupBy("word").agg(F.sum("n").alias("n")), "secret-words"), size)
     ranks = {word: i for i, word in enumerate(COMMON, 1)}
-    for row in top:
+    for row in sorted(top, key=lambda r: (-r["n"], bytes(r["word"]))):
         word = bytes(row["word"]).decode("utf-8", "replace")
         ranks.setdefault(word, len(ranks) + 1)
     return ranks

@@ -32,6 +32,14 @@ def test_all_segmentations_count(word):
     assert got == pytest.approx(dict(want))
 
 
+def test_both_recursions_agree():
+    lattice, short, long = lattice_lm.Lattice(lattice_lm.pieces_of(MODEL)), {}, {}
+    for word in (b"the", b"blelyandthere", "naïveté".encode(), b"x" * 22):
+        lattice._add_short(b" " + word, 2, short)
+        lattice._add_long(b" " + word, 2, long)
+    assert short == pytest.approx(long)
+
+
 def test_vocabulary_weights_sum_to_one():
     weights = lattice_lm.pieces_of(MODEL)
     assert math.fsum(map(math.exp, weights.values())) == pytest.approx(1)
