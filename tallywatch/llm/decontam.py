@@ -45,7 +45,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         value = xxhash.xxh64_intdigest(word, SEED).to_bytes(8, "little")
-        if len(self) < 300_000 and len(word) <= 64:
+        if len(self) < 100_000 and len(word) <= 64:
             self[word] = value
         return value
 

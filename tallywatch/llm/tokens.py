@@ -20,7 +20,8 @@ _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+"
 _RUN_OF_SPACES = ("  ", " \n", "\n ", "\n\n")
-CACHED_WORDS = 1_000_000
+#: Words and pre-tokens whose ids a worker keeps: some 120 MB. The others are encoded at every occurrence.
+CACHED_WORDS, CACHED_PIECES = 350_000, 150_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,15 +51,15 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Ids(dict):
-    """Ids (little-endian unsigned 32-bit) by word; at most ``CACHED_WORDS`` words are kept."""
+    """Ids (little-endian unsigned 32-bit) by word; at most ``most`` words are kept."""
 
-    def __init__(self, make, before: str = "") -> None:
+    def __init__(self, make, before: str = "", most: int = CACHED_WORDS) -> None:
         super().__init__()
-        self._make, self._before = make, before
+        self._make, self._before, self._most = make, before, most
 
     def __missing__(self, word: str) -> bytes:
         ids = self._make(self._before + word)
-        if len(self) < CACHED_WORDS and len(word) <= 64:
+        if len(self) < self._most and len(word) <= 64:
             self[word] = ids
         return ids
 
@@ -81,7 +82,7 @@ class Encoder:
         kind = self._kind(spec)
         self._pattern = re.compile({"byte": _BYTE_PATTERN, "word": _WORD_PATTERN}.get(kind, ""))
         self.encode = {"byte": self._encode_bytes, "word": self._encode_words}.get(kind, self.encode_whole)
-        self._pieces = _Ids(self._model_ids)
+        self._pieces = _Ids(self._model_ids, most=CACHED_PIECES)
         self._plain, self._spaced = _Ids(self._word_ids), _Ids(self._word_ids, " ")
         self._line_end = None
 
