@@ -10,6 +10,7 @@ as many links as arrivals, no pairs, and at most 65 + 992 arrivals at any value.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -134,9 +135,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near-copies by similarity: so many short fingerprints of so many bits, each linked within two bits, find a pair of
-#: similarity 0.8 with a probability of 0.96, one of 0.85 with 0.995.
-TABLES, BITS = 10, 24
+#: Near-copies by similarity: short fingerprints, of these bits at least, are linked within two bits; there are so many
+#: that a pair at the threshold is found with this probability, and more similar ones almost surely.
+LEAST_BITS, RECALL = 24, 0.955
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Differing bits of a further 64-bit fingerprint up to which a pair is compared word by word: a pair at the threshold
 #: exceeds it once in 5,000 times, unrelated texts stay below it once in 500.
@@ -144,6 +145,18 @@ CHECK_BITS = 20
 _SKETCH = "doc_id long, prints array<bigint>, check long"
 
 
+def sketch_size(documents: int, similarity: float) -> tuple[int, int]:
+    """Number and bits of the short fingerprints.
+
+    The bits grow with the logarithm of the number of documents, so that under one unrelated document is expected
+    at a variant; the number of fingerprints follows from the chance that two bits at most differ.
+    """
+    bits = max(LEAST_BITS, math.ceil(math.log2((LEAST_BITS + 1) * max(documents, 1))))
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meets = sum(math.comb(bits, k) * apart ** k * (1 - apart) ** (bits - k) for k in range(3))
+    return (1 if meets >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - meets))), bits
+
+
 def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
     """``words`` independent 64-bit words per hash."""
     x = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -194,16 +207,17 @@ def _verify(words: int, similarity: float):
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SHINGLE_WORDS,
-                  similarity: float = SIMILARITY, tables: int = TABLES, bits: int = BITS) -> DataFrame:
+                  similarity: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` between ids whose texts have a Jaccard similarity of at least ``similarity``.
 
     The same ball hashing over several short fingerprints: each is sent to its variants within one bit, half the
-    radius of two. Documents that share a fingerprint are represented by the smallest id, so at most ``bits + 1``
-    representatives meet at a variant, whatever the size of a group of copies; each is paired with the smallest id
-    there and with its neighbour in id order. Every pair is then compared by its shingles.
+    radius of two. Documents that share a fingerprint are represented by the smallest id, so at most one more than
+    the bits of representatives meet at a variant, whatever the size of a group of copies; each is paired with the
+    smallest id there and with its neighbour in id order. Every pair is then compared by its shingles.
     """
     on_workers(docs.sparkSession)
     rows = documents(docs, id_col, text_col)
+    tables, bits = sketch_size(rows.count(), similarity)
     sketches = materialize(rows.mapInArrow(_sketches(words, tables, bits), _SKETCH), "simhash-sketches")
     prints = sketches.select("doc_id", "check", F.posexplode("prints").alias("table", "print")).select(
         (F.col("print") * tables + F.col("table")).alias("own"), "doc_id", "check")

@@ -55,6 +55,13 @@ def test_components_of_chains_and_stars(spark):
     assert got == fixtures.plain_components({n for e in real for n in e}, real)
 
 
+def test_sketches_grow_with_the_corpus():
+    assert simhash.sketch_size(0, 0.8) == simhash.sketch_size(500_000, 0.8) == (10, 24)
+    tables, bits = simhash.sketch_size(10 ** 9, 0.8)
+    assert bits == 35 and 30 < tables < 60
+    assert simhash.sketch_size(1, 1.0)[0] == 1
+
+
 def variant(words, rng, changes):
     words = list(words)
     for at in rng.sample(range(len(words)), changes):
