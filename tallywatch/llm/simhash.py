@@ -233,9 +233,14 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in_order = Window.partitionBy("value").orderBy("doc_id")
     me = F.struct("doc_id", "check")
     met = sent.select("doc_id", "check", F.first(me).over(in_order).alias("least"), F.lag(me).over(in_order).alias("last"))
-    met = met.filter("last is not null").select("doc_id", "check", F.explode(F.array("least", "last")).alias("other"))
-    far = F.bit_count(F.col("check").bitwiseXOR(F.col("other.check"))) > CHECK_BITS
-    met = met.filter((F.col("other.doc_id") != F.col("doc_id")) & ~far).select(
+
+    def like(other: str) -> Column:
+        return F.bit_count(F.col("check").bitwiseXOR(F.col(f"{other}.check"))) <= CHECK_BITS
+
+    # Both comparisons are made in the row itself, so chance meetings of unrelated documents make no rows.
+    met = met.filter(F.col("last").isNotNull() & (like("least") | like("last"))).select(
+        "doc_id", "check", F.explode(F.array("least", "last")).alias("other"))
+    met = met.filter((F.col("other.doc_id") != F.col("doc_id")) & like("other")).select(
         F.col("other.doc_id").alias("a"), F.col("doc_id").alias("b"))
     pairs = materialize(same.unionByName(met).distinct(), "simhash-pairs")
     ids = bounded(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "simhash-ids")
