@@ -142,6 +142,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Differing bits of a further 64-bit fingerprint up to which a pair is compared word by word: a pair at the threshold
 #: exceeds it once in 5,000 times, unrelated texts stay below it once in 500.
 CHECK_BITS = 20
+#: Buckets (as bits) in which documents are counted per shingle, to put rare shingles first: 4 MB in each worker.
+ORDER_BITS = 22
 _SKETCH = "doc_id long, prints array<bigint>, check long"
 
 
@@ -206,17 +208,14 @@ def _verify(words: int, similarity: float):
     return run
 
 
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SHINGLE_WORDS,
-                  similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``(a, b)`` between ids whose texts have a Jaccard similarity of at least ``similarity``.
+def _star_links(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Most of the links ``(a, b)``, and few per document: verified pairs with the representatives of their group.
 
     The same ball hashing over several short fingerprints: each is sent to its variants within one bit, half the
     radius of two. Documents that share a fingerprint are represented by the smallest id, so at most one more than
     the bits of representatives meet at a variant, whatever the size of a group of copies; each is paired with the
     smallest id there and with its neighbour in id order. Every pair is then compared by its shingles.
     """
-    on_workers(docs.sparkSession)
-    rows = documents(docs, id_col, text_col)
     tables, bits = sketch_size(rows.count(), similarity)
     sketches = materialize(rows.mapInArrow(_sketches(words, tables, bits), _SKETCH), "simhash-sketches")
     prints = sketches.select("doc_id", "check", F.posexplode("prints").alias("table", "print")).select(
@@ -242,7 +241,12 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id", "check", F.explode(F.array("least", "last")).alias("other"))
     met = met.filter((F.col("other.doc_id") != F.col("doc_id")) & like("other")).select(
         F.col("other.doc_id").alias("a"), F.col("doc_id").alias("b"))
-    pairs = materialize(same.unionByName(met).distinct(), "simhash-pairs")
+    return _verified(rows, same.unionByName(met), words, similarity)
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose texts are as similar as asked."""
+    pairs = materialize(pairs.distinct(), "simhash-pairs")
     ids = bounded(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "simhash-ids")
     texts = materialize(rows.join(ids, "doc_id", "left_semi"), "simhash-texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a").join(
@@ -250,6 +254,94 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return both.mapInArrow(_verify(words, similarity), "a long, b long")
 
 
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
+def _bucket_counts(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            found = [_bucket(np.unique(shingle_hashes(t.as_py(), words))) for t in batch.column(0)]
+            at, n = np.unique(np.concatenate(found or [np.empty(0, np.int64)]), return_counts=True)
+            counts[at] += n
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bucket", "n"])
+    return run
+
+
+def _levels(rows: DataFrame, words: int) -> np.ndarray:
+    """By bucket of shingle hashes: the logarithm of the number of documents. One byte each reaches the driver."""
+    counted = rows.select("text").mapInArrow(_bucket_counts(words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = counted.select("bucket", F.floor(F.log2("n")).cast("byte").alias("level")).filter("level > 0").toArrow()
+    levels = np.zeros(1 << ORDER_BITS, np.uint8)
+    levels[found["bucket"].to_numpy()] = found["level"].to_numpy()
+    return levels
+
+
+def _prefix(size: int, shared: float) -> int:
+    """How many of ``size`` ordered shingles must hold the first one in common, if ``shared`` of them are in common."""
+    return size - math.ceil(shared * size - 1e-9) + 1
+
+
+def _prefixes(words: int, similarity: float, levels):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, marks, found = [], [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes = np.unique(shingle_hashes(text.as_py(), words))
+                if doc_id is None or not len(hashes):
+                    continue
+                order = np.lexsort((hashes, levels.value[_bucket(hashes)]))
+                ids.append(doc_id)
+                sizes.append(len(hashes))
+                marks.append(_prefix(len(hashes), 2 * similarity / (1 + similarity)))
+                found.append(hashes[order[:_prefix(len(hashes), similarity)]].view(np.int64))
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "mark", "shingles"])
+    return run
+
+
+def _rest_links(rows: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
+    """All links between documents that ``groups`` (``node, root``) does not connect yet.
+
+    A prefix-filter join: with the shingles of every document in one order, rare ones first, two similar documents
+    have their first common shingle within the first fifth (at similarity 0.8) of the longer and the first ninth of
+    the shorter one, and enough shingles after it. What a family below the threshold has in common lies behind that.
+    Any order gives the same links. Shingles within one group only are left out.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(_levels(rows, words))
+    prefixes = materialize(rows.mapInArrow(
+        _prefixes(words, similarity, held), "doc_id long, size int, mark int, shingles array<bigint>"), "simhash-prefixes")
+    roots = bounded(groups.filter("node <> root").select(F.col("node").alias("doc_id"), "root"), "simhash-roots")
+    each = prefixes.join(roots, "doc_id", "left").select(
+        "doc_id", F.coalesce("root", "doc_id").alias("root"), "size", "mark", F.posexplode("shingles").alias("at", "shingle"))
+    spread = each.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.col("at") < F.col("mark")).alias("marked"))
+    mixed = bounded(spread.filter("least < most and marked").select("shingle"), "simhash-mixed")
+    met = materialize(each.join(mixed, "shingle", "left_semi"), "simhash-met")
+    longer, shorter = met.alias("x"), met.filter("at < mark").alias("y")
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    fits = (
+        (F.col("x.root") != F.col("y.root"))
+        & ((F.col("y.size") < F.col("x.size")) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.doc_id") < F.col("x.doc_id"))))
+        & (F.col("x.size") - F.col("x.at") >= needed) & (F.col("y.size") - F.col("y.at") >= needed))
+    pairs = longer.join(shorter, (F.col("x.shingle") == F.col("y.shingle")) & fits).select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b"))
+    return _verified(rows, pairs, words, similarity)
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SHINGLE_WORDS,
+                  similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``(a, b)`` that connect exactly the ids whose texts have a Jaccard similarity of at least ``similarity``.
+
+    Ball hashing first connects most copies with few pairs each; an exact join then finds every link between
+    documents it left apart.
+    """
+    on_workers(docs.sparkSession)
+    rows = documents(docs, id_col, text_col)
+    stars = materialize(_star_links(rows, words, similarity), "simhash-stars")
+    return stars.unionByName(_rest_links(rows, components(stars), words, similarity))
+
+
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group of near-copies, the smallest id, with all its columns.
 

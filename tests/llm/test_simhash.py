@@ -90,3 +90,24 @@ def test_edges_of_the_stage(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in fixtures.EDGE_ROWS if i != 7), key=str)
     assert simhash.keep_dissimilar(fixtures.empty(spark)).count() == 0
+
+
+def test_links_inside_a_family_below_the_threshold(spark):
+    """Texts with a long passage in common, alike by 0.75, and planted pairs alike by 0.9, against brute force."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(261)]
+    rows = []
+    for i in range(2000):
+        own = [f"u{i}x{k}" for k in range(43)]
+        rows.append((2 * i, " ".join(common + own)))
+        if i % 50 == 0:
+            rows.append((2 * i + 1, " ".join(common + own[:27] + [f"v{i}x{k}" for k in range(16)])))
+    rng.shuffle(rows)
+    shingles = {i: fixtures.plain_shingles(t) for i, t in rows}
+    alike = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    assert 0.7 < alike(0, 2) < 0.78 and alike(0, 1) >= 0.8
+    # The texts share the passage alone, except planted pairs: no other pair reaches the threshold.
+    planted = {(2 * i, 2 * i + 1) for i in range(0, 2000, 50)}
+    assert max(alike(a, b) for a in (0, 1, 2, 100, 101) for b in shingles if a < b and (a, b) not in planted) < 0.8
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.similar_links(fixtures.table(spark, rows, extra=())).collect()}
+    assert got == planted
