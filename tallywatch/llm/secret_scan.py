@@ -3,7 +3,8 @@
 A value that follows a credential word is judged by dynamic programming over its segmentations into words, dates,
 years, repeats, sequences, keyboard walks and single characters: the cheapest one gives the log10 of the guesses an
 attacker needs. Values above a threshold are reported; placeholders such as ``password: changeme`` are not. The
-words and their ranks come from counts over the whole corpus, after a short list of common passwords.
+words and their ranks come from counts over the distinct texts of the corpus, without such values, after a short
+list of common passwords.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import documents, materialize, most_frequent, on_workers
+from tallywatch.llm.common import bounded, documents, materialize, most_frequent, on_workers
 
 # The patterns of the contract and their least lengths.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -45,6 +46,8 @@ LONGEST_WORD = 24
 SEGMENT = math.log10(2)
 #: Words of the corpus in the guessing dictionary: the bound of what is sent to every task.
 DICTIONARY = 30_000
+#: Distinct texts a word must come from to enter it.
+LEAST_TEXTS = 5
 STRONG = 8.0
 _FOUND = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
 
@@ -158,11 +161,24 @@ def render(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
 
+def without_values(text: str) -> str:
+    """The text with the values after credential words blanked out."""
+    low = text.lower()
+    if not any(word in low for word in _CONTEXT_WORDS):
+        return text
+    spans = sorted([m.span(1) for m in _CONTEXT.finditer(text)] + [m.span(2) for m in _ASSIGN.finditer(text)])
+    parts, at = [], 0
+    for start, end in spans:
+        parts.append(text[at:max(at, start)])
+        at = max(at, end)
+    return " ".join([*parts, text[at:]])
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
     for batch in batches:
         for text in batch.column(0):
-            seen.update(_WORD.findall(text.as_py().encode("utf-8", "surrogatepass").lower()))
+            seen.update(set(_WORD.findall(without_values(text.as_py()).encode("utf-8", "surrogatepass").lower())))
             if len(seen) > 400_000:
                 yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
                 seen.clear()
@@ -170,14 +186,26 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
 
-def dictionary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = DICTIONARY) -> dict[str, int]:
-    """Ranks of the common passwords and of up to ``size`` most frequent corpus words of 3 to 24 letters.
+def _distinct_texts(texts: DataFrame) -> DataFrame:
+    """Each text once. Only texts whose hash comes more than once are shuffled."""
+    hashed = texts.withColumn("hash", F.xxhash64("text"))
+    again = bounded(hashed.groupBy("hash").count().filter("count > 1").select("hash"), "secret-copies")
+    return hashed.join(again, "hash", "left_anti").select("text").unionByName(
+        hashed.join(again, "hash", "left_semi").select("text").distinct())
+
+
+def dictionary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = DICTIONARY,
+               least: int = LEAST_TEXTS) -> dict[str, int]:
+    """Ranks of the common passwords and of up to ``size`` corpus words of 3 to 24 letters found in most texts.
 
-    Counted over all texts; ties go to the smaller word. At most ``size`` short words reach the driver.
+    Counted over distinct texts, once in each, from ``least`` texts on. Values after credential words do not count, so a
+    leaked value does not become a word, however often it is copied. Ties go to the smaller word. At most ``size``
+    short words reach the driver.
     """
     on_workers(docs.sparkSession)
-    counted = documents(docs, id_col, text_col).select("text").mapInArrow(_words, "word binary, n long")
-    top = most_frequent(materialize(counted.groupBy("word").agg(F.sum("n").alias("n")), "secret-words"), size)
+    texts = _distinct_texts(documents(docs, id_col, text_col).select("text"))
+    counted = texts.mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = most_frequent(materialize(counted.filter(F.col("n") >= least), "secret-words"), size)
     ranks = {word: i for i, word in enumerate(COMMON, 1)}
     for row in sorted(top, key=lambda r: (-r["n"], bytes(r["word"]))):
         word = bytes(row["word"]).decode("utf-8", "replace")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import fixtures
@@ -61,3 +62,20 @@ def test_scan_table(spark):
         assert [by_id[i].n_assign, by_id[i].n_access, by_id[i].n_hex] == [sum(k == kind for _, k, _ in spans) for kind in range(3)]
         assert set(s.render(spans).split(",")) - {""} <= set(by_id[i].spans.split(","))
     assert s.scan_secrets(fixtures.empty(spark)).count() == 0
+
+
+def test_a_leaked_value_is_no_dictionary_word(spark):
+    secret, rng = "the pwd is qzvkxwjhbu today", random.Random(2)
+    small = [(i, f"plain words number {i}") for i in range(20)]
+    large = [(i, " ".join("".join(rng.choices("aeiourst", k=5)) for _ in range(30))) for i in range(3000)]
+    for rest in ([], small, large):
+        for copies in (1, 5000):
+            rows = rest + [(10_000 + k, secret) for k in range(copies)]
+            got = s.scan_secrets(fixtures.table(spark, rows, extra=())).filter("doc_id >= 10000").select("spans").distinct().collect()
+            assert [r.spans for r in got] == ["guess:11:21"], (len(rest), copies)
+
+
+def test_words_of_few_texts_and_copies_do_not_count(spark):
+    rows = [(i, "copied copied text") for i in range(50)] + [(100 + i, f"common once{i} token=leakedvalue{i}") for i in range(9)]
+    ranks = s.dictionary(fixtures.table(spark, rows, extra=()))
+    assert "common" in ranks and not {"copied", "leakedvalue"} & set(ranks)
