@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywatch.session import materialize
+from tallywatch.session import materialize, shared_dir
 
-__all__ = ["bounded", "documents", "ident", "materialize", "most_frequent", "on_workers", "table", "without", "words_of", "UPPER", "LOWER"]
+__all__ = ["bounded", "documents", "ident", "materialize", "most_frequent", "on_workers", "positions", "running_sum", "table", "without",
+           "words_of", "UPPER", "LOWER"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,3 +78,44 @@ def bounded(ids: DataFrame, label: str, most: int = 1_000_000) -> DataFrame:
     """A small table of ids, written and counted; it may be broadcast only up to ``most`` rows."""
     written = materialize(ids, label)
     return F.broadcast(written) if written.count() <= most else written
+
+
+def _in_order(rows: DataFrame, keys: list[Column], label: str) -> tuple[DataFrame, Column]:
+    """``rows`` written in the order of ``keys`` with ``_at``, which grows along it; and the range each row lies in.
+
+    Spark cuts the order into ranges, one task each. The written number holds the range and the place in it, so it
+    can be read back in any order.
+    """
+    spark = rows.sparkSession
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    path = shared_dir(spark, label)
+    ordered.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(ordered.schema).parquet(path), F.shiftright("_at", 33)
+
+
+def _before(per_range: DataFrame, value: str) -> DataFrame:
+    """Per range the sum of ``value`` over the ranges before it: one row per task of the writer."""
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return per_range.select("_range", F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias("_before"))
+
+
+def positions(rows: DataFrame, keys: list[Column], label: str) -> tuple[DataFrame, int]:
+    """``rows`` with ``position``, counted from 0 in the order of ``keys``, and the number of rows.
+
+    One shuffle of the rows; equal keys may be split between tasks, so no value is a hot key.
+    """
+    written, part = _in_order(rows, keys, label)
+    offsets = _before(written.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("n")), "n")
+    placed = written.withColumn("_range", part).join(offsets, "_range")
+    place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("position", place).drop("_at", "_range", "_before"), written.count()
+
+
+def running_sum(rows: DataFrame, keys: list[Column], value: str, label: str) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``value`` over the rows that come first in the order of ``keys``."""
+    written, part = _in_order(rows, keys, label)
+    written = written.withColumn("_range", part)
+    offsets = _before(written.groupBy("_range").agg(F.sum(value).alias("n")), "n")
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = written.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(offsets, "_range").withColumn("before", F.col("_before") + F.col("_inside")).drop("_at", "_range", "_before", "_inside")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywatch.llm import (
-    decontam, exact_dedup, lattice_lm, packing, quality, secret_scan, simhash, surrogates, token_store, url_filter)
+    decontam, exact_dedup, lattice_lm, packing, quality, secret_scan, sharding, simhash, surrogates, token_store, url_filter)
 from tallywatch.llm.common import table
 
 # Folder of the public vocabularies.
@@ -113,6 +113,11 @@ SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS contain
 FROM hits JOIN sizes USING (item_id) WHERE shared >= 0.8 * item_shingles
 """
 
+
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"])
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
@@ -124,6 +129,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_decontamination": op10_decontamination,
+    "op11_sharding": op11_sharding,
 }
 ORACLES = {
     "op1_url_filter": OP1_SQL,
