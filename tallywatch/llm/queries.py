@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywatch.llm import (
-    decontam, exact_dedup, lattice_lm, packing, quality, secret_scan, sharding, simhash, surrogates, token_store, url_filter)
+    conversation_repair, decontam, exact_dedup, lattice_lm, packing, quality, secret_scan, sharding, simhash, surrogates,
+    token_store, url_filter)
 from tallywatch.llm.common import table
 
 # Folder of the public vocabularies.
@@ -118,6 +119,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"])
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
@@ -130,6 +135,7 @@ QUERIES = {
     "op9_lattice_lm": op9_lattice_lm,
     "op10_decontamination": op10_decontamination,
     "op11_sharding": op11_sharding,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 ORACLES = {
     "op1_url_filter": OP1_SQL,
