@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywatch.llm import (
-    conversation_repair, decontam, exact_dedup, lattice_lm, packing, quality, secret_scan, sharding, simhash, surrogates,
-    token_store, url_filter)
+    conversation_repair, decontam, exact_dedup, lattice_lm, packing, quality, resampling, secret_scan, sharding, simhash,
+    surrogates, token_store, url_filter)
 from tallywatch.llm.common import table
 
 # Folder of the public vocabularies.
@@ -123,6 +123,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digest(table(spark, sf_dir, "conversations"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, seed=2024)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
@@ -136,6 +140,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_sharding": op11_sharding,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_resampling": op13_resampling,
 }
 ORACLES = {
     "op1_url_filter": OP1_SQL,
