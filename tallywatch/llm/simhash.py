@@ -10,7 +10,6 @@ as many links as arrivals, no pairs, and at most 65 + 992 arrivals at any value.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import bounded, documents, ident, materialize, on_workers, without, words_of
+from tallywatch.llm.common import documents, ident, materialize, on_workers, without, words_of
 from tallywatch.llm.graph import components
 
 SEED = 42
@@ -60,14 +59,20 @@ def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.int64())], ["doc_id", "mark", "print"])
     return run
 
 
+def _mark(text: Column) -> Column:
+    """Tells texts under one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id, print`` of every row."""
+    """``doc_id, mark, print`` of every row; ``mark`` is a hash of the text."""
     on_workers(docs.sparkSession)
-    return documents(docs, id_col, text_col).mapInArrow(_fingerprints(words), "doc_id long, print long")
+    rows = documents(docs, id_col, text_col).withColumn("mark", _mark(F.col("text")))
+    return rows.mapInArrow(_fingerprints(words), "doc_id long, mark long, print long")
 
 
 def _mask(*bits: int) -> int:
@@ -117,13 +122,8 @@ def links(prints: DataFrame) -> DataFrame:
         F.col("hub").alias("a"), F.col("print").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """All rows: ``doc_id, fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable by links).
-
-    Fingerprints at 3 or fewer differing bits are linked, equal ones included; blank and null texts have fingerprint
-    zero and link like any other. Rows without an id are ignored when ids are compared. Repeated rows are returned
-    each; no rows give no rows; other columns are ignored.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """All rows: ``doc_id, mark, print, component_id``."""
     rows = materialize(fingerprints(docs, id_col, text_col, words), "simhash-prints")
     first = rows.groupBy("print").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(first.select("print")))
@@ -131,223 +131,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "print", "first_id", F.coalesce("root", "print").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_print = joined.join(least, "root").select("print", "component_id")
-    return rows.join(of_print, "print").select(
-        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Near-copies by similarity: short fingerprints, of these bits at least, are linked within two bits; there are so many
-#: that a pair at the threshold is found with this probability, and more similar ones almost surely.
-LEAST_BITS, RECALL = 24, 0.955
-SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Differing bits of a further 64-bit fingerprint up to which a pair is compared word by word: a pair at the threshold
-#: exceeds it once in 5,000 times, unrelated texts stay below it once in 500.
-CHECK_BITS = 20
-#: Buckets (as bits) in which documents are counted per shingle, to put rare shingles first: 4 MB in each worker.
-ORDER_BITS = 22
-_SKETCH = "doc_id long, prints array<bigint>, check long"
-
-
-def sketch_size(documents: int, similarity: float) -> tuple[int, int]:
-    """Number and bits of the short fingerprints.
-
-    The bits grow with the logarithm of the number of documents, so that under one unrelated document is expected
-    at a variant; the number of fingerprints follows from the chance that two bits at most differ.
-    """
-    bits = max(LEAST_BITS, math.ceil(math.log2((LEAST_BITS + 1) * max(documents, 1))))
-    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    meets = sum(math.comb(bits, k) * apart ** k * (1 - apart) ** (bits - k) for k in range(3))
-    return (1 if meets >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - meets))), bits
-
-
-def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
-    """``words`` independent 64-bit words per hash."""
-    x = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def sketch(text: str, words: int, tables: int, bits: int) -> tuple[list[int], int] | None:
-    """``tables`` fingerprints of ``bits`` bits and one of 64, over distinct shingles; none for a blank text."""
-    hashes = np.unique(shingle_hashes(text, words))
-    if not len(hashes):
-        return None
-    width = -(-tables * bits // 64) + 1
-    found = majority_bits(_mixed(hashes, width))
-    weights = 1 << np.arange(bits, dtype=np.int64)
-    return (found[64:64 + tables * bits].reshape(tables, bits) @ weights).tolist(), int(np.packbits(found[:64]).view(">i8")[0])
-
-
-def _sketches(words: int, tables: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = sketch(text.as_py(), words, tables, bits)
-                if doc_id is not None and found:
-                    rows.append((doc_id, *found))
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            types = [pa.int64(), pa.list_(pa.int64()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "prints", "check"])
-    return run
+    return rows.join(of_print, "print")
 
 
-def _verify(words: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shingles(text: str) -> set[bytes]:
-            found = words_of(text)
-            return {b" ".join(found)} if len(found) < words else set(map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)))
-
-        for batch in batches:
-            kept = []
-            for i in range(batch.num_rows):
-                one, other = shingles(batch.column(2)[i].as_py()), shingles(batch.column(3)[i].as_py())
-                shared = len(one & other)
-                kept.append(shared >= similarity * (len(one) + len(other) - shared))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
-    return run
-
-
-def _star_links(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Most of the links ``(a, b)``, and few per document: verified pairs with the representatives of their group.
-
-    The same ball hashing over several short fingerprints: each is sent to its variants within one bit, half the
-    radius of two. Documents that share a fingerprint are represented by the smallest id, so at most one more than
-    the bits of representatives meet at a variant, whatever the size of a group of copies; each is paired with the
-    smallest id there and with its neighbour in id order. Every pair is then compared by its shingles.
-    """
-    tables, bits = sketch_size(rows.count(), similarity)
-    sketches = materialize(rows.mapInArrow(_sketches(words, tables, bits), _SKETCH), "simhash-sketches")
-    prints = sketches.select("doc_id", "check", F.posexplode("prints").alias("table", "print")).select(
-        (F.col("print") * tables + F.col("table")).alias("own"), "doc_id", "check")
-    first = prints.groupBy("own").agg(F.min(F.struct("doc_id", "check")).alias("first")).select(
-        "own", F.col("first.doc_id").alias("first_id"), F.col("first.check").alias("first_check"))
-    near = F.bit_count(F.col("check").bitwiseXOR(F.col("first_check"))) <= CHECK_BITS
-    same = prints.join(first, "own").filter((F.col("doc_id") != F.col("first_id")) & near).select(
-        F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
-    steps = F.explode(_longs([0, *(1 << b for b in range(bits))])).alias("step")
-    sent = first.select(F.floor(F.col("own") / tables).alias("print"), F.pmod("own", F.lit(tables)).alias("table"),
-                        F.col("first_id").alias("doc_id"), F.col("first_check").alias("check"), steps)
-    sent = sent.select((F.col("print").bitwiseXOR(F.col("step")) * tables + F.col("table")).alias("value"), "doc_id", "check")
-    in_order = Window.partitionBy("value").orderBy("doc_id")
-    me = F.struct("doc_id", "check")
-    met = sent.select("doc_id", "check", F.first(me).over(in_order).alias("least"), F.lag(me).over(in_order).alias("last"))
-
-    def like(other: str) -> Column:
-        return F.bit_count(F.col("check").bitwiseXOR(F.col(f"{other}.check"))) <= CHECK_BITS
-
-    # Both comparisons are made in the row itself, so chance meetings of unrelated documents make no rows.
-    met = met.filter(F.col("last").isNotNull() & (like("least") | like("last"))).select(
-        "doc_id", "check", F.explode(F.array("least", "last")).alias("other"))
-    met = met.filter((F.col("other.doc_id") != F.col("doc_id")) & like("other")).select(
-        F.col("other.doc_id").alias("a"), F.col("doc_id").alias("b"))
-    return _verified(rows, same.unionByName(met), words, similarity)
-
-
-def _verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose texts are as similar as asked."""
-    pairs = materialize(pairs.distinct(), "simhash-pairs")
-    ids = bounded(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "simhash-ids")
-    texts = materialize(rows.join(ids, "doc_id", "left_semi"), "simhash-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "one", "other")
-    return both.mapInArrow(_verify(words, similarity), "a long, b long")
-
-
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
-
-
-def _bucket_counts(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << ORDER_BITS, np.int64)
-        for batch in batches:
-            found = [_bucket(np.unique(shingle_hashes(t.as_py(), words))) for t in batch.column(0)]
-            at, n = np.unique(np.concatenate(found or [np.empty(0, np.int64)]), return_counts=True)
-            counts[at] += n
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bucket", "n"])
-    return run
-
-
-def _levels(rows: DataFrame, words: int) -> np.ndarray:
-    """By bucket of shingle hashes: the logarithm of the number of documents. One byte each reaches the driver."""
-    counted = rows.select("text").mapInArrow(_bucket_counts(words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = counted.select("bucket", F.floor(F.log2("n")).cast("byte").alias("level")).filter("level > 0").toArrow()
-    levels = np.zeros(1 << ORDER_BITS, np.uint8)
-    levels[found["bucket"].to_numpy()] = found["level"].to_numpy()
-    return levels
-
-
-def _prefix(size: int, shared: float) -> int:
-    """How many of ``size`` ordered shingles must hold the first one in common, if ``shared`` of them are in common."""
-    return size - math.ceil(shared * size - 1e-9) + 1
-
-
-def _prefixes(words: int, similarity: float, levels):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, marks, found = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                hashes = np.unique(shingle_hashes(text.as_py(), words))
-                if doc_id is None or not len(hashes):
-                    continue
-                order = np.lexsort((hashes, levels.value[_bucket(hashes)]))
-                ids.append(doc_id)
-                sizes.append(len(hashes))
-                marks.append(_prefix(len(hashes), 2 * similarity / (1 + similarity)))
-                found.append(hashes[order[:_prefix(len(hashes), similarity)]].view(np.int64))
-            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "mark", "shingles"])
-    return run
-
-
-def _rest_links(rows: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
-    """All links between documents that ``groups`` (``node, root``) does not connect yet.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """All rows: ``doc_id, fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable by links).
 
-    A prefix-filter join: with the shingles of every document in one order, rare ones first, two similar documents
-    have their first common shingle within the first fifth (at similarity 0.8) of the longer and the first ninth of
-    the shorter one, and enough shingles after it. What a family below the threshold has in common lies behind that.
-    Any order gives the same links. Shingles within one group only are left out.
-    """
-    held = rows.sparkSession.sparkContext.broadcast(_levels(rows, words))
-    prefixes = materialize(rows.mapInArrow(
-        _prefixes(words, similarity, held), "doc_id long, size int, mark int, shingles array<bigint>"), "simhash-prefixes")
-    roots = bounded(groups.filter("node <> root").select(F.col("node").alias("doc_id"), "root"), "simhash-roots")
-    each = prefixes.join(roots, "doc_id", "left").select(
-        "doc_id", F.coalesce("root", "doc_id").alias("root"), "size", "mark", F.posexplode("shingles").alias("at", "shingle"))
-    spread = each.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.col("at") < F.col("mark")).alias("marked"))
-    mixed = bounded(spread.filter("least < most and marked").select("shingle"), "simhash-mixed")
-    met = materialize(each.join(mixed, "shingle", "left_semi"), "simhash-met")
-    longer, shorter = met.alias("x"), met.filter("at < mark").alias("y")
-    needed = F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) - 1e-6
-    fits = (
-        (F.col("x.root") != F.col("y.root"))
-        & ((F.col("y.size") < F.col("x.size")) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.doc_id") < F.col("x.doc_id"))))
-        & (F.col("x.size") - F.col("x.at") >= needed) & (F.col("y.size") - F.col("y.at") >= needed))
-    pairs = longer.join(shorter, (F.col("x.shingle") == F.col("y.shingle")) & fits).select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b"))
-    return _verified(rows, pairs, words, similarity)
-
-
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SHINGLE_WORDS,
-                  similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``(a, b)`` that connect exactly the ids whose texts have a Jaccard similarity of at least ``similarity``.
-
-    Ball hashing first connects most copies with few pairs each; an exact join then finds every link between
-    documents it left apart.
+    Fingerprints at 3 or fewer differing bits are linked, equal ones included; blank and null texts have fingerprint
+    zero and link like any other. Rows without an id are ignored when ids are compared. Repeated rows are returned
+    each; no rows give no rows; other columns are ignored.
     """
-    on_workers(docs.sparkSession)
-    rows = documents(docs, id_col, text_col)
-    stars = materialize(_star_links(rows, words, similarity), "simhash-stars")
-    return stars.unionByName(_rest_links(rows, components(stars), words, similarity))
+    return _grouped(docs, id_col, text_col, words).select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group of near-copies, the smallest id, with all its columns.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """The row with the smallest id of each group of ``near_groups``, with all its columns.
 
-    Groups are connected by links of ``similar_links``. Blank texts and rows without an id are kept; rows that share
-    an id share their fate; an empty table stays empty.
+    Rows without an id are kept. Rows are told apart by id and text, so another text under a dropped row's id is judged by itself.
     """
-    groups = components(similar_links(docs, id_col, text_col, **options))
-    dropped = groups.filter("node <> root").select(F.col("node").alias("doc_id"))
-    return without(docs, dropped, "simhash-dropped", doc_id=ident(id_col).cast("long"))
+    rows = _grouped(docs, id_col, text_col, words)
+    dropped = rows.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "mark")
+    return without(docs, dropped, "simhash-dropped", doc_id=ident(id_col).cast("long"), mark=_mark(ident(text_col)))

@@ -55,59 +55,20 @@ def test_components_of_chains_and_stars(spark):
     assert got == fixtures.plain_components({n for e in real for n in e}, real)
 
 
-def test_sketches_grow_with_the_corpus():
-    assert simhash.sketch_size(0, 0.8) == simhash.sketch_size(500_000, 0.8) == (10, 24)
-    tables, bits = simhash.sketch_size(10 ** 9, 0.8)
-    assert bits == 35 and 30 < tables < 60
-    assert simhash.sketch_size(1, 1.0)[0] == 1
-
-
-def variant(words, rng, changes):
-    words = list(words)
-    for at in rng.sample(range(len(words)), changes):
-        words[at] = f"new{rng.randrange(10 ** 6)}"
-    return " ".join(words)
-
-
-def test_near_copies_by_similarity(spark):
+def test_one_of_each_group_stays(spark):
     rng = random.Random(4)
-    rows, n = [], 0
-    for _ in range(25):
-        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
-        for changes in (0, 1, 2, 40):
-            rows.append((n, variant(words, rng, changes)))
-            n += 1
-    shingles = {i: fixtures.plain_shingles(t) for i, t in rows}
-    similar = [(a, b) for a in shingles for b in shingles if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
-    kept = {r.doc_id for r in simhash.keep_dissimilar(fixtures.table(spark, rows)).collect()}
-    want = {i for i, root in fixtures.plain_components(shingles, similar).items() if i == root}
-    assert len(kept ^ want) <= 1 and want <= kept  # found with a probability of 0.96 and more; nothing else goes
-
-
-def test_edges_of_the_stage(spark):
-    docs = fixtures.edge(spark)
-    kept = simhash.keep_dissimilar(docs)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    near = [" ".join([*words[:200], f"new{i}", *words[201:]]) for i in range(6)]
+    rows = [(10, " ".join(words)), *((20 + i, t) for i, t in enumerate(near)), (11, "other words here"), (21, "no copy under an id that goes"),
+            (None, " ".join(words)), (30, " "), (31, None)]
+    prints = [(i, t, brute_print(t or "")) for i, t in rows]
+    ids = {p: min(i for i, _, q in prints if q == p and i is not None) for _, _, p in prints}
+    roots = fixtures.plain_components(set(ids), [(a, b) for a in ids for b in ids if (a ^ b).bit_count() <= 3])
+    least = {r: min(ids[p] for p in ids if roots[p] == r) for r in roots.values()}
+    want = [(i, t) for i, t, p in prints if i is None or i == least[roots[p]]]
+    assert len(want) < len(rows) - 3 and (21, rows[8][1]) in want
+    docs = fixtures.table(spark, rows)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in fixtures.EDGE_ROWS if i != 7), key=str)
-    assert simhash.keep_dissimilar(fixtures.empty(spark)).count() == 0
-
-
-def test_links_inside_a_family_below_the_threshold(spark):
-    """Texts with a long passage in common, alike by 0.75, and planted pairs alike by 0.9, against brute force."""
-    rng = random.Random(8)
-    common = [f"c{i}" for i in range(261)]
-    rows = []
-    for i in range(2000):
-        own = [f"u{i}x{k}" for k in range(43)]
-        rows.append((2 * i, " ".join(common + own)))
-        if i % 50 == 0:
-            rows.append((2 * i + 1, " ".join(common + own[:27] + [f"v{i}x{k}" for k in range(16)])))
-    rng.shuffle(rows)
-    shingles = {i: fixtures.plain_shingles(t) for i, t in rows}
-    alike = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
-    assert 0.7 < alike(0, 2) < 0.78 and alike(0, 1) >= 0.8
-    # The texts share the passage alone, except planted pairs: no other pair reaches the threshold.
-    planted = {(2 * i, 2 * i + 1) for i in range(0, 2000, 50)}
-    assert max(alike(a, b) for a in (0, 1, 2, 100, 101) for b in shingles if a < b and (a, b) not in planted) < 0.8
-    got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.similar_links(fixtures.table(spark, rows, extra=())).collect()}
-    assert got == planted
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert simhash.keep_one(fixtures.empty(spark)).count() == 0
