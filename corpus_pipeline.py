@@ -20,8 +20,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies (five-word shingles, similarity 0.8 or more) stays."""
-    return simhash.keep_dissimilar(docs)
+    """One document of each group of near-copies (fingerprints of three-word shingles within three bits) stays."""
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
