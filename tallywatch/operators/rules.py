@@ -1,13 +1,16 @@
 """Alert rules: conditions over trailing windows, evaluated for all rules in one pass.
 
 Logs inside the longest window are reduced once to *cells*, keyed by source, level,
-window class and the set of rule keywords the message contains. A window class is
-the shortest rule window that still covers the row, so a cell is inside a rule's
-window exactly when its class is not longer. Every log lies in one cell, so counts
-over any union of conditions are plain sums, and no rule reads the logs again.
-
-What a condition asks of the cells is a *probe* (scope, window, levels or keyword).
-Rules share probes: each distinct probe is answered once and joined back.
+age class and the set of rule keywords the message contains. All windows are multiples
+of a grain (a minute, a second or a microsecond), and a row's class is its age rounded
+up to the grain, so a cell is inside a window exactly when its class is not longer.
+Every log lies in one cell, so counts over any union of conditions are plain sums, and
+no rule reads the logs again.
+
+What a condition asks of the cells is a *probe* (scope, window, levels or keyword). It
+asks for *facets*: one level, one keyword, or all rows. Cells and asks of one scope and
+facet are sorted together by age, and an ask reads the running sum at its place. So no
+ask is paired with cells, and no join has the scope alone for a key.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch import schemas
@@ -35,9 +38,9 @@ NOT_ALL_MET = "Not all conditions met"
 TITLE_PREFIX = "Rule Triggered: "
 DEFAULT_DESCRIPTION = "Alert rule conditions were met"
 
-# Most distinct windows or keywords that are tested inside one expression.
-MAX_INLINE = 512
+# Letters of the pieces by which keywords are found, and bits of the set of wanted pieces.
 GRAM = 3
+PIECE_BITS = 16
 # Rows of the busiest scope that one salted task takes in a join with rules.
 ROWS_PER_SALT = 1_000_000
 
@@ -98,19 +101,14 @@ def validate_rules(rules: DataFrame) -> DataFrame:
 
 @dataclass
 class RuleProfile:
-    """Distinct windows and lower-case keywords of a rule set, as far as they are few."""
+    """The longest window of a rule set, and a grain that all its windows are multiples of."""
 
     longest_us: int
-    windows: list[int] | None
     grain_us: int
-    keywords: list[str] | None
 
     def class_of(self, age: str) -> Column:
-        """Shortest window that covers a row of this age (a column of microseconds)."""
-        if self.windows is None:
-            return F.expr(f"({age} + {self.grain_us - 1}L) div {self.grain_us}L * {self.grain_us}L")
-        cases = " ".join(f"WHEN {age} <= {value} THEN {value}L" for value in self.windows)
-        return F.expr(f"CASE {cases} END")
+        """Age (a column of microseconds) rounded up to the grain."""
+        return F.expr(f"({age} + {self.grain_us - 1}L) div {self.grain_us}L * {self.grain_us}L")
 
 
 def keywords_of(parsed: DataFrame) -> DataFrame:
@@ -121,80 +119,80 @@ def keywords_of(parsed: DataFrame) -> DataFrame:
 
 
 def rule_profile(parsed: DataFrame) -> RuleProfile:
-    """Read the distinct windows and keywords of the rules, each list only up to a limit.
-
-    Beyond the limit windows fall back to their grain and keywords to a join, so
-    what reaches the driver and the expressions is bounded.
-    """
-    windows = parsed.select(F.explode(F.transform("conds", lambda c: c["window_us"])).alias("w")).distinct()
-    tagged = windows.limit(MAX_INLINE + 1).select(F.col("w").cast("string").alias("v"), F.lit("w").alias("kind")).unionByName(
-        keywords_of(parsed).limit(MAX_INLINE + 1).select(F.col("keyword").alias("v"), F.lit("k").alias("kind")))
-    head = tagged.collect()
-    values = sorted(int(row["v"]) for row in head if row["kind"] == "w") or [0]
-    words: list[str] | None = sorted(row["v"] for row in head if row["kind"] == "k")
-    if len(words) > MAX_INLINE:
-        words = None
-    if len(values) <= MAX_INLINE:
-        return RuleProfile(values[-1], values, 1, words)
+    """One row about the windows is read, however many there are."""
+    windows = parsed.select(F.explode(F.transform("conds", lambda c: c["window_us"])).alias("w"))
     top, minutes, seconds = windows.agg(
         F.max("w"), F.bool_and(F.col("w") % MICROS_PER_MINUTE == 0), F.bool_and(F.col("w") % 1_000_000 == 0)).first()
-    return RuleProfile(top, None, MICROS_PER_MINUTE if minutes else 1_000_000 if seconds else 1, words)
+    return RuleProfile(top or 0, 1 if seconds is False else 1_000_000 if minutes is False else MICROS_PER_MINUTE)
 
 
 # --- keywords ----------------------------------------------------------------
 
-def _inline_hits(words: list[str]) -> Column:
-    """Words of a short list that the message contains, as compiled comparisons."""
-    if not words:
-        return F.array().cast("array<string>")
-    no_word = "\0"
-    while no_word in words:
-        no_word += "\0"
-    text = F.col("_text")
-    found = [F.when(F.contains(text, F.lit(w)), F.lit(w)).otherwise(F.lit(no_word)) for w in sorted(words)]
-    return F.array_remove(F.array(*found), no_word)
+def _pieces(text: Column, size: int) -> Column:
+    """Distinct pieces of ``size`` letters of a text, found in one pass."""
+    if size == 0:
+        return F.when(text.isNotNull(), F.array(F.lit("")))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * size}))"), F.lit(1)))
 
 
-def with_keyword_hits(logs: DataFrame, parsed: DataFrame, profile: RuleProfile) -> DataFrame:
-    """Add ``hits``: the sorted lower-case rule keywords each message contains.
+def _piece_set(pieces: DataFrame) -> Column:
+    """Test for the column ``piece``: may it be one of ``pieces``? A set of hash bits of fixed size, read to the driver."""
+    bit = F.pmod(F.xxhash64("piece"), F.lit(1 << PIECE_BITS)).cast("int")
+    words = [0] * ((1 << PIECE_BITS) // 64)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63))
+    for row in pieces.select(F.shiftright(bit, 6).alias("word"), one.alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits")).collect():
+        words[row["word"]] = row["bits"]
+    held = F.from_json(F.lit(str(words)), "array<bigint>")
+    return F.getbit(F.get(held, F.shiftright(bit, 6)), bit.bitwiseAND(63)) == 1
+
 
-    A short list is tested inside one expression, with no join. A longer one is
-    matched through three-letter pieces: the first piece of a keyword must occur in
-    the message, so pieces give an equality join and ``contains`` confirms it.
+def keyword_index(logs: DataFrame, keywords: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``(keyword, piece)``: each keyword under its rarest piece by the counted messages; and the pieces' lengths.
+
+    A keyword of fewer letters than a piece is its own piece. A keyword with a piece that no message holds cannot
+    occur and is left out.
     """
-    # Both steps go through a generator, so neither text nor hits is computed again
-    # for every comparison or by a later filter or explode.
-    lowered = with_fields(logs, F.struct(F.lower("message").alias("_text")))
-    if profile.keywords is not None:
-        return with_fields(lowered, F.struct(_inline_hits(profile.keywords).alias("hits"))).drop("_text")
-    distinct = keywords_of(parsed)
-    short = [row[0] for row in distinct.filter(F.length("keyword") < GRAM).limit(MAX_INLINE + 1).collect()]
-    if len(short) > MAX_INLINE:
-        raise ValueError("too many keywords of one or two letters")
-    long_words = distinct.filter(F.length("keyword") >= GRAM).select(
-        "keyword", F.substring("keyword", 1, GRAM).alias("gram"))
+    sizes = sorted(r[0] for r in keywords.select(F.least(F.length("keyword"), F.lit(GRAM)).alias("n")).distinct().collect())
+    cut = F.array().cast("array<string>")
+    for size in sizes:
+        cut = F.when(F.least(F.length("keyword"), F.lit(GRAM)) == size, _pieces(F.col("keyword"), size)).otherwise(cut)
+    cut_up = keywords.select("keyword", F.explode(cut).alias("piece"))
+    counts = message_pieces(logs, sizes, cut_up).groupBy("piece").agg(F.count("*").alias("n"))
+    found = cut_up.join(counts, "piece", "left").groupBy("keyword").agg(
+        F.min(F.struct("n", "piece")).alias("rarest"), F.bool_and(F.col("n").isNotNull()).alias("whole"))
+    return materialize(found.filter("whole").select("keyword", "rarest.piece"), "keyword-index"), sizes
+
+
+def message_pieces(logs: DataFrame, sizes: list[int], wanted: DataFrame) -> DataFrame:
+    """``(log_id, piece)`` of all messages, as far as the pieces may be among the wanted ones."""
     text = F.lower("message")
-    grams = F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substr(text, i, F.lit(GRAM)))))
-    pieces = logs.select("log_id", text.alias("text"), F.explode(grams).alias("gram"))
-    found = (
-        pieces.join(long_words, "gram").filter(F.contains("text", "keyword"))
-        .groupBy("log_id").agg(F.collect_set("keyword").alias("_found"))
-    )
-    empty = F.array().cast("array<string>")
-    return (
-        lowered.join(found, "log_id", "left")
-        .withColumn("hits", F.array_sort(F.concat(_inline_hits(short), F.coalesce("_found", empty))))
-        .drop("_found", "_text")
-    )
+    every = F.concat(*(_pieces(text, size) for size in sizes))
+    return logs.select("log_id", F.explode(every).alias("piece")).filter(_piece_set(wanted))
+
+
+def with_keyword_hits(logs: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Add ``hits``: the sorted lower-case rule keywords each message contains.
+
+    Keywords of any number are found through an index of rare pieces: messages and keywords meet by equal pieces,
+    without texts, and each message is then searched for the few keywords that met it.
+    """
+    keywords = materialize(keywords_of(parsed), "keywords")
+    if keywords.isEmpty():
+        return logs.withColumn("hits", F.array().cast("array<string>"))
+    index, sizes = keyword_index(logs, keywords)
+    met = message_pieces(logs, sizes, index).join(index, "piece").groupBy("log_id").agg(F.collect_set("keyword").alias("_met"))
+    joined = with_fields(logs, F.struct(F.lower("message").alias("_text"))).join(met, "log_id", "left")
+    held = F.array_sort(F.filter("_met", lambda k: F.contains(F.col("_text"), k)))
+    # Through a generator, so a later filter or explode does not search again.
+    return with_fields(joined, F.struct(F.coalesce(held, F.array().cast("array<string>")).alias("hits"))).drop("_met", "_text")
 
 
 # --- cells -------------------------------------------------------------------
 
 def tag_logs(logs: DataFrame, parsed: DataFrame, profile: RuleProfile, as_of: dt.datetime) -> DataFrame:
-    """Logs inside the longest window with their window class and keyword hits."""
+    """Logs inside the longest window with their age class and keyword hits."""
     recent = within(logs, as_of - dt.timedelta(microseconds=profile.longest_us), as_of)
-    aged = with_keyword_hits(recent, parsed, profile).withColumn("age_us", age_micros(F.col("ts"), as_of))
+    aged = with_keyword_hits(recent, parsed).withColumn("age_us", age_micros(F.col("ts"), as_of))
     return aged.select("log_id", "source_id", "ts", "age_us", "level", "hits", profile.class_of("age_us").alias("class_us"))
 
 
@@ -244,22 +242,50 @@ def probes_of(parsed: DataFrame) -> DataFrame:
     return rows.withColumn("probe", F.to_json(F.struct("scope", "window_us", "levels", "keyword")))
 
 
-def cell_matches(levels: Column, keyword: Column) -> Column:
-    """Does a cell (or tagged row) answer an ask for these levels or this keyword?"""
-    by_level = levels.isNull() | F.coalesce(F.array_contains(levels, F.col("level")), F.lit(False))
-    by_word = keyword.isNull() | F.array_contains(F.col("hits"), keyword)
-    return by_level & by_word
+# Facets of an ask, and of a cell or tagged row.
+ALL_ROWS = "*"
+
+
+def facets_of_asks(asks: DataFrame) -> DataFrame:
+    """One row per facet an ask takes: its levels, its keyword, or all rows. An ask for no level has none."""
+    facets = (
+        F.when(F.col("levels").isNotNull(), F.transform("levels", lambda v: F.concat(F.lit("level:"), v)))
+        .when(F.col("keyword").isNotNull(), F.array(F.concat(F.lit("word:"), "keyword"))).otherwise(F.array(F.lit(ALL_ROWS))))
+    return asks.withColumn("facet", F.explode(facets))
+
+
+def facets_of_rows() -> Column:
+    """Facets of a row with ``level`` and ``hits``."""
+    words = F.transform("hits", lambda w: F.concat(F.lit("word:"), w))
+    return F.array_compact(F.concat(F.array(F.lit(ALL_ROWS), F.concat(F.lit("level:"), F.col("level"))), words))
+
+
+def look_up(asked: DataFrame, cells: DataFrame) -> DataFrame:
+    """Distinct asks ``(scope, facet, window_us)`` with the count ``n`` and the ``first`` row of their facet in their window.
+
+    Cells and asks of a scope and facet lie in one sorted list, of as many rows as there are ages and windows.
+    """
+    keys = ["scope", "facet"]
+    held = cells.select("scope", F.explode(facets_of_rows()).alias("facet"), F.col("class_us").alias("at"), "n", "first").groupBy(
+        *keys, "at").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.lit(0).alias("asks"))
+    wanted = asked.select(*keys, F.col("window_us").alias("at")).distinct().select(
+        *keys, "at", F.lit(0).cast("long").alias("n"), F.lit(None).cast(cells.schema["first"].dataType).alias("first"), F.lit(1).alias("asks"))
+    upto = Window.partitionBy(*keys).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = held.unionByName(wanted).select(*keys, "at", "asks", F.sum("n").over(upto).alias("n"), F.min("first").over(upto).alias("first"))
+    return run.filter("asks = 1").select(*keys, F.col("at").alias("window_us"), "n", "first")
+
+
+def _with_found(asks: DataFrame, cells: DataFrame) -> DataFrame:
+    """Asks with a facet, with ``n`` and ``first``."""
+    found = look_up(asks, cells).select(F.col("scope").alias("_s"), F.col("facet").alias("_f"), F.col("window_us").alias("_w"), "n", "first")
+    return asks.join(found, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("facet") == F.col("_f")) & (F.col("window_us") == F.col("_w"))).drop(
+        "_s", "_f", "_w")
 
 
 def answer_probes(probes: DataFrame, cells: DataFrame) -> DataFrame:
-    """Count per distinct probe; a probe no cell answers counts zero."""
+    """Count per distinct probe that asks for anything; its levels are distinct, so their counts add up."""
     distinct = probes.select("probe", "scope", "window_us", "levels", "keyword").dropDuplicates(["probe"])
-    joined = distinct.join(
-        cells.select(F.col("scope").alias("_scope"), "level", "class_us", "hits", "n"),
-        F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("class_us") <= F.col("window_us")), "left")
-    hit = cell_matches(F.col("levels"), F.col("keyword"))
-    return joined.groupBy("probe").agg(
-        F.coalesce(F.sum(F.when(F.col("n").isNotNull() & hit, F.col("n"))), F.lit(0)).alias("n"))
+    return _with_found(facets_of_asks(distinct), cells).groupBy("probe").agg(F.sum("n").alias("n"))
 
 
 def collect_answers(answered: DataFrame, *keys: str) -> DataFrame:
@@ -272,6 +298,8 @@ def collect_answers(answered: DataFrame, *keys: str) -> DataFrame:
 # ``ai_anomaly`` without stored anomalies are not met, and neither is a comparison
 # with a missing threshold. Each distinct spelling of a keyword counts once; the
 # list it is compared with keeps repeats.
+# How many spellings of a condition's keywords one lower-case keyword stands for.
+SPELLINGS = "cast(size(filter(array_distinct(keywords), k -> lower(k) = keyword)) AS bigint)"
 NO_ANSWERS = "cast(array() AS array<struct<pos: int, role: string, keyword: string, n: bigint>>)"
 JUDGED = """
 transform(
@@ -293,33 +321,39 @@ transform(
       END, false)))"""
 
 
-def anomaly_positions(parsed: DataFrame, anomalies: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Positions of ai_anomaly conditions that a stored anomaly meets, per rule.
+def anomaly_onsets(parsed: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """``(rule_id, pos, onset)``: when the first anomaly that meets an ai_anomaly condition was stored.
 
-    ``anomalies``: (source_id, type, confidence, created_at). The highest confidence
-    per source and type decides, so only that is kept before the join. Like silence,
-    the condition adds no log ids.
+    ``anomalies``: (source_id, type, confidence, created_at). The earliest per source, type and confidence decides, so only
+    that is kept before the join. Like silence, the condition adds no log ids.
     """
-    best = anomalies.filter(F.col("created_at") <= as_ntz(as_of)).groupBy(
-        F.col("source_id").alias("_scope"), F.col("type").alias("_type")).agg(
-        F.max("confidence").alias("best"))
-    overall = best.groupBy("_type").agg(F.max("best").alias("best")).withColumn(
+    earliest = anomalies.groupBy(F.col("source_id").alias("_scope"), F.col("type").alias("_type"), "confidence").agg(
+        F.min("created_at").alias("created_at"))
+    overall = earliest.groupBy("_type", "confidence").agg(F.min("created_at").alias("created_at")).withColumn(
         "_scope", F.lit(None).cast("string"))
-    scoped = best.filter(F.col("_scope").isNotNull()).unionByName(overall)
-    asked = parsed.select("id", "source_id", F.explode(
-        F.filter("conds", lambda c: c["type"] == "ai_anomaly")).alias("c"))
+    scoped = earliest.filter(F.col("_scope").isNotNull()).unionByName(overall)
+    asked = parsed.select(F.col("id").alias("rule_id"), "source_id", F.explode(
+        F.filter("conds", lambda c: c["type"] == "ai_anomaly")).alias("c")).select(
+        "rule_id", "source_id", "c.pos", "c.min_confidence", F.explode(F.array_distinct("c.anomaly_types")).alias("type"))
     return (
-        asked.join(scoped, F.col("source_id").eqNullSafe(F.col("_scope")))
-        .filter(F.array_contains("c.anomaly_types", F.col("_type")) & (F.col("best") >= F.col("c.min_confidence")))
-        .groupBy("id").agg(F.collect_set("c.pos").alias("anomaly_pos"))
+        asked.join(scoped, F.col("source_id").eqNullSafe(F.col("_scope")) & (F.col("type") == F.col("_type"))
+                   & (F.col("confidence") >= F.col("min_confidence")))
+        .groupBy("rule_id", "pos").agg(F.min("created_at").alias("onset"))
     )
 
 
+def anomaly_positions(parsed: DataFrame, anomalies: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Positions of ai_anomaly conditions that an anomaly stored by now meets, per rule."""
+    onsets = anomaly_onsets(parsed, anomalies.filter(F.col("created_at") <= as_ntz(as_of)))
+    return onsets.groupBy(F.col("rule_id").alias("id")).agg(F.collect_set("pos").alias("anomaly_pos"))
+
+
 def judge_rules(parsed: DataFrame, cells: DataFrame, anomalies: DataFrame | None,
                 as_of: dt.datetime) -> DataFrame:
     """Parsed rules with ``judged`` (their conditions with counts and verdicts)."""
     probes = probes_of(parsed)
-    answers = collect_answers(probes.join(answer_probes(probes, cells), "probe"), "rule_id")
+    answered = probes.join(answer_probes(probes, cells), "probe", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    answers = collect_answers(answered, "rule_id")
     rows = parsed.join(answers.withColumnRenamed("rule_id", "id"), "id", "left")
     if anomalies is None:
         rows = rows.withColumn("anomaly_pos", F.expr("cast(array() AS array<int>)"))
@@ -373,11 +407,12 @@ def _selectors(state: DataFrame, column: str) -> DataFrame:
     )
 
 
-# Does a cell or tagged row answer one of a selector's asks?
-ANY_ASK = """
-exists(asks, a -> class_us <= a.window_us
+# Asks for levels first; and the place (from 1) of the first ask that a cell or tagged row answers.
+_LEVELS_FIRST = "concat(filter(asks, a -> a.keyword IS NULL), filter(asks, a -> a.keyword IS NOT NULL))"
+_FIRST_ASK = """
+array_position(transform(asks, a -> class_us <= a.window_us
     AND (a.levels IS NULL OR coalesce(array_contains(a.levels, level), false))
-    AND (a.keyword IS NULL OR array_contains(hits, a.keyword)))"""
+    AND (a.keyword IS NULL OR array_contains(hits, a.keyword))), true)"""
 
 
 def salts_for(cells: DataFrame) -> int:
@@ -386,27 +421,51 @@ def salts_for(cells: DataFrame) -> int:
     return 1 + (rows or 0) // ROWS_PER_SALT
 
 
-def _rows_of_selectors(selectors: DataFrame, rows: DataFrame, salts: int) -> DataFrame:
-    """(selector, log_id, ts) for every row a selector takes; each pair once.
+def _asks_of(selectors: DataFrame, *keep: str) -> DataFrame:
+    """One row per ask of a selector and facet it takes; ``place``: its place among the asks, those for levels first."""
+    asks = selectors.withColumn("asks", F.expr(_LEVELS_FIRST)).select(*keep, "scope", "asks", F.posexplode("asks").alias("place", "a"))
+    return facets_of_asks(asks.select(*keep, "scope", "asks", (F.col("place") + 1).alias("place"), "a.window_us", "a.levels", "a.keyword"))
+
+
+def _same_facet(scope: str, facet: str) -> Column:
+    return F.col("scope").eqNullSafe(F.col(scope)) & (F.col("facet") == F.col(facet))
+
 
-    Rows count under their source and under the total scope. A salt from the row id
-    spreads a busy scope over many tasks; the small side is repeated per salt.
+def _rows_of_rules(rules: DataFrame, rows: DataFrame, salts: int) -> DataFrame:
+    """(rule_id, log_id) for every row a rule's selector takes; each pair once, from the first ask that takes the row.
+
+    A row is repeated only for facets and scopes that some rule asks for, in a window that reaches it. A salt from the
+    row id spreads a busy scope and facet over many tasks; the small side is repeated per salt.
     """
-    scopes = F.array_distinct(F.array(F.col("source_id"), F.lit(None).cast("string")))
-    scoped = rows.withColumn("_scope", F.explode(scopes)).withColumn(
-        "_row_salt", F.pmod(F.xxhash64("log_id"), F.lit(salts)).cast("int"))
-    salted = selectors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = scoped.join(
-        salted, F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("_salt") == F.col("_row_salt")))
-    return joined.filter(F.expr(ANY_ASK)).select("selector", "log_id", "ts")
+    asks = materialize(_asks_of(rules, "rule_id"), "rule-asks")
+    reach = asks.withColumn("own", F.col("scope").isNotNull()).groupBy("own", "scope", "facet").agg(F.max("window_us").alias("reach"))
+    of_all = reach.filter("NOT own").select(F.col("facet").alias("_f"), F.col("reach").alias("_all"))
+    of_source = reach.filter("own").select(F.col("scope").alias("_s"), F.col("facet").alias("_g"), F.col("reach").alias("_own"))
+    faceted = rows.withColumn("_facet", F.explode(facets_of_rows())).join(of_all, F.col("_facet") == F.col("_f"), "left").join(
+        of_source, (F.col("source_id") == F.col("_s")) & (F.col("_facet") == F.col("_g")), "left")
+    scopes = F.array_compact(F.array(
+        F.when(F.col("class_us") <= F.col("_all"), F.struct(F.lit(None).cast("string").alias("scope"))),
+        F.when(F.col("class_us") <= F.col("_own"), F.struct(F.col("source_id").alias("scope")))))
+    scoped = faceted.select("log_id", "level", "hits", "class_us", "_facet", F.explode(scopes).alias("_o")).withColumn(
+        "_scope", F.col("_o.scope")).withColumn("_row_salt", F.pmod(F.xxhash64("log_id"), F.lit(salts)).cast("int"))
+    salted = asks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = scoped.join(salted, _same_facet("_scope", "_facet") & (F.col("_salt") == F.col("_row_salt")))
+    return joined.filter(F.expr(f"{_FIRST_ASK} = place")).select("rule_id", "log_id")
 
 
 def _matched_counts(selectors: DataFrame, cells: DataFrame) -> DataFrame:
-    """Exact number of distinct rows per selector and the first of them, from the cells alone."""
-    joined = selectors.join(
-        cells.withColumnRenamed("scope", "_scope"), F.col("scope").eqNullSafe(F.col("_scope")))
-    return joined.filter(F.expr(ANY_ASK)).groupBy("selector").agg(
-        F.sum("n").alias("matched_count"), F.min("first").alias("first"))
+    """Exact number of distinct rows per selector and the first of them, from the cells alone.
+
+    What the asks for levels take is looked up, each level in its longest window. Rows of keywords beyond these are
+    counted from the cells that hold the keyword.
+    """
+    asks = materialize(_asks_of(selectors, "selector"), "selector-asks")
+    by_level = asks.filter(F.col("keyword").isNull()).groupBy("selector", "scope", "facet").agg(F.max("window_us").alias("window_us"))
+    levels = _with_found(by_level, cells).select("selector", "n", "first")
+    worded = cells.filter(F.size("hits") > 0).select(F.col("scope").alias("_scope"), F.explode("hits").alias("_w"), "level", "hits", "class_us", "n", "first")
+    words = asks.filter(F.col("keyword").isNotNull()).join(worded.withColumn("_facet", F.concat(F.lit("word:"), "_w")), _same_facet("_scope", "_facet"))
+    words = words.filter(F.expr(f"{_FIRST_ASK} = place")).select("selector", "n", "first")
+    return levels.unionByName(words).groupBy("selector").agg(F.sum("n").alias("matched_count"), F.min("first").alias("first"))
 
 
 def matched_logs(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
@@ -421,9 +480,9 @@ def matched_logs(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
     cells = materialize(cells_of(tagged), "rule-cells")
     state = with_matches(judge_rules(parsed, cells, anomalies, as_of)).select(
         F.col("id").alias("rule_id"), "selector")
-    state = materialize(state, "rule-selectors")
-    pairs = _rows_of_selectors(_selectors(state, "selector"), tagged, salts_for(cells))
-    return state.join(pairs, "selector").select("rule_id", "log_id")
+    asked = state.filter(F.col("selector").isNotNull()).withColumn("_s", F.from_json("selector", SELECTOR)).select(
+        "rule_id", "_s.scope", "_s.asks")
+    return _rows_of_rules(asked, tagged, salts_for(cells))
 
 
 def evaluate_rules(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,

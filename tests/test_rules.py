@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 
@@ -120,9 +121,37 @@ def test_random_rules_against_brute_force(spark, seed):
     check(spark, *random_case(seed))
 
 
-def test_many_keywords_and_windows_take_the_other_ways(spark, monkeypatch):
-    monkeypatch.setattr(engine, "MAX_INLINE", 2)
-    check(spark, *random_case(4))
+def test_thousands_of_keywords_share_one_index(spark):
+    """Five thousand keywords that share common pieces, keywords of any length, and as many windows as rules."""
+    rng = random.Random(4)
+    words = [f"error code {i:04d} x" for i in range(5000)] + ["", "e", "er", "\U0001F600b", "ERROR", "no such text anywhere", "e c", "(.*)"]
+    logs = [log(f"l{i:03d}", rng.randrange(0, 700), rng.choice(["info", "error"]), rng.choice("ab"),
+                rng.choice([f"ERROR code {rng.randrange(6000):04d} x", "e", "", "\U0001F600B (.*)", "nothing\nerror CODE 0001 x"])) for i in range(200)]
+    logs.append(("null", "a", "info", None, AS_OF))
+    keys = [rng.sample(words, 25) for _ in range(200)] + [[w] for w in words[-8:]]
+    rules = [rule(f"r{i:03d}", [cond("keyword_match", keywords=k, timeWindowMinutes=1 + i * 3)], rng.choice([None, "a"])) for i, k in enumerate(keys)]
+    spelt = [l if l[3] is not None else (*l[:3], "\0", l[4]) for l in logs]
+    got, want = run(spark, rules, logs), brute(rules, [l for l in spelt if l[0] != "null"])
+    assert {k: (r["triggered"], r["matched_count"], r["first_log_id"]) for k, r in got.items()} == {k: (v[0], len(v[1]), v[2]) for k, v in want.items()}
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_join_has_the_scope_alone_for_a_key(spark):
+    rules, logs = random_case(7, 60, 10)
+    frame, rows = spark.createDataFrame(rules, RULE_SCHEMA), spark.createDataFrame(logs, LOG_SCHEMA)
+    parsed = engine.parse_rules(frame)
+    cells = engine.cells_of(engine.tag_logs(rows, parsed, engine.rule_profile(parsed), AS_OF))
+    probes = engine.probes_of(parsed)
+    state = engine.with_matches(engine.judge_rules(parsed, cells, None, AS_OF))
+    frames = [engine.answer_probes(probes, cells), engine._matched_counts(engine._selectors(state, "selector"), cells),
+              engine.matched_logs(frame, rows, AS_OF)]
+    for plan in map(plan_of, frames):
+        scoped = [line for line in plan.splitlines() if "Join " in line and re.search("<=> (_s|_scope|scope)#|scope#[0-9]+ <=>", line)]
+        assert all("facet#" in line or "_f#" in line for line in scoped)
+    assert any("<=>" in plan_of(f) for f in frames)
 
 
 @pytest.mark.parametrize("rows_per_salt", [1_000_000, 90])
@@ -247,36 +276,65 @@ def test_status_changes(spark):
 # --- backtest ----------------------------------------------------------------
 
 def test_cooldown_fold(spark):
-    steps = spark.createDataFrame([("r", s, 5) for s in (0, 3, 5, 9, 11, 20)], "rule_id string, step long, pause long")
-    kept = backtest.keep_outside_cooldown(backtest.runs_of_steps(steps)).collect()
-    assert sorted(r["step"] for r in kept) == [0, 5, 11, 20]
-
-
-def test_backtest_against_brute_force(spark):
+    rng, runs, want = random.Random(3), [], set()
+    for rule_id, pause in (("a", 1), ("b", 5), ("c", 40)):
+        step, free = 0, 0
+        for _ in range(150):
+            first = step + rng.randrange(1, 9)
+            step = first + rng.randrange(0, 30)
+            runs.append((rule_id, first, step, pause))
+            for k in range(first, step + 1):
+                if k >= free:
+                    want.add((rule_id, k))
+                    free = k + pause
+            step += 1
+    rng.shuffle(runs)
+    kept = backtest.keep_outside_cooldown(spark.createDataFrame(runs, "rule_id string, first long, last long, pause long")).collect()
+    assert {(r["rule_id"], r["step"]) for r in kept} == want and len(kept) == len(want)
+
+
+@pytest.mark.parametrize(("step", "fraction"), [(10, 0), (1, 0), (1, 0.4)])
+def test_backtest_against_brute_force(spark, step, fraction):
     rng = random.Random(11)
-    start, step, n = dt.datetime(2026, 3, 1), 10, 40
-    end = start + dt.timedelta(minutes=step * n + 3)
-    logs = [(f"l{i:04d}", rng.choice(["a", "a", "a", "b"]), rng.choice(["info", "error"]), rng.choice(["disk", "net"]),
+    start, n = dt.datetime(2026, 3, 1), 400 // step
+    end = start + dt.timedelta(minutes=400, seconds=20)
+    logs = [(f"l{i:04d}", rng.choice(["a", "a", "a", "b", None]), rng.choice(["info", "error", None]), rng.choice(["disk", "net", None]),
              start + dt.timedelta(seconds=rng.choice([rng.randrange(-4000, 24500), 600 * rng.randrange(-3, 40)]))) for i in range(150)]
-    rules = [rule("count", [cond("error_count", threshold=2, timeWindowMinutes=25)], "a", cooldown=35),
+    w = lambda minutes: minutes + fraction
+    rules = [rule("count", [cond("error_count", threshold=2, timeWindowMinutes=w(25))], "a", cooldown=35),
+             rule("zero", [cond("error_count", threshold=0)], "quiet", cooldown=7),
              rule("rate", [cond("error_rate", threshold=0.6, timeWindowMinutes=20)], None, cooldown=20),
              rule("quiet", [cond("no_logs", timeWindowMinutes=10)], "b", cooldown=60),
+             rule("silent", [cond("no_logs", timeWindowMinutes=w(3))], None, cooldown=2),
              rule("both", [cond("keyword_match", keywords=["DISK", "net"], matchAll=True, timeWindowMinutes=30), cond("log_level", levels=["info"])], "a", cooldown=1),
-             rule("never", [cond("custom")]), rule("always", [], cooldown=100)]
+             rule("spelt", [cond("keyword_match", keywords=["Disk", "disk"], matchAll=True, timeWindowMinutes=w(2))], None, cooldown=3),
+             rule("twice", [cond("keyword_match", keywords=["disk", "disk"], matchAll=True, timeWindowMinutes=30)]),
+             rule("long", [cond("error_count", threshold=30, timeWindowMinutes=4000)]),
+             rule("found", [cond("ai_anomaly", minConfidence=0.5, anomalyTypes=["error_spike", "other"]), cond("log_level", levels="info")], "a", cooldown=45),
+             rule("unfound", [cond("ai_anomaly", minConfidence=0.9, anomalyTypes=["error_spike"])]),
+             rule("never", [cond("custom")]), rule("always", [], cooldown=100), rule("off", [], status="disabled")]
+    found = [("a", "error_spike", 0.3, start), ("a", "error_spike", 0.8, start + dt.timedelta(minutes=150, seconds=1)),
+             ("b", "error_spike", 0.8, start), ("a", "other", 0.9, end + dt.timedelta(days=1))]
     want = set()
     for r in rules:
         last = None
-        for k in range(n + 1):
+        for k in range(n + 1) if r[4] == "enabled" else ():
             now = start + dt.timedelta(minutes=k * step)
             if last is not None and now < last + dt.timedelta(minutes=r[8]):
                 continue
             ok = True
+            shifted = [(l[0], l[1], l[2], l[3] or "", l[4] + (AS_OF - now)) for l in logs]
             for c in json.loads(r[6]):
-                shifted = [(l[0], l[1], l[2], l[3], l[4] + (AS_OF - now)) for l in logs]
-                ok = ok and matches({"logs": shifted, "source": r[3]}, c)[0]
+                if c["type"] == "ai_anomaly":
+                    p = c["params"]
+                    ok = ok and any(a[3] <= now and a[0] == "a" and r[3] in (None, a[0]) and a[1] in p["anomalyTypes"] and a[2] >= p["minConfidence"] for a in found)
+                else:
+                    ok = ok and matches({"logs": shifted, "source": r[3]}, c)[0]
             if ok:
                 want.add((r[0], k))
                 last = now
-    got = backtest.backtest_rules(spark.createDataFrame(rules, RULE_SCHEMA), spark.createDataFrame(logs, LOG_SCHEMA), start, end, step).collect()
+    stored = spark.createDataFrame(found, "source_id string, type string, confidence double, created_at timestamp_ntz")
+    got = backtest.backtest_rules(spark.createDataFrame(rules, RULE_SCHEMA), spark.createDataFrame(logs, LOG_SCHEMA), start, end, step, stored).collect()
     assert {(r["rule_id"], r["step"]) for r in got} == want and len(got) == len(want)
     assert all(r["triggered_at"] == start + dt.timedelta(minutes=r["step"] * step) for r in got)
+    assert len({r for r, _ in want}) >= 9
