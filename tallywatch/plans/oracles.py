@@ -134,6 +134,40 @@ SELECT analysis_id, source_id, created_at, 0 AS pos, log_id,
   (o_custkey % 10) / 10.0 AS confidence, o_orderpriority AS description, 'restart' AS suggested_action
 FROM replies WHERE form IN (0, 1)
 UNION ALL SELECT analysis_id, source_id, created_at, 1, other_id, 'unknown', 0.5, o_orderstatus, NULL FROM replies WHERE form IN (0, 1)""",
+    # Every minute from the first log on, and what each condition counts at it: sums up to it less sums before its window.
+    "ticks": """
+SELECT step, t0 + to_microseconds(step * 60000000) AS t FROM (
+  SELECT min(ts) AS t0, unnest(generate_series(0, (epoch_us(max(ts)) - epoch_us(min(ts))) // 60000000)) AS step FROM events)""",
+    "live_conds": "SELECT c.* FROM conds c JOIN rules r ON r.id = c.rule_id WHERE r.status = 'enabled'",
+    "cond_sums": """
+SELECT rule_id, pos, ts, sum(n) OVER o AS n, sum(hit) OVER o AS hit, sum(k1) OVER o AS k1, sum(k2) OVER o AS k2 FROM (
+  SELECT c.rule_id, c.pos, l.ts, count(*) AS n, count(*) FILTER (list_contains(c.levels, l.level)) AS hit,
+    count(*) FILTER (contains(lower(l.message), lower(c.keywords[1]))) AS k1, count(*) FILTER (contains(lower(l.message), lower(c.keywords[2]))) AS k2
+  FROM live_conds c JOIN logs l ON (c.source_id IS NULL OR l.source_id = c.source_id) GROUP BY ALL)
+WINDOW o AS (PARTITION BY rule_id, pos ORDER BY ts)""",
+    "cond_ticks": """
+SELECT g.rule_id, g.pos, g.step, coalesce(a.n, 0) - coalesce(b.n, 0) AS total, coalesce(a.hit, 0) - coalesce(b.hit, 0) AS hits,
+  CAST(coalesce(a.k1, 0) > coalesce(b.k1, 0) AS INTEGER) + CAST(coalesce(a.k2, 0) > coalesce(b.k2, 0) AS INTEGER) AS words
+FROM (SELECT c.rule_id, c.pos, t.step, t.t, t.t - to_minutes(c.w) AS since FROM live_conds c, ticks t) g
+ASOF LEFT JOIN cond_sums a ON a.rule_id = g.rule_id AND a.pos = g.pos AND a.ts <= g.t
+ASOF LEFT JOIN cond_sums b ON b.rule_id = g.rule_id AND b.pos = g.pos AND b.ts < g.since""",
+    "cond_onsets": """
+SELECT c.rule_id, c.pos, min(a.created_at) AS onset FROM live_conds c JOIN anomalies a ON (c.source_id IS NULL OR a.source_id = c.source_id)
+WHERE c.type = 'ai_anomaly' AND a.type IN ('security_concern', 'error_spike') AND a.confidence >= c.threshold GROUP BY ALL""",
+    "cond_met": """
+SELECT x.rule_id, x.step, coalesce(CASE c.type WHEN 'error_count' THEN x.hits >= c.threshold
+    WHEN 'error_rate' THEN x.total > 0 AND x.hits / x.total >= c.threshold WHEN 'log_level' THEN x.hits > 0
+    WHEN 'keyword_match' THEN CASE WHEN c.every THEN x.words = len(c.keywords) ELSE x.words > 0 END
+    WHEN 'no_logs' THEN x.total = 0 WHEN 'ai_anomaly' THEN o.onset <= t.t END, false) AS met
+FROM cond_ticks x JOIN live_conds c USING (rule_id, pos) JOIN ticks t USING (step) LEFT JOIN cond_onsets o USING (rule_id, pos)""",
+    "met_ticks": """
+SELECT rule_id, step FROM cond_met GROUP BY ALL HAVING bool_and(met)
+UNION ALL SELECT r.id, t.step FROM rules r, ticks t WHERE r.status = 'enabled' AND NOT EXISTS (SELECT 1 FROM conds c WHERE c.rule_id = r.id)""",
+    "met_runs": """
+SELECT rule_id, first, last, CAST(greatest(1, r.cooldown_minutes) AS BIGINT) AS pause, row_number() OVER (PARTITION BY rule_id ORDER BY first) AS i FROM (
+  SELECT rule_id, min(step) AS first, max(step) AS last FROM (
+    SELECT *, step - row_number() OVER (PARTITION BY rule_id ORDER BY step) AS island FROM met_ticks) GROUP BY rule_id, island)
+JOIN rules r ON r.id = rule_id""",
     "anomaly_met": """
 SELECT DISTINCT c.rule_id, c.pos FROM conds c JOIN anomalies a ON (c.source_id IS NULL OR a.source_id = c.source_id)
 WHERE c.type = 'ai_anomaly' AND a.type IN ('security_concern', 'error_spike') AND a.confidence >= c.threshold""",
@@ -407,26 +441,13 @@ UNION ALL SELECT 'manual', NULL, 'src' || c_nationkey, 'Manual ' || c_name, c_mk
 SELECT r.id AS rule_id, greatest(r.last_triggered_at, a.last) AS last_triggered_at, r.trigger_count + coalesce(a.n, 0) AS trigger_count
 FROM rules r LEFT JOIN (SELECT rule_id, max(created_at) AS last, count(*) AS n FROM alerts GROUP BY rule_id) a ON a.rule_id = r.id""",
     "backtest_rules": """
-WITH RECURSIVE span AS (SELECT min(ts) AS t0, CAST(floor(epoch_us(max(ts)) / 60000000.0 / 180 - epoch_us(min(ts)) / 60000000.0 / 180) AS BIGINT) AS k FROM events),
-ticks AS (SELECT unnest(generate_series(0, k)) AS step, t0 FROM span),
-grid AS (SELECT c.rule_id, c.pos, t.step, t.t0 + to_minutes(t.step * 180) AS t, c.source_id, c.w, c.type, c.threshold, c.levels, c.keywords, c.every
-  FROM conds c JOIN rules r ON r.id = c.rule_id, ticks t WHERE r.status = 'enabled' AND c.type NOT IN ('custom', 'ai_anomaly')),
-tallies AS (SELECT g.rule_id, g.pos, g.step, count(l.log_id) AS total,
-    count(l.log_id) FILTER (list_contains(g.levels, l.level)) AS hits,
-    max(CASE WHEN contains(lower(l.message), lower(g.keywords[1])) THEN 1 ELSE 0 END) AS k1,
-    max(CASE WHEN contains(lower(l.message), lower(g.keywords[2])) THEN 1 ELSE 0 END) AS k2
-  FROM grid g LEFT JOIN logs l ON (g.source_id IS NULL OR l.source_id = g.source_id) AND l.ts BETWEEN g.t - to_minutes(g.w) AND g.t GROUP BY ALL),
-hit AS (SELECT g.rule_id, g.step, CASE g.type WHEN 'error_count' THEN x.hits >= g.threshold
-    WHEN 'error_rate' THEN x.total > 0 AND x.hits / x.total >= g.threshold WHEN 'log_level' THEN x.hits > 0
-    WHEN 'keyword_match' THEN CASE WHEN g.every THEN x.k1 + x.k2 = len(g.keywords) ELSE coalesce(x.k1, 0) + coalesce(x.k2, 0) > 0 END
-    ELSE x.total = 0 END AS met
-  FROM grid g JOIN tallies x ON x.rule_id = g.rule_id AND x.pos = g.pos AND x.step = g.step),
-cand AS (SELECT rule_id, step FROM hit GROUP BY ALL HAVING bool_and(met)
-  UNION ALL SELECT r.id, t.step FROM rules r, ticks t WHERE r.status = 'enabled' AND NOT EXISTS (SELECT 1 FROM conds c WHERE c.rule_id = r.id)),
-paced AS (SELECT c.rule_id, c.step, CAST(greatest(1, ceil(r.cooldown_minutes * 30 / 180.0)) AS BIGINT) AS pause FROM cand c JOIN rules r ON r.id = c.rule_id),
-kept AS (SELECT rule_id, min(step) AS step, any_value(pause) AS pause FROM paced GROUP BY rule_id
-  UNION ALL SELECT p.rule_id, min(p.step), any_value(p.pause) FROM kept k JOIN paced p ON p.rule_id = k.rule_id AND p.step >= k.step + k.pause GROUP BY p.rule_id)
-SELECT rule_id, step, t0 + to_minutes(step * 180) AS triggered_at FROM kept, span""",
+WITH RECURSIVE walk AS (
+  SELECT rule_id, i, pause, first AS start, (last - first) // pause + 1 AS n, first + pause * ((last - first) // pause + 1) AS free FROM met_runs WHERE i = 1
+  UNION ALL SELECT r.rule_id, r.i, r.pause, greatest(r.first, w.free), CASE WHEN greatest(r.first, w.free) > r.last THEN 0 ELSE (r.last - greatest(r.first, w.free)) // r.pause + 1 END,
+    CASE WHEN greatest(r.first, w.free) > r.last THEN w.free ELSE greatest(r.first, w.free) + r.pause * ((r.last - greatest(r.first, w.free)) // r.pause + 1) END
+  FROM walk w JOIN met_runs r ON r.rule_id = w.rule_id AND r.i = w.i + 1),
+kept AS (SELECT rule_id, unnest(generate_series(start, start + pause * (n - 1), pause)) AS step FROM walk WHERE n > 0)
+SELECT rule_id, step, t AS triggered_at FROM kept JOIN ticks USING (step)""",
     "rule_listing": "SELECT id, name, owner_id, status, created_at FROM rules",
     "find_alerts": "SELECT id, source_id, title, created_at FROM alerts WHERE status = 'active' AND severity = 'high' ORDER BY created_at DESC, id LIMIT 50",
     "alert_stats": """

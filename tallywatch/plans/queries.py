@@ -311,14 +311,11 @@ def rule_test(spark, d):
         frames.alert_rules(spark, d), frames.logs(spark, d), _as_of(spark, d)))
 
 
-BACKTEST_STEP = 180
-
-
 def backtest_rules(spark, d):
+    """All rules at every minute of the logs, with their own windows and cool-downs and the stored anomalies."""
     logs = frames.logs(spark, d)
     start, end = logs.agg(F.min("ts"), F.max("ts")).first()
-    rules = frames.alert_rules(spark, d).withColumn("cooldown_minutes", F.col("cooldown_minutes") * 30)
-    return backtest.backtest_rules(rules, logs, start, end, BACKTEST_STEP)
+    return backtest.backtest_rules(frames.alert_rules(spark, d), logs, start, end, 1, analysis.anomalies_flat(_analyses(spark, d)))
 
 
 def rule_listing(spark, d):
