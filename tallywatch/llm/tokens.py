@@ -1,9 +1,9 @@
-"""Token ids of whole texts by the ``tokenizers`` library, with the ids of frequent words kept per worker.
+"""Token ids of whole texts by the ``tokenizers`` library, with the ids of frequent pre-tokens kept per worker.
 
-A byte-pair model merges inside pre-tokens only. So a text's ids are its words' ids in a row, as long as words are
-cut where the pre-tokeniser also cuts. Texts of printable Latin-1 with plain single spaces and line ends are cut
-that way, and a word the worker has not met goes through the library's model; every other text goes whole through
-the library.
+A byte-pair model merges inside pre-tokens only, so a text's ids are its pre-tokens' ids in a row. Texts of
+printable Latin-1 are cut by the vocabulary's own pattern, and a pre-token the worker has not met goes through the
+library's model; every other text goes whole through the library. Pre-tokens are fewer than words, as a word with
+and without a comma shares one.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 # The two pre-token patterns of the public vocabularies, for printable Latin-1.
 _BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+"
-_RUN_OF_SPACES = ("  ", " \n", "\n ", "\n\n")
-#: Words and pre-tokens whose ids a worker keeps: some 120 MB. The others are encoded at every occurrence.
-CACHED_WORDS, CACHED_PIECES = 350_000, 150_000
+#: Pre-tokens whose ids a worker keeps: some 120 MB. The others are encoded at every occurrence.
+CACHED_PIECES = 600_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -51,16 +50,16 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Ids(dict):
-    """Ids (little-endian unsigned 32-bit) by word; at most ``most`` words are kept."""
+    """Ids (little-endian unsigned 32-bit) by pre-token; at most ``CACHED_PIECES`` are kept."""
 
-    def __init__(self, make, before: str = "", most: int = CACHED_WORDS) -> None:
+    def __init__(self, make) -> None:
         super().__init__()
-        self._make, self._before, self._most = make, before, most
+        self._make = make
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self._make(self._before + word)
-        if len(self) < self._most and len(word) <= 64:
-            self[word] = ids
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._make(piece)
+        if len(self) < CACHED_PIECES and len(piece) <= 64:
+            self[piece] = ids
         return ids
 
 
@@ -80,11 +79,10 @@ class Encoder:
         self._model = self.tokenizer.model
         self._letters = _byte_letters()
         kind = self._kind(spec)
-        self._pattern = re.compile({"byte": _BYTE_PATTERN, "word": _WORD_PATTERN}.get(kind, ""))
-        self.encode = {"byte": self._encode_bytes, "word": self._encode_words}.get(kind, self.encode_whole)
-        self._pieces = _Ids(self._model_ids, most=CACHED_PIECES)
-        self._plain, self._spaced = _Ids(self._word_ids), _Ids(self._word_ids, " ")
-        self._line_end = None
+        self._cut = re.compile({"byte": _BYTE_PATTERN, "word": _WORD_PATTERN}.get(kind, "")).findall
+        self._ids = _Ids(self._model_ids).__getitem__
+        self._lower = kind == "word"
+        self.encode = self.encode_whole if kind == "other" else self._encode_pieces
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -104,28 +102,10 @@ class Encoder:
         mapped = piece.encode().decode("latin-1").translate(self._letters)
         return _packed([t.id for t in self._model.tokenize(mapped)])
 
-    def _word_ids(self, word: str) -> bytes:
-        return b"".join(map(self._pieces.__getitem__, self._pattern.findall(word)))
-
-    def _encode_words(self, text: str) -> bytes:
-        if not _usual(text):
-            return self.encode_whole(text)
-        return b"".join(map(self._plain.__getitem__, text.lower().split()))
-
-    def _encode_bytes(self, text: str) -> bytes:
+    def _encode_pieces(self, text: str) -> bytes:
         if not _usual(text):
             return self.encode_whole(text)
-        if any(run in text for run in _RUN_OF_SPACES):
-            return self._word_ids(text)
-        parts: list[bytes] = []
-        plain, spaced, line_end = self._plain, self._spaced, self._plain["\n"]
-        for line in text.split("\n"):
-            words = line.split(" ")
-            if words[0]:
-                parts.append(plain[words[0]])
-            parts.extend(map(spaced.__getitem__, words[1:]))
-            parts.append(line_end)
-        return b"".join(parts[:-1])
+        return b"".join(map(self._ids, self._cut(text.lower() if self._lower else text)))
 
 
 @functools.cache
