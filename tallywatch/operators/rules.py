@@ -16,6 +16,7 @@ ask is paired with cells, and no join has the scope alone for a key.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,35 +129,43 @@ def rule_profile(parsed: DataFrame) -> RuleProfile:
 
 # --- keywords ----------------------------------------------------------------
 
-def _pieces(text: Column, size: int) -> Column:
+def pieces_of(text: Column, size: int) -> Column:
     """Distinct pieces of ``size`` letters of a text, found in one pass."""
     if size == 0:
         return F.when(text.isNotNull(), F.array(F.lit("")))
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * size}))"), F.lit(1)))
 
 
-def _piece_set(pieces: DataFrame) -> Column:
-    """Test for the column ``piece``: may it be one of ``pieces``? A set of hash bits of fixed size, read to the driver."""
-    bit = F.pmod(F.xxhash64("piece"), F.lit(1 << PIECE_BITS)).cast("int")
+def piece_test(pieces: DataFrame) -> Callable[[Column], Column]:
+    """Test: may a piece be one of the column ``piece``? A set of hash bits of fixed size, read to the driver."""
+    def bit_of(piece: Column) -> Column:
+        return F.pmod(F.xxhash64(piece), F.lit(1 << PIECE_BITS)).cast("int")
+
     words = [0] * ((1 << PIECE_BITS) // 64)
+    bit = bit_of(F.col("piece"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63))
     for row in pieces.select(F.shiftright(bit, 6).alias("word"), one.alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits")).collect():
         words[row["word"]] = row["bits"]
     held = F.from_json(F.lit(str(words)), "array<bigint>")
-    return F.getbit(F.get(held, F.shiftright(bit, 6)), bit.bitwiseAND(63)) == 1
+    return lambda piece: F.getbit(F.get(held, F.shiftright(bit_of(piece), 6)), bit_of(piece).bitwiseAND(63)) == 1
+
+
+def cut_keywords(keywords: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``(keyword, piece)`` for all pieces of each keyword, and their lengths. A keyword shorter than a piece is its own."""
+    size = F.least(F.length("keyword"), F.lit(GRAM))
+    sizes = sorted(r[0] for r in keywords.select(size.alias("n")).distinct().collect())
+    cut = F.array().cast("array<string>")
+    for n in sizes:
+        cut = F.when(size == n, pieces_of(F.col("keyword"), n)).otherwise(cut)
+    return keywords.select("keyword", F.explode(cut).alias("piece")), sizes
 
 
 def keyword_index(logs: DataFrame, keywords: DataFrame) -> tuple[DataFrame, list[int]]:
     """``(keyword, piece)``: each keyword under its rarest piece by the counted messages; and the pieces' lengths.
 
-    A keyword of fewer letters than a piece is its own piece. A keyword with a piece that no message holds cannot
-    occur and is left out.
+    A keyword with a piece that no message holds cannot occur and is left out.
     """
-    sizes = sorted(r[0] for r in keywords.select(F.least(F.length("keyword"), F.lit(GRAM)).alias("n")).distinct().collect())
-    cut = F.array().cast("array<string>")
-    for size in sizes:
-        cut = F.when(F.least(F.length("keyword"), F.lit(GRAM)) == size, _pieces(F.col("keyword"), size)).otherwise(cut)
-    cut_up = keywords.select("keyword", F.explode(cut).alias("piece"))
+    cut_up, sizes = cut_keywords(keywords)
     counts = message_pieces(logs, sizes, cut_up).groupBy("piece").agg(F.count("*").alias("n"))
     found = cut_up.join(counts, "piece", "left").groupBy("keyword").agg(
         F.min(F.struct("n", "piece")).alias("rarest"), F.bool_and(F.col("n").isNotNull()).alias("whole"))
@@ -166,8 +175,8 @@ def keyword_index(logs: DataFrame, keywords: DataFrame) -> tuple[DataFrame, list
 def message_pieces(logs: DataFrame, sizes: list[int], wanted: DataFrame) -> DataFrame:
     """``(log_id, piece)`` of all messages, as far as the pieces may be among the wanted ones."""
     text = F.lower("message")
-    every = F.concat(*(_pieces(text, size) for size in sizes))
-    return logs.select("log_id", F.explode(every).alias("piece")).filter(_piece_set(wanted))
+    every = F.concat(*(pieces_of(text, size) for size in sizes))
+    return logs.select("log_id", F.explode(every).alias("piece")).filter(piece_test(wanted)(F.col("piece")))
 
 
 def with_keyword_hits(logs: DataFrame, parsed: DataFrame) -> DataFrame:

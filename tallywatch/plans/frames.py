@@ -5,6 +5,9 @@ Every frame is a row-wise projection of one table, so it grows with that table.
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,17 @@ def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_logs(event_stream(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def log_pieces(spark: SparkSession, sf_dir: str, folder: str, pieces: int) -> Iterator[DataFrame]:
+    """The log stream of a folder to which the events are added piece by piece, in the order of their time."""
+    events = table(spark, sf_dir, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * k / pieces for k in range(pieces)] + [last + dt.timedelta(microseconds=1)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        events.filter((F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz"))).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        yield shape_logs(stream).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_logs(table(spark, sf_dir, "events"))
 

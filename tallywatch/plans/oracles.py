@@ -297,6 +297,19 @@ SELECT log_id, source_id, level, message, {raw}format, metadata, ts FROM parsed_
 
 _SEV = "CASE level WHEN 'fatal' THEN 2 WHEN 'error' THEN 3 WHEN 'warn' THEN 4 WHEN 'info' THEN 6 ELSE 7 END"
 
+# Runs of minutes at which a rule is met, walked one by one with its cool-down.
+_KEPT = """
+WITH RECURSIVE walk AS (
+  SELECT rule_id, i, pause, first AS start, (last - first) // pause + 1 AS n, first + pause * ((last - first) // pause + 1) AS free FROM met_runs WHERE i = 1
+  UNION ALL SELECT r.rule_id, r.i, r.pause, greatest(r.first, w.free), CASE WHEN greatest(r.first, w.free) > r.last THEN 0 ELSE (r.last - greatest(r.first, w.free)) // r.pause + 1 END,
+    CASE WHEN greatest(r.first, w.free) > r.last THEN w.free ELSE greatest(r.first, w.free) + r.pause * ((r.last - greatest(r.first, w.free)) // r.pause + 1) END
+  FROM walk w JOIN met_runs r ON r.rule_id = w.rule_id AND r.i = w.i + 1),
+kept AS (SELECT rule_id, unnest(generate_series(start, start + pause * (n - 1), pause)) AS step FROM walk WHERE n > 0)"""
+
+# Last minute the streams can judge: ten minutes late at most, and the minute itself closed.
+_HORIZON = "(SELECT (epoch_us(max(ts)) // 1000 * 1000 - 660000000 - epoch_us(min(ts))) // 60000000 FROM events)"
+_NO_AI = "rule_id NOT IN (SELECT rule_id FROM conds WHERE type = 'ai_anomaly')"
+
 BODIES = {
     "ingest_batches": """
 SELECT 'env' || o_orderkey || '-' || i AS log_id, 'src' || (o_custkey % 10) AS source_id,
@@ -440,13 +453,7 @@ UNION ALL SELECT 'manual', NULL, 'src' || c_nationkey, 'Manual ' || c_name, c_mk
     "rule_stats": """
 SELECT r.id AS rule_id, greatest(r.last_triggered_at, a.last) AS last_triggered_at, r.trigger_count + coalesce(a.n, 0) AS trigger_count
 FROM rules r LEFT JOIN (SELECT rule_id, max(created_at) AS last, count(*) AS n FROM alerts GROUP BY rule_id) a ON a.rule_id = r.id""",
-    "backtest_rules": """
-WITH RECURSIVE walk AS (
-  SELECT rule_id, i, pause, first AS start, (last - first) // pause + 1 AS n, first + pause * ((last - first) // pause + 1) AS free FROM met_runs WHERE i = 1
-  UNION ALL SELECT r.rule_id, r.i, r.pause, greatest(r.first, w.free), CASE WHEN greatest(r.first, w.free) > r.last THEN 0 ELSE (r.last - greatest(r.first, w.free)) // r.pause + 1 END,
-    CASE WHEN greatest(r.first, w.free) > r.last THEN w.free ELSE greatest(r.first, w.free) + r.pause * ((r.last - greatest(r.first, w.free)) // r.pause + 1) END
-  FROM walk w JOIN met_runs r ON r.rule_id = w.rule_id AND r.i = w.i + 1),
-kept AS (SELECT rule_id, unnest(generate_series(start, start + pause * (n - 1), pause)) AS step FROM walk WHERE n > 0)
+    "backtest_rules": _KEPT + """
 SELECT rule_id, step, t AS triggered_at FROM kept JOIN ticks USING (step)""",
     "rule_listing": "SELECT id, name, owner_id, status, created_at FROM rules",
     "find_alerts": "SELECT id, source_id, title, created_at FROM alerts WHERE status = 'active' AND severity = 'high' ORDER BY created_at DESC, id LIMIT 50",
@@ -595,23 +602,27 @@ SELECT source_id, bucket_start, n, score AS health_score, CASE WHEN score >= 80
 SELECT bucket_start, source_id, n, errors FROM (
   SELECT time_bucket(INTERVAL 3 HOUR, ts) AS bucket_start, source_id, count(*) AS n, count(*) FILTER (level IN ('error', 'fatal')) AS errors FROM logs GROUP BY 1, 2), clock
 WHERE bucket_start + INTERVAL 3 HOUR <= now - INTERVAL 10 MINUTE""",
-    "stream_rules": """
-SELECT rule_id, triggered, matched_count, first_log_id, reason, now AS as_of FROM evaluated, clock WHERE status = 'enabled'""",
+    "stream_rules": f"""
+WITH RECURSIVE runs AS (SELECT * FROM met_runs WHERE {_NO_AI})
+SELECT rule_id, t AS as_of, triggered FROM (
+  SELECT rule_id, first AS step, true AS triggered FROM runs UNION ALL SELECT rule_id, last + 1, false FROM runs
+  UNION ALL SELECT id, 0, false FROM rules WHERE status = 'enabled' AND id NOT IN (SELECT rule_id FROM runs WHERE first = 0)
+) JOIN ticks USING (step) WHERE step <= {_HORIZON}""",
     "stream_sessions": """
 SELECT source_id, start_ts, end_ts, n FROM (
   SELECT source_id, min(ts) AS start_ts, max(ts) + INTERVAL 30 MINUTE AS end_ts, count(*) AS n FROM (
     SELECT *, sum(new) OVER (PARTITION BY source_id ORDER BY ts) AS run FROM (
       SELECT source_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY source_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM logs))
   GROUP BY source_id, run), clock WHERE end_ts <= now - INTERVAL 10 MINUTE""",
-    "stream_cooldown": """
-WITH RECURSIVE windows AS (SELECT source_id, time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE AS moment FROM logs WHERE level IN ('error', 'fatal') GROUP BY 1, 2),
-cand AS (SELECT r.id AS rule_id, w.moment, r.cooldown_minutes FROM windows w JOIN rules r ON r.source_id = w.source_id AND r.status = 'enabled', clock WHERE w.moment <= now - INTERVAL 10 MINUTE),
-kept AS (SELECT rule_id, min(moment) AS moment, any_value(cooldown_minutes) AS cd FROM cand GROUP BY rule_id
-  UNION ALL SELECT c.rule_id, min(c.moment), any_value(c.cooldown_minutes) FROM kept k JOIN cand c ON c.rule_id = k.rule_id AND c.moment > k.moment AND c.moment >= k.moment + to_minutes(k.cd) GROUP BY c.rule_id)
-SELECT rule_id, moment AS triggered_at FROM kept""",
+    "stream_cooldown": _KEPT + f"""
+SELECT rule_id, t AS triggered_at FROM kept JOIN ticks USING (step) WHERE step <= {_HORIZON} AND {_NO_AI}""",
     "stream_silence": """
-SELECT s.id AS source_id, l.last_ts FROM sources s LEFT JOIN (SELECT source_id, max(ts) AS last_ts FROM logs GROUP BY source_id) l ON l.source_id = s.id, clock
-WHERE l.last_ts IS NULL OR l.last_ts < now - INTERVAL 30 MINUTE""",
+SELECT source_id, CASE WHEN seen THEN ts END AS last_ts, ts + INTERVAL 30 MINUTE AS as_of FROM (
+  SELECT *, lead(ts) OVER (PARTITION BY source_id ORDER BY ts, seen) AS later FROM (
+    SELECT source_id, ts, true AS seen FROM logs UNION ALL SELECT id, (SELECT min(ts) FROM logs), false FROM sources)),
+  (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM logs)
+WHERE (later > ts + INTERVAL 30 MINUTE AND time_bucket(INTERVAL 1 MINUTE, later) + INTERVAL 1 MINUTE <= mark)
+  OR (coalesce(later > ts + INTERVAL 30 MINUTE, true) AND ts + INTERVAL 31 MINUTE <= mark)""",
     "stream_source_refresh": """
 SELECT l.log_id AS message_id, coalesce(s.source_id, 'unregistered:10.1.0.' || l.user_id) AS source_id, s.server_id
 FROM logs l LEFT JOIN senders s ON s.ip = '10.1.0.' || l.user_id""",

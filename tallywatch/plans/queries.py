@@ -6,6 +6,7 @@ Outputs have scalar columns only; lists and maps are joined to text.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -551,9 +552,19 @@ def stream_tumbling(spark, d):
     return rows.withColumn("bucket_start", ntz("bucket_start"))
 
 
+def _over_pieces(spark, d, label: str, job: Callable[[DataFrame, dt.datetime], DataFrame], pieces: int = 3) -> DataFrame:
+    """A job run over the events piece by piece, each run going on from the checkpoint of the one before."""
+    since = frames.table(spark, d, "events").agg(F.min("ts")).first()[0]
+    folder, rows = shared_dir(spark, label), None
+    for logs in frames.log_pieces(spark, d, shared_dir(spark, f"{label}-events"), pieces):
+        rows = jobs.run_to_table(job(logs, since), label, folder)
+    return rows
+
+
 def stream_rules(spark, d):
-    results = jobs.run_rules(frames.log_stream(spark, d), frames.alert_rules(spark, d))
-    return results.select("rule_id", "triggered", "matched_count", "first_log_id", "reason", "as_of")
+    """Every change of every rule's verdict, judged each minute."""
+    rows = _over_pieces(spark, d, "stream-rules", lambda logs, since: jobs.stream_rules(logs, frames.alert_rules(spark, d), since))
+    return rows.withColumn("as_of", ntz("as_of"))
 
 
 def stream_sessions(spark, d):
@@ -562,13 +573,15 @@ def stream_sessions(spark, d):
 
 
 def stream_cooldown(spark, d):
-    rows = jobs.run_cooldown(frames.log_stream(spark, d), frames.alert_rules(spark, d).filter(F.col("source_id").isNotNull()), "10 minutes", 1)
+    """Every trigger of every rule, judged each minute, outside its cool-down."""
+    rows = _over_pieces(spark, d, "stream-cooldown", lambda logs, since: jobs.stream_cooldown(logs, frames.alert_rules(spark, d), since))
     return rows.withColumn("triggered_at", ntz("triggered_at"))
 
 
 def stream_silence(spark, d):
-    silent = jobs.run_silence(frames.log_stream(spark, d), frames.log_sources(spark, d), 30)
-    return silent.filter(F.col("as_of") == silent.agg(F.max("as_of")).scalar()).drop("as_of")
+    """Every time a source fell silent for half an hour."""
+    rows = _over_pieces(spark, d, "stream-silence", lambda logs, since: jobs.stream_silence(logs, frames.log_sources(spark, d), 30, since))
+    return rows.withColumn("last_ts", ntz("last_ts")).withColumn("as_of", ntz("as_of"))
 
 
 def stream_source_refresh(spark, d):

@@ -7,18 +7,20 @@ over all available input into a Parquet table in the shared folder.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallywatch.functions.levels import is_error
-from tallywatch.functions.timing import as_ntz, latest_ts
-from tallywatch.operators.rules import COOLDOWN_MINUTES, evaluate_rules, select_rules
-from tallywatch.session import shared_dir
+from tallywatch.functions.timing import MICROS_PER_MINUTE
+from tallywatch.operators.rules import (
+    ALL_ROWS, ASKS, COOLDOWN_MINUTES, cut_keywords, facets_of_asks, keywords_of, parse_rules, piece_test, pieces_of,
+    probes_of, rule_profile, select_rules,
+)
+from tallywatch.session import materialize, shared_dir
 from tallywatch.sources.ingest import map_sender_to_source, parse_raw_lines, sender_map
+from tallywatch.streaming.verdicts import Cooldown, Silence, Verdicts
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -62,13 +64,6 @@ def _keep(rows: DataFrame, base: str, name: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id:09d}")
 
 
-def _state_before(like: DataFrame, base: str, name: str, batch_id: int) -> DataFrame:
-    """State written after the batch before this one; empty before the first."""
-    if batch_id == 0:
-        return like.limit(0)
-    return like.sparkSession.read.schema(like.schema).parquet(f"{base}/{name}/batch={batch_id - 1:09d}")
-
-
 def stream_ingest(lines: DataFrame) -> DataFrame:
     """Raw lines to parsed rows; rows that do not parse keep their error text."""
     return parse_raw_lines(lines)
@@ -123,121 +118,109 @@ def stream_dedupe(lines: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def run_rules(logs: DataFrame, rules: DataFrame, label: str = "stream-rules", folder: str | None = None) -> DataFrame:
-    """All rules at each micro-batch, evaluated at the newest event time seen so far.
+def _micros(at: dt.datetime) -> int:
+    """Microseconds since 1970 of a time without zone."""
+    return (at - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
 
-    Returns the results of every batch (told apart by ``as_of``). The state after a
-    batch is the newest event time and each rule's last trigger, so a trigger in one
-    batch holds its rule's cool-down in the next ones. Logs are stored by day; evaluation
-    reads only the rows inside the longest window.
-    """
-    spark = logs.sparkSession
 
-    def step(batch: DataFrame, batch_id: int, base: str) -> None:
-        rows = batch.select("log_id", "source_id", "level", "message", F.col("ts").cast("timestamp_ntz").alias("ts"))
-        rows.withColumn("dt", F.to_date("ts")).withColumn("batch", F.lit(batch_id)).hint("rebalance", "dt").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").parquet(f"{base}/logs")
-        newest = rows.agg(F.max("ts").alias("ts"))
-        _keep(newest.unionByName(_state_before(newest, base, "clock", batch_id)).agg(F.max("ts").alias("ts")), base, "clock", batch_id)
-        as_of = latest_ts(spark.read.parquet(f"{base}/clock/batch={batch_id:09d}"))
-        fired = rules.select(F.col("id").alias("rule_id"), F.col("last_triggered_at").alias("at"))
-        before = _state_before(fired, base, "fired", batch_id)
-        known = rules.join(before.withColumnRenamed("rule_id", "id"), "id", "left").withColumn(
-            "last_triggered_at", F.greatest("last_triggered_at", "at")).drop("at")
-        if as_of is None:
-            _keep(before, base, "fired", batch_id)
-            return
-        stored = spark.read.schema(rows.schema.add("dt", "date").add("batch", "integer")).parquet(f"{base}/logs")
-        _keep(evaluate_rules(known, stored.filter(F.col("batch") <= batch_id).drop("batch"), as_of).withColumn("as_of", as_ntz(as_of)),
-              base, "results", batch_id)
-        now = spark.read.parquet(f"{base}/results/batch={batch_id:09d}").filter("triggered").select("rule_id", F.col("as_of").alias("at"))
-        _keep(before.unionByName(now).groupBy("rule_id").agg(F.max("at").alias("at")), base, "fired", batch_id)
-
-    base = run_batches(logs, label, step, folder)
-    return spark.read.parquet(f"{base}/results").drop("batch")
-
-
-def run_silence(logs: DataFrame, sources: DataFrame, minutes: float, label: str = "stream-silence",
-                folder: str | None = None) -> DataFrame:
-    """Sources without a log in the trailing window: ``source_id, last_ts, as_of`` per micro-batch.
-
-    State is one row per source, the newest time seen, carried from batch to batch. A
-    batch is reduced to that before it meets the state, so a busy source costs no more
-    than a quiet one. Before any log has come, every source is silent and ``as_of`` is null.
+def rule_specs(parsed: DataFrame) -> DataFrame:
+    """``(rule_id, spec, pause)``: what a rule asks and how it is judged as JSON, and its cool-down in minutes."""
+    conds = F.expr("""transform(conds, c -> named_struct('pos', c.pos, 'type', c.type, 'threshold', c.threshold, 'match_all', c.match_all,
+        'n_keywords', size(c.keywords), 'spelt', transform(array_distinct(c.keywords), k -> lower(k))))""")
+    return parsed.select(
+        F.col("id").alias("rule_id"), F.to_json(F.struct(F.expr(ASKS).alias("asks"), conds.alias("conds"))).alias("spec"),
+        F.greatest(F.lit(1), F.coalesce("cooldown_minutes", F.lit(COOLDOWN_MINUTES))).cast("long").alias("pause"))
+
+
+def facet_rows(logs: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``(source_id, ts, facet)`` of each log: all rows, its level, and each rule keyword it holds; without state.
+
+    Keywords are found as in batch, each under the piece that the fewest keywords share.
     """
+    plain = F.array_compact(F.array(F.lit(ALL_ROWS), F.concat(F.lit("level:"), F.col("level"))))
+    nothing = F.lit(None).cast("string")
+    facets = F.transform(plain, lambda f: F.struct(f.alias("facet"), nothing.alias("piece")))
+    keywords = materialize(keywords_of(parsed), "stream-keywords")
+    if keywords.isEmpty():
+        return logs.select("source_id", "ts", F.explode(plain).alias("facet"))
+    cut, sizes = cut_keywords(keywords)
+    shared = cut.groupBy("piece").agg(F.count("*").alias("n"))
+    index = materialize(cut.join(shared, "piece").groupBy("keyword").agg(F.min(F.struct("n", "piece")).alias("rarest")).select(
+        "keyword", F.col("rarest.piece").alias("_piece")), "stream-index")
+    may_be = piece_test(index.withColumnRenamed("_piece", "piece"))
+    text = F.lower("message")
+    found = F.filter(F.concat(*(F.coalesce(pieces_of(text, n), F.array().cast("array<string>")) for n in sizes)), may_be)
+    each = F.explode(F.concat(facets, F.transform(found, lambda p: F.struct(nothing.alias("facet"), p.alias("piece")))))
+    rows = logs.select("source_id", "ts", text.alias("text"), each.alias("f")).select("source_id", "ts", "text", "f.facet", "f.piece")
+    met = rows.join(index, F.col("piece") == F.col("_piece"), "left")
+    word = F.when(F.contains("text", "keyword"), F.concat(F.lit("word:"), "keyword"))
+    return met.select("source_id", "ts", F.coalesce("facet", word).alias("facet")).filter(F.col("facet").isNotNull())
+
+
+def _judged(logs: DataFrame, rules: DataFrame, since: dt.datetime, step_minutes: int, delay: str, runs: bool) -> DataFrame:
+    """Closed counts per grain, scope and facet, handed to the rules that ask for them."""
     spark = logs.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    parsed = materialize(parse_rules(select_rules(rules)).select("id", "source_id", "cooldown_minutes", "conds"), "stream-rules")
+    step_us = step_minutes * MICROS_PER_MINUTE
+    grain = rule_profile(parsed).grain_us
+    since_us = _micros(since)
+    offset = F.unix_micros("ts") - since_us
+    rows = facet_rows(logs.withWatermark("ts", delay), parsed).withColumn("after", (F.pmod(offset, F.lit(grain)) > 0).cast("int"))
+    scoped = rows.withColumn("scope", F.explode(F.array_distinct(F.array(F.col("source_id"), F.lit(None).cast("string")))))
+    pane = F.window("ts", f"{grain} microseconds", f"{grain} microseconds", f"{since_us % grain} microseconds")
+    cells = scoped.groupBy(pane.alias("w"), "scope", "facet", "after").agg(F.count("*").alias("n"))
+    asked = materialize(facets_of_asks(probes_of(parsed)).select(
+        "rule_id", F.col("scope").alias("_scope"), F.col("facet").alias("_facet")).distinct(), "stream-asks")
+    of_rules = cells.join(asked, F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("facet") == F.col("_facet"))).select(
+        "rule_id", "w", "facet", F.expr(f"(unix_micros(w.start) - {since_us}L) div {grain}L").alias("base"), "after", "n")
+    specs = materialize(rule_specs(parsed), "stream-specs").groupBy("rule_id")
+    out = "rule_id string, step long, last long, pause long" if runs else "rule_id string, step long, met boolean"
+    return of_rules.groupBy("rule_id").transformWithStateInPandas(
+        Verdicts(since_us, grain, step_us, runs), out, "append", "eventtime", initialState=specs)
+
+
+def _at(since: dt.datetime, step_minutes: int) -> Column:
+    return F.timestamp_micros(F.lit(_micros(since)) + F.col("step") * (step_minutes * MICROS_PER_MINUTE))
+
+
+def stream_rules(logs: DataFrame, rules: DataFrame, since: dt.datetime, step_minutes: int = 1, delay: str = "10 minutes") -> DataFrame:
+    """Verdicts of all enabled rules at ``since`` and every step of event time after it: ``rule_id, as_of, triggered``.
+
+    A row for the first step and for each at which a verdict changes; between them it stays. Steps are judged once
+    the watermark has passed them, so the rows do not depend on micro-batches. Cool-down is left to
+    ``stream_cooldown``; ``ai_anomaly`` conditions are not met in a stream. Rules are those there are when the stream
+    first starts. State: per rule its counts, and the changes due while logs leave its windows.
+    """
+    judged = _judged(logs, rules, since, step_minutes, delay, runs=False)
+    return judged.select("rule_id", _at(since, step_minutes).alias("as_of"), F.col("met").alias("triggered"))
 
-    def step(batch: DataFrame, batch_id: int, base: str) -> None:
-        newest = batch.groupBy("source_id").agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("last_ts"))
-        merged = newest.unionByName(_state_before(newest, base, "seen", batch_id))
-        _keep(merged.groupBy("source_id").agg(F.max("last_ts").alias("last_ts")), base, "seen", batch_id)
-        seen = spark.read.schema(newest.schema).parquet(f"{base}/seen/batch={batch_id:09d}")
-        now = latest_ts(seen, "last_ts")
-        silent = F.col("last_ts").isNull()
-        if now is not None:
-            silent = silent | (F.col("last_ts") < as_ntz(now - dt.timedelta(minutes=minutes)))
-        known = sources.select(F.col("id").alias("source_id")).join(seen, "source_id", "left")
-        as_of = F.lit(None).cast("timestamp_ntz") if now is None else as_ntz(now)
-        _keep(known.filter(silent).withColumn("as_of", as_of), base, "results", batch_id)
-
-    base = run_batches(logs, label, step, folder)
-    return spark.read.parquet(f"{base}/results").drop("batch")
-
-
-class _Cooldown(StatefulProcessor):
-    """Remembers a rule's last kept trigger."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # Kept as microseconds, so no time zone of a worker can shift it.
-        self._last = handle.getValueState("last", "at_us long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(rows).sort_values("at")
-        last = pd.Timestamp(self._last.get()[0], unit="us") if self._last.exists() else None
-        kept = []
-        for at, minutes in zip(frame["at"], frame["cooldown_minutes"]):
-            if last is None or at >= last + pd.Timedelta(minutes=int(minutes)):
-                kept.append(at)
-                last = at
-        if last is not None:
-            self._last.update((last.value // 1000,))
-        yield pd.DataFrame({
-            "rule_id": pd.Series([key[0]] * len(kept), dtype="object"),
-            "triggered_at": pd.Series(kept, dtype="datetime64[ns]"),
-        })
-
-    def close(self) -> None:
-        pass
-
-
-def stream_cooldown(candidates: DataFrame) -> DataFrame:
-    """Candidate triggers ``(rule_id, at, cooldown_minutes)`` to the ones outside the cool-down.
-
-    Candidates are one row per rule and closed window at most, so a key's rows are few.
+
+def stream_cooldown(logs: DataFrame, rules: DataFrame, since: dt.datetime, delay: str = "10 minutes") -> DataFrame:
+    """Triggers ``rule_id, triggered_at`` of all enabled rules, judged every minute by their own conditions and cool-downs.
+
+    Three stateful steps in one query: counts per pane, verdicts per rule, cool-down per rule. Triggers stored before
+    the stream are not taken into account.
     """
-    candidates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return candidates.groupBy("rule_id").transformWithStateInPandas(
-        _Cooldown(), "rule_id string, triggered_at timestamp", "append", "none")
+    runs = _judged(logs, rules, since, 1, delay, runs=True)
+    kept = runs.groupBy("rule_id").transformWithStateInPandas(Cooldown(), "rule_id string, step long", "append", "none")
+    return kept.select("rule_id", _at(since, 1).alias("triggered_at"))
 
 
-def run_cooldown(logs: DataFrame, rules: DataFrame, window: str, threshold: int,
-                 delay: str = "10 minutes") -> DataFrame:
-    """Closed windows with at least ``threshold`` errors of an enabled rule's source, thinned by its cool-down.
+def stream_silence(logs: DataFrame, sources: DataFrame, minutes: float, since: dt.datetime, delay: str = "10 minutes",
+                   pane_minutes: int = 1) -> DataFrame:
+    """When each source fell silent: ``source_id, last_ts, as_of``, ``as_of`` being ``minutes`` after its newest log ``last_ts``.
 
-    The counting stream is written first; its table feeds the stateful stream.
+    One row per gap longer than that, told when the next log comes or, by a timer, when none has come. Known sources
+    are watched from ``since`` on; one without any log has a null ``last_ts``. Rows are reduced to a first and a last
+    time per source and pane before they meet the state.
     """
-    counts = stream_tumbling_counts(logs, window, delay)
     spark = logs.sparkSession
-    base = shared_dir(spark, "window-counts")
-    counting = (
-        counts.writeStream.format("parquet").outputMode("append").option("path", f"{base}/table")
-        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    )
-    counting.awaitTermination()
-    closed = spark.readStream.schema(counts.schema).parquet(f"{base}/table")
-    rule = select_rules(rules).select(
-        F.col("id").alias("rule_id"), "source_id",
-        F.coalesce("cooldown_minutes", F.lit(COOLDOWN_MINUTES)).alias("cooldown_minutes"))
-    hits = closed.filter(F.col("errors") >= threshold).join(rule, "source_id").select(
-        "rule_id", (F.col("bucket_start") + F.expr(f"INTERVAL {window}")).alias("at"), "cooldown_minutes")
-    return run_to_table(stream_cooldown(hits), "cooldown")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    panes = logs.withWatermark("ts", delay).groupBy(F.window("ts", f"{pane_minutes} minutes").alias("w"), "source_id").agg(
+        F.min(F.unix_micros("ts")).alias("first_us"), F.max(F.unix_micros("ts")).alias("last_us"))
+    known = materialize(sources.select(F.col("id").alias("source_id")).distinct(), "stream-sources").groupBy("source_id")
+    watch = Silence(_micros(since), int(minutes * MICROS_PER_MINUTE), pane_minutes * MICROS_PER_MINUTE)
+    told = panes.select("source_id", "w", "first_us", "last_us").groupBy("source_id").transformWithStateInPandas(
+        watch, "source_id string, last_us long, as_us long", "append", "eventtime", initialState=known)
+    return told.select("source_id", F.timestamp_micros("last_us").alias("last_ts"), F.timestamp_micros("as_us").alias("as_of"))

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallywatch import session
-from tallywatch.operators.rules import evaluate_rules
 from tallywatch.streaming import jobs
+from test_rules import AS_OF, matches
 
 T0 = dt.datetime(2026, 2, 1)
 SCHEMA = "log_id string, source_id string, level string, message string, ts timestamp"
@@ -46,57 +47,105 @@ def test_sessions_span_batches(feed):
     assert [(r["start_ts"].minute, r["end_ts"].minute, r["n"]) for r in rows] == [(0, 22, 3)]
 
 
-def test_cooldown_state_is_kept_between_batches(spark, tmp_path):
-    schema = "rule_id string, at timestamp, cooldown_minutes int"
-    for i, minutes in enumerate([(0, 3), (5, 9), (11, 20)]):
-        spark.createDataFrame([("r", T0 + dt.timedelta(minutes=m), 5) for m in minutes] + [("q", T0 + dt.timedelta(minutes=minutes[0]), 60)], schema).coalesce(
-            1).write.mode("append").parquet(str(tmp_path / "c"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "c"))
-    rows = jobs.run_to_table(jobs.stream_cooldown(stream), "cool").collect()
-    got = sorted((r["rule_id"], (r["triggered_at"] - T0).seconds // 60) for r in rows)
-    assert got == [("q", 0), ("r", 0), ("r", 5), ("r", 11), ("r", 20)]
-
-
-def test_rules_per_batch_equal_the_batch_job(spark, feed):
-    files = [[("1", "a", "error", 0)], [("2", "a", "error", 3), ("3", "b", "info", 4)], [("4", "a", "error", 7)]]
-    ask = json.dumps([{"type": "error_count", "params": {"threshold": 2, "timeWindowMinutes": 5}}])
-    rules = spark.createDataFrame([("r", "n", None, "a", "enabled", "high", ask, "[]", 1, None, 0)],
-                                  "id string, name string, description string, source_id string, status string, severity string, "
-                                  "conditions string, actions string, cooldown_minutes int, last_triggered_at timestamp_ntz, trigger_count long")
-    stream = feed(*files)
-    results = {r["as_of"]: r for r in jobs.run_rules(stream, rules).collect()}
-    assert [r["triggered"] for _, r in sorted(results.items())] == [False, True, True]
-    got = results[T0 + dt.timedelta(minutes=7)]
-    everything = spark.createDataFrame(
-        [(a, s, lv, "m", T0 + dt.timedelta(minutes=m)) for f in files for a, s, lv, m in f], SCHEMA).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    want = evaluate_rules(rules, everything, T0 + dt.timedelta(minutes=7)).first()
-    assert got["as_of"] == T0 + dt.timedelta(minutes=7)
-    assert (got["triggered"], got["matched_count"], got["first_log_id"]) == (want["triggered"], want["matched_count"], want["first_log_id"]) == (
-        True, 2, "4")
-
-
-def test_silence(spark, feed):
-    stream = feed([("1", "a", "info", 0), ("2", "b", "info", 1)], [("3", "b", "info", 40)])
-    sources = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
-    got = {(r["source_id"], r["as_of"]): r["last_ts"] for r in jobs.run_silence(stream, sources, 30).collect()}
-    early, late = T0 + dt.timedelta(minutes=1), T0 + dt.timedelta(minutes=40)
-    assert got == {("c", early): None, ("a", late): T0, ("c", late): None}
-
-
-def test_a_trigger_holds_its_cooldown_in_later_batches(spark, feed, tmp_path):
-    ask = json.dumps([{"type": "error_count", "params": {"threshold": 1, "timeWindowMinutes": 5}}])
-    rules = spark.createDataFrame([("r", "n", None, None, "enabled", "high", ask, "[]", 60, None, 0)],
-                                  "id string, name string, description string, source_id string, status string, severity string, "
-                                  "conditions string, actions string, cooldown_minutes int, last_triggered_at timestamp_ntz, trigger_count long")
-    stream = feed([("1", "a", "error", 0)], [("2", "a", "error", 3)], [("3", "a", "error", 120)])
-    folder = str(tmp_path / "rules")
-    results = sorted((r["as_of"], r["triggered"], r["reason"]) for r in jobs.run_rules(stream, rules, folder=folder).collect())
-    at = [T0 + dt.timedelta(minutes=m) for m in (0, 3, 120)]
-    assert results == [(at[0], True, "All conditions met"), (at[1], False, "In cooldown period"), (at[2], True, "All conditions met")]
-    # A second run over more input goes on: the last trigger still counts.
-    more = feed([("4", "a", "error", 121)])
-    again = sorted((r["as_of"], r["triggered"]) for r in jobs.run_rules(more, rules, folder=folder).collect())
-    assert again == [(at[0], True), (at[1], False), (at[2], True), (T0 + dt.timedelta(minutes=121), False)]
+RULES = ("id string, name string, description string, source_id string, status string, severity string, "
+         "conditions string, actions string, cooldown_minutes int, last_triggered_at timestamp_ntz, trigger_count long")
+
+
+def rules_of(spark, *rows):
+    return spark.createDataFrame(
+        [(i, "n", None, source, status, "high", json.dumps(conds), "[]", cooldown, None, 0) for i, source, status, cooldown, conds in rows], RULES)
+
+
+def ask(kind, **params):
+    return {"type": kind, "params": params}
+
+
+def some_rules(spark, fraction=0.0):
+    return rules_of(
+        spark, ("own", "a", "enabled", 7, [ask("error_count", threshold=2, timeWindowMinutes=5 + fraction)]),
+        ("all", None, "enabled", 3, [ask("error_rate", threshold=0.4, timeWindowMinutes=20)]),
+        ("words", None, "enabled", 1, [ask("keyword_match", keywords=["Disk", "disk", "x"], timeWindowMinutes=3), ask("log_level", levels=["error"])]),
+        ("both", "b", "enabled", 15, [ask("keyword_match", keywords=["DISK", "full"], matchAll=True, timeWindowMinutes=60)]),
+        ("quiet", "b", "enabled", 30, [ask("no_logs", timeWindowMinutes=10)]), ("none", "zz", "enabled", 40, [ask("no_logs")]),
+        ("always", None, "enabled", 100, []), ("never", None, "enabled", 5, [ask("custom")]), ("off", None, "disabled", 5, []))
+
+
+def some_logs(n=120):
+    rng = random.Random(17)
+    minutes = sorted(rng.choice([rng.uniform(0, 300), rng.randrange(0, 300)]) for _ in range(n))
+    return [(f"l{i}", rng.choice("aab"), rng.choice(["info", "error", "fatal"]), m, rng.choice(["disk", "disk FULL", "ok"])) for i, m in enumerate(minutes)]
+
+
+def batch_of(spark, rows):
+    data = [(a, s, lv, text, T0 + dt.timedelta(minutes=m)) for a, s, lv, m, text in rows]
+    return spark.createDataFrame(data, SCHEMA).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@pytest.fixture()
+def texts(spark, tmp_path):
+    """Like ``feed``, with messages, and with a name for each folder of files."""
+    def make(name, *files):
+        for rows in files:
+            batch_of(spark, rows).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    return make
+
+
+def horizon(rows, grain=60):
+    """The last minute a stream of these rows can judge."""
+    return int((int(max(r[3] for r in rows) * 60_000) / 1000 - 600 - grain) // 60)
+
+
+@pytest.mark.parametrize("fraction", [0.0, 0.5])
+def test_verdicts_and_triggers_do_not_depend_on_the_batches(spark, texts, fraction):
+    rows, rules = some_logs(), some_rules(spark, fraction)
+    upto = horizon(rows, 60 if not fraction else 1)
+    want = {}
+    for step in range(upto + 1):
+        logs = [(i, source, level, text, AS_OF + dt.timedelta(minutes=m - step)) for i, source, level, m, text in rows]
+        for r in rules.filter("status = 'enabled'").collect():
+            want[r["id"], step] = all(matches({"logs": logs, "source": r["source_id"]}, c)[0] for c in json.loads(r["conditions"]))
+    triggers, pauses = [], {r["id"]: r["cooldown_minutes"] for r in rules.collect()}
+    for k in pauses:
+        free = 0
+        for step in range(upto + 1):
+            if want.get((k, step)) and step >= free:
+                triggers.append((k, T0 + dt.timedelta(minutes=step)))
+                free = step + pauses[k]
+    triggers.sort()
+    assert len({r for r, _ in triggers}) >= 6
+    cut = [rows[:1], rows[1:50], rows[50:51], rows[51:90], rows[90:]]
+    for name, files in (("one", [rows]), ("many", cut)):
+        changes = jobs.run_to_table(jobs.stream_rules(texts(f"{name}-r", *files), rules, T0), "r").collect()
+        series = {}
+        for r in sorted(changes, key=lambda r: r["as_of"]):
+            series.setdefault(r["rule_id"], []).append(((r["as_of"] - T0) // dt.timedelta(minutes=1), r["triggered"]))
+        # Each series begins at the first step, and alternates.
+        assert all(s[0][0] == 0 and all(x[1] != y[1] for x, y in zip(s, s[1:])) for s in series.values())
+        assert {(k, step): [v for m, v in series[k] if m <= step][-1] for k, step in want} == want
+        got = jobs.run_to_table(jobs.stream_cooldown(texts(f"{name}-c", *files), rules, T0), "c").collect()
+        assert sorted((r["rule_id"], r["triggered_at"]) for r in got) == triggers
+
+
+def test_a_trigger_holds_its_cooldown_over_a_restart(spark, texts, tmp_path):
+    rules = rules_of(spark, ("r", None, "enabled", 60, [ask("error_count", threshold=1, timeWindowMinutes=5)]))
+    folder = str(tmp_path / "cool")
+    for at, want in ((0, []), (30, [0]), (200, [0]), (300, [0, 200])):
+        stream = texts("again", [(f"e{at}", "a", "error", at, "m"), (f"i{at}", "b", "info", at + 1, "m")])
+        got = jobs.run_to_table(jobs.stream_cooldown(stream, rules, T0), "cool", folder).collect()
+        assert sorted((r["triggered_at"] - T0) // dt.timedelta(minutes=1) for r in got) == want
+
+
+def test_silence_is_told_without_a_row_of_the_source(spark, texts):
+    rows = [("1", "a", "info", 0, "m"), ("2", "b", "info", 1, "m"), ("3", "b", "info", 30, "m"), ("4", "b", "info", 60, "m"), ("5", "d", "info", 61, "m"),
+            ("6", "b", "info", 90.001, "m"), ("7", "b", "info", 120, "m"), ("8", "a", "info", 130, "m"), ("9", "b", "info", 140, "m"), ("10", "b", "info", 170, "m"),
+            ("11", "b", "info", 190, "m")]
+    sources = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
+    minutes = lambda t: None if t is None else round((t - T0).total_seconds() / 60, 3)
+    want = [("a", 0, 30), ("a", 130, 160), ("b", 60, 90), ("c", None, 30), ("d", None, 30), ("d", 61, 91)]
+    for name, files in (("one", [rows]), ("many", [[r] for r in rows])):
+        told = jobs.run_to_table(jobs.stream_silence(texts(name, *files), sources, 30, T0), "s").collect()
+        assert sorted(((r["source_id"], minutes(r["last_ts"]), minutes(r["as_of"])) for r in told), key=str) == sorted(want, key=str)
 
 
 def test_sources_are_read_again_for_each_batch(spark, tmp_path):
