@@ -255,14 +255,6 @@ def remote_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pull cursors: one per supplier-made source, at a day given by the key."""
-    return table(spark, sf_dir, "supplier").selectExpr(
-        "concat('src', s_suppkey) AS source_id",
-        "TIMESTAMP_NTZ'2024-01-05 00:00:00' + make_dt_interval(cast(s_suppkey AS int)) AS last_ts",
-    )
-
-
 CONDITIONS_CASE = """CASE n % 12
   WHEN 0 THEN concat('[{"type":"error_count","params":{"threshold":', n % 20, ',"timeWindowMinutes":', size * 60, '}}]')
   WHEN 1 THEN concat('[{"type":"error_rate","params":{"threshold":', (n % 20) / 40.0D, ',"timeWindowMinutes":', size * 60, '}}]')

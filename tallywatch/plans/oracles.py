@@ -334,13 +334,8 @@ UNION ALL SELECT 'bad' || c_custkey, CASE WHEN k IN (2, 3) AND route <> 'alertma
     WHEN 3 THEN '{"sourceId":"src' || c_nationkey || '","level":"info","logs":[{"message":"no level"}],"alerts":[]}' END,
   CASE WHEN k IN (1, 4) THEN 'invalid json' WHEN route = 'single' OR (route = 'bulk' AND k = 3) THEN 'source, level or message missing' ELSE 'no entries' END, route
 FROM (SELECT *, c_custkey % 5 AS k, unnest(['bulk', 'single', 'alertmanager']) AS route FROM customer) WHERE k > 0""",
-    "read_raw_lines": "SELECT 'files' AS source_id, level, message, date_trunc('second', ts) AS ts FROM logs",
-    "incremental_pull": """
-SELECT coalesce(c.source_id, l.source_id) AS source_id, greatest(c.last_ts, l.new_ts) AS last_ts, coalesce(l.pulled, 0) AS pulled
-FROM (SELECT id AS source_id, TIMESTAMP '2024-01-05 00:00:00' + to_days(CAST(n AS INTEGER)) AS last_ts FROM sources) c
-FULL JOIN (SELECT l.source_id, max(l.ts) AS new_ts, count(*) AS pulled FROM logs l LEFT JOIN sources s ON s.id = l.source_id
-           WHERE s.n IS NULL OR l.ts > TIMESTAMP '2024-01-05 00:00:00' + to_days(CAST(s.n AS INTEGER)) GROUP BY ALL) l
-ON l.source_id = c.source_id""",
+    "read_raw_lines": "SELECT 'files' AS source_id, level, message, date_trunc('second', ts) AS ts, event_id % 2 = 0 AS known FROM logs",
+    "incremental_pull": "SELECT 'files' AS source_id, level, message, date_trunc('second', ts) AS ts, CAST(event_id % 3 AS INTEGER) AS pull FROM logs",
     "explode_pages": """
 SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, parts[i] AS line FROM (
   SELECT page_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (

@@ -17,7 +17,7 @@ from tallywatch.functions.text import split_lines
 from tallywatch.functions.timing import as_ntz, latest_ts
 from tallywatch.operators import analysis, backtest, incidents, logs as store, rules as engine, tenancy
 from tallywatch.plans import frames
-from tallywatch.session import shared_dir
+from tallywatch.session import materialize, shared_dir
 from tallywatch.sources import ingest, parse
 from tallywatch.sources.sinks import write_logs
 from tallywatch.streaming import jobs
@@ -63,19 +63,41 @@ def quarantine(spark, d):
     return found
 
 
+def _write_lines(spark, d, path: str, chosen: Column) -> None:
+    messages = frames.raw_syslog(spark, d).withColumn("n", F.substring("message_id", 4, 12).cast("long"))
+    messages.filter(chosen).select("raw").write.mode("append").text(path)
+
+
+ARRIVAL = dt.datetime(2024, 2, 1)
+
+
 def read_raw_lines(spark, d):
-    """Syslog lines written to text files and read back as one source."""
+    """Syslog files read, and read again after others were added: the lines that kept the id they had are ``known``."""
     path = shared_dir(spark, "raw-lines")
-    frames.raw_syslog(spark, d).select("raw").write.text(path)
-    arrival = F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz")
-    rows = ingest.read_raw_lines(spark, path, "files", "syslog", arrival)
-    return rows.select("source_id", "level", "message", "ts")
+
+    def lines() -> DataFrame:
+        return ingest.read_raw_lines(spark, path, "files", "syslog", as_ntz(ARRIVAL))
+
+    _write_lines(spark, d, path, F.col("n") % 2 == 0)
+    before = materialize(lines().select(F.col("log_id").alias("id"), F.col("raw_content").alias("raw")), "raw-lines-before")
+    _write_lines(spark, d, path, F.col("n") % 2 == 1)
+    rows = lines().join(before, (F.col("log_id") == F.col("id")) & (F.col("raw_content") == F.col("raw")), "left")
+    return rows.select("source_id", "level", "message", "ts", F.col("id").isNotNull().alias("known"))
 
 
 def incremental_pull(spark, d):
-    cursors = frames.cursors(spark, d)
-    fresh = ingest.incremental_pull(frames.logs(spark, d), cursors)
-    return ingest.advance_cursors(cursors, fresh)
+    """Syslog files pulled three times while files are added, each with lines of all times: what each pull brought."""
+    path, folder = shared_dir(spark, "pulled-files"), shared_dir(spark, "pull")
+    rows = None
+    for n in range(3):
+        _write_lines(spark, d, path, F.col("n") % 3 == n)
+        lines = ingest.as_source_lines(jobs.pull_lines(spark, path, folder), "files", "syslog", as_ntz(ARRIVAL))
+        found = ingest.parse_raw_lines(lines).withColumn("pull", F.lit(n))
+        rows = found if rows is None else rows.unionByName(found)
+    nothing = jobs.pull_lines(spark, path, folder).select(
+        F.lit("files").alias("source_id"), F.lit(None).cast("string").alias("level"), F.col("line").alias("message"),
+        F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(3).alias("pull"))
+    return rows.select("source_id", "level", "message", "ts", "pull").unionByName(nothing)
 
 
 def explode_pages(spark, d):

@@ -11,6 +11,7 @@ from tallywatch.functions.running import running_totals
 from tallywatch.functions.text import split_lines, strip
 from tallywatch.functions.timing import iso_to_ntz
 from tallywatch.sources.parse import parse_line, parse_syslog, resolve_format
+from tallywatch.sources.tail import TailedLines
 
 # Defaults of a pull job, provenance marks, and the tag of an unknown sender.
 PULL_INTERVAL_MS = 60_000
@@ -120,21 +121,25 @@ def parse_raw_lines(lines: DataFrame) -> DataFrame:
         "log_id", "source_id", "server_id", "level", "message", "raw_content", "format", "metadata", "ts", "error")
 
 
-def read_raw_lines(spark, path: str, source_id: str, log_format: str, received_at: Column) -> DataFrame:
-    """Read a text file or folder as raw lines of one source and parse them.
-
-    An id holds the file and the line's place in the read, so equal lines stay apart.
-    """
-    place = F.concat_ws("-", F.lit(source_id), F.left(F.md5("_metadata.file_path"), F.lit(12)), F.monotonically_increasing_id())
-    lines = spark.read.text(path).select(
-        place.alias("line_id"),
+def as_source_lines(lines: DataFrame, source_id: str, log_format: str, received_at: Column) -> DataFrame:
+    """Lines of files (``sources/tail.py``) as raw lines of one source; ids are made of the file and the place in it."""
+    return lines.select(
+        F.concat_ws("-", F.lit(source_id), "line_id").alias("line_id"),
         F.lit(source_id).alias("source_id"),
         F.lit(None).cast("string").alias("server_id"),
-        F.col("value").alias("line"),
+        "line",
         F.lit(log_format).alias("format"),
         received_at.alias("received_at"),
     )
-    return parse_raw_lines(lines)
+
+
+def read_raw_lines(spark, path: str, source_id: str, log_format: str, received_at: Column) -> DataFrame:
+    """Read a text file or folder as raw lines of one source and parse them.
+
+    A line keeps its id in every later read, whatever other files there are by then.
+    """
+    spark.dataSource.register(TailedLines)
+    return parse_raw_lines(as_source_lines(spark.read.format(TailedLines.name()).load(path), source_id, log_format, received_at))
 
 
 def split_quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,25 +150,6 @@ def split_quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def incremental_pull(lines: DataFrame, cursors: DataFrame) -> DataFrame:
-    """Lines after their source's cursor ``(source_id, last_ts)``; no cursor means all."""
-    return (
-        lines.join(cursors.select("source_id", "last_ts"), "source_id", "left")
-        .filter(F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts")))
-        .drop("last_ts")
-    )
-
-
-def advance_cursors(cursors: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Cursor table after a pull: the newest time seen per source, never moved back."""
-    moved = fresh.groupBy("source_id").agg(F.max("ts").alias("new_ts"), F.count("*").alias("pulled"))
-    return cursors.join(moved, "source_id", "full").select(
-        "source_id",
-        F.greatest("last_ts", "new_ts").alias("last_ts"),
-        F.coalesce("pulled", F.lit(0)).cast("long").alias("pulled"),
-    )
-
-
 def explode_http_page(bodies: DataFrame) -> DataFrame:
     """Fetched bodies ``(page_id, content_type, body)`` to raw lines.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywatch.functions.levels import is_error
@@ -20,6 +20,7 @@ from tallywatch.operators.rules import (
 )
 from tallywatch.session import materialize, shared_dir
 from tallywatch.sources.ingest import map_sender_to_source, parse_raw_lines, sender_map
+from tallywatch.sources.tail import SCHEMA as TAIL_SCHEMA, TailedLines
 from tallywatch.streaming.verdicts import Cooldown, Silence, Verdicts
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -87,6 +88,24 @@ def run_source_refresh(messages: DataFrame, load_sources: Callable[[], DataFrame
     return messages.sparkSession.read.parquet(f"{base}/mapped").drop("batch")
 
 
+def pull_lines(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """One pull: the lines (``file, at, line, line_id``) added below ``path`` since the last pull with this ``folder``.
+
+    The cursor, a position per file, lies in the folder's checkpoint and survives restarts; all pulled lines lie in its
+    ``lines``. A pull cut short is repeated by the next one, with the same rows.
+    """
+    spark.dataSource.register(TailedLines)
+    done: list[int] = []
+
+    def step(batch: DataFrame, batch_id: int, base: str) -> None:
+        _keep(batch, base, "lines", batch_id)
+        done.append(batch_id)
+
+    run_batches(spark.readStream.format(TailedLines.name()).load(path), "pull", step, folder)
+    paths = [f"{folder}/lines/batch={batch_id:09d}" for batch_id in done]
+    return spark.read.schema(TAIL_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], TAIL_SCHEMA)
+
+
 def stream_tumbling_counts(logs: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Volume and errors per source and closed window."""
     return (

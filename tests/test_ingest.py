@@ -94,17 +94,6 @@ def test_http_pages(spark):
                    "bad": ["[1, 2"], "txt": ["l1", "", "l2"]}
 
 
-def test_cursor_moves_forward_only(spark):
-    lines = spark.createDataFrame([("a", dt.datetime(2026, 1, d)) for d in (1, 2, 3)] + [("b", dt.datetime(2026, 1, 1))],
-                                  "source_id string, ts timestamp_ntz")
-    cursors = spark.createDataFrame([("a", dt.datetime(2026, 1, 2)), ("c", dt.datetime(2026, 1, 9))], "source_id string, last_ts timestamp_ntz")
-    fresh = ingest.incremental_pull(lines, cursors)
-    moved = {r["source_id"]: (r["last_ts"].day, r["pulled"]) for r in ingest.advance_cursors(cursors, fresh).collect()}
-    assert moved == {"a": (3, 1), "b": (1, 1), "c": (9, 0)}
-    again = ingest.incremental_pull(lines, ingest.advance_cursors(cursors, fresh))
-    assert again.count() == 0
-
-
 def test_pull_plan_reasons(spark):
     def conf(**k):
         return json.dumps(k)
