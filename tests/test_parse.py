@@ -8,35 +8,25 @@ from tallywatch.functions.text import template_of
 from tallywatch.sources import ingest, parse
 
 ARRIVAL = dt.datetime(2026, 2, 23, 10, 20)
-# Lines of every level with their expected facility, severity and level.
-SYSLOG_LINES = [
-    ("<34>Mar  4 08:00:01 edge-7 loginwatch: session opened for ops on tty3",
-     "loginwatch", "4", "2", "fatal", "session opened for ops on tty3"),
-    ("<11>Mar  4 08:00:02 edge-7 netcore: ETH: carrier lost -- retrying link",
-     "netcore", "1", "3", "error", "ETH: carrier lost -- retrying link"),
-    ("<165>Mar  4 08:00:03 edge-7 gateway: 192.0.2.4 - - PUT /v2/items 204 31",
-     "gateway", "20", "5", "info", "192.0.2.4 - - PUT /v2/items 204 31"),
-    ("<38>Mar  4 08:01:01 edge-7 planner: job nightly-export finished",
-     "planner", "4", "6", "info", "job nightly-export finished"),
-    ("<27>Mar  4 08:01:02 edge-7 bootd: unit cache-warmer restarted.",
-     "bootd", "3", "3", "error", "unit cache-warmer restarted."),
-    ("<131>Mar  4 08:01:03 edge-7 shop: ERROR Timeout: no answer from cache:6379",
-     "shop", "16", "3", "error", "ERROR Timeout: no answer from cache:6379"),
-]
-
-
 def parsed(spark, line, arrival=ARRIVAL, kind=parse.parse_syslog):
     df = spark.createDataFrame([(line, arrival)], "line string, at timestamp_ntz")
     return df.select(kind(F.col("line"), F.col("at")).alias("p")).first()["p"]
 
 
-@pytest.mark.parametrize("line,tag,facility,severity,level,message", SYSLOG_LINES)
-def test_syslog_test_lines(spark, line, tag, facility, severity, level, message):
-    p = parsed(spark, line)
-    assert (p["level"], p["message"]) == (level, message)
-    assert p["metadata"] == {
-        "facility": facility, "severity": severity, "hostname": "edge-7", "appName": tag}
-    assert p["ts"].date() == dt.date(2025, 3, 4)
+def test_every_priority_in_both_forms(spark):
+    """Facility, severity and level of each of the 192 priorities, expected values from the number itself."""
+    levels = {0: "fatal", 1: "fatal", 2: "fatal", 3: "error", 4: "warn", 5: "info", 6: "info", 7: "debug"}
+    rows = [(n, form, line, ARRIVAL) for n in range(192) for form, line in (
+        ("old", f"<{n}>Jan 12 06:07:{n % 60:02d} unit{n % 5} part{n % 7}[{n}]: number {n}: of <all>"),
+        ("new", f"<{n}>1 2026-01-12T06:07:{n % 60:02d}Z unit{n % 5} part{n % 7} {n} - - number {n}: of <all>"))]
+    frame = spark.createDataFrame(rows, "n int, form string, line string, at timestamp_ntz")
+    found = frame.select("n", "form", parse.parse_syslog(F.col("line"), F.col("at")).alias("p")).collect()
+    assert len(found) == 384
+    for n, form, p in found:
+        assert (p["level"], p["message"]) == (levels[n % 8], f"number {n}: of <all>"), (n, form)
+        assert p["ts"] == dt.datetime(2026, 1, 12, 6, 7, n % 60)
+        assert p["metadata"] == {"facility": str(n // 8), "severity": str(n % 8), "hostname": f"unit{n % 5}",
+                                 "appName": f"part{n % 7}", "procId": str(n)}
 
 
 def test_syslog_year_goes_back_at_new_year(spark):
