@@ -388,16 +388,20 @@ def detect_error_spikes(logs: DataFrame, bucket: str = "1 hour", history: int =
                         factor: float = 3.0, min_errors: int = 3) -> DataFrame:
     """Buckets whose error count exceeds mean + ``factor`` deviations of the earlier buckets.
 
-    The history is the ``history`` preceding buckets in which the source logged
-    anything; at least two are needed. Counting comes first, so the window function
-    sees one row per source and bucket.
+    The history is the ``history`` preceding buckets, back to the source's first log; a bucket without a log counts
+    as one without errors. At least two are needed. Counting comes first, so the window function sees one row per
+    source and bucket that holds logs; silent buckets add nothing to the sums and are counted by their number alone.
     """
     cells = logs.groupBy("source_id", F.window("ts", bucket).alias("w")).agg(
         F.count("*").alias("n"), F.count_if(is_error(F.col("level"))).alias("errors"))
-    before = Window.partitionBy("source_id").orderBy("w.start").rowsBetween(-history, -1)
+    since = F.timestamp_diff("MICROSECOND", as_ntz(dt.datetime(1970, 1, 1)), F.col("w.start"))
+    cells = cells.withColumn("_i", F.floor(since / F.timestamp_diff("MICROSECOND", F.col("w.start"), F.col("w.end"))))
+    source = Window.partitionBy("source_id").orderBy("_i")
+    before = source.rangeBetween(-history, -1)
     e = F.col("errors")
-    sums = cells.withColumn("_c", F.count("*").over(before)).withColumn(
-        "_s", F.sum(e).over(before)).withColumn("_q", F.sum(e * e).over(before))
+    past = F.col("_i") - F.first("_i").over(source)
+    sums = cells.withColumn("_c", F.least(past, F.lit(history))).withColumn(
+        "_s", F.coalesce(F.sum(e).over(before), F.lit(0))).withColumn("_q", F.coalesce(F.sum(e * e).over(before), F.lit(0)))
     c, s, q = (F.col(x).cast("double") for x in ("_c", "_s", "_q"))
     # Whole-number sums keep the deviation exact whatever the order of the rows.
     deviation = F.sqrt((c * q - s * s) / (c * (c - 1)))

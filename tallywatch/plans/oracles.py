@@ -566,9 +566,12 @@ UNION ALL SELECT 'latest', analysis_id || ' ' || severity || ' ' || summary, dur
 UNION ALL SELECT 'coverage', 'analysed', count(*) FILTER (log_id IN (SELECT log_id FROM replies)),
   count(*) FILTER (log_id IN (SELECT log_id FROM replies)) / count(*), NULL FROM logs""",
     "error_spikes": """
+WITH RECURSIVE cells AS (
+  SELECT source_id, time_bucket(INTERVAL 6 HOUR, ts) AS bucket_start, count(*) AS n, count(*) FILTER (level IN ('error', 'fatal')) AS errors FROM logs GROUP BY 1, 2),
+grid AS (SELECT source_id, unnest(generate_series(min(bucket_start), max(bucket_start), INTERVAL 6 HOUR)) AS bucket_start FROM cells GROUP BY source_id),
+filled AS (SELECT source_id, bucket_start, coalesce(n, 0) AS n, coalesce(errors, 0) AS errors FROM grid LEFT JOIN cells USING (source_id, bucket_start))
 SELECT source_id, bucket_start, n, errors, s / c AS mean, sqrt((c * q - s * s) / (c * (c - 1))) AS deviation FROM (
-  SELECT *, CAST(count(*) OVER w AS DOUBLE) AS c, CAST(sum(errors) OVER w AS DOUBLE) AS s, CAST(sum(errors * errors) OVER w AS DOUBLE) AS q FROM (
-    SELECT source_id, time_bucket(INTERVAL 6 HOUR, ts) AS bucket_start, count(*) AS n, count(*) FILTER (level IN ('error', 'fatal')) AS errors FROM logs GROUP BY 1, 2)
+  SELECT *, CAST(count(*) OVER w AS DOUBLE) AS c, CAST(sum(errors) OVER w AS DOUBLE) AS s, CAST(sum(errors * errors) OVER w AS DOUBLE) AS q FROM filled
   WINDOW w AS (PARTITION BY source_id ORDER BY bucket_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
 WHERE c >= 2 AND errors >= 3 AND errors > s / c + 2.0 * sqrt((c * q - s * s) / (c * (c - 1)))""",
     "mine_patterns": """
@@ -624,6 +627,28 @@ FROM logs l LEFT JOIN senders s ON s.ip = '10.1.0.' || l.user_id""",
     "sink_round_trip": """
 SELECT log_id, source_id, level, message, ts, strftime(ts, '%Y-%m-%d') AS day FROM logs
 WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'""",
+    "rule_loop": """
+WITH RECURSIVE times AS (SELECT i, step, t FROM (SELECT i, k - 60 + 30 * i AS step FROM (SELECT max(step) AS k FROM ticks), (SELECT unnest([0, 1, 2]) AS i)) JOIN ticks USING (step)),
+asked AS (SELECT r.id AS rule_id, r.cooldown_minutes AS cd, x.i, x.t, r.last_triggered_at AS stored, r.trigger_count AS counted,
+    EXISTS (SELECT 1 FROM met_ticks m WHERE m.rule_id = r.id AND m.step = x.step) AS met FROM rules r, times x),
+walk AS (
+  SELECT rule_id, i, t, met AND NOT coalesce(t < stored + to_minutes(cd), false) AS fired,
+    CASE WHEN met AND NOT coalesce(t < stored + to_minutes(cd), false) THEN greatest(stored, t) ELSE stored END AS last FROM asked WHERE i = 0
+  UNION ALL SELECT a.rule_id, a.i, a.t, a.met AND NOT coalesce(a.t < w.last + to_minutes(a.cd), false),
+    CASE WHEN a.met AND NOT coalesce(a.t < w.last + to_minutes(a.cd), false) THEN greatest(w.last, a.t) ELSE w.last END FROM walk w JOIN asked a ON a.rule_id = w.rule_id AND a.i = w.i + 1),
+behind AS (SELECT w.rule_id, w.i, count(DISTINCT l.log_id) AS n FROM walk w JOIN conds c ON c.rule_id = w.rule_id
+  JOIN logs l ON (c.source_id IS NULL OR l.source_id = c.source_id) AND l.ts BETWEEN w.t - to_minutes(c.w) AND w.t
+  WHERE w.fired AND (list_contains(c.levels, l.level) OR len(list_filter(c.keywords, lambda k: contains(lower(l.message), lower(k)))) > 0) GROUP BY ALL)
+SELECT 'alert' AS kind, w.rule_id, w.t AS at, coalesce(b.n, 0) AS n, upper(r.severity) AS priority FROM walk w JOIN rules r ON r.id = w.rule_id LEFT JOIN behind b USING (rule_id, i) WHERE w.fired
+UNION ALL SELECT 'state', a.rule_id, w.last, a.counted + (SELECT count(*) FROM walk x WHERE x.rule_id = a.rule_id AND x.fired), NULL
+FROM asked a JOIN walk w ON w.rule_id = a.rule_id AND w.i = 2 WHERE a.i = 2""",
+    "analysis_job": """
+SELECT run || '-' || source_id || '-' || (r // 100) AS analysis_id, source_id, CAST(sum(bad) AS BIGINT) || ' of ' || count(*) || ' lines are errors' AS summary,
+  CAST(round_even(100 * (1 - sum(bad) / count(*)), 0) AS INTEGER) AS health_score, count(*) AS n_logs
+FROM (SELECT *, row_number() OVER (PARTITION BY run, source_id ORDER BY ts DESC, log_id) - 1 AS r FROM (
+  SELECT source_id, log_id, ts, CAST(level IN ('error', 'fatal') AS INTEGER) AS bad, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'first' ELSE 'second' END AS run FROM logs))
+GROUP BY run, source_id, r // 100
+UNION ALL SELECT 'open', NULL, NULL, NULL, 0""",
     "stream_dedupe": "SELECT log_id, source_id, level, ts FROM logs",
     "usage_metering": "SELECT * FROM usage",
     "quota_check": """

@@ -15,11 +15,11 @@ from tallywatch.functions.levels import detect_level, normalize_level
 from tallywatch.functions.once import with_fields
 from tallywatch.functions.text import split_lines
 from tallywatch.functions.timing import as_ntz, latest_ts
-from tallywatch.operators import analysis, backtest, incidents, logs as store, rules as engine, tenancy
+from tallywatch.operators import analysis, backtest, incidents, logs as store, rules as engine, tenancy, workflows
 from tallywatch.plans import frames
 from tallywatch.session import materialize, shared_dir
 from tallywatch.sources import ingest, parse
-from tallywatch.sources.sinks import write_logs
+from tallywatch.sources.sinks import Store, write_logs
 from tallywatch.streaming import jobs
 
 
@@ -622,6 +622,43 @@ def sink_round_trip(spark, d):
     return store.find_logs(stored, start=start, end=start + dt.timedelta(days=10)).select(*COLUMNS, F.col("dt").cast("string").alias("day"))
 
 
+def rule_loop(spark, d):
+    """Three turns of the rule loop half an hour apart, the last one repeated: stored alerts with what hangs on them, and the rules' state."""
+    first, last = frames.logs(spark, d).agg(F.min("ts"), F.max("ts")).first()
+    end = first + (last - first) // dt.timedelta(minutes=1) * dt.timedelta(minutes=1)
+    held = Store(spark, shared_dir(spark, "rule-loop"))
+    found = materialize(analysis.anomalies_flat(_analyses(spark, d)).select("source_id", "type", "confidence", "created_at"), "loop-anomalies")
+    for minutes in (60, 30, 0, 0):
+        workflows.rule_run(frames.alert_rules(spark, d), frames.logs(spark, d), frames.log_sources(spark, d), held,
+                           end - dt.timedelta(minutes=minutes), found)
+    behind = held["alert_logs"].read().groupBy("alert_id").agg(F.count("*").alias("n_logs"))
+    tickets = held["tickets"].read().select(F.col("rule_id").alias("_r"), F.col("created_at").alias("_at"), "priority")
+    alerts = held["alerts"].read()
+    fired = alerts.join(behind, alerts["id"] == behind["alert_id"], "left").join(
+        tickets, (F.col("rule_id") == F.col("_r")) & (F.col("created_at") == F.col("_at")), "left").select(
+        F.lit("alert").alias("kind"), "rule_id", F.col("created_at").alias("at"), F.coalesce("n_logs", F.lit(0)).alias("n"), "priority")
+    state = held["rule_stats"].read().filter(F.col("run") == end.strftime("%Y%m%d%H%M%S%f")).select(
+        F.lit("state").alias("kind"), "rule_id", F.col("last_triggered_at").alias("at"), F.col("trigger_count").alias("n"),
+        F.lit(None).cast("string").alias("priority"))
+    return fired.unionByName(state)
+
+
+def analysis_job(spark, d):
+    """The analysis job over the logs of two weeks, then over all, then again: stored results, and the logs left open."""
+    logs = frames.logs(spark, d)
+    held = Store(spark, shared_dir(spark, "analysis-job"))
+    for run, rows in (("first", logs.filter(F.col("ts") < F.lit(dt.datetime(2024, 1, 15)))), ("second", logs), ("third", logs)):
+        workflows.analysis_run(rows, held, offline_scorer, run, ARRIVAL)
+    covered = held["ledger"].read()
+    counts = covered.groupBy("analysis_id").agg(F.count("*").alias("n_logs"))
+    stored = held["analyses"].read().join(counts, "analysis_id").select("analysis_id", "source_id", "summary", "health_score", "n_logs")
+    left = store.unanalyzed_logs(logs, covered).agg(F.count("*").alias("n_logs"))
+    none = F.lit(None)
+    return stored.unionByName(left.select(
+        F.lit("open").alias("analysis_id"), none.cast("string").alias("source_id"), none.cast("string").alias("summary"),
+        none.cast(stored.schema["health_score"].dataType).alias("health_score"), "n_logs"))
+
+
 def stream_dedupe(spark, d):
     lines = frames.log_stream(spark, d).withColumn("raw_content", F.concat_ws(" ", "ts", "message"))
     again = frames.log_stream(spark, d).withColumn("raw_content", F.concat_ws(" ", "ts", "message"))
@@ -673,6 +710,8 @@ QUERIES = {
     "ingest_batches": ingest_batches,
     "parse_dispatch": parse_dispatch,
     "incremental_pull": incremental_pull,
+    "rule_loop": rule_loop,
+    "analysis_job": analysis_job,
     "explode_pages": explode_pages,
     "syslog_ingest": syslog_ingest,
     "sender_source_map": sender_source_map,

@@ -1,9 +1,21 @@
-"""Append-only Parquet tables."""
+"""Written tables: the log table by day, and small tables with a commit log.
+
+A small table is a folder of Parquet data and a folder of commits. Each commit names a batch and the data it added,
+and only what a commit names belongs to the table. So a batch that was cut short leaves nothing behind, one that is
+repeated changes nothing, and compaction swaps many pieces of data for one in a single step. One writer at a time.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: The small tables of an installation.
+TABLES = ("alerts", "alert_logs", "rule_stats", "tickets", "outcomes", "analyses", "ledger")
 
 
 def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
@@ -21,6 +33,88 @@ def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def write_table(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Write alerts, tickets, analyses or notification outcomes."""
-    rows.write.mode(mode).parquet(path)
+class Table:
+    """A small table under ``path``, on any file system Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._spark, self._path = spark, path
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._file = lambda name: hadoop.Path(f"{path}/{name}")
+        self._fs = self._file("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def commits(self) -> dict[str, dict]:
+        """The commits in force by batch. Of a compaction and what it replaced, only the compaction is."""
+        folder = self._file("commits")
+        found = {}
+        if self._fs.exists(folder):
+            for status in self._fs.listStatus(folder):
+                name = status.getPath().getName()
+                if name.endswith(".json"):
+                    stream = self._fs.open(status.getPath())
+                    try:
+                        text = bytes(stream.readAllBytes()).decode()
+                    finally:
+                        stream.close()
+                    found[name.removesuffix(".json")] = json.loads(text)
+        gone = {old for c in found.values() for old in c["replaces"]}
+        return {batch: c for batch, c in found.items() if batch not in gone}
+
+    def batches(self) -> set[str]:
+        """All batches written so far, compacted ones included."""
+        return {b for batch, c in self.commits().items() for b in (c["batches"] or [batch])}
+
+    def _commit(self, batch: str, rows: DataFrame, replaces: list[str], batches: list[str]) -> None:
+        data = f"data/{batch}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self._path}/{data}")
+        note = {"data": data, "schema": rows.schema.json(), "replaces": replaces, "batches": batches}
+        # The commit appears whole, by a rename, or not at all.
+        draft, final = self._file(f"commits/{uuid.uuid4().hex}.draft"), self._file(f"commits/{batch}.json")
+        stream = self._fs.create(draft)
+        stream.write(bytearray(json.dumps(note).encode()))
+        stream.close()
+        if not self._fs.rename(draft, final):
+            raise OSError(f"commit {batch} could not be written")
+
+    def append(self, batch: str, rows: DataFrame) -> bool:
+        """Add a batch's rows; false, and nothing changed, if the batch is there already."""
+        if batch in self.batches():
+            return False
+        self._commit(batch, rows, [], [])
+        return True
+
+    def read(self, like: str | StructType | None = None) -> DataFrame:
+        """All rows; ``like`` is the schema of a table nothing was written to yet."""
+        commits = list(self.commits().values())
+        if not commits:
+            if like is None:
+                raise ValueError(f"nothing written to {self._path} yet")
+            return self._spark.createDataFrame([], like)
+        schema = StructType.fromJson(json.loads(commits[-1]["schema"]))
+        return self._spark.read.schema(schema).parquet(*(f"{self._path}/{c['data']}" for c in commits))
+
+    def compact(self) -> None:
+        """Put all data into one piece. Readers of the old pieces are not disturbed; ``clean`` deletes these later."""
+        old = self.commits()
+        if len(old) > 1:
+            batches = sorted(b for batch, c in old.items() for b in (c["batches"] or [batch]))
+            self._commit(f"compacted-{uuid.uuid4().hex}", self.read().hint("rebalance"), sorted(old), batches)
+
+    def clean(self) -> None:
+        """Delete data that no commit in force names, and the commits that were replaced. No reader or writer may be at work."""
+        held = self.commits()
+        data = {c["data"].removeprefix("data/") for c in held.values()}
+        for folder, keep in (("data", data), ("commits", {f"{b}.json" for b in held})):
+            if self._fs.exists(self._file(folder)):
+                for status in self._fs.listStatus(self._file(folder)):
+                    if status.getPath().getName() not in keep:
+                        self._fs.delete(status.getPath(), True)
+
+
+class Store:
+    """The small tables of an installation under one folder."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._tables = {name: Table(spark, f"{path}/{name}") for name in TABLES}
+
+    def __getitem__(self, name: str) -> Table:
+        return self._tables[name]

@@ -131,6 +131,28 @@ def test_error_spike(spark):
     assert [(r["bucket_start"], r["errors"], r["mean"], r["deviation"]) for r in found] == [(T0 + dt.timedelta(hours=10), 30, 1.0, 0.0)]
 
 
+def test_silent_buckets_are_history_without_errors(spark):
+    """Against a filled grid: a source that logs in few of its hours."""
+    import random
+    import statistics
+
+    rng = random.Random(12)
+    rows, per_hour = [], {}
+    for source, share in (("rare", 0.1), ("busy", 0.9)):
+        for hour in range(200):
+            if hour == 0 or rng.random() < share:
+                errors = rng.choice([0, 1, 2, 3, 12])
+                per_hour[source, hour] = errors
+                rows += [(f"{source}{hour}-{i}", source, "x", "error" if i < errors else "info", "m", T0 + dt.timedelta(hours=hour, minutes=i)) for i in range(errors + 1)]
+    want = set()
+    for (source, hour), errors in per_hour.items():
+        past = [per_hour.get((source, h), 0) for h in range(max(0, hour - 24), hour)]
+        if len(past) >= 2 and errors >= 3 and errors > statistics.mean(past) + 2 * statistics.stdev(past) + 1e-9:
+            want.add((source, T0 + dt.timedelta(hours=hour)))
+    found = analysis.detect_error_spikes(spark.createDataFrame(rows, LOG_SCHEMA), "1 hour", 24, 2.0).collect()
+    assert {(r["source_id"], r["bucket_start"]) for r in found} == want and {s for s, _ in want} == {"rare", "busy"}
+
+
 def test_search_is_literal_and_case_blind(spark):
     rows = [("1", "s", "x", "info", "CPU at 100% now", T0), ("2", "s", "x", "info", "a_b", T0), ("3", "s", "x", "info", "axb 1000", T0)]
     logs = spark.createDataFrame(rows, LOG_SCHEMA)

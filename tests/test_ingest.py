@@ -137,6 +137,3 @@ def test_log_table_round_trip_and_day_pruning(spark, tmp_path):
     assert day.count() == 10
     plan = day._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dt" in plan
-    sinks.write_table(df.limit(3), str(tmp_path / "t"))
-    sinks.write_table(df.limit(2), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 5
