@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch import schemas
 from tallywatch.functions.once import with_fields
-from tallywatch.functions.running import running_totals
 from tallywatch.functions.text import split_lines, strip
 from tallywatch.functions.timing import iso_to_ntz
+from tallywatch.session import materialize
 from tallywatch.sources.parse import parse_line, parse_syslog, resolve_format
 from tallywatch.sources.tail import TailedLines
 
@@ -219,29 +219,39 @@ def ingest_syslog(messages: DataFrame, senders: DataFrame) -> DataFrame:
 
 
 def frame_lines(chunks: DataFrame, block_size: int = 1024) -> DataFrame:
-    """Byte-stream chunks ``(stream_id, seq, chunk)`` to trimmed, non-empty lines.
+    """Byte-stream chunks ``(stream_id, seq, chunk)`` to trimmed, non-empty lines ``(stream_id, line_no, line)``.
 
-    A line may span chunks. Each piece gets the number of newlines before it, a
-    running total kept block by block; pieces with one number form one line. The
-    text after a stream's last newline is incomplete and not emitted.
+    A line may span chunks. Newlines are counted first, per block of ``block_size`` chunks, and summed over the (few)
+    blocks of a stream. Then the texts are brought together by block, once, and numbered and put together there; only
+    the first and the last line of a block go on to be joined with those of its neighbours. The text after a
+    stream's last newline is incomplete and not emitted.
     """
-    with_counts = chunks.withColumn("_pieces", split_lines(F.col("chunk"))).withColumn(
-        "_breaks", F.size("_pieces") - 1)
-    numbered = running_totals(
-        with_counts, "stream_id", "seq", F.floor(F.col("seq") / block_size),
-        {"_before": F.col("_breaks").cast("long")})
-    ends = numbered.groupBy("stream_id").agg(F.max(F.col("_before") + F.col("_breaks")).alias("_end"))
-    pieces = numbered.select(
-        "stream_id", "seq", "_breaks", "_before", F.posexplode("_pieces").alias("_i", "_piece")
-    ).withColumn("line_no", F.col("_before") + F.col("_i"))
-    # A piece between two newlines of its chunk is a whole line and needs no shuffle;
-    # only first and last pieces are put together with their neighbours.
-    inner = (F.col("_i") > 0) & (F.col("_i") < F.col("_breaks"))
-    whole = pieces.filter(inner).select("stream_id", "line_no", F.col("_piece").alias("line"))
-    parts = F.array_sort(F.collect_list(F.struct("seq", "_piece")))
-    joined = pieces.filter(~inner).groupBy("stream_id", "line_no").agg(
-        F.array_join(F.transform(parts, lambda p: p["_piece"]), "").alias("line"))
-    complete = joined.join(ends, "stream_id").filter(F.col("line_no") < F.col("_end")).drop("_end")
+    block = F.floor(F.col("seq") / block_size)
+    breaks = F.length("chunk") - F.length(F.replace("chunk", F.lit("\n"), F.lit("")))
+    per_block = chunks.groupBy("stream_id", block.alias("block")).agg(F.coalesce(F.sum(breaks), F.lit(0)).alias("n"))
+    stream = Window.partitionBy("stream_id").orderBy("block")
+    totals = materialize(per_block.select(
+        F.col("stream_id").alias("_s"), F.col("block").alias("_b"), (F.sum("n").over(stream) - F.col("n")).alias("_carry"), F.col("n").alias("_n"),
+        F.sum("n").over(Window.partitionBy("stream_id")).alias("_end")), "line-blocks")
+
+    placed = chunks.withColumn("block", block).withColumn("_pieces", split_lines(F.col("chunk"))).join(
+        totals, F.col("stream_id").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    inside = Window.partitionBy("stream_id", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = placed.withColumn("_before", F.coalesce(F.sum(F.size("_pieces") - 1).over(inside), F.lit(0)))
+    pieces = numbered.select("stream_id", "block", "_carry", "_n", "_end", "seq", "_before", F.posexplode("_pieces").alias("_i", "_piece"))
+    keys = ["stream_id", "block", "_carry", "_n", "_end"]
+
+    def joined(order: str, text: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda p: p[text]), "")
+
+    lines = pieces.groupBy(*keys, (F.col("_before") + F.col("_i")).alias("_at")).agg(joined("seq", "_piece").alias("line"))
+    lines = lines.withColumn("line_no", F.col("_carry") + F.col("_at")).filter(F.col("line_no") <= F.col("_end"))
+    # The first line of a block may have begun in an earlier one, the last may go on in a later one.
+    shared = (F.col("_at") == 0) | (F.col("_at") == F.col("_n"))
+    marked = lines.select("stream_id", "line_no", "block", "_end", shared.alias("_shared"), "line")
+    whole = marked.filter(~F.col("_shared")).select("stream_id", "line_no", "line")
+    edges = marked.filter("_shared").groupBy("stream_id", "line_no", "_end").agg(joined("block", "line").alias("line"))
+    complete = edges.filter(F.col("line_no") < F.col("_end")).select("stream_id", "line_no", "line")
     return (
         whole.unionByName(complete)
         .select("stream_id", "line_no", strip(F.col("line")).alias("line"))

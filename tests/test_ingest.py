@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 import random
 
 from pyspark.sql import functions as F
@@ -73,8 +74,23 @@ def test_frame_lines_against_plain_python(spark):
             if line.strip():
                 expected.add((stream, number, line.strip()))
     df = spark.createDataFrame(rows, "stream_id string, seq long, chunk string")
-    got = {(r["stream_id"], r["line_no"], r["line"]) for r in ingest.frame_lines(df, block_size=16).collect()}
-    assert got == expected
+    for size in (16, 1, 1024):
+        found = ingest.frame_lines(df, block_size=size).collect()
+        assert {(r["stream_id"], r["line_no"], r["line"]) for r in found} == expected and len(found) == len(expected)
+
+
+def test_framing_shuffles_texts_by_block_once(spark):
+    df = spark.createDataFrame([("a", i, "x\ny") for i in range(50)], "stream_id string, seq long, chunk string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = ingest.frame_lines(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    by_block = [line for line in shuffles if re.search(r"hashpartitioning\(stream_id#\d+, block#", line)]
+    # One by block (the other branch reuses it), one of the edges by line; lines inside a block move no more.
+    assert len(by_block) - plan.count("ReusedExchange [stream_id") <= 1 and len(shuffles) - len(by_block) <= 1
 
 
 def test_datagrams_are_kept_whole(spark):
