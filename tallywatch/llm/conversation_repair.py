@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache, lru_cache, partial
+from itertools import pairwise
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -227,9 +228,12 @@ def chain(pieces: list[list[tuple[int, int, int, int]]]) -> tuple[int, list[tupl
     return cost, around[::-1], inserted
 
 
-_PIECE = ("part long, codes binary, rows long, blank long, duplicate long, truncated long, illegal long, "
-          "head int, tail int, cells array<array<bigint>>")
-_AROUND = "part long, entry int, top int, inserted int, cost long, illegal long"
+_PIECE = ("part long, codes binary, blank long, duplicate long, truncated long, illegal long, head int, tail int, "
+          "turns long, first_turn long, last_turn long, cells array<array<bigint>>")
+# What a conversation has as a whole; the row of its last piece holds it, the others hold zeros.
+_FACTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+_AROUND = "part long, entry int, top int, inserted int, " + ", ".join(f"{f} long" for f in _FACTS)
+_AUDIT = "part long, audit string, " + ", ".join(f"{f} long" for f in _FACTS)
 
 
 def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -238,20 +242,22 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _pieces(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (conv, code, blank, late, n) to pieces. The first conversation of a task may have begun in another."""
+    """Sorted rows (conv, code, blank, cut, late, n, known, at) to pieces. The first conversation of a task may have begun in another."""
     part, out = TaskContext.get().partitionId(), []
-    conv, codes, first, size, tally, illegal, head, last = None, bytearray(), True, 0, [0, 0, 0], 0, 0, None
+    conv, codes, first, tally, illegal, head, last = None, bytearray(), True, [0, 0, 0], 0, 0, None
+    turns, first_turn, last_turn = 0, None, None
 
     def close() -> None:
-        if size:
-            out.append((conv, part, bytes(codes), size, *tally, illegal, head, last, summed(codes, first)))
+        if codes:
+            out.append((conv, part, bytes(codes), *tally, illegal, head, last, turns, first_turn, last_turn, summed(codes, first)))
 
     for batch in batches:
-        for owner, initial, blank, cut, late, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not size or owner != conv:
+        for owner, initial, blank, cut, late, n, known, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not codes or owner != conv:
                 close()
-                first, conv = first and not size, owner
-                codes, size, tally, illegal, head, last = bytearray(), 0, [0, 0, 0], 0, initial, None
+                first, conv = first and not codes, owner
+                codes, tally, illegal, head, last = bytearray(), [0, 0, 0], 0, initial, None
+                turns, first_turn, last_turn = 0, None, None
             gone = blank or late
             codes.append(initial | (CUT if cut and not gone else 0) | (GONE if gone else 0))
             codes.extend(bytes([initial | GONE]) * (n - 1))
@@ -259,7 +265,10 @@ def _pieces(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             tally[1] += 0 if blank else n - 1 + late
             tally[2] += int(cut and not gone)
             illegal += (n - 1) + (last is not None and not _legal(last, initial))
-            last, size = initial, size + n
+            last = initial
+            if known and at != last_turn:
+                first_turn = at if first_turn is None else first_turn
+                turns, last_turn = turns + 1, at
         if len(out) >= 1000:
             yield _batch(out, schema)
             out = []
@@ -273,23 +282,29 @@ def _legal(one: int, other: int) -> bool:
 
 
 def _chains(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces (conv, part, illegal, head, tail, cells), sorted, to the stack tops around each."""
+    """Pieces without their codes, sorted, to the stack tops around each, and the facts of the conversation."""
     out, conv, held = [], None, []
 
     def close() -> None:
         if not held:
             return
-        cost, around, inserted = chain([[tuple(c) for c in p[4]] for p in held])
+        cost, around, inserted = chain([[tuple(c) for c in p["cells"]] for p in held])
+        pairs = list(pairwise(held))
+        known = [p for p in held if p["turns"]]
+        # Pieces may share the turn at which they were cut.
+        turns = sum(p["turns"] for p in known) - sum(a["last_turn"] == b["first_turn"] for a, b in pairwise(known))
+        gaps = known[-1]["last_turn"] - known[0]["first_turn"] + 1 - turns if known else 0
+        illegal = sum(p["illegal"] for p in held) + sum(not _legal(a["tail"], b["head"]) for a, b in pairs)
+        facts = (gaps, *(sum(p[f] for p in held) for f in ("blank", "duplicate", "truncated")), illegal, cost)
         for i, (piece, (entry, top)) in enumerate(zip(held, around, strict=True)):
-            joint = i and not _legal(held[i - 1][3], piece[2])
             last = i == len(held) - 1
-            out.append((conv, piece[0], entry, top, inserted if last else 0, cost if last else 0, piece[1] + bool(joint)))
+            out.append((conv, piece["part"], entry, top, inserted if last else 0, *(facts if last else (0,) * len(facts))))
 
     for batch in batches:
-        for owner, *piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if owner != conv:
+        for piece in batch.to_pylist():
+            if piece["conv"] != conv:
                 close()
-                conv, held = owner, []
+                conv, held = piece["conv"], []
             held.append(piece)
         if len(out) >= 10_000:
             yield _batch(out, schema)
@@ -300,10 +315,10 @@ def _chains(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def _audits(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces (conv, part, codes, entry, top, inserted) to their audits."""
+    """Pieces (conv, part, codes, entry, top, inserted, facts) to their audits."""
     for batch in batches:
-        rows = [(conv, part, audit_of(codes, entry, top) + "I" * inserted)
-                for conv, part, codes, entry, top, inserted in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows = [(conv, part, audit_of(codes, entry, top) + "I" * inserted, *facts)
+                for conv, part, codes, entry, top, inserted, *facts in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         yield _batch(rows, schema)
 
 
@@ -428,27 +443,14 @@ def repair(rows: DataFrame) -> Repair:
     same = F.col("conv").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("mark") == F.col("m"))
     coded = slim.join(again, same, "left").select(*_ORDER, _initial(F.col("role")).alias("initial"), "blank", "cut", late.alias("late"), "n")
     ordered = coded.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
-    pieces = materialize(_mapped(ordered.select("conv", "initial", "blank", "cut", "late", "n"), _pieces, _PIECE), "repair-pieces")
-
-    by_conv = pieces.select("conv", "part", "illegal", "head", "tail", "cells").repartition("conv").sortWithinPartitions("conv", "part")
-    around = materialize(_mapped(by_conv, _chains, _AROUND), "repair-around")
-    other = around.select(F.col("conv").alias("c"), F.col("part").alias("p"), "entry", "top", "inserted")
-    joined = pieces.join(other, F.col("conv").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
-    audits = materialize(_mapped(joined.select("conv", "part", "codes", "entry", "top", "inserted"), _audits, "part long, audit string"),
-                         "repair-audits")
-
-    facts = slim.groupBy("conv").agg(
-        F.max(F.when(F.col("known"), F.col("at"))).alias("high"), F.min(F.when(F.col("known"), F.col("at"))).alias("low"),
-        F.countDistinct(F.when(F.col("known"), F.col("at"))).alias("turns"))
-    gaps = F.when(F.col("high").isNull(), 0).otherwise(F.col("high") - F.col("low") + 1 - F.col("turns"))
-    counted = pieces.groupBy("conv").agg(*(F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated")))
-    costs = around.groupBy("conv").agg(F.sum("illegal").alias("illegal"), F.sum("cost").alias("cost"))
-    whole = audits.groupBy("conv").agg(F.array_join(F.transform(
+    pieces = materialize(_mapped(ordered.select("conv", "initial", "blank", "cut", "late", "n", "known", "at"), _pieces, _PIECE), "repair-pieces")
+
+    by_conv = pieces.drop("codes").repartition("conv").sortWithinPartitions("conv", "part")
+    around = _mapped(by_conv, _chains, _AROUND).withColumnRenamed("conv", "c").withColumnRenamed("part", "p")
+    joined = pieces.select("conv", "part", "codes").join(around, F.col("conv").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    audits = materialize(_mapped(joined.select("conv", "part", "codes", "entry", "top", "inserted", *_FACTS), _audits, _AUDIT), "repair-audits")
+    summary = audits.groupBy("conv").agg(*(F.sum(f).alias(f) for f in _FACTS), F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("part", "audit"))), lambda x: x["audit"]), "").alias("audit"))
-    summary = facts.select("conv", gaps.cast("long").alias("gaps"))
-    for part in (counted, costs, whole):
-        part = part.withColumnRenamed("conv", "c")
-        summary = summary.join(part, F.col("conv").eqNullSafe(F.col("c"))).drop("c")
 
     nothing = F.lit(None)
     edits = audits.select("conv", nothing.cast("boolean").alias("known"), F.col("part").alias("at"), nothing.cast("string").alias("role"),
@@ -481,6 +483,6 @@ def repair_digest(conversations: DataFrame, **columns) -> DataFrame:
     found = fixed.conversations.withColumnRenamed("conv", "f")
     out = rows.select("conv").distinct().join(found, F.col("conv").eqNullSafe(F.col("f")), "left")
     out = out.join(digest, F.col("conv").eqNullSafe(F.col("h")), "left")
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    zero = [F.coalesce(f, F.lit(0)).cast("long").alias(f) for f in _FACTS]
     return out.select(F.col("conv").alias("conv_id"), *zero, F.coalesce("audit", F.lit("")).alias("audit"),
                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
