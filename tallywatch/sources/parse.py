@@ -129,17 +129,24 @@ def parse_rfc3164(line: Column, arrival: Column) -> Column:
     return _if_matched(line, _fields(line, RFC3164, 10), build, arrival)
 
 
+def _all_fields(line: Column, pattern: str, count: int) -> Column:
+    """All groups of a full-line match, each of which may contain anything. One match, unless the line holds the mark itself."""
+    mark = "\x1e"
+    once = F.split(F.regexp_replace(line, pattern, mark.join(f"${i}" for i in range(1, count + 1))), mark, count)
+    singly = F.when(F.rlike(line, F.lit(pattern)), F.array(*(F.regexp_extract(line, pattern, i) for i in range(1, count + 1)))).otherwise(F.array(line))
+    return F.when(F.contains(line, F.lit(mark)), singly).otherwise(once)
+
+
 def parse_rfc5424(line: Column, arrival: Column) -> Column:
     """Newer syslog form: priority, version 1, ISO time, host, app, process, id, data, message."""
-    message = F.regexp_extract(line, RFC5424, 8)
-
     def structured(data: Column) -> Column:
+        def pair(text: Column) -> Column:
+            key = F.substring_index(text, '="', 1)
+            return F.struct(F.concat(F.lit("sd."), key).alias("k"), F.substr(text, F.length(key) + 3, F.length(text) - F.length(key) - 3).alias("v"))
+
         # A repeated parameter keeps its first value.
-        keys = F.regexp_extract_all(data, F.lit(SD_PARAM), 1)
-        pairs = F.arrays_zip(keys.alias("k"), F.regexp_extract_all(data, F.lit(SD_PARAM), 2).alias("v"))
-        first_seen = bind(keys, lambda ks: F.filter(pairs, lambda p, i: F.array_position(ks, p["k"]) == i + 1))
-        named = F.map_from_entries(F.transform(
-            first_seen, lambda p: F.struct(F.concat(F.lit("sd."), p["k"]).alias("k"), p["v"].alias("v"))))
+        pairs = F.transform(F.regexp_extract_all(data, F.lit(SD_PARAM), 0), pair)
+        named = bind(pairs, lambda ps: F.map_from_entries(F.filter(ps, lambda p, i: F.array_position(ps["k"], p["k"]) == i + 1)))
         return F.when(data == "-", _empty_map()).otherwise(named)
 
     def build(part: Column) -> Column:
@@ -157,12 +164,12 @@ def parse_rfc5424(line: Column, arrival: Column) -> Column:
         })
         return _parsed(
             severity_to_level(F.pmod(pri, F.lit(8))),
-            message,
+            part[7],
             F.coalesce(iso_to_ntz(dashed(1)), arrival),
-            F.map_concat(header, bind(F.regexp_extract(line, RFC5424, 7), structured)),
+            F.map_concat(header, structured(part[6])),
         )
 
-    return _if_matched(line, _fields(line, RFC5424, 6), build, arrival)
+    return _if_matched(line, _all_fields(line, RFC5424, 8), build, arrival)
 
 
 def parse_plain(line: Column, arrival: Column) -> Column:

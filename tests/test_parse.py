@@ -63,6 +63,13 @@ def test_rfc5424(spark):
         "sd.a": r'x \"y\" ]', "sd.b": "2"}
 
 
+def test_rfc5424_with_line_ends_and_marks_inside(spark):
+    p = parsed(spark, '<165>1 - web app - - [ex@1 a="x\ny" b="\x1e"] one\ntwo \x1e three')
+    assert p["metadata"] == {"facility": "20", "severity": "5", "hostname": "web", "appName": "app", "sd.a": "x\ny", "sd.b": "\x1e"}
+    assert p["message"] == "one\ntwo \x1e three"
+    assert parsed(spark, "<165>1 no \x1e match")["message"] == "<165>1 no \x1e match"
+
+
 def test_rfc5424_nil_values(spark):
     p = parsed(spark, "<14>1 - - - - - - just text")
     assert p["metadata"] == {"facility": "1", "severity": "6"}
