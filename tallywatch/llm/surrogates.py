@@ -54,9 +54,11 @@ _ENTITIES = _FOUND + ", attempt int, surrogate string"
 _OUT = "doc_id long, text string, n_entities long, kinds string"
 
 
-def _draw(key: bytes, *parts: object) -> int:
+def _draw(key: bytes, *parts: object, bits: int = 128) -> int:
+    """At least ``bits`` keyed random bits, the same for the same parts."""
     data = "\0".join(map(str, parts)).encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=16).digest(), "big")
+    blocks = (hashlib.blake2b(data + (f"\0block {i}".encode() if i else b""), key=key, digest_size=16).digest() for i in range(-(-bits // 128)))
+    return int.from_bytes(b"".join(blocks), "big")
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -68,7 +70,7 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
     while True:
         left, right = value >> half, value & mask
         for i in range(8):
-            left, right = right, left ^ (_draw(key, tweak, size, i, right) & mask)
+            left, right = right, left ^ (_draw(key, tweak, size, i, right, bits=half) & mask)
         value = left << half | right
         if value < size:
             return value

@@ -96,3 +96,15 @@ def test_edges(spark):
     assert len(got) == len(fixtures.EDGE_ROWS)
     assert {(r.doc_id, r.text) for r in got} == {(i, t or "") for i, t in fixtures.EDGE_ROWS}
     assert s.replace_entities(fixtures.empty(spark), KEY).count() == 0
+
+
+def test_every_place_of_a_long_value_changes():
+    """At each length from a few letters to far beyond one hash, no place keeps its letter under all keys."""
+    for length in (*range(4, 60, 7), 80, 120, 250, 1000):
+        text = ("abcdefghij" * length)[:length]
+        changed = [False] * length
+        for k in range(8):
+            shaped = s._same_shape(text, f"key {k}".encode(), "mail")
+            assert len(shaped) == length and shaped.isalpha()
+            changed = [c or a != b for c, a, b in zip(changed, text, shaped, strict=True)]
+        assert all(changed), length
