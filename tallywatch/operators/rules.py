@@ -166,6 +166,8 @@ def keyword_index(logs: DataFrame, keywords: DataFrame) -> tuple[DataFrame, list
     A keyword with a piece that no message holds cannot occur and is left out.
     """
     cut_up, sizes = cut_keywords(keywords)
+    if not sizes:
+        return cut_up, sizes
     counts = message_pieces(logs, sizes, cut_up).groupBy("piece").agg(F.count("*").alias("n"))
     found = cut_up.join(counts, "piece", "left").groupBy("keyword").agg(
         F.min(F.struct("n", "piece")).alias("rarest"), F.bool_and(F.col("n").isNotNull()).alias("whole"))
@@ -185,10 +187,9 @@ def with_keyword_hits(logs: DataFrame, parsed: DataFrame) -> DataFrame:
     Keywords of any number are found through an index of rare pieces: messages and keywords meet by equal pieces,
     without texts, and each message is then searched for the few keywords that met it.
     """
-    keywords = materialize(keywords_of(parsed), "keywords")
-    if keywords.isEmpty():
+    index, sizes = keyword_index(logs, keywords_of(parsed))
+    if not sizes:
         return logs.withColumn("hits", F.array().cast("array<string>"))
-    index, sizes = keyword_index(logs, keywords)
     met = message_pieces(logs, sizes, index).join(index, "piece").groupBy("log_id").agg(F.collect_set("keyword").alias("_met"))
     joined = with_fields(logs, F.struct(F.lower("message").alias("_text"))).join(met, "log_id", "left")
     held = F.array_sort(F.filter("_met", lambda k: F.contains(F.col("_text"), k)))
@@ -513,9 +514,10 @@ def evaluate_rules(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
     state = materialize(with_matches(judge_rules(parsed, cells, anomalies, as_of)).select(
         F.col("id").alias("rule_id"), "first_miss", "selector", "first_selector"), "rule-state")
 
-    counts = _matched_counts(_selectors(state, "selector"), cells).drop("first")
-    firsts = _matched_counts(_selectors(state, "first_selector"), cells).select(
-        F.col("selector").alias("first_selector"), F.col("first.log_id").alias("first_log_id"))
+    both = _selectors(state, "selector").unionByName(_selectors(state, "first_selector")).dropDuplicates(["selector"])
+    found = materialize(_matched_counts(both, cells), "rule-counts")
+    counts = found.select("selector", "matched_count")
+    firsts = found.select(F.col("selector").alias("first_selector"), F.col("first.log_id").alias("first_log_id"))
     base = gated.select(
         F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "source_id", "severity",
         "description", "suppressed")

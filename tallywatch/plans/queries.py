@@ -574,7 +574,7 @@ def stream_tumbling(spark, d):
     return rows.withColumn("bucket_start", ntz("bucket_start"))
 
 
-def _over_pieces(spark, d, label: str, job: Callable[[DataFrame, dt.datetime], DataFrame], pieces: int = 3) -> DataFrame:
+def _over_pieces(spark, d, label: str, job: Callable[[DataFrame, dt.datetime], DataFrame], pieces: int = 2) -> DataFrame:
     """A job run over the events piece by piece, each run going on from the checkpoint of the one before."""
     since = frames.table(spark, d, "events").agg(F.min("ts")).first()[0]
     folder, rows = shared_dir(spark, label), None
