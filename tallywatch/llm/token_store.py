@@ -24,6 +24,7 @@ from tallywatch.llm.common import documents, on_workers
 from tallywatch.llm.tokens import encoder
 from tallywatch.session import shared_dir
 
+#: Longest code in bits; more ids than fit get two bits more than a flat code would take.
 LIMIT = 16
 CHECKPOINT = 256
 BLOCK_TOKENS = 1 << 18
@@ -38,13 +39,16 @@ def _arrow(schema: str) -> pa.Schema:
 
 
 def code_lengths(counts: dict[int, int], limit: int = LIMIT) -> dict[int, int]:
-    """Optimal code lengths of at most ``limit`` bits (package-merge). Ties go to the smaller id."""
+    """Optimal code lengths of at most ``limit`` bits (package-merge). Ties go to the smaller id.
+
+    Where more ids than ``2 ** limit`` occur, the limit grows with their number.
+    """
     ids = sorted(counts, key=lambda i: (counts[i], i))
     n = len(ids)
     if n < 2:
         return dict.fromkeys(ids, 1)
     if n > 1 << limit:
-        raise ValueError(f"{n} ids do not fit codes of {limit} bits")
+        limit = (n - 1).bit_length() + 2
     leaves = np.array([counts[i] for i in ids], dtype=np.int64)
     packages, is_leaf = np.empty(0, dtype=np.int64), []
     for _ in range(limit):
@@ -61,9 +65,9 @@ def code_lengths(counts: dict[int, int], limit: int = LIMIT) -> dict[int, int]:
     return dict(zip(ids, lengths.tolist(), strict=True))
 
 
-def canonical(lengths: dict[int, int], limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By id: code and length; by the next ``limit`` bits: the id they start with."""
-    size = max(lengths, default=-1) + 1
+def canonical(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By id: code and length; by the next bits, as many as the longest code has: the id they start with."""
+    size, limit = max(lengths, default=-1) + 1, max(lengths.values(), default=1)
     codes, bits, table = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(1 << limit, np.uint32)
     code = last = 0
     for i in sorted(lengths, key=lambda i: (lengths[i], i)):
@@ -92,16 +96,20 @@ def pack(ids: np.ndarray, codes: np.ndarray, bits: np.ndarray) -> tuple[bytes, n
     return out.astype(">u4").tobytes()[: -(-int(ends[-1]) // 8)], at[::CHECKPOINT].astype(np.int64)
 
 
-def unpack(data: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray, bits: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """The ``n`` ids of a block: one lane per checkpoint, all lanes read one id per step from the table."""
+def unpack(data: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The ``n`` ids of a block: one lane per checkpoint, all lanes read one id per step from the table.
+
+    A step looks at 32 bits, which holds codes of up to 25 bits at any bit of a byte: those of eight million ids.
+    """
     if not n:
         return np.empty(0, np.uint32)
+    limit = len(table).bit_length() - 1
     raw = np.frombuffer(data + b"\0" * 8, np.uint8).astype(np.uint32)
-    three = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
-    at, last = np.asarray(checkpoints, np.int64).copy(), len(three) - 1
+    four = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
+    at, last = np.asarray(checkpoints, np.int64).copy(), len(four) - 1
     out = np.empty((CHECKPOINT, len(at)), np.uint32)
     for step in range(min(n, CHECKPOINT)):
-        seen = three[np.minimum(at >> 3, last)] >> (24 - limit - (at & 7)).astype(np.uint32) & np.uint32((1 << limit) - 1)
+        seen = four[np.minimum(at >> 3, last)] >> (32 - limit - (at & 7)).astype(np.uint32) & np.uint32((1 << limit) - 1)
         out[step] = table[seen]
         at += bits[out[step]].astype(np.int64)
     return out.T.reshape(-1)[:n]

@@ -36,7 +36,7 @@ def test_codes_are_optimal_and_limited():
     assert token_store.code_lengths({1: 1, 2: 1, 3: 2, 4: 4}) == {1: 3, 2: 3, 3: 2, 4: 1}
     lengths = token_store.code_lengths({i: 2 ** i for i in range(30)}, limit=8)
     assert max(lengths.values()) == 8 and sum(2.0 ** -n for n in lengths.values()) <= 1
-    codes, bits, _ = token_store.canonical(lengths, limit=8)
+    codes, bits, _ = token_store.canonical(lengths)
     words = [f"{int(c):0{int(b)}b}" for c, b in zip(codes, bits, strict=True)]
     assert not any(a != b and b.startswith(a) for a in words for b in words)
 
@@ -50,6 +50,16 @@ def test_round_trip_of_a_block(n):
     assert (token_store.unpack(data, marks, n, table, bits) == ids).all()
 
 
+@pytest.mark.parametrize("n", [65_536, 65_537, 70_000, 300_000])
+def test_more_ids_than_sixteen_bits_hold(n):
+    ids = np.random.default_rng(n).permutation(np.r_[np.arange(n), np.zeros(1000, np.int64), np.arange(500)])
+    lengths = token_store.code_lengths(dict(enumerate(np.bincount(ids).tolist())))
+    assert len(lengths) == n and sum(2.0 ** -b for b in lengths.values()) <= 1
+    codes, bits, table = token_store.canonical(lengths)
+    data, marks = token_store.pack(ids, codes, bits)
+    assert (token_store.unpack(data, marks, len(ids), table, bits) == ids).all()
+
+
 def test_store_reads_back_every_document(spark):
     rows = fixtures.EDGE_ROWS + [(100 - i, f"document number {i} " * (i % 40)) for i in range(60)]
     got = token_store.store_digest(fixtures.table(spark, rows), WORD, 2, block_tokens=500).collect()
