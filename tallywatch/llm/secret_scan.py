@@ -4,7 +4,8 @@ A value that follows a credential word is judged by dynamic programming over its
 years, repeats, sequences, keyboard walks and single characters: the cheapest one gives the log10 of the guesses an
 attacker needs. Values above a threshold are reported; placeholders such as ``password: changeme`` are not. The
 words and their ranks come from counts over the distinct texts of the corpus, without such values, after a short
-list of common passwords.
+list of common passwords. All words count: a value that the common passwords leave strong meets those of its own
+stretches that are words in a join.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tallywatch.llm.common import bounded, documents, materialize, most_frequent, on_workers
+from tallywatch.llm.common import bounded, documents, materialize, on_workers, positions
 
 # The patterns of the contract and their least lengths.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -44,12 +47,12 @@ _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3
 _YEAR = re.compile(r"(?:19|20)\d\d")
 LONGEST_WORD = 24
 SEGMENT = math.log10(2)
-#: Words of the corpus in the guessing dictionary: the bound of what is sent to every task.
-DICTIONARY = 30_000
-#: Distinct texts a word must come from to enter it.
+#: Distinct texts a word must come from to count as one.
 LEAST_TEXTS = 5
 STRONG = 8.0
-_FOUND = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
+_COMMON_RANKS = {word: i for i, word in enumerate(COMMON, 1)}
+_FOUND = ("doc_id long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, "
+          "asked array<struct<start:int,end:int,key:binary,value:string>>")
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -194,53 +197,103 @@ def _distinct_texts(texts: DataFrame) -> DataFrame:
         hashed.join(again, "hash", "left_semi").select("text").distinct())
 
 
-def dictionary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = DICTIONARY,
-               least: int = LEAST_TEXTS) -> dict[str, int]:
-    """Ranks of the common passwords and of up to ``size`` corpus words of 3 to 24 letters found in most texts.
+def word_ranks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_TEXTS) -> DataFrame:
+    """``word, rank`` of all corpus words of 3 to 24 letters: the more texts hold a word, the lower its rank.
 
-    Counted over distinct texts, once in each, from ``least`` texts on. Values after credential words do not count, so a
-    leaked value does not become a word, however often it is copied. Ties go to the smaller word. At most ``size``
-    short words reach the driver.
+    Counted over distinct texts, once in each; a word is what ``least`` texts hold, at any size of the corpus. Values after
+    credential words do not count, so a leaked value does not become a word, however often it is copied. Ties go to the
+    smaller word. Ranks follow those of the common passwords.
     """
     on_workers(docs.sparkSession)
     texts = _distinct_texts(documents(docs, id_col, text_col).select("text"))
-    counted = texts.mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = most_frequent(materialize(counted.filter(F.col("n") >= least), "secret-words"), size)
-    ranks = {word: i for i, word in enumerate(COMMON, 1)}
-    for row in sorted(top, key=lambda r: (-r["n"], bytes(r["word"]))):
-        word = bytes(row["word"]).decode("utf-8", "replace")
-        ranks.setdefault(word, len(ranks) + 1)
-    return ranks
+    counted = texts.mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    rare = counted.filter(~F.col("word").isin([bytearray(word, "utf-8") for word in COMMON]))
+    placed, _ = positions(rare, [F.desc("n"), F.asc("word")], "secret-words")
+    return placed.select("word", (F.col("position") + len(COMMON) + 1).alias("rank"))
 
 
-def _scan(ranks, strong: float):
+def _value_key(value: str) -> bytes:
+    return hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _scan(strong: float):
+    """Base spans of each text, and the values that the common passwords alone leave strong."""
+    schema = to_arrow_schema(StructType.fromDDL(_FOUND))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _FOUND.split(", ")]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 base = base_spans(text)
-                more = guess_spans(text, ranks.value, strong)
-                counts = Counter(kind for _, kind, _ in base)
-                rows.append((doc_id, counts[0], counts[1], counts[2], len(more),
-                             hashlib.sha256(render(base).encode()).hexdigest(), render(base + more)))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            types = [pa.int64()] * 5 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                asked = [{"start": a, "end": b, "key": _value_key(text[a:b]), "value": text[a:b]} for a, _, b in guess_spans(text, _COMMON_RANKS, strong)]
+                rows.append((doc_id, hashlib.sha256(render(base).encode()).hexdigest(), [dict(zip(("start", "kind", "end"), s, strict=True)) for s in base], asked))
+            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return run
+
+
+def value_words(value: str) -> set[bytes]:
+    """All stretches of letters in a value that may be dictionary words, as written and with digits read as letters."""
+    low = value.lower()
+    found = set()
+    for text in {low, low.translate(_LEET)}:
+        for m in re.finditer(r"[a-z\x80-\U0010ffff]{3,}", text):
+            run = m[0]
+            found.update(run[a:b] for a in range(len(run) - 2) for b in range(a + 3, min(a + LONGEST_WORD, len(run)) + 1))
+    return {word.encode("utf-8", "surrogatepass") for word in found}
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = list(value_words(value))
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(words), pa.binary()), pa.array(words, pa.binary())], ["key", "word"])
+
+
+def _weak(strong: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weak = []
+            for row in batch.to_pylist():
+                ranks = {bytes(w["word"]).decode("utf-8", "replace"): w["rank"] for w in row["words"]} | _COMMON_RANKS
+                if guess_cost(row["value"], ranks) < strong:
+                    weak.append(row["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(weak, pa.binary())], ["key"])
     return run
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: dict[str, int] | None = None,
-                 strong: float = STRONG) -> DataFrame:
+def weak_values(values: DataFrame, ranks: DataFrame, strong: float = STRONG) -> DataFrame:
+    """``key`` of the values (``key, value``, distinct keys) that words of the corpus bring below ``10 ** strong`` guesses.
+
+    Stretches of the values meet the ranked words in one join, so each value is judged with the words it holds and no
+    dictionary is sent around.
+    """
+    held = values.mapInArrow(_parts, "key binary, word binary").join(ranks, "word").groupBy("key").agg(
+        F.collect_list(F.struct("word", "rank")).alias("words"))
+    return values.join(held, "key").select("key", "value", "words").mapInArrow(_weak(strong), "key binary")
+
+
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", strong: float = STRONG,
+                 least: int = LEAST_TEXTS) -> DataFrame:
     """All rows: ``doc_id``, spans per base kind, ``n_guess``, ``base_sha256`` and ``spans``.
 
     Spans are ``kind:start:end`` in code points, end exclusive, ordered by start and kind. Base spans cover the whole
     match; a ``guess`` span covers the value alone. Null texts count as empty, repeated rows are scanned each, no rows
-    give no rows; other columns are ignored. ``ranks`` defaults to the corpus's own ``dictionary``.
+    give no rows; other columns are ignored. Guesses go by the corpus's own ``word_ranks``.
     """
     on_workers(docs.sparkSession)
-    if ranks is None:
-        ranks = dictionary(docs, id_col, text_col)
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
-    return documents(docs, id_col, text_col).mapInArrow(_scan(held, strong), _FOUND)
+    found = documents(docs, id_col, text_col).mapInArrow(_scan(strong), _FOUND)
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "secret-spans")
+    asked = found.select("row", F.explode("asked").alias("a")).select("row", "a.*")
+    values = materialize(asked.groupBy("key").agg(F.first("value").alias("value")), "secret-values")
+    weak = materialize(weak_values(values, word_ranks(docs, id_col, text_col, least), strong), "secret-weak")
+    span = F.struct("start", F.lit(KINDS.index("guess")).alias("kind"), "end")
+    guesses = asked.select("row", "key", span.alias("span")).join(weak, "key", "left_anti").groupBy("row").agg(F.collect_list("span").alias("more"))
+    rows = found.join(guesses, "row", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
+    kinds = F.array(*map(F.lit, KINDS))
+    text = lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"], s["end"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+    return rows.select(
+        "doc_id", *map(count, range(3)), F.size("more").cast("long").alias("n_guess"), "base_sha256",
+        F.array_join(F.transform(F.array_sort(F.concat("base", "more")), text), ",").alias("spans"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import fixtures
 from tallywatch.llm import secret_scan as s
@@ -77,5 +78,35 @@ def test_a_leaked_value_is_no_dictionary_word(spark):
 
 def test_words_of_few_texts_and_copies_do_not_count(spark):
     rows = [(i, "copied copied text") for i in range(50)] + [(100 + i, f"common once{i} token=leakedvalue{i}") for i in range(9)]
-    ranks = s.dictionary(fixtures.table(spark, rows, extra=()))
-    assert "common" in ranks and not {"copied", "leakedvalue"} & set(ranks)
+    ranks = {bytes(r.word).decode() for r in s.word_ranks(fixtures.table(spark, rows, extra=())).collect()}
+    assert "common" in ranks and not {"copied", "leakedvalue"} & ranks
+
+
+def brute_spans(rows, least):
+    """The spans of each text, judged by a dictionary of all words."""
+    counts = Counter(w for text in {t or "" for _, t in rows} for w in set(s._WORD.findall(s.without_values(text).encode().lower())))
+    ranks = dict(RANKS)
+    for word in sorted((w for w, n in counts.items() if n >= least), key=lambda w: (-counts[w], w)):
+        ranks.setdefault(word.decode("utf-8", "replace"), len(ranks) + 1)
+    return sorted((i, s.render(s.base_spans(t or "") + s.guess_spans(t or "", ranks))) for i, t in rows), ranks
+
+
+def test_whole_vocabulary_judges_values(spark):
+    """Tens of thousands of equally frequent words: all are words, and only what is made of them is weak."""
+    rng = random.Random(8)
+    words = list(dict.fromkeys("".join(rng.choices("bcdfghklmnprstvwaeiou", k=7)) for _ in range(33_000)))
+    rows = [(i, " ".join(words)) if i < 1 else (i, " ".join(rng.sample(words, 3))) for i in range(4)]
+    rows[1:3] = [(i, " ".join(reversed(words)) + " " * i) for i in (1, 2)]
+    values = [w + x for w, x in zip(words[::700], ["", "7", "!", "Zq8kfW2pL"] * 20, strict=False)] + [words[5][:3] + "0" + words[5][4:], "ключважный"]
+    rows += [(100 + i, f"the pwd is {v} today, or login: {v.upper()}") for i, v in enumerate(values)]
+    want, ranks = brute_spans(rows, 2)
+    assert len(ranks) > 32_000
+    got = s.scan_secrets(fixtures.table(spark, rows, extra=()), least=2).collect()
+    assert sorted((r.doc_id, r.spans) for r in got) == want
+    assert {bool(spans) for i, spans in want if i >= 100} == {True, False}
+
+
+def test_edge_rows_by_brute_force(spark):
+    rows = fixtures.EDGE_ROWS + list(enumerate(TEXTS, 100))
+    want = Counter(spans for _, spans in brute_spans([(0, t) for _, t in rows], s.LEAST_TEXTS)[0])
+    assert Counter(r.spans for r in s.scan_secrets(fixtures.table(spark, rows)).collect()) == want
