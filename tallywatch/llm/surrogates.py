@@ -3,7 +3,8 @@
 Numbers, addresses and mail names go through keyed permutations of all values of their format (a Feistel network
 with cycle walking), so different values of one format cannot meet. Names are drawn by keyed hash from lists of the
 same gender and script. All distinct entities of the corpus are then checked in grouped aggregations: an entity
-whose surrogate belongs to another one too, or is itself an entity of the corpus, draws again until none does.
+whose surrogate belongs to another one too, or is itself an entity of the corpus, draws again until none does. Each
+draw of a name takes a longer one, so that names do not run out.
 """
 
 from __future__ import annotations
@@ -154,8 +155,8 @@ def surrogate(kind: str, value: str, style: str, key: bytes, attempt: int = 0) -
         gender, script = style.split("/")
         *given, family = value.split(" ")
         syllables = _SYLLABLES[script]
-        draw = _draw(key, "family", attempt, script, family)
-        new = "".join(syllables[draw // len(syllables) ** i % len(syllables)] for i in range(4)).capitalize()
+        draw = _draw(key, "family", attempt, script, family, bits=8 * (4 + attempt))
+        new = "".join(syllables[draw // len(syllables) ** i % len(syllables)] for i in range(4 + attempt)).capitalize()
         if not given:
             return new
         pool = _GIVEN[script, gender if gender != "x" else "mf"[_draw(key, "gender", value) % 2]]
@@ -272,8 +273,10 @@ def replace_entities(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", tex
 
     The same entity has the same surrogate in every document and format; different entities have different ones; no
     surrogate is an entity of the corpus. Texts without entities, blank and null ones (as empty texts) are returned as
-    they are; repeated rows are rewritten each; no rows give no rows; other columns are ignored.
+    they are; repeated rows are rewritten each; no rows give no rows; other columns are ignored. An empty key is an error.
     """
+    if not key:
+        raise ValueError("surrogates need a key: without one anybody could link them to their originals")
     on_workers(docs.sparkSession)
     rows = documents(docs, id_col, text_col)
     table = assign_surrogates(rows.select("text").mapInArrow(_collect, _FOUND), key)

@@ -108,3 +108,18 @@ def test_every_place_of_a_long_value_changes():
             assert len(shaped) == length and shaped.isalpha()
             changed = [c or a != b for c, a, b in zip(changed, text, shaped, strict=True)]
         assert all(changed), length
+
+
+def test_names_do_not_run_out(spark):
+    """More single names than four syllables give: the losers take longer names, all distinct and none a real one."""
+    names = spark.range(70_000).selectExpr("'name' AS kind", "concat('Имя', id) AS canonical", "'f/cyrillic' AS style")
+    got = s.assign_surrogates(names, KEY)
+    assert got.count() == 70_000 == got.select("surrogate").distinct().count()
+    assert got.join(names.select("canonical"), got.surrogate == names.canonical).count() == 0
+    lengths = {r.n for r in got.select(F.length("surrogate").alias("n")).distinct().collect()}
+    assert min(lengths) == 8 and max(lengths) <= 8 + 2 * got.agg(F.max("attempt")).first()[0] <= 16
+
+
+def test_a_key_is_required(spark):
+    with pytest.raises(ValueError, match="key"):
+        s.replace_entities(fixtures.edge(spark), b"")
