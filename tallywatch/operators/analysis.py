@@ -371,8 +371,13 @@ def analysis_report(analyses: DataFrame, logs: DataFrame, latest: int = 5) -> Da
         analyses.filter(F.col("analysis_type") == "batch").orderBy(F.desc("created_at"), "analysis_id").limit(latest)
         .select(F.concat_ws(" ", "analysis_id", "severity", "summary").alias("name"), F.col("duration_ms").alias("n"))
     )
-    covered = logs.select("log_id").join(
-        analyses.select(F.explode("log_ids").alias("log_id")), "log_id", "left_semi").agg(F.count("*").alias("n"))
+    # Logs and named ids meet in one grouping, not in a join, for which all ids might be broadcast.
+    held = logs.select("log_id", F.lit(1).cast("long").alias("n"), F.lit(False).alias("named"))
+    named = analyses.select(F.explode("log_ids").alias("log_id")).select(
+        "log_id", F.lit(0).cast("long").alias("n"), F.lit(True).alias("named"))
+    by_id = held.unionByName(named).filter(F.col("log_id").isNotNull()).groupBy("log_id").agg(
+        F.sum("n").alias("n"), F.bool_or("named").alias("named"))
+    covered = by_id.filter("named").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     total = logs.agg(F.count("*").alias("t")).scalar()
     coverage = covered.select(F.lit("analysed").alias("name"), "n", F.try_divide(F.col("n"), total).alias("s"))
     return (

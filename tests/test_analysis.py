@@ -215,3 +215,15 @@ def test_filters_reach_the_scan(spark, tmp_path):
     scan = next(line for line in plan.split("\n") if "FileScan" in line)
     assert "EqualTo(source_id,hot)" in scan and "In(level, [error,fatal])" in scan and "GreaterThanOrEqual(ts" in scan
     assert "PartitionFilters: [isnotnull(dt" in scan and "message" not in scan.split("ReadSchema")[1]
+
+
+def test_coverage_counts_logs_without_a_join_on_their_ids(spark):
+    logs = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,)], "log_id string")
+    replies = spark.createDataFrame(
+        [("1", ["a", "c", "a"]), ("2", ["c", "gone", None]), ("3", [])], "analysis_id string, log_ids array<string>").selectExpr(
+        "*", "'batch' AS analysis_type", "timestamp_ntz'2026-02-01 00:00:00' AS created_at", "1L AS duration_ms", "'{}' AS reply")
+    report = analysis.analysis_report(analysis.parse_responses(replies), logs)
+    got = report.filter("section = 'coverage'").collect()
+    assert [(r["name"], r["n"], r["share"]) for r in got] == [("analysed", 3, 3 / 5)]
+    # A join may broadcast all ids named by all analyses through the driver.
+    assert "LeftSemi" not in report._jdf.queryExecution().toString()
