@@ -4,11 +4,14 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tallywatch import session
 from tallywatch.streaming import jobs
+from tallywatch.streaming.verdicts import Verdicts, by_facet
 from test_rules import AS_OF, matches
 
 T0 = dt.datetime(2026, 2, 1)
@@ -136,6 +139,32 @@ def test_a_trigger_holds_its_cooldown_over_a_restart(spark, texts, tmp_path):
         assert sorted((r["triggered_at"] - T0) // dt.timedelta(minutes=1) for r in got) == want
 
 
+def test_rules_of_a_scope_share_their_counts(spark, texts):
+    conds = [ask("error_count", threshold=2, timeWindowMinutes=5)]
+    rules = rules_of(spark, *((f"r{i}", None, "enabled", 1 + i % 3, conds) for i in range(40)), ("other", "a", "enabled", 1, conds))
+    parsed = session.materialize(jobs.parse_rules(rules), "shared-rules")
+    specs = jobs.rule_specs(parsed).collect()
+    assert len(specs) == 41 and len({(r["part"], r["spec"]) for r in specs}) == 2
+    rows = some_logs()
+    changes = jobs.run_to_table(jobs.stream_rules(texts("shared", rows[:50], rows[50:]), rules, T0), "shared").collect()
+    series = {}
+    for r in changes:
+        series.setdefault(r["rule_id"], set()).add((r["as_of"], r["triggered"]))
+    assert len(series) == 41 and len(series["r0"]) > 2 and all(series[f"r{i}"] == series["r0"] for i in range(40))
+    # A rule row that comes twice is told once.
+    twice = jobs.run_to_table(jobs.stream_rules(texts("twice", rows), rules.union(rules), T0), "twice").collect()
+    assert len(twice) == len(set(twice))
+
+
+def test_met_steps_are_handed_on_as_runs():
+    runs = Verdicts._met_runs(np.array([0, 2, 5, 9, 11]), np.array([True, True, False, True, True]), 20)
+    assert runs.to_numpy().tolist() == [[0, 4], [9, 20]]
+    assert not len(Verdicts._met_runs(np.array([0, 3]), np.array([False, False]), 7))
+    cells = by_facet(pd.DataFrame({"facet": ["a", "b", "a"], "base": [1, 2, 3], "after": [0, 1, 0], "n": [5, 6, 7]}))
+    assert {f: v.tolist() for f, v in cells.items()} == {"a": [[1, 3], [0, 0], [5, 7]], "b": [[2], [1], [6]]}
+    assert by_facet(pd.DataFrame({"facet": [], "base": [], "after": [], "n": []})) == {}
+
+
 def test_silence_is_told_without_a_row_of_the_source(spark, texts):
     rows = [("1", "a", "info", 0, "m"), ("2", "b", "info", 1, "m"), ("3", "b", "info", 30, "m"), ("4", "b", "info", 60, "m"), ("5", "d", "info", 61, "m"),
             ("6", "b", "info", 90.001, "m"), ("7", "b", "info", 120, "m"), ("8", "a", "info", 130, "m"), ("9", "b", "info", 140, "m"), ("10", "b", "info", 170, "m"),
