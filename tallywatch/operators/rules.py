@@ -42,8 +42,9 @@ DEFAULT_DESCRIPTION = "Alert rule conditions were met"
 # Letters of the pieces by which keywords are found, and bits of the set of wanted pieces.
 GRAM = 3
 PIECE_BITS = 16
-# Rows of the busiest scope that one salted task takes in a join with rules.
+# Rows that one salted task gives in a join of logs with rules, and rules listed beside one selector.
 ROWS_PER_SALT = 1_000_000
+RULES_PER_LIST = 1_000
 
 
 # --- rules and conditions ----------------------------------------------------
@@ -423,12 +424,8 @@ _FIRST_ASK = """
 array_position(transform(asks, a -> class_us <= a.window_us
     AND (a.levels IS NULL OR coalesce(array_contains(a.levels, level), false))
     AND (a.keyword IS NULL OR array_contains(hits, a.keyword))), true)"""
-
-
-def salts_for(cells: DataFrame) -> int:
-    """How many ways to split the busiest scope, which is all sources together (one row is read)."""
-    rows = cells.filter(F.col("scope").isNull()).agg(F.sum("n")).first()[0]
-    return 1 + (rows or 0) // ROWS_PER_SALT
+# Of a row and an ask of one scope and facet: is the row in its window, and does no ask before it take the row?
+_TAKES = f"class_us <= window_us AND (place = 1 OR {_FIRST_ASK} = place)"
 
 
 def _asks_of(selectors: DataFrame, *keep: str) -> DataFrame:
@@ -441,26 +438,46 @@ def _same_facet(scope: str, facet: str) -> Column:
     return F.col("scope").eqNullSafe(F.col(scope)) & (F.col("facet") == F.col(facet))
 
 
-def _rows_of_rules(rules: DataFrame, rows: DataFrame, salts: int) -> DataFrame:
+def _rule_lists(state: DataFrame) -> DataFrame:
+    """``(selector, rule_ids)``: the rules of each selector, in lists of bounded length."""
+    lists = state.groupBy("selector").agg((1 + F.floor(F.count("*") / RULES_PER_LIST)).alias("lists"))
+    dealt = state.join(lists, "selector").withColumn("_list", F.pmod(F.xxhash64("rule_id"), F.col("lists")))
+    return dealt.groupBy("selector", "_list").agg(F.collect_list("rule_id").alias("rule_ids")).drop("_list")
+
+
+def _rows_of_rules(state: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:
     """(rule_id, log_id) for every row a rule's selector takes; each pair once, from the first ask that takes the row.
 
-    A row is repeated only for facets and scopes that some rule asks for, in a window that reaches it. A salt from the
-    row id spreads a busy scope and facet over many tasks; the small side is repeated per salt.
+    Rows meet selectors, and are then repeated for the rules of each. A row is repeated only for facets and scopes that
+    some rule asks for, in a window that reaches it. The pairs of a scope and facet are counted from the cells first, and
+    a salt from the row id deals them over as many tasks as they need; the small side is repeated per salt.
     """
-    asks = materialize(_asks_of(rules, "rule_id"), "rule-asks")
-    reach = asks.withColumn("own", F.col("scope").isNotNull()).groupBy("own", "scope", "facet").agg(F.max("window_us").alias("reach"))
-    of_all = reach.filter("NOT own").select(F.col("facet").alias("_f"), F.col("reach").alias("_all"))
-    of_source = reach.filter("own").select(F.col("scope").alias("_s"), F.col("facet").alias("_g"), F.col("reach").alias("_own"))
+    lists = _rule_lists(state.filter(F.col("selector").isNotNull())).withColumn("_s", F.from_json("selector", SELECTOR))
+    asks = materialize(_asks_of(lists.select("rule_ids", "_s.scope", "_s.asks"), "rule_ids"), "rule-asks")
+    rules_of_ask = asks.groupBy("scope", "facet", "window_us").agg(F.sum(F.size("rule_ids")).alias("rules"))
+    pairs = F.sum(F.coalesce("n", F.lit(0)) * F.col("rules"))
+    reach = materialize(_with_found(rules_of_ask, cells).groupBy("scope", "facet").agg(
+        F.max("window_us").alias("reach"), pairs.alias("pairs")).withColumn(
+        "salts", 1 + F.floor(F.col("pairs") / ROWS_PER_SALT)), "rule-reach")
+    tasks = 1 + (reach.agg(F.sum("pairs")).first()[0] or 0) // ROWS_PER_SALT
+    of_all = reach.filter("scope IS NULL").select(F.col("facet").alias("_f"), F.struct("reach", "salts").alias("_all"))
+    of_source = reach.filter("scope IS NOT NULL").select(F.col("scope").alias("_s"), F.col("facet").alias("_g"), F.struct("reach", "salts").alias("_own"))
     faceted = rows.withColumn("_facet", F.explode(facets_of_rows())).join(of_all, F.col("_facet") == F.col("_f"), "left").join(
         of_source, (F.col("source_id") == F.col("_s")) & (F.col("_facet") == F.col("_g")), "left")
     scopes = F.array_compact(F.array(
-        F.when(F.col("class_us") <= F.col("_all"), F.struct(F.lit(None).cast("string").alias("scope"))),
-        F.when(F.col("class_us") <= F.col("_own"), F.struct(F.col("source_id").alias("scope")))))
-    scoped = faceted.select("log_id", "level", "hits", "class_us", "_facet", F.explode(scopes).alias("_o")).withColumn(
-        "_scope", F.col("_o.scope")).withColumn("_row_salt", F.pmod(F.xxhash64("log_id"), F.lit(salts)).cast("int"))
-    salted = asks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = scoped.join(salted, _same_facet("_scope", "_facet") & (F.col("_salt") == F.col("_row_salt")))
-    return joined.filter(F.expr(f"{_FIRST_ASK} = place")).select("rule_id", "log_id")
+        F.when(F.col("class_us") <= F.col("_all.reach"), F.struct(F.lit(None).cast("string").alias("scope"), F.col("_all.salts").alias("salts"))),
+        F.when(F.col("class_us") <= F.col("_own.reach"), F.struct(F.col("source_id").alias("scope"), F.col("_own.salts").alias("salts")))))
+    scoped = faceted.select("log_id", "level", "hits", "class_us", "_facet", F.explode(scopes).alias("_o")).select(
+        "log_id", "level", "hits", "class_us", "_facet", F.col("_o.scope").alias("_scope"),
+        F.pmod(F.xxhash64("log_id"), F.col("_o.salts")).alias("_row_salt"))
+    of_facet = reach.select(F.col("scope").alias("_s"), F.col("facet").alias("_f"), "salts")
+    salted = asks.join(of_facet, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("facet") == F.col("_f"))).drop("_s", "_f").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    # Few and small rows make many pairs, so tasks are counted by pairs and not by bytes, whichever side is moved.
+    dealt_rows = scoped.repartition(tasks, "_scope", "_facet", "_row_salt")
+    dealt_asks = salted.repartition(tasks, "scope", "facet", "_salt")
+    joined = dealt_rows.join(dealt_asks, _same_facet("_scope", "_facet") & (F.col("_salt") == F.col("_row_salt")))
+    return joined.filter(F.expr(_TAKES)).select(F.explode("rule_ids").alias("rule_id"), "log_id")
 
 
 def _matched_counts(selectors: DataFrame, cells: DataFrame) -> DataFrame:
@@ -474,7 +491,7 @@ def _matched_counts(selectors: DataFrame, cells: DataFrame) -> DataFrame:
     levels = _with_found(by_level, cells).select("selector", "n", "first")
     worded = cells.filter(F.size("hits") > 0).select(F.col("scope").alias("_scope"), F.explode("hits").alias("_w"), "level", "hits", "class_us", "n", "first")
     words = asks.filter(F.col("keyword").isNotNull()).join(worded.withColumn("_facet", F.concat(F.lit("word:"), "_w")), _same_facet("_scope", "_facet"))
-    words = words.filter(F.expr(f"{_FIRST_ASK} = place")).select("selector", "n", "first")
+    words = words.filter(F.expr(_TAKES)).select("selector", "n", "first")
     return levels.unionByName(words).groupBy("selector").agg(F.sum("n").alias("matched_count"), F.min("first").alias("first"))
 
 
@@ -490,9 +507,7 @@ def matched_logs(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
     cells = materialize(cells_of(tagged), "rule-cells")
     state = with_matches(judge_rules(parsed, cells, anomalies, as_of)).select(
         F.col("id").alias("rule_id"), "selector")
-    asked = state.filter(F.col("selector").isNotNull()).withColumn("_s", F.from_json("selector", SELECTOR)).select(
-        "rule_id", "_s.scope", "_s.asks")
-    return _rows_of_rules(asked, tagged, salts_for(cells))
+    return _rows_of_rules(materialize(state, "rule-state"), tagged, cells)
 
 
 def evaluate_rules(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
