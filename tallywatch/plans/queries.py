@@ -306,7 +306,9 @@ def _new_alerts(spark, d) -> DataFrame:
 
 def alert_logs(spark, d):
     """Every log behind each alert the rules raise now."""
-    pairs = engine.alert_logs(_new_alerts(spark, d), rule_matched_logs(spark, d))
+    alerts = materialize(_new_alerts(spark, d), "new-alerts")
+    fired = frames.alert_rules(spark, d).join(alerts.select(F.col("rule_id").alias("id")), "id", "left_semi")
+    pairs = engine.alert_logs(alerts, engine.matched_logs(fired, frames.logs(spark, d), _as_of(spark, d)))
     # The id of an alert holds the evaluation time; the rule id is enough here.
     return pairs.select(F.regexp_extract("alert_id", "^alert-(.*)-[0-9]+$", 1).alias("rule_id"), "log_id")
 
