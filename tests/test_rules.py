@@ -338,3 +338,39 @@ def test_backtest_against_brute_force(spark, step, fraction):
     assert {(r["rule_id"], r["step"]) for r in got} == want and len(got) == len(want)
     assert all(r["triggered_at"] == start + dt.timedelta(minutes=r["step"] * step) for r in got)
     assert len({r for r, _ in want}) >= 9
+
+
+def test_pairs_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(engine, "ROWS_PER_SALT", 100)
+    monkeypatch.setattr(engine, "RULES_PER_LIST", 10)
+    logs = [log(f"e{i}", 1, "error") for i in range(50)]
+    rules = [rule(f"r{i:02d}", [cond("error_count", threshold=1)]) for i in range(30)]
+    pairs = engine.matched_logs(spark.createDataFrame(rules, RULE_SCHEMA), spark.createDataFrame(logs, LOG_SCHEMA), AS_OF)
+    # 1,500 pairs of few rows in one scope and facet.
+    assert len(re.findall(r"RepartitionByExpression \[.*\], 16", plan_of(pairs))) == 2
+    got = [tuple(p) for p in pairs.collect()]
+    assert len(got) == 1500 and set(got) == {(r[0], l[0]) for r in rules for l in logs}
+
+
+def test_rules_of_one_selector_are_listed_together(spark, monkeypatch):
+    monkeypatch.setattr(engine, "RULES_PER_LIST", 10)
+    state = spark.createDataFrame([(f"r{i}", "s") for i in range(25)] + [("x", "t"), ("x", "t")], "rule_id string, selector string")
+    lists = engine._rule_lists(state).collect()
+    assert 2 <= len([r for r in lists if r["selector"] == "s"]) <= 3
+    assert sorted(v for r in lists for v in r["rule_ids"]) == sorted([f"r{i}" for i in range(25)] + ["x", "x"])
+
+
+def test_backtest_moves_questions_and_not_rules(spark):
+    logs = [log(f"e{i}", 60 - i, "error") for i in range(60)]
+    conds = {k: [cond("error_count", threshold=k, timeWindowMinutes=10)] for k in (1, 5, 99)}
+    rules = [rule(f"r{k}{x}", conds[k], cooldown=5) for k in conds for x in "ab"] + [rule("slow", conds[1], cooldown=20)]
+    start = AS_OF - dt.timedelta(minutes=60)
+    found = backtest.backtest_rules(spark.createDataFrame(rules, RULE_SCHEMA), spark.createDataFrame(logs, LOG_SCHEMA), start, AS_OF)
+    # Counts along the steps are kept per question, which all rules here share.
+    assert not re.search(r"windowspecdefinition\(rule_id#\d+, pos#", plan_of(found))
+    steps = {}
+    for r in found.collect():
+        steps.setdefault(r["rule_id"], []).append(r["step"])
+    want = {"r1": range(0, 61, 5), "r5": range(4, 61, 5)}
+    assert {k: sorted(v) for k, v in steps.items()} == {
+        **{f"{k}{x}": list(v) for k, v in want.items() for x in "ab"}, "slow": list(range(0, 61, 20))}
