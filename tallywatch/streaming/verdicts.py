@@ -19,6 +19,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallywatch.operators.rules import ALL_ROWS
 
+# Rules of one spec and pause whose runs are handed on together.
+BUNCH = 32
+
 
 class Sweep:
     """One rule's counts and verdict. Times are microseconds after the first step.
@@ -107,11 +110,19 @@ def by_facet(cells: pd.DataFrame) -> dict[str, np.ndarray]:
     return dict(zip(facets, np.split(values[:, order], ends, axis=1)[:-1], strict=True))
 
 
+def bunches(rules: list) -> list[tuple[str, int]]:
+    """Rules ``[rule_id, pause]`` as bunches of one pause: their ids as JSON, and the pause."""
+    of_pause: dict[int, list] = {}
+    for rule, pause in rules:
+        of_pause.setdefault(pause, []).append(rule)
+    return [(json.dumps(ids[i:i + BUNCH]), pause) for pause, ids in of_pause.items() for i in range(0, len(ids), BUNCH)]
+
+
 class Verdicts(StatefulProcessor):
     """State per part of a scope: its rules by spec, from the initial state, and one sweep per spec.
 
     Gives the steps at which a verdict changes (``rule_id, step, met``), or with ``runs`` all runs of met steps, cut where
-    the watermark stood (``rule_id, step, last, pause``). A timer wakes the part for changes without new rows.
+    the watermark stood, per bunch of rules (``rules, step, last, pause``, ``rules`` being their ids as JSON). A timer wakes the part for changes without new rows.
     """
 
     def __init__(self, since_us: int, grain_us: int, step_us: int, runs: bool) -> None:
@@ -177,11 +188,12 @@ class Verdicts(StatefulProcessor):
         return pd.DataFrame({"step": steps[turn], "met": verdicts[turn]})
 
     def _told(self, rules: list, rows: pd.DataFrame) -> pd.DataFrame:
-        """The rows for each of the rules."""
-        out = rows.iloc[np.tile(np.arange(len(rows)), len(rules))].reset_index(drop=True)
-        out.insert(0, "rule_id", np.repeat(np.array([r for r, _ in rules], dtype=object), len(rows)))
+        """The rows for each of the rules, or bunches of them."""
+        heads = bunches(rules) if self._runs else rules
+        out = rows.iloc[np.tile(np.arange(len(rows)), len(heads))].reset_index(drop=True)
+        out.insert(0, "rules" if self._runs else "rule_id", np.repeat(np.array([r for r, _ in heads], dtype=object), len(rows)))
         if self._runs:
-            out["pause"] = np.repeat(np.array([p for _, p in rules], dtype=np.int64), len(rows))
+            out["pause"] = np.repeat(np.array([p for _, p in heads], dtype=np.int64), len(rows))
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -196,7 +208,7 @@ class Verdicts(StatefulProcessor):
 
 
 class Cooldown(StatefulProcessor):
-    """Remembers from which step on a rule may trigger again; runs of met steps in, triggers out."""
+    """Remembers from which step on a bunch of rules may trigger again; runs of met steps in, triggers out."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._free = handle.getValueState("free", "step long")
@@ -210,7 +222,7 @@ class Cooldown(StatefulProcessor):
                 kept.append(steps)
                 free = int(steps[-1]) + run.pause
         self._free.update((free,))
-        yield pd.DataFrame({"rule_id": key[0], "step": np.concatenate(kept) if kept else np.empty(0, np.int64)})
+        yield pd.DataFrame({"rules": key[0], "step": np.concatenate(kept) if kept else np.empty(0, np.int64)})
 
     def close(self) -> None:
         pass

@@ -165,6 +165,27 @@ def test_met_steps_are_handed_on_as_runs():
     assert by_facet(pd.DataFrame({"facet": [], "base": [], "after": [], "n": []})) == {}
 
 
+def test_equal_rules_are_handed_on_in_bunches():
+    rules = [[f"r{i}", 5] for i in range(70)] + [["slow", 9], [None, 9]]
+    told = Verdicts(0, 1, 1, True)._told(rules, pd.DataFrame({"step": [1, 8], "last": [3, 9]}))
+    ids = [(json.loads(r), p) for r, p in zip(told["rules"], told["pause"])]
+    assert [(len(r), p) for r, p in ids[::2]] == [(32, 5), (32, 5), (6, 5), (2, 9)] and ids[::2] == ids[1::2]
+    assert [[r, p] for bunch, p in ids[::2] for r in bunch] == rules
+    assert told[["step", "last"]].to_numpy().tolist() == [[1, 3], [8, 9]] * 4
+
+
+def test_a_stream_has_no_more_state_partitions_than_cores(spark, feed, tmp_path):
+    asked = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        jobs.run_to_table(jobs.stream_tumbling_counts(feed([("1", "a", "error", 1)], [("2", "a", "info", 200)])), "t", str(tmp_path / "kept"))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", asked)
+    stores = [p for p in (tmp_path / "kept" / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(stores) == max(jobs.LEAST_PARTITIONS, spark.sparkContext.defaultParallelism)
+
+
 def test_silence_is_told_without_a_row_of_the_source(spark, texts):
     rows = [("1", "a", "info", 0, "m"), ("2", "b", "info", 1, "m"), ("3", "b", "info", 30, "m"), ("4", "b", "info", 60, "m"), ("5", "d", "info", 61, "m"),
             ("6", "b", "info", 90.001, "m"), ("7", "b", "info", 120, "m"), ("8", "a", "info", 130, "m"), ("9", "b", "info", 140, "m"), ("10", "b", "info", 170, "m"),
