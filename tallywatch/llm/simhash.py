@@ -104,7 +104,8 @@ def with_neighbour(prints: DataFrame) -> DataFrame:
     owners = halves.groupBy("key").agg(F.count(F.lit(1)).alias("owners"))
     steps = F.explode(_longs([2 * x for x in _HALF])).alias("step")
     sent = halves.select("print", "key", steps).select("print", F.col("key").bitwiseXOR(F.col("step")).alias("key"), (F.col("step") == 0).alias("own"))
-    met = sent.join(owners, "key").filter(~F.col("own") | (F.col("owners") > 1))
+    # Spark takes an exploded table for as small as what it came from, and would broadcast 66 times as many rows.
+    met = sent.hint("merge").join(owners, "key").filter(~F.col("own") | (F.col("owners") > 1))
     return met.select("print").distinct()
 
 
@@ -130,8 +131,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     joined = first.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
         "print", "first_id", F.coalesce("root", "print").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = joined.join(least, "root").select("print", "component_id")
-    return rows.join(of_print, "print")
+    # A written table is several times as large in memory as in its file, so all fingerprints, or all rows, are not broadcast.
+    of_print = joined.hint("merge").join(least, "root").select("print", "component_id")
+    return rows.hint("merge").join(of_print, "print")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

@@ -48,6 +48,18 @@ def test_groups_of_a_table(spark):
     assert simhash.near_groups(fixtures.empty(spark)).count() == 0
 
 
+def test_no_table_as_long_as_the_fingerprints_is_broadcast(spark):
+    """Files of fingerprints are small, so by their size alone all variants, or all rows, would be sent to each worker."""
+    near = simhash.with_neighbour(spark.createDataFrame([(p,) for p in (1, 3, 1 << 40, -1)], "print long"))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(r.print for r in near.collect()) == [1, 3, 1 << 40]
+    groups = simhash.near_groups(fixtures.table(spark, [(1, "a b c"), (2, "A b c"), (3, "other words here")]))
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BuildLeft" not in plan
+    assert sorted((r.doc_id, r.component_id) for r in groups.collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(3, 3), (9, 8), (8, 9), (None, 4)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
