@@ -200,6 +200,12 @@ def with_keyword_hits(logs: DataFrame, parsed: DataFrame) -> DataFrame:
 
 # --- cells -------------------------------------------------------------------
 
+def recent_logs(logs: DataFrame, rules: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Logs inside the longest window of any enabled rule, with the columns that rules look at."""
+    longest = rule_profile(parse_rules(select_rules(rules))).longest_us
+    return within(logs, as_of - dt.timedelta(microseconds=longest), as_of).select("log_id", "source_id", "ts", "level", "message")
+
+
 def tag_logs(logs: DataFrame, parsed: DataFrame, profile: RuleProfile, as_of: dt.datetime) -> DataFrame:
     """Logs inside the longest window with their age class and keyword hits."""
     recent = within(logs, as_of - dt.timedelta(microseconds=profile.longest_us), as_of)
@@ -495,6 +501,17 @@ def _matched_counts(selectors: DataFrame, cells: DataFrame) -> DataFrame:
     return levels.unionByName(words).groupBy("selector").agg(F.sum("n").alias("matched_count"), F.min("first").alias("first"))
 
 
+def _match_state(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
+                 anomalies: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Selectors ``(rule_id, selector)`` of the rules outside their cool-down, with the tagged logs and their cells."""
+    parsed = parse_rules(rules.filter(~in_cooldown(as_of)))
+    tagged = tag_logs(logs, parsed, rule_profile(parsed), as_of)
+    cells = materialize(cells_of(tagged), "rule-cells")
+    state = with_matches(judge_rules(parsed, cells, anomalies, as_of)).select(
+        F.col("id").alias("rule_id"), "selector")
+    return materialize(state, "rule-state"), tagged, cells
+
+
 def matched_logs(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
                  anomalies: DataFrame | None = None) -> DataFrame:
     """Whole match table (rule_id, log_id): no cap, one row per pair.
@@ -502,12 +519,21 @@ def matched_logs(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
     Holds the matches of met conditions before the first miss, so a rule that did
     not trigger can have rows too. Rules in cool-down have none.
     """
-    parsed = parse_rules(rules.filter(~in_cooldown(as_of)))
-    tagged = tag_logs(logs, parsed, rule_profile(parsed), as_of)
-    cells = materialize(cells_of(tagged), "rule-cells")
-    state = with_matches(judge_rules(parsed, cells, anomalies, as_of)).select(
-        F.col("id").alias("rule_id"), "selector")
-    return _rows_of_rules(materialize(state, "rule-state"), tagged, cells)
+    return _rows_of_rules(*_match_state(rules, logs, as_of, anomalies))
+
+
+def matched_sets(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
+                 anomalies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``matched_logs`` in two tables: (rule_id, match_set), and (match_set, log_id).
+
+    Rules with the same selector share a set, whose logs are listed once. Joined by set, the two are the whole match
+    table. The name of a set holds the time, so sets of several evaluations can be kept side by side.
+    """
+    state, tagged, cells = _match_state(rules, logs, as_of, anomalies)
+    name = F.concat(F.lit(as_of.strftime("%Y%m%d%H%M%S%f") + "-"), F.sha2("selector", 256))
+    named = state.filter(F.col("selector").isNotNull()).withColumn("match_set", name)
+    sets = named.select(F.col("match_set").alias("rule_id"), "selector").distinct()
+    return named.select("rule_id", "match_set"), _rows_of_rules(sets, tagged, cells).withColumnRenamed("rule_id", "match_set")
 
 
 def evaluate_rules(rules: DataFrame, logs: DataFrame, as_of: dt.datetime,
@@ -577,9 +603,9 @@ def trigger_alerts(results: DataFrame, as_of: dt.datetime) -> DataFrame:
     )
 
 
-def alert_logs(alerts: DataFrame, matches: DataFrame) -> DataFrame:
-    """``(alert_id, log_id)``: every log behind each alert, from the match table of the same evaluation."""
-    return matches.join(alerts.select(F.col("id").alias("alert_id"), "rule_id"), "rule_id").select("alert_id", "log_id")
+def alert_logs(alerts: DataFrame, matches: DataFrame, of: str = "log_id") -> DataFrame:
+    """``(alert_id, log_id)``: every log behind each alert, from the match table of the same evaluation; or, of its sets, ``(alert_id, match_set)``."""
+    return matches.join(alerts.select(F.col("id").alias("alert_id"), "rule_id"), "rule_id").select("alert_id", of)
 
 
 def create_alerts(manual: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ def rule_run(rules: DataFrame, logs: DataFrame, sources: DataFrame, store: Store
              anomalies: DataFrame | None = None) -> None:
     """One turn of the rule loop: usable rules evaluated, their alerts, the logs behind them, tickets, notifications and new rule state written.
 
-    A rule that does not pass ``validate_rules`` is not evaluated. The state is written last: until then the rules
+    A rule that does not pass ``validate_rules`` is not evaluated. The logs that any window reaches are written once
+    and read from there; logs behind alerts of rules that ask alike are stored once. The state is written last: until then the rules
     are as before and a repeated turn finds the same.
     """
     run = as_of.strftime("%Y%m%d%H%M%S%f")
@@ -41,10 +42,12 @@ def rule_run(rules: DataFrame, logs: DataFrame, sources: DataFrame, store: Store
         return
     usable = engine.validate_rules(rules).filter(F.col("_error").isNull()).drop("_error")
     known = materialize(rules_with_stats(usable, store), "rules-known")
-    alerts = materialize(engine.trigger_alerts(engine.evaluate_rules(known, logs, as_of, anomalies=anomalies), as_of), "new-alerts")
+    recent = materialize(engine.recent_logs(logs, known, as_of), "recent-logs")
+    alerts = materialize(engine.trigger_alerts(engine.evaluate_rules(known, recent, as_of, anomalies=anomalies), as_of), "new-alerts")
     store["alerts"].append(run, alerts)
     fired = known.join(alerts.select(F.col("rule_id").alias("id")), "id", "left_semi")
-    store["alert_logs"].append(run, engine.alert_logs(alerts, engine.matched_logs(fired, logs, as_of, anomalies)))
+    sets, logs_of_sets = engine.matched_sets(fired, recent, as_of, anomalies)
+    store["alert_logs"].append_sets(run, engine.alert_logs(alerts, sets, "match_set"), logs_of_sets)
     tickets = materialize(incidents.tickets_from_alerts(alerts, known, sources), "new-tickets")
     store["tickets"].append(run, tickets)
     store["outcomes"].append(run, incidents.notification_outcomes(incidents.route_notifications(tickets, known)))

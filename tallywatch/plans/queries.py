@@ -633,7 +633,7 @@ def rule_loop(spark, d):
     for minutes in (60, 30, 0, 0):
         workflows.rule_run(frames.alert_rules(spark, d), frames.logs(spark, d), frames.log_sources(spark, d), held,
                            end - dt.timedelta(minutes=minutes), found)
-    behind = held["alert_logs"].read().groupBy("alert_id").agg(F.count("*").alias("n_logs"))
+    behind = held["alert_logs"].counts()
     tickets = held["tickets"].read().select(F.col("rule_id").alias("_r"), F.col("created_at").alias("_at"), "priority")
     alerts = held["alerts"].read()
     fired = alerts.join(behind, alerts["id"] == behind["alert_id"], "left").join(

@@ -84,20 +84,23 @@ class Table:
 
     def read(self, like: str | StructType | None = None) -> DataFrame:
         """All rows; ``like`` is the schema of a table nothing was written to yet."""
+        return self._rows(like)
+
+    def _rows(self, like: str | StructType | None = None, schema: str | None = None) -> DataFrame:
+        """All rows as they are written, with the schema of the last commit if none is given."""
         commits = list(self.commits().values())
         if not commits:
             if like is None:
                 raise ValueError(f"nothing written to {self._path} yet")
             return self._spark.createDataFrame([], like)
-        schema = StructType.fromJson(json.loads(commits[-1]["schema"]))
-        return self._spark.read.schema(schema).parquet(*(f"{self._path}/{c['data']}" for c in commits))
+        return self._spark.read.schema(schema or StructType.fromJson(json.loads(commits[-1]["schema"]))).parquet(*(f"{self._path}/{c['data']}" for c in commits))
 
     def compact(self) -> None:
         """Put all data into one piece. Readers of the old pieces are not disturbed; ``clean`` deletes these later."""
         old = self.commits()
         if len(old) > 1:
             batches = sorted(b for batch, c in old.items() for b in (c["batches"] or [batch]))
-            self._commit(f"compacted-{uuid.uuid4().hex}", self.read().hint("rebalance"), sorted(old), batches)
+            self._commit(f"compacted-{uuid.uuid4().hex}", self._rows().hint("rebalance"), sorted(old), batches)
 
     def clean(self) -> None:
         """Delete data that no commit in force names, and the commits that were replaced. No reader or writer may be at work."""
@@ -110,11 +113,50 @@ class Table:
                         self._fs.delete(status.getPath(), True)
 
 
+class SetTable(Table):
+    """Links ``(alert_id, log_id)``, where alerts with the same logs share a set and its logs are written once.
+
+    One commit holds both kinds of rows: an alert with its set, and a set (without an alert) with one of its logs.
+    A row without a set is a link by itself.
+    """
+
+    _SCHEMA = "alert_id string, match_set string, log_id string"
+
+    def append_sets(self, batch: str, alerts: DataFrame, logs: DataFrame) -> bool:
+        """Add ``alerts`` (alert_id, match_set) and ``logs`` (match_set, log_id), as ``append`` does. Names of sets differ between batches."""
+        none = F.lit(None).cast("string")
+        rows = alerts.select("alert_id", "match_set", none.alias("log_id")).unionByName(logs.select(none.alias("alert_id"), "match_set", "log_id"))
+        return self.append(batch, rows)
+
+    def _rows(self, like: str | StructType | None = None, schema: str | None = None) -> DataFrame:
+        return super()._rows(like, schema or self._SCHEMA)
+
+    def _parts(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Links by themselves, alerts with their sets, and logs of sets."""
+        alone = F.col("match_set").isNull()
+        return (rows.filter(alone).select("alert_id", "log_id"), rows.filter(~alone & F.col("alert_id").isNotNull()).select("alert_id", "match_set"),
+                rows.filter(~alone & F.col("alert_id").isNull()).select("match_set", "log_id"))
+
+    def read(self, like: str | StructType | None = None) -> DataFrame:
+        """All links ``(alert_id, log_id)``, one row for each; they may be many more than the rows written."""
+        if not self.commits():
+            return super().read(like)
+        links, alerts, logs = self._parts(self._rows())
+        return links.unionByName(alerts.join(logs, "match_set").select("alert_id", "log_id"))
+
+    def counts(self) -> DataFrame:
+        """``(alert_id, n_logs)``: how many links each alert has, counted once per set."""
+        links, alerts, logs = self._parts(self._rows(self._SCHEMA))
+        of_sets = alerts.join(logs.groupBy("match_set").agg(F.count("*").alias("n")), "match_set").select("alert_id", "n")
+        of_links = links.groupBy("alert_id").agg(F.count("*").alias("n"))
+        return of_links.unionByName(of_sets).groupBy("alert_id").agg(F.sum("n").alias("n_logs"))
+
+
 class Store:
     """The small tables of an installation under one folder."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self._tables = {name: Table(spark, f"{path}/{name}") for name in TABLES}
+        self._tables = {name: (SetTable if name == "alert_logs" else Table)(spark, f"{path}/{name}") for name in TABLES}
 
     def __getitem__(self, name: str) -> Table:
         return self._tables[name]

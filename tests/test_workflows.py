@@ -74,6 +74,34 @@ def test_rule_loop_keeps_cooldowns_and_changes_nothing_twice(spark, tmp_path):
     assert state == {"often": (at(0), 3), "seldom": (at(0), 2), "never": (None, 0), "off": (None, 0)}
 
 
+def test_logs_behind_rules_that_ask_alike_are_stored_once(spark, tmp_path):
+    held = Store(spark, str(tmp_path))
+    assert held["alert_logs"].read("alert_id string, log_id string").count() == 0
+    same = [cond("error_count", threshold=1, timeWindowMinutes=60)]
+    rules = spark.createDataFrame([*(rule(f"r{i}", same, cooldown=1) for i in range(20)), rule("own", same, "a", cooldown=1),
+                                   rule("empty", [], cooldown=1), rule("quiet", same, "none", cooldown=1)], RULE_SCHEMA)
+    logs = spark.createDataFrame([*(log(f"e{i}", i + 1, "error", source="ab"[i % 2]) for i in range(10)), log("old", 70, "error"), log("i", 1)], LOG_SCHEMA)
+    sources = spark.createDataFrame([], SOURCES)
+    stamp = lambda at: f"{at:%Y%m%d%H%M%S%f}"
+    want = set()
+    for at, every, own in ((AS_OF - dt.timedelta(minutes=6), range(5, 10), (6, 8)), (AS_OF, range(10), range(0, 10, 2))):
+        workflows.rule_run(rules, logs, sources, held, at)
+        want |= {(f"alert-r{i}-{stamp(at)}", f"e{k}") for i in range(20) for k in every} | {(f"alert-own-{stamp(at)}", f"e{k}") for k in own}
+    table = held["alert_logs"]
+    got = lambda: sorted(map(tuple, table.read().collect()))
+    written = lambda: sum(spark.read.parquet(str(f)).count() for f in (tmp_path / "alert_logs" / "data").iterdir() if not f.name.startswith("."))
+    assert got() == sorted(want) and table.read().columns == ["alert_id", "log_id"]
+    assert written() == 2 * 21 + (5 + 2) + (10 + 5)
+    numbers = {a: sum(x == a for x, _ in want) for a, _ in want}
+    assert {r.alert_id: r.n_logs for r in table.counts().collect()} == numbers
+    table.compact()
+    assert got() == sorted(want)
+    # Links by themselves, as they were written before there were sets, are read too.
+    table.append("old", spark.createDataFrame([("x", "l1"), ("x", "l2")], "alert_id string, log_id string"))
+    assert got() == sorted([*want, ("x", "l1"), ("x", "l2")])
+    assert {r.alert_id: r.n_logs for r in table.counts().collect()} == {**numbers, "x": 2}
+
+
 def test_analysis_covers_each_log_once(spark, tmp_path):
     held = Store(spark, str(tmp_path))
     rows = [log(f"l{i}", i % 200, source="ab"[i % 2]) for i in range(430)]
