@@ -51,7 +51,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per_hash = slim.groupBy("hash").agg(
         F.count(F.lit(1)).alias("texts"), F.max("group_size").alias("group_size"), F.max("keep_id").alias("keep_id"))
     out = ["doc_id", "keep_id", "group_size", "text_sha256"]
-    single = rows.drop("norm", "chars").join(per_hash.filter("texts = 1").drop("texts"), "hash").select(*out)
+    # The groups' file is small beside their rows in memory, so they are not broadcast, however small the file.
+    single = rows.drop("norm", "chars").hint("merge").join(per_hash.filter("texts = 1").drop("texts"), "hash").select(*out)
     collided = per_hash.filter("texts > 1").select("hash")
     if not collided.isEmpty():
         # Different texts under one hash: only their rows are matched by the texts themselves.

@@ -123,9 +123,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     hosts = hosts.select("host", ((F.col("good") + by_host * mean) / (F.col("n") + by_host)).alias("host_rate"))
     paths = paths.join(hosts, "host")
     by_path = _prior_weight(paths, rate, F.col("host_rate"))
-    paths = paths.select("host", "path", "host_rate", ((F.col("good") + by_path * F.col("host_rate")) / (F.col("n") + by_path)).alias("path_rate"))
+    paths = materialize(paths.select(
+        "host", "path", "host_rate", ((F.col("good") + by_path * F.col("host_rate")) / (F.col("n") + by_path)).alias("path_rate")), "quality-rates")
     odds = _logit(F.col("text_prob")) + _logit(F.col("path_rate")) - _logit(F.lit(mean))
-    joined = scored.join(paths, ["host", "path"])
+    # Every row has its site; of a left join the rows themselves are never broadcast.
+    joined = scored.join(paths, ["host", "path"], "left")
     quality = 1 / (1 + F.exp(-odds))
     return joined.select("doc_id", "text_prob", "host_rate", "path_rate", quality.alias("quality"), (quality >= threshold).alias("keep"))
 

@@ -26,6 +26,11 @@ def test_same_as_brute_force(spark, hash_chars):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_groups_are_not_broadcast(spark):
+    plan = exact_groups(fixtures.edge(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_keep_one_keeps_columns(spark):
     docs = fixtures.table(spark, [(1, "a b"), (2, "ab  "), (3, "c"), (3, "ab"), (None, "c")])
     kept = keep_one(docs)

@@ -21,6 +21,13 @@ def test_held_out_accuracy(spark):
     assert all(r.keep == (r.doc_id % 4 != 0) for r in got if r.doc_id >= 80)
 
 
+def test_rows_are_not_broadcast_to_their_sites(spark):
+    scored = quality.score_quality(corpus(spark), labels(spark))
+    assert len(scored.collect()) == 120
+    plan = scored._jdf.queryExecution().executedPlan().toString()  # as it ran: sizes are known only then
+    assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+
+
 def test_rates_shrink_towards_the_level_above(spark):
     rows = [(i, "big", 0.9 if i % 10 else 0.1) for i in range(200)] + [(1000, "tiny", 0.0)]
     sites = spark.createDataFrame([("big", 200, sum(p for _, s, p in rows if s == "big")), ("tiny", 1, 0.0)], "host string, n long, good double")
